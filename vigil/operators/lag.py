@@ -43,11 +43,16 @@ def shard_lags(log: DataFrame, stream: str | Column, shard: str | Column, ts: st
 
 def backlog(produced: DataFrame, acked: DataFrame, on: str | list[str], key: str | Column,
             check: str = "backlog") -> DataFrame:
-    """Messages produced and never acknowledged, per queue: an anti-join on the
-    message id, then a count. Shuffles both sides on the id (high cardinality, so
-    no hot partition); AQE broadcasts the ack side when it measures small."""
-    pending = produced.join(acked, on=on, how="left_anti")
-    agg = pending.groupBy(as_col(key).alias("pipeline")).agg(F.count(F.lit(1)).alias("n"))
+    """Messages produced and never acknowledged, per queue (0 when all are).
+
+    The acknowledged ids are made distinct and left-joined on the id; both sides
+    are shuffled on the id (high cardinality, so no hot partition), the distinct
+    and the join share that partitioning, and AQE broadcasts the ack side when it
+    measures small. Every queue with messages gets a row, pending or not."""
+    keys = [on] if isinstance(on, str) else list(on)
+    acks = acked.select(*keys).distinct().withColumn("_acked", F.lit(True))
+    joined = produced.join(acks, on=keys, how="left")
+    agg = joined.groupBy(as_col(key).alias("pipeline")).agg(F.count_if(F.col("_acked").isNull()).alias("n"))
     return to_measures(agg, check, value=F.col("n"))
 
 
@@ -61,8 +66,8 @@ def backlog_until(produced: DataFrame, acks: DataFrame, match: str, ts: str, key
     join (the other side has a single row per key)."""
     newest_ack = acks.groupBy(match).agg(F.max(ts).alias("_acked_until"))
     joined = produced.join(newest_ack, on=match, how="left")
-    pending = joined.where(F.col("_acked_until").isNull() | (F.col(ts) > F.col("_acked_until")))
-    agg = pending.groupBy(as_col(key).alias("pipeline")).agg(F.count(F.lit(1)).alias("n"))
+    pending = F.col("_acked_until").isNull() | (F.col(ts) > F.col("_acked_until"))
+    agg = joined.groupBy(as_col(key).alias("pipeline")).agg(F.count_if(pending).alias("n"))
     return to_measures(agg, check, value=F.col("n"))
 
 
