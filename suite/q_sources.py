@@ -1 +1,148 @@
-"""(filled in below)"""
+"""Source and sink queries: S1-S7, S10."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from suite.common import EVENTS_AS_OF, ORDERS_AS_OF, out, table
+from suite.q_lag import offsets, offsets_sql
+from suite.q_probes import STATIC_SQL, static_results
+from suite.q_runs import runs
+from suite.q_series import EXPORT_LINES_SQL, export_lines
+from suite.registry import query
+from suite.sqlkit import ge, select_out, values
+from vigil import operators as M
+from vigil.plans.alerts import route_alerts
+from vigil.plans.evaluate import evaluate
+from vigil.plans.specs import specs_frame
+from vigil.session import scratch_path
+from vigil.sources import file_listing, parse_documents, parsed_lines, register_views, table_source, write_outbox
+
+# ---------------------------------------------------------------- S1 relational query (SQL on views)
+S01_SPECS = [("F", 5000.0), ("O", 5000.0), ("P", 5000.0), ("X", 5000.0)]
+
+
+@query("s01_relational_query", sql=f"""
+WITH m AS (SELECT o_orderstatus AS pipeline, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY 1),
+j AS (SELECT s.pipeline, m.v, s.threshold AS t FROM {values(S01_SPECS, ["pipeline", "threshold"])} LEFT JOIN m USING (pipeline))
+SELECT {select_out("pipeline", "sql_scalar", ge("v", "t", "sql_scalar")[0], "v", "t", ge("v", "t", "sql_scalar")[1])} FROM j
+""")
+def s01_relational_query(spark, sf):
+    register_views(spark, sf, ["orders"])
+    frame = spark.sql("SELECT o_orderstatus AS pipeline, count(*) AS n FROM orders GROUP BY o_orderstatus")
+    measures = M.keyed_scalar(frame, "pipeline", "n")
+    specs = specs_frame(spark, [{"pipeline": p, "check": "sql_scalar", "threshold": t, "params": {"profile": "postgres"}}
+                                for p, t in S01_SPECS])
+    return out(evaluate(specs, measures, as_of=ORDERS_AS_OF))
+
+
+# ---------------------------------------------------------------- S2 warehouse table by path
+S02_SPECS = [("F", 15000.0), ("O", 15000.0), ("Z", 15000.0)]
+
+
+@query("s02_table_source", sql=f"""
+WITH m AS (SELECT l_linestatus AS pipeline, CAST(count(*) AS DOUBLE) AS v FROM lineitem WHERE l_quantity > 25 GROUP BY 1),
+j AS (SELECT s.pipeline, COALESCE(m.v, 0.0) AS v, s.threshold AS t FROM {values(S02_SPECS, ["pipeline", "threshold"])} LEFT JOIN m USING (pipeline))
+SELECT {select_out("pipeline", "row_count", ge("v", "t", "row_count")[0], "v", "t", ge("v", "t", "row_count")[1])} FROM j
+""")
+def s02_table_source(spark, sf):
+    li = table_source(spark, f"{sf.rstrip('/')}/lineitem.parquet", fmt="parquet")
+    measures = M.row_count(li, "l_linestatus", where=F.col("l_quantity") > 25)
+    specs = specs_frame(spark, [{"pipeline": p, "check": "row_count", "threshold": t, "params": {"profile": "bigquery"}}
+                                for p, t in S02_SPECS])
+    return out(evaluate(specs, measures, as_of=ORDERS_AS_OF))
+
+
+# ---------------------------------------------------------------- S3 file listing of the data folder
+S03_GLOBS = {"parquet-files": "*.parquet", "order-files": "order*", "csv-files": "*.csv"}
+
+
+@query("s03_file_listing", sql=f"""
+WITH f AS (SELECT regexp_extract(file, '[^/]*$') AS name FROM glob('/root/testdata/sf0.01/*')),
+m AS (SELECT 'parquet-files' AS pipeline, CAST(count(*) FILTER (WHERE name LIKE '%.parquet') AS DOUBLE) AS v FROM f
+      UNION ALL SELECT 'order-files', CAST(count(*) FILTER (WHERE name LIKE 'order%') AS DOUBLE) FROM f
+      UNION ALL SELECT 'csv-files', CAST(count(*) FILTER (WHERE name LIKE '%.csv') AS DOUBLE) FROM f),
+j AS (SELECT pipeline, v, 14.0 AS t FROM m)
+SELECT {select_out("pipeline", "file_count", ge("v", "t", "file_count")[0], "v", "t", ge("v", "t", "file_count")[1])} FROM j
+""")
+def s03_file_listing(spark, sf):
+    listing = file_listing(spark, sf)
+    measures = M.file_count(listing, S03_GLOBS, path="path", bare_names=True)
+    specs = specs_frame(spark, [{"pipeline": p, "check": "file_count", "threshold": 14.0, "params": {"profile": "sftp"}}
+                                for p in S03_GLOBS])
+    return out(evaluate(specs, measures, as_of=ORDERS_AS_OF))
+
+
+# ---------------------------------------------------------------- S4 JSON documents in a column
+S04_SPECS = [("signup", 20.0), ("view", 20.0), ("click", 20.0), ("error", 20.0), ("purchase", 20.0), ("refund", 20.0)]
+
+
+@query("s04_json_documents", sql=f"""
+WITH m AS (SELECT event_type AS pipeline, CAST(count(*) AS DOUBLE) AS v FROM events
+           WHERE TRY_CAST(json_extract(props, '$.k') AS INTEGER) >= 90 GROUP BY 1),
+j AS (SELECT s.pipeline, COALESCE(m.v, 0.0) AS v, s.threshold AS t FROM {values(S04_SPECS, ["pipeline", "threshold"])} LEFT JOIN m USING (pipeline))
+SELECT {select_out("pipeline", "doc_count", ge("v", "t", "doc_count")[0], "v", "t", ge("v", "t", "doc_count")[1])} FROM j
+""")
+def s04_json_documents(spark, sf):
+    ev = parse_documents(table(spark, sf, "events"), "props", "k INT")
+    measures = M.row_count(ev, "event_type", where=F.col("_doc.k") >= 90, check="doc_count")
+    specs = specs_frame(spark, [{"pipeline": p, "check": "doc_count", "threshold": t, "params": {"profile": "mongodb"}}
+                                for p, t in S04_SPECS])
+    return out(evaluate(specs, measures, as_of=EVENTS_AS_OF))
+
+
+# ---------------------------------------------------------------- S5 offsets of a log
+@query("s05_offsets", sql=f"""
+SELECT topic, CAST(partition AS BIGINT) AS partition, CAST(end_offset AS BIGINT) AS end_offset,
+       CAST(committed AS DOUBLE) AS committed FROM {offsets_sql(1)}
+""")
+def s05_offsets(spark, sf):
+    o = offsets(spark, sf, 1)
+    return o.select("topic", "partition", "end_offset", F.col("committed").cast("double").alias("committed"))
+
+
+# ---------------------------------------------------------------- S6 run history
+@query("s06_run_history", sql="""
+SELECT CASE WHEN o_orderstatus = 'F' THEN 'Success' WHEN o_orderstatus = 'O' THEN 'Running'
+            WHEN o_orderpriority = '5-LOW' THEN 'Cancelled' ELSE 'Error' END AS state,
+       count(*) AS runs, count(DISTINCT o_custkey) AS jobs, max(o_orderkey) AS newest_run_id,
+       CAST(sum(trunc(o_totalprice * 10.0)) AS BIGINT) AS total_duration_ms
+FROM orders GROUP BY 1
+""")
+def s06_run_history(spark, sf):
+    r = runs(spark, sf, "dbt")
+    return r.groupBy("state").agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("job").alias("jobs"),
+                                  F.max("run_id").alias("newest_run_id"),
+                                  F.sum("duration_ms").cast("long").alias("total_duration_ms"))
+
+
+# ---------------------------------------------------------------- S7 line-delimited JSON export, bad lines dropped
+S07_SPECS = [("signup", 1500.0), ("view", 1500.0), ("click", 1500.0), ("error", 1500.0), ("purchase", 1500.0)]
+
+
+@query("s07_ndjson_export", sql=f"""
+WITH m AS (SELECT event_type AS pipeline, CAST(count(*) AS DOUBLE) AS v FROM {EXPORT_LINES_SQL} l WHERE json_valid(line) GROUP BY 1),
+j AS (SELECT s.pipeline, m.v, s.threshold AS t FROM {values(S07_SPECS, ["pipeline", "threshold"])} LEFT JOIN m USING (pipeline))
+SELECT {select_out("pipeline", "row_count", ge("v", "t", "row_count")[0], "v", "t", ge("v", "t", "row_count")[1])} FROM j
+""")
+def s07_ndjson_export(spark, sf):
+    ev = table(spark, sf, "events")
+    lines = parsed_lines(ev.select("event_type", export_lines(ev).alias("line")), "line")
+    specs = specs_frame(spark, [{"pipeline": p, "check": "row_count", "threshold": t, "params": {"profile": "splunk"}}
+                                for p, t in S07_SPECS])
+    return out(evaluate(specs, M.row_count(lines, "event_type"), as_of=EVENTS_AS_OF))
+
+
+# ---------------------------------------------------------------- S10 outbox sink, read back
+SINK_CHANNELS = [{"type": "log"}, {"type": "slack"}, {"type": "sms", "recipients": ["+15559990000", "+15558880000"]}]
+
+
+@query("s10_outbox_sink", sql=f"""
+WITH a AS (SELECT * FROM ({STATIC_SQL}) WHERE alert_on_failure AND status <> 'ok')
+SELECT 'log' AS channel, count(*) AS n FROM a UNION ALL SELECT 'slack', count(*) FROM a UNION ALL SELECT 'sms', 2 * count(*) FROM a
+""")
+def s10_outbox_sink(spark, sf):
+    path = scratch_path(spark, "outbox")
+    write_outbox(route_alerts(static_results(spark, sf), SINK_CHANNELS), path)
+    back = spark.read.json(path)
+    return back.groupBy("channel").agg(F.count(F.lit(1)).alias("n"))

@@ -1 +1,92 @@
-"""(filled in below)"""
+"""Structured Streaming queries: S9, R1-R3 (availableNow over the events file)."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from suite.common import EVENTS_AS_OF, EVENTS_AS_OF_SQL, out, table
+from suite.q_lag import TYPES, offsets_sql
+from suite.q_probes import SERVICES_SQL, service_specs
+from suite.registry import ORACLES, query
+from suite.sqlkit import num
+from vigil import operators as M
+from vigil.functions.verdicts import verdict_gt
+from vigil.plans.evaluate import as_of_lit
+from vigil.plans.specs import specs_frame
+from vigil.session import scratch_path, use_utc
+from vigil.streaming import (evaluate_batches, file_stream, newest_per_key, partition_progress, run_available,
+                             window_counts)
+
+
+def events_stream(spark, sf):
+    use_utc(spark)
+    schema = table(spark, sf, "events").schema
+    return file_stream(spark, f"{sf.rstrip('/')}/events*.parquet", schema)
+
+
+# ---------------------------------------------------------------- S9 file stream source
+@query("s09_file_stream", sql="SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def s09_file_stream(spark, sf):
+    path = scratch_path(spark, "s09-out")
+    writer = events_stream(spark, sf).writeStream.format("parquet").option("path", path).outputMode("append")
+    run_available(writer, spark, "s09")
+    return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- R1 windowed counts with watermark
+@query("r01_stream_window_counts", sql="""
+WITH w AS (SELECT event_type AS pipeline, date_trunc('day', ts) AS ws, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT pipeline, strftime(ws, '%Y-%m-%d') AS window_start, n,
+       CASE WHEN n > 65 THEN 'ok' ELSE 'critical' END AS status
+FROM w WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+""")
+def r01_stream_window_counts(spark, sf):
+    path = scratch_path(spark, "r01-out")
+    counts = window_counts(events_stream(spark, sf), "event_type", "ts", window="1 day", watermark="10 minutes")
+    writer = counts.writeStream.format("parquet").option("path", path).outputMode("append")
+    run_available(writer, spark, "r01")
+    w = spark.read.parquet(path)
+    return w.select("pipeline", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "n",
+                    verdict_gt(F.col("n").cast("double"), F.lit(65.0)).alias("status"))
+
+
+# ---------------------------------------------------------------- R2 running lag per partition
+@query("r02_stream_lag", sql=ORACLES["m16_total_lag"])
+def r02_stream_lag(spark, sf):
+    path = scratch_path(spark, "r02-out")
+    cutoff = as_of_lit(EVENTS_AS_OF - dt.timedelta(days=1))
+    progress = partition_progress(events_stream(spark, sf), "event_type", "user_id", F.col("ts") < cutoff)
+    specs = specs_frame(spark, [{"pipeline": t, "check": "total_lag", "threshold": 65, "params": {"profile": "kafka"}}
+                                for t in TYPES])
+    sink = evaluate_batches(specs, lambda b: M.total_lag(b), path, lambda b: as_of_lit(EVENTS_AS_OF))
+    run_available(progress.writeStream.outputMode("complete").foreachBatch(sink), spark, "r02")
+    return out(spark.read.parquet(path))
+
+
+# ---------------------------------------------------------------- R3 freshness per key
+@query("r03_stream_freshness", sql=f"""
+WITH m AS (SELECT 'svc-' || CAST(user_id AS VARCHAR) AS pipeline,
+                  date_diff('microsecond', max(ts), {EVENTS_AS_OF_SQL}) / 3.6e9 AS v FROM events GROUP BY 1),
+j AS (SELECT s.pipeline, m.v FROM {SERVICES_SQL} s LEFT JOIN m USING (pipeline))
+SELECT pipeline, 'age_hours' AS "check",
+       CASE WHEN v IS NULL THEN 'unknown' WHEN v <= 24 THEN 'ok' ELSE 'critical' END AS status, v AS value,
+       24.0 AS threshold,
+       CASE WHEN v IS NULL THEN 'age_hours: no data'
+            WHEN v <= 24 THEN 'age_hours ' || {num('v')} || 'h old, within 24h'
+            ELSE 'age_hours ' || {num('v')} || 'h old, exceeds 24h' END AS message
+FROM j
+""")
+def r03_stream_freshness(spark, sf):
+    path = scratch_path(spark, "r03-out")
+    key = F.concat(F.lit("svc-"), F.col("user_id").cast("string"))
+    newest = newest_per_key(events_stream(spark, sf), key, "ts")
+    specs = service_specs(spark, sf, "age_hours")
+    as_of = as_of_lit(EVENTS_AS_OF)
+    sink = evaluate_batches(specs, lambda b: M.age_hours(b, "pipeline", "newest", as_of), path, lambda b: as_of)
+    run_available(newest.writeStream.outputMode("complete").foreachBatch(sink), spark, "r03")
+    return out(spark.read.parquet(path))
+
+
+_ = (offsets_sql, out)

@@ -89,8 +89,8 @@ def evaluate(specs: DataFrame, measures: DataFrame, as_of=None, defaults: Mappin
     zero_unset = F.coalesce(_param("zero_is_unset") == F.lit("true"), F.lit(False))
     v_, reason_ = coerce(F.col("m_value"), F.col("m_raw"), F.col("m_present"), profile)
     t_ = V.threshold_chain(F.col("threshold"), _source_default(defaults), _op_default(op_), zero_unset)
-    s1 = j.select(
-        "pipeline", "check", "tags", "alert_on_failure", "params",
+    inputs = [
+        F.col("pipeline"), F.col("check"), F.col("tags"), F.col("alert_on_failure"), F.col("params"),
         op_.alias("_op"),
         F.coalesce(F.col("m_present"), F.lit(False)).alias("_present"),
         F.coalesce(_param("label"), F.col("check")).alias("_label"),
@@ -104,7 +104,12 @@ def evaluate(specs: DataFrame, measures: DataFrame, as_of=None, defaults: Mappin
         _param("default_status").alias("_default_status"),
         F.col("m_value").alias("_mv"), F.col("m_raw").alias("_raw"), F.col("m_state").alias("_state"),
         F.col("m_aux").alias("_aux"), F.col("m_observed_at").alias("_observed"),
-    )
+    ]
+    # The inputs come out of a one-element generator rather than a projection: a
+    # filter on status or message written by the caller is then pushed down no
+    # further than these columns, instead of having every alias inlined into one
+    # condition (which would repeat the coerced value dozens of times).
+    s1 = j.select(F.inline(F.array(F.struct(*inputs))))
 
     # -- stage 2: status and number texts
     op, v, t, mv, state, raw = (F.col(c) for c in ("_op", "_v", "_t", "_mv", "_state", "_raw"))

@@ -28,7 +28,7 @@ def run_report(results: DataFrame, outbox: DataFrame | None = None) -> DataFrame
     )
 
 
-def summary_text(report: DataFrame) -> Column:
+def summary_text() -> Column:
     """E5: ``Checked N pipeline(s): H healthy, U unhealthy. Alerts sent: A.``"""
     return F.format_string("Checked %d pipeline(s): %d healthy, %d unhealthy. Alerts sent: %d.",
                            F.col("total"), F.col("healthy"), F.col("unhealthy"), F.col("alerts_sent"))

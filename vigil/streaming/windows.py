@@ -59,13 +59,14 @@ def newest_per_key(stream: DataFrame, key: str | Column, ts: str | Column) -> Da
 
 def evaluate_batches(specs: DataFrame, to_measures_fn: Callable[[DataFrame], DataFrame], out_path: str,
                      as_of_fn: Callable[[DataFrame], Column], defaults=None):
-    """A ``foreachBatch`` function: measures of the batch, left join from the specs,
-    verdicts, and the results written under ``out_path/batch=<id>``. Re-running a
-    batch after a failure overwrites the same folder, so the sink is idempotent."""
+    """A ``foreachBatch`` function for complete-mode aggregates: each batch holds
+    the whole (key-bounded) state, so its measures are evaluated against every
+    spec (left join from the specs, in batch) and the results overwrite
+    ``out_path``. Re-running a batch after a failure rewrites the same answer."""
     def run(batch: DataFrame, batch_id: int) -> None:
         measures = to_measures_fn(batch)
         results = evaluate(specs, measures, as_of=as_of_fn(batch), defaults=defaults)
-        results.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
+        results.write.mode("overwrite").parquet(out_path)
     return run
 
 
