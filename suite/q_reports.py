@@ -134,3 +134,10 @@ def u01_custom_check(spark, sf):
 
 
 _ = q_runs
+
+
+# ---------------------------------------------------------------- E3 is_healthy
+@query("e03_is_healthy", sql=f"SELECT pipeline, \"check\", status, status = 'ok' AS healthy FROM ({E02_SQL})")
+def e03_is_healthy(spark, sf):
+    from vigil.plans.evaluate import healthy
+    return healthy(mixed_results(spark, sf)).select("pipeline", "check", "status", "healthy")

@@ -146,3 +146,35 @@ def s10_outbox_sink(spark, sf):
     write_outbox(route_alerts(static_results(spark, sf), SINK_CHANNELS), path)
     back = spark.read.json(path)
     return back.groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- S8 commented CSV export, read back
+S08_SPECS = [("signup", 25.0), ("view", 25.0), ("click", 25.0), ("error", 25.0), ("purchase", 25.0), ("refund", 25.0)]
+
+
+@query("s08_commented_csv", sql=f"""
+WITH r AS (SELECT event_type AS pipeline, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events),
+j AS (SELECT s.pipeline, r.value AS v, s.threshold AS t FROM {values(S08_SPECS, ["pipeline", "threshold"])}
+      LEFT JOIN r ON r.pipeline = s.pipeline AND r.rn = 1)
+SELECT {select_out("pipeline", "last_row_value", ge("v", "t", "last_row_value")[0], "v", "t", ge("v", "t", "last_row_value")[1])} FROM j
+""")
+def s08_commented_csv(spark, sf):
+    """events exported as an annotated CSV (a ``#datatype`` line per table among
+    the data lines), read back with ``#`` lines dropped; the last row of each
+    table (by row number) gives the value."""
+    from vigil.sources import commented_csv
+    ev = table(spark, sf, "events")
+    data = ev.select(F.lit("_result").alias("result"), F.col("event_type").alias("table"),
+                     F.col("event_id").cast("string").alias("row"), F.col("value").cast("string").alias("_value"))
+    notes = ev.select("event_type").distinct().select(
+        F.lit("#datatype").alias("result"), F.lit("string").alias("table"), F.lit("long").alias("row"),
+        F.lit("double").alias("_value"))
+    path = scratch_path(spark, "s08-csv")
+    # The writer quotes values starting with its own comment character; give it
+    # another one so the annotation lines stay real ``#`` comment lines.
+    data.unionByName(notes).write.option("header", "true").option("comment", "~").csv(path)
+    back = commented_csv(spark, path)
+    measures = M.last_row_value(back, "table", "_value", order=[F.col("row").try_cast("long")])
+    specs = specs_frame(spark, [{"pipeline": p, "check": "last_row_value", "threshold": t, "params": {"profile": "influxdb"}}
+                                for p, t in S08_SPECS])
+    return out(evaluate(specs, measures, as_of=EVENTS_AS_OF))
