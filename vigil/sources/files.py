@@ -27,6 +27,15 @@ def line_export(spark: SparkSession, path: str) -> DataFrame:
     return raw
 
 
+def with_row_order(df: DataFrame) -> DataFrame:
+    """Adds (_file, _block, _pos): the order of rows as stored, for sources whose
+    "first" / "last" row means file order. Within one task rows keep their order,
+    and a task reads one block of one file."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"),
+                     F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_pos"))
+
+
 def ndjson_export(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Line-delimited JSON; lines that do not parse are dropped."""
     reader = spark.read.option("mode", "DROPMALFORMED")
