@@ -11,10 +11,9 @@ from suite.registry import ORACLES, query
 from suite.sqlkit import ge, select_out
 from vigil import operators as M
 from vigil.operators.base import to_measures
-from vigil.plans.alerts import route_alerts
 from vigil.plans.evaluate import check_all, evaluate
 from vigil.plans.registry import get_check, register_check
-from vigil.plans.report import run_report, summary_text, tag_report
+from vigil.plans.report import summary_text, tag_report
 from vigil.plans.specs import specs_frame, specs_from_json
 
 
@@ -42,7 +41,7 @@ def e01_specs_from_json(spark, sf):
 
 
 # ---------------------------------------------------------------- E2 check_all over mixed checks
-def mixed_results(spark, sf):
+def mixed_inputs(spark, sf):
     orders = table(spark, sf, "orders")
     ev = table(spark, sf, "events")
     measures = [
@@ -54,9 +53,21 @@ def mixed_results(spark, sf):
                                 for p, t in q_counts.M01_SPECS]
                         + [{"pipeline": t, "check": "latest_point", "threshold": 25.0, "params": {"profile": "datadog"}}
                            for t in q_series.TYPES])
+    return specs, measures
+
+
+def mixed_results(spark, sf):
+    specs, measures = mixed_inputs(spark, sf)
     return check_all(specs, measures, as_of=EVENTS_AS_OF)
 
 
+def checked_run(spark, sf):
+    """The whole run: results checkpointed once, then outbox and report."""
+    from vigil.plans.runner import run_checks
+    specs, measures = mixed_inputs(spark, sf)
+    return run_checks(specs, measures, REPORT_CHANNELS, as_of=EVENTS_AS_OF)
+
+
 E02_SQL = f"SELECT * FROM ({ORACLES['m01_row_count']}) UNION ALL SELECT * FROM ({ORACLES['m09_latest_point']})"
 
 
@@ -78,8 +89,7 @@ SELECT count(*) AS total, count(*) FILTER (WHERE status = 'ok') AS healthy,
 FROM r
 """)
 def e04_run_report(spark, sf):
-    results = mixed_results(spark, sf)
-    return run_report(results, route_alerts(results, REPORT_CHANNELS))
+    return checked_run(spark, sf).report
 
 
 # ---------------------------------------------------------------- E5 summary text
@@ -92,8 +102,7 @@ SELECT 'Checked ' || total || ' pipeline(s): ' || healthy || ' healthy, ' || unh
 FROM a
 """)
 def e05_summary(spark, sf):
-    results = mixed_results(spark, sf)
-    return run_report(results, route_alerts(results, REPORT_CHANNELS)).select(summary_text().alias("summary"))
+    return checked_run(spark, sf).report.select(summary_text().alias("summary"))
 
 
 # ---------------------------------------------------------------- E8 tag report (rollup)

@@ -19,18 +19,22 @@ def _newest(probes: DataFrame, key, ts, tiebreak, **cols: Column) -> DataFrame:
 def json_number_measure(probes: DataFrame, key: str | Column, doc: str | Column, path: str, ts: str | Column = "ts",
                         tiebreak: str | Column | None = None, check: str = "json_number") -> DataFrame:
     """The number at a dotted path of the newest document per key; missing or
-    not numeric is NULL with the JSON text kept for the message."""
-    d = as_col(doc)
-    newest = _newest(probes, key, ts, tiebreak, v=json_number(d, path), raw=F.to_json(json_value(d, path)))
-    return to_measures(newest, check, value=F.col("p.v"),
-                       raw=F.when(F.col("p.v").isNull(), F.col("p.raw")), observed_at=F.col("p._ts"))
+    not numeric is NULL with the JSON text kept for the message. The newest
+    document is chosen on its raw text first, so only one document per key is
+    ever parsed."""
+    newest = _newest(probes, key, ts, tiebreak, d=as_col(doc))
+    d = F.col("p.d")
+    return to_measures(newest, check, value=json_number(d, path),
+                       raw=F.when(json_number(d, path).isNull(), F.to_json(json_value(d, path))),
+                       observed_at=F.col("p._ts"))
 
 
 def json_truthy_measure(probes: DataFrame, key: str | Column, doc: str | Column, path: str, ts: str | Column = "ts",
                         tiebreak: str | Column | None = None, check: str = "json_truthy") -> DataFrame:
-    """Python truthiness of the value at a path of the newest document."""
-    newest = _newest(probes, key, ts, tiebreak, s=json_truthiness(as_col(doc), path))
-    return to_measures(newest, check, state=F.col("p.s"), observed_at=F.col("p._ts"))
+    """Python truthiness of the value at a path of the newest document
+    (parsed once per key, after the newest document is chosen)."""
+    newest = _newest(probes, key, ts, tiebreak, d=as_col(doc))
+    return to_measures(newest, check, state=json_truthiness(F.col("p.d"), path), observed_at=F.col("p._ts"))
 
 
 def state_code(probes: DataFrame, key: str | Column, code: str | Column = "code", ts: str | Column = "ts",
@@ -44,7 +48,8 @@ def probe_status(probes: DataFrame, key: str | Column, code: str | Column = "cod
                  path: str | None = None, ts: str | Column = "ts", tiebreak: str | Column | None = None,
                  check: str = "probe_status") -> DataFrame:
     """The newest response code, and the body's truthiness at ``path`` (set
-    ``params['json_path']`` on the spec to have the verdict test it)."""
-    truth = json_truthiness(as_col(body), path) if path else F.lit(None).cast("string")
-    newest = _newest(probes, key, ts, tiebreak, c=as_col(code).cast("double"), s=truth)
-    return to_measures(newest, check, value=F.col("p.c"), state=F.col("p.s"), observed_at=F.col("p._ts"))
+    ``params['json_path']`` on the spec to have the verdict test it). Only the
+    newest body per key is parsed."""
+    newest = _newest(probes, key, ts, tiebreak, c=as_col(code).cast("double"), b=as_col(body))
+    truth = json_truthiness(F.col("p.b"), path) if path else F.lit(None).cast("string")
+    return to_measures(newest, check, value=F.col("p.c"), state=truth, observed_at=F.col("p._ts"))

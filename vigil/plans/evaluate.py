@@ -75,14 +75,36 @@ def evaluate(specs: DataFrame, measures: DataFrame, as_of=None, defaults: Mappin
     Three projections: inputs (coerced value, threshold chain), then status and
     number texts, then messages. Each stage refers to the previous one's columns,
     so the coerced value is computed once per row instead of being inlined into
-    every branch of the status and message expressions."""
+    every branch of the status and message expressions. The stage expressions
+    name columns only, so they are built once per JVM and reused."""
     m = measures.select(
         "pipeline", "check",
         F.col("value").alias("m_value"), F.col("raw").alias("m_raw"), F.col("state").alias("m_state"),
         F.col("observed_at").alias("m_observed_at"), F.col("aux").alias("m_aux"), F.col("present").alias("m_present"),
     )
     j = specs.join(m, on=["pipeline", "check"], how="left")
+    inputs, stage2, final = _stages(defaults)
+    # The inputs come out of a one-element generator rather than a projection: a
+    # filter on status or message written by the caller is then pushed down no
+    # further than these columns, instead of having every alias inlined into one
+    # condition (which would repeat the coerced value dozens of times).
+    s1 = j.select(F.inline(F.array(F.struct(*inputs))))
+    s2 = s1.select("*", *stage2)
+    return s2.select(*final[:8], as_of_lit(as_of).alias("checked_at"), *final[8:])
+
+
+_STAGES: dict = {}
+
+
+def _stages(defaults: Mapping[str, float] | None):
+    from pyspark import SparkContext
+    key = (id(SparkContext._gateway), tuple(sorted((defaults or {}).items())))
+    if key not in _STAGES:
+        _STAGES[key] = _build_stages(defaults)
+    return _STAGES[key]
+
 
+def _build_stages(defaults: Mapping[str, float] | None):
     # -- stage 1: inputs
     op_ = F.coalesce(F.col("op"), F.lit("ge"))
     profile = _param("profile")
@@ -105,12 +127,6 @@ def evaluate(specs: DataFrame, measures: DataFrame, as_of=None, defaults: Mappin
         F.col("m_value").alias("_mv"), F.col("m_raw").alias("_raw"), F.col("m_state").alias("_state"),
         F.col("m_aux").alias("_aux"), F.col("m_observed_at").alias("_observed"),
     ]
-    # The inputs come out of a one-element generator rather than a projection: a
-    # filter on status or message written by the caller is then pushed down no
-    # further than these columns, instead of having every alias inlined into one
-    # condition (which would repeat the coerced value dozens of times).
-    s1 = j.select(F.inline(F.array(F.struct(*inputs))))
-
     # -- stage 2: status and number texts
     op, v, t, mv, state, raw = (F.col(c) for c in ("_op", "_v", "_t", "_mv", "_state", "_raw"))
     present, hours, hi = F.col("_present"), F.col("_hours"), F.col("_hi")
@@ -138,14 +154,13 @@ def evaluate(specs: DataFrame, measures: DataFrame, as_of=None, defaults: Mappin
     )
     is_numeric = op.isin(*NUMERIC_OPS)
     base_status = F.when(is_numeric, num_status).when(op.isin(*STATE_OPS), st_status).otherwise(F.lit(UNKNOWN))
-    s2 = s1.select(
-        "*",
+    stage2 = [
         base_status.alias("_base_status"),
         expected.alias("_exp"),
         num_text(v).alias("_vt"), num_text(t).alias("_tt"), num_text(hours).alias("_ht"),
         num_text(expected).alias("_et"), num_text(mv).alias("_mvt"), num_text(hi).alias("_hit"),
         num_text(F.col("_max_age")).alias("_mat"),
-    )
+    ]
 
     # -- stage 3: messages, E9, output
     label, vt, tt, ht, et, mvt = (F.col(c) for c in ("_label", "_vt", "_tt", "_ht", "_et", "_mvt"))
@@ -206,7 +221,7 @@ def evaluate(specs: DataFrame, measures: DataFrame, as_of=None, defaults: Mappin
     metadata = F.when(op == "static", F.create_map(F.lit("backend"), F.lit("static"))).otherwise(
         F.coalesce(F.col("params"), F.create_map().cast("map<string,string>"))
     )
-    return s2.select(
+    final = [
         F.col("pipeline"),
         F.col("check"),
         status.alias("status"),
@@ -215,10 +230,10 @@ def evaluate(specs: DataFrame, measures: DataFrame, as_of=None, defaults: Mappin
         F.col("_observed").cast("timestamp_ntz").alias("last_run"),
         message.alias("message"),
         metadata.alias("metadata"),
-        as_of_lit(as_of).alias("checked_at"),
         F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("tags"),
         F.coalesce(F.col("alert_on_failure"), F.lit(True)).alias("alert_on_failure"),
-    )
+    ]
+    return inputs, stage2, final
 
 
 def check_all(specs: DataFrame, measures: list[DataFrame] | DataFrame, as_of=None, defaults=None) -> DataFrame:

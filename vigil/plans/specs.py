@@ -25,11 +25,26 @@ DEFAULT_OP = {
 }
 
 
-def default_op(check: Column) -> Column:
-    expr = F.lit(None).cast("string")
+_DEFAULT_OP_EXPR: dict = {}
+
+
+def default_op(check: Column | None = None) -> Column:
+    """The default comparison of a check name, as one map lookup. For the plain
+    ``check`` column the expression is built once per JVM and reused."""
+    if check is not None:
+        return F.element_at(_op_map(), check)
+    from pyspark import SparkContext
+    key = id(SparkContext._gateway)
+    if key not in _DEFAULT_OP_EXPR:
+        _DEFAULT_OP_EXPR[key] = F.element_at(_op_map(), F.col("check"))
+    return _DEFAULT_OP_EXPR[key]
+
+
+def _op_map() -> Column:
+    items = []
     for name, op in DEFAULT_OP.items():
-        expr = F.when(check == F.lit(name), F.lit(op)).otherwise(expr)
-    return expr
+        items += [F.lit(name), F.lit(op)]
+    return F.create_map(*items)
 
 
 def normalize_specs(df: DataFrame) -> DataFrame:
@@ -42,7 +57,7 @@ def normalize_specs(df: DataFrame) -> DataFrame:
     s = df.select(*out)
     return s.select(
         "pipeline", "check",
-        F.coalesce(F.col("op"), default_op(F.col("check")), F.lit("ge")).alias("op"),
+        F.coalesce(F.col("op"), default_op(), F.lit("ge")).alias("op"),
         "threshold", "max_threshold", "max_age_hours", "expected", "schedule", "max_duration_seconds",
         F.coalesce(F.col("alert_on_failure"), F.lit(True)).alias("alert_on_failure"),
         F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("tags"),
