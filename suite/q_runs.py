@@ -166,3 +166,33 @@ def m28_latest_attempt(spark, sf):
     specs = normalize_specs(cust.select(F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("pipeline"),
                                         F.lit("latest_attempt").alias("check")))
     return out(evaluate(specs, measures, as_of=ORDERS_AS_OF))
+
+
+# ---------------------------------------------------------------- one scan of orders for three checks
+def _one_scan_sql():
+    from suite.registry import ORACLES
+    return " UNION ALL ".join(f"SELECT * FROM ({ORACLES[n]})" for n in ("m25_recent_objects", "m26_age_hours", "m27_latest_run"))
+
+
+@query("e02_one_scan_many_checks", sql=_one_scan_sql())
+def e02_one_scan_many_checks(spark, sf):
+    from suite.q_files import _customer_specs
+    from vigil.operators.base import hours_between
+    from vigil.plans.evaluate import as_of_lit
+    o = table(spark, sf, "orders")
+    as_of = as_of_lit(ORDERS_AS_OF)
+    st = F.col("o_orderstatus")
+    state = F.when(st == "F", "success").when(st == "O", "running").otherwise("failed")
+    run = M.newest_row([F.col("o_orderdate"), F.col("o_orderkey")], state=state, started=F.col("o_orderdate"),
+                       dur=(F.col("o_totalprice") * F.lit(10.0)).cast("long"))
+    newest_done = F.max(F.when(st != "P", F.col("o_orderdate")))
+    measures = M.measure_many(o, F.concat(F.lit("cust-"), F.col("o_custkey").cast("string")), {
+        "recent_objects": {"value": F.count(F.lit(1)), "aux": hours_between(F.max("o_orderdate"), as_of),
+                           "observed_at": F.max("o_orderdate")},
+        "age_hours": {"value": hours_between(newest_done, as_of), "observed_at": newest_done},
+        "latest_run": {"state": run["state"], "value": run["dur"], "observed_at": run["started"]},
+    })
+    specs = (_customer_specs(spark, sf, "recent_objects", 10.0, F.when(F.col("c_nationkey") < 12, F.lit(8760.0)))
+             .unionByName(_customer_specs(spark, sf, "age_hours", None, F.lit(8760.0)))
+             .unionByName(run_specs(spark, sf, "state_airflow")))
+    return out(evaluate(specs, measures, as_of=ORDERS_AS_OF))
