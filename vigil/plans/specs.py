@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.schema import SPECS
 
@@ -66,7 +67,8 @@ def normalize_specs(df: DataFrame) -> DataFrame:
 
 
 def specs_frame(spark: SparkSession, rows: Iterable[Mapping]) -> DataFrame:
-    """Specs from a short list of dicts (a config file's pipelines)."""
+    """Specs from a short list of dicts (a config file's pipelines). The rows
+    become an inline table (a local relation in the JVM, no Python workers)."""
     known = set(SPECS.fieldNames())
     data = []
     for r in rows:
@@ -77,14 +79,49 @@ def specs_frame(spark: SparkSession, rows: Iterable[Mapping]) -> DataFrame:
         for k in list(r):
             if k not in known:
                 params[k] = None if r[k] is None else str(r.pop(k))
-        r["params"] = params
+        r["params"] = {str(k): None if v is None else str(v) for k, v in params.items()}
         for f in ("threshold", "max_threshold", "max_age_hours"):
             if r.get(f) is not None:
                 r[f] = float(r[f])
         if r.get("expected") is not None:
             r["expected"] = str(r["expected"])
-        data.append(tuple(r.get(f) for f in SPECS.fieldNames()))
-    return normalize_specs(spark.createDataFrame(data, SPECS))
+        data.append(r)
+    if not data:
+        return normalize_specs(spark.createDataFrame([], SPECS))
+    body = ", ".join("(" + ", ".join(_sql_literal(r.get(f.name), f.dataType) for f in SPECS.fields) + ")"
+                     for r in data)
+    names = ", ".join(f"`{f}`" for f in SPECS.fieldNames())
+    return normalize_specs(spark.sql(f"SELECT * FROM VALUES {body} AS t({names})"))
+
+
+def _sql_string(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_literal(v, dtype) -> str:
+    """A typed SQL literal for one SPECS field value."""
+    type_sql = dtype.simpleString()
+    if v is None:
+        return f"CAST(NULL AS {type_sql})"
+    if isinstance(dtype, T.StringType):
+        return _sql_string(str(v))
+    if isinstance(dtype, T.BooleanType):
+        return "TRUE" if v else "FALSE"
+    if isinstance(dtype, (T.DoubleType, T.IntegerType)):
+        x = float(v) if isinstance(dtype, T.DoubleType) else int(v)
+        if isinstance(x, float) and x != x:
+            return "CAST('NaN' AS DOUBLE)"
+        if isinstance(x, float) and x in (float("inf"), float("-inf")):
+            return "CAST('Infinity' AS DOUBLE)" if x > 0 else "CAST('-Infinity' AS DOUBLE)"
+        return f"CAST({x!r} AS {type_sql})"
+    if isinstance(dtype, T.ArrayType):
+        items = ", ".join(_sql_string(str(x)) for x in v)
+        return f"CAST(array({items}) AS {type_sql})"
+    if isinstance(dtype, T.MapType):
+        items = ", ".join(f"{_sql_string(str(k))}, {'CAST(NULL AS STRING)' if x is None else _sql_string(str(x))}"
+                          for k, x in v.items())
+        return f"CAST(map({items}) AS {type_sql})"
+    raise TypeError(f"unsupported spec field type {type_sql}")
 
 
 def specs_from_json(df: DataFrame, text: str | Column = "config") -> DataFrame:
