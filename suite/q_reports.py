@@ -150,3 +150,27 @@ _ = q_runs
 def e03_is_healthy(spark, sf):
     from vigil.plans.evaluate import healthy
     return healthy(mixed_results(spark, sf)).select("pipeline", "check", "status", "healthy")
+
+
+# ---------------------------------------------------------------- U1 from SQL: verdict functions in a SQL check
+@query("u01_sql_functions", sql="""
+SELECT o_orderpriority AS pipeline, CAST(count(*) AS DOUBLE) AS value,
+       CASE WHEN count(*) >= 3000 THEN 'ok' ELSE 'critical' END AS status,
+       CASE WHEN max(o_orderdate) IS NULL THEN 'unknown'
+            WHEN date_diff('microsecond', max(o_orderdate), TIMESTAMP '2001-08-02 00:00:00') / 3.6e9 <= 48 THEN 'ok'
+            ELSE 'critical' END AS freshness,
+       count(*) >= 3000 AS healthy
+FROM orders GROUP BY 1
+""")
+def u01_sql_functions(spark, sf):
+    from vigil.functions.sql import register_sql_functions
+    from vigil.sources import register_views
+    register_views(spark, sf, ["orders"])
+    register_sql_functions(spark)
+    return spark.sql("""
+        SELECT o_orderpriority AS pipeline, CAST(count(*) AS DOUBLE) AS value,
+               vg_ge(count(*), 3000) AS status,
+               vg_max_age(timestampdiff(MICROSECOND, max(o_orderdate), TIMESTAMP_NTZ '2001-08-02 00:00:00') / 3.6e9, 48)
+                   AS freshness,
+               vg_is_healthy(vg_ge(count(*), 3000)) AS healthy
+        FROM orders GROUP BY o_orderpriority""")

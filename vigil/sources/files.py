@@ -17,6 +17,16 @@ def file_listing(spark: SparkSession, path: str, path_glob: str | None = None, r
         F.col("path"), F.col("modificationTime").cast("timestamp_ntz").alias("modificationTime"), F.col("length"))
 
 
+def table_files(df: DataFrame) -> DataFrame:
+    """S3 for files behind a table: one row per data file the table reads
+    (path, modificationTime, length) from the hidden ``_metadata`` column. Only
+    the metadata columns are read; the distinct is a partial aggregate."""
+    return df.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("modificationTime"),
+        F.col("_metadata.file_size").alias("length")).distinct()
+
+
 def line_export(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their order: (file, block, line_no). Order within a file is
     (block start, position in block); ``monotonically_increasing_id`` only

@@ -25,3 +25,35 @@ def runs_frame(df: DataFrame, job: str | Column, run_id: str | Column, started:
 def runs_from_json(spark: SparkSession, path: str, **fields) -> DataFrame:
     """Run exports as JSON lines (malformed lines dropped), then ``runs_frame``."""
     return runs_frame(spark.read.option("mode", "DROPMALFORMED").json(path), **fields)
+
+
+EVENT_LOG_SCHEMA = ("`Event` STRING, `App Name` STRING, `App ID` STRING, `App Attempt ID` STRING, "
+                    "`Timestamp` BIGINT")
+
+
+def runs_from_event_log(spark: SparkSession, path: str) -> DataFrame:
+    """S6 from Spark event logs (JSON lines): one row per application with its
+    name, id, start time and attempts, newest attempt first (as a history server
+    lists them), each attempt ``(completed, duration)`` in milliseconds.
+
+    Start and end events are reduced per (application, attempt) by one
+    aggregate; attempts per application are few (bounded by the cluster's
+    maximum application attempts), so gathering them into an array per
+    application is safe."""
+    ev = spark.read.schema(EVENT_LOG_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    ev = ev.where(F.col("Event").isin("SparkListenerApplicationStart", "SparkListenerApplicationEnd")) \
+        .withColumn("_file", F.col("_metadata.file_path"))
+    # One event log file per application attempt: pair its start and end events by file.
+    starts = ev.where(F.col("Event") == "SparkListenerApplicationStart").select(
+        "_file", F.col("App ID").alias("app_id"), F.col("App Name").alias("name"),
+        F.coalesce(F.col("App Attempt ID"), F.lit("1")).alias("attempt"), F.col("Timestamp").alias("start_ms"))
+    ends = ev.where(F.col("Event") == "SparkListenerApplicationEnd").groupBy("_file").agg(
+        F.max("Timestamp").alias("end_ms"))
+    attempts = starts.join(ends, on="_file", how="left")
+    per_app = attempts.groupBy("app_id").agg(
+        F.max("name").alias("name"), F.min("start_ms").alias("start_ms"),
+        F.sort_array(F.collect_list(F.struct(
+            F.col("attempt").alias("attempt"), F.col("end_ms").isNotNull().alias("completed"),
+            (F.col("end_ms") - F.col("start_ms")).alias("duration"))), asc=False).alias("attempts"))
+    return per_app.select("name", "app_id", F.timestamp_millis("start_ms").cast("timestamp_ntz").alias("started"),
+                          "attempts")

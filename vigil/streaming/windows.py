@@ -26,6 +26,15 @@ def file_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: i
     return reader.parquet(path)
 
 
+def kafka_stream(spark: SparkSession, bootstrap_servers: str, topics: str, starting: str = "latest") -> DataFrame:
+    """S9 from Kafka (needs the connector jar): records with topic, partition,
+    offset and event time (the record timestamp) as columns."""
+    return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap_servers)
+            .option("subscribe", topics).option("startingOffsets", starting).load()
+            .select("topic", "partition", "offset", F.col("timestamp").cast("timestamp_ntz").alias("ts"),
+                    F.col("value").cast("string").alias("value")))
+
+
 def event_time(ts: str | Column) -> Column:
     """Watermarks need TIMESTAMP; wall-clock UTC TIMESTAMP_NTZ is cast in a UTC session."""
     return as_col(ts).cast("timestamp")
