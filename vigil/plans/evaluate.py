@@ -77,12 +77,7 @@ def evaluate(specs: DataFrame, measures: DataFrame, as_of=None, defaults: Mappin
     so the coerced value is computed once per row instead of being inlined into
     every branch of the status and message expressions. The stage expressions
     name columns only, so they are built once per JVM and reused."""
-    m = measures.select(
-        "pipeline", "check",
-        F.col("value").alias("m_value"), F.col("raw").alias("m_raw"), F.col("state").alias("m_state"),
-        F.col("observed_at").alias("m_observed_at"), F.col("aux").alias("m_aux"), F.col("present").alias("m_present"),
-    )
-    j = specs.join(m, on=["pipeline", "check"], how="left")
+    j = specs.join(measures, on=["pipeline", "check"], how="left")
     inputs, stage2, final = _stages(defaults)
     # The inputs come out of a one-element generator rather than a projection: a
     # filter on status or message written by the caller is then pushed down no
@@ -109,12 +104,12 @@ def _build_stages(defaults: Mapping[str, float] | None):
     op_ = F.coalesce(F.col("op"), F.lit("ge"))
     profile = _param("profile")
     zero_unset = F.coalesce(_param("zero_is_unset") == F.lit("true"), F.lit(False))
-    v_, reason_ = coerce(F.col("m_value"), F.col("m_raw"), F.col("m_present"), profile)
+    v_, reason_ = coerce(F.col("value"), F.col("raw"), F.col("present"), profile)
     t_ = V.threshold_chain(F.col("threshold"), _source_default(defaults), _op_default(op_), zero_unset)
     inputs = [
         F.col("pipeline"), F.col("check"), F.col("tags"), F.col("alert_on_failure"), F.col("params"),
         op_.alias("_op"),
-        F.coalesce(F.col("m_present"), F.lit(False)).alias("_present"),
+        F.coalesce(F.col("present"), F.lit(False)).alias("_present"),
         F.coalesce(_param("label"), F.col("check")).alias("_label"),
         v_.alias("_v"), reason_.alias("_reason"), t_.alias("_t"),
         F.coalesce(F.col("max_age_hours"), F.lit(V.DEFAULT_THRESHOLD["max_age"])).alias("_hours"),
@@ -124,8 +119,8 @@ def _build_stages(defaults: Mapping[str, float] | None):
         F.col("max_duration_seconds").cast("double").alias("_max_s"),
         _param("json_path").isNotNull().alias("_has_path"),
         _param("default_status").alias("_default_status"),
-        F.col("m_value").alias("_mv"), F.col("m_raw").alias("_raw"), F.col("m_state").alias("_state"),
-        F.col("m_aux").alias("_aux"), F.col("m_observed_at").alias("_observed"),
+        F.col("value").alias("_mv"), F.col("raw").alias("_raw"), F.col("state").alias("_state"),
+        F.col("aux").alias("_aux"), F.col("observed_at").alias("_observed"),
     ]
     # -- stage 2: status and number texts
     op, v, t, mv, state, raw = (F.col(c) for c in ("_op", "_v", "_t", "_mv", "_state", "_raw"))

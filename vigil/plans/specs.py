@@ -49,21 +49,21 @@ def _op_map() -> Column:
 
 
 def normalize_specs(df: DataFrame) -> DataFrame:
-    """Fill every SPECS column (missing ones NULL), apply defaults, keep SPECS order."""
+    """Fill every SPECS column (missing ones NULL), apply defaults, keep SPECS order
+    (one projection)."""
     cols = set(df.columns)
-    out = []
-    for field in SPECS.fields:
-        c = F.col(field.name) if field.name in cols else F.lit(None)
-        out.append(c.cast(field.dataType).alias(field.name))
-    s = df.select(*out)
-    return s.select(
-        "pipeline", "check",
-        F.coalesce(F.col("op"), default_op(), F.lit("ge")).alias("op"),
-        "threshold", "max_threshold", "max_age_hours", "expected", "schedule", "max_duration_seconds",
-        F.coalesce(F.col("alert_on_failure"), F.lit(True)).alias("alert_on_failure"),
-        F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("tags"),
-        F.coalesce(F.col("params"), F.create_map().cast("map<string,string>")).alias("params"),
-    )
+
+    def field(name):
+        c = F.col(name) if name in cols else F.lit(None)
+        return c.cast(SPECS[name].dataType)
+
+    defaults = {
+        "op": F.coalesce(field("op"), F.element_at(_op_map(), field("check")), F.lit("ge")),
+        "alert_on_failure": F.coalesce(field("alert_on_failure"), F.lit(True)),
+        "tags": F.coalesce(field("tags"), F.array().cast("array<string>")),
+        "params": F.coalesce(field("params"), F.create_map().cast("map<string,string>")),
+    }
+    return df.select(*[defaults.get(f, field(f)).alias(f) for f in SPECS.fieldNames()])
 
 
 def specs_frame(spark: SparkSession, rows: Iterable[Mapping]) -> DataFrame:
