@@ -95,3 +95,18 @@ def window_count_measures(windows: DataFrame, check: str = "messages_in_window")
     """Window counts as measures keyed by ``pipeline@window_start``."""
     key = F.concat(F.col("pipeline"), F.lit("@"), F.date_format("window_start", "yyyy-MM-dd'T'HH:mm:ss"))
     return to_measures(windows, check, pipeline=key, value=F.col("n"), observed_at=F.col("window_end"))
+
+
+def alert_batches(specs_of: Callable[[DataFrame], DataFrame], measures_of: Callable[[DataFrame], DataFrame],
+                  channels, out_path: str, as_of_fn: Callable[[DataFrame], Column], alert_on_healthy: bool = False):
+    """A ``foreachBatch`` function that evaluates each micro-batch and writes its
+    alert outbox to ``out_path/batch=<id>`` (S10 under streaming). Specs may be
+    derived from the batch itself (e.g. one per closed window). A replayed batch
+    overwrites its own folder."""
+    from vigil.plans.alerts import route_alerts
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        results = evaluate(specs_of(batch), measures_of(batch), as_of=as_of_fn(batch))
+        outbox = route_alerts(results, channels, alert_on_healthy=alert_on_healthy)
+        outbox.write.mode("overwrite").json(f"{out_path.rstrip('/')}/batch={batch_id}")
+    return run
