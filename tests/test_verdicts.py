@@ -178,3 +178,15 @@ def test_every_spec_one_result_even_with_duplicate_measures_absent(spark):
     st = {(r["pipeline"], r["check"]): r["status"] for r in res.collect()}
     assert st == {("a", "c1"): "ok", ("a", "c2"): "critical", ("b", "c1"): "unknown"}
     assert F is not None
+
+
+def test_message_templates(spark):
+    m = measures(spark, [("t1", "lag", 2.0, None, None, None), ("t2", "lag", 100.0, None, None, None)])
+    tmpl = {"message_ok": "Consumer lag {value} is within threshold ({threshold})",
+            "message_fail": "Consumer lag {value} exceeds threshold ({threshold}) on {pipeline}"}
+    specs = specs_frame(spark, [{"pipeline": p, "check": "lag", "op": "le", "threshold": 5, "params": tmpl}
+                                for p in ("t1", "t2", "t3")])
+    r = rows(evaluate(specs, m, as_of=AS_OF), "status", "message")
+    assert r["t1"] == ("ok", "Consumer lag 2 is within threshold (5)")
+    assert r["t2"] == ("critical", "Consumer lag 100 exceeds threshold (5) on t2")
+    assert r["t3"] == ("unknown", "lag: no data")

@@ -198,7 +198,16 @@ def _build_stages(defaults: Mapping[str, float] | None):
               .when(has_path & (state == F.lit("falsy")), _msg(label, " path resolved to falsy value"))
               .otherwise(_msg(label, " ", mvt, " OK")))
     )
-    base_message = F.when(is_numeric, num_msg).when(op.isin(*STATE_OPS), st_msg).otherwise(_msg(label, ": unsupported op ", op))
+    default_message = F.when(is_numeric, num_msg).when(op.isin(*STATE_OPS), st_msg).otherwise(
+        _msg(label, ": unsupported op ", op))
+    # A spec may phrase its own messages (params message_ok / message_fail) with
+    # {pipeline} {label} {value} {threshold} placeholders; unknown results keep the
+    # built-in text, which says why.
+    template = F.when(ok_, _param("message_ok")).when(F.col("_base_status") != F.lit(UNKNOWN), _param("message_fail"))
+    filled = template
+    for token, text in (("{pipeline}", F.col("pipeline")), ("{label}", label), ("{value}", vt), ("{threshold}", tt)):
+        filled = F.replace(filled, F.lit(token), F.coalesce(text, F.lit("null")))
+    base_message = F.coalesce(filled, default_message)
 
     # A run that finished ok but took longer than max_duration_seconds is a warning.
     max_s = F.col("_max_s")
