@@ -21,8 +21,9 @@ OUT = ["pipeline", "check", "status", "value", "threshold", "message"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    from vigil.sources.tables import parquet_table
     use_utc(spark)
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return parquet_table(spark, f"{sf.rstrip('/')}/{name}.parquet")
 
 
 def out(results: DataFrame) -> DataFrame:

@@ -39,7 +39,19 @@ def table_source(spark: SparkSession, name_or_path: str, fmt: str | None = None)
     return spark.read.format(fmt).load(name_or_path)
 
 
+_SCHEMAS: dict = {}
+
+
+def parquet_table(spark: SparkSession, path: str, refresh: bool = False) -> DataFrame:
+    """Parquet files at ``path`` with their schema read once per process (as a
+    catalog would supply it): later reads skip footer inference and only list
+    files. ``refresh=True`` re-reads the schema after it evolved."""
+    if refresh or path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def register_views(spark: SparkSession, base: str, names: Iterable[str]) -> None:
     """Parquet tables under ``base`` as temporary views (for SQL-string checks)."""
     for name in names:
-        spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet").createOrReplaceTempView(name)
+        parquet_table(spark, f"{base.rstrip('/')}/{name}.parquet").createOrReplaceTempView(name)
