@@ -225,3 +225,41 @@ def test_latest_attempt_top_n(spark):
     assert r["app28"][0] == "critical"     # completed, duration 0
     assert r["app27"][0] == "unknown"      # not completed
     assert r["app5"][0] == "unknown"       # not among the newest 20
+
+
+def test_kv_missing_setting_is_unknown_and_name_carried(spark):
+    kv = spark.createDataFrame([("jobs:done", "5"), ("jobs:zero", "0")], "key string, value string")
+    specs = specs_frame(spark, [{"pipeline": "done", "check": "kv_value", "params": {"key": "jobs:done"}},
+                                {"pipeline": "zero", "check": "kv_value", "params": {"key": "jobs:zero"}},
+                                {"pipeline": "no_key", "check": "kv_value"}])
+    res = evaluate(specs, M.kv_value(kv, specs), as_of=AS_OF)
+    r = rows(res, "status", "message")
+    assert r["done"] == ("ok", "kv_value 5 meets threshold 1")
+    assert r["zero"] == ("critical", "kv_value 0 below threshold 1")
+    assert r["no_key"] == ("unknown", "kv_value: no data")
+    assert sorted(x["pipeline"] for x in res.collect()) == ["done", "no_key", "zero"]
+
+
+def test_queue_depth_exact_and_approximate(spark):
+    log = spark.range(0, 3000).select((F.col("id") % 3).cast("string").alias("q"), (F.col("id") % 1000).alias("msg"))
+    exact = {r["pipeline"]: r["value"] for r in M.queue_depth(log, "q", distinct="msg").collect()}
+    approx = {r["pipeline"]: r["value"] for r in M.queue_depth(log, "q", distinct="msg", approx=True).collect()}
+    want = {str(q): float(len({i % 1000 for i in range(3000) if i % 3 == q})) for q in range(3)}
+    assert exact == want
+    assert all(abs(approx[k] - exact[k]) / exact[k] < 0.05 for k in exact)
+
+
+def test_hot_key_holding_a_third_of_rows(spark):
+    """One key with a third of the rows: results equal a per-key reference and the
+    plan aggregates partially before the shuffle."""
+    n = 30000
+    df = spark.range(0, n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 97).cast("string"))).alias("k"),
+        F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("ts"), F.col("id").cast("double").alias("value"),
+        F.col("id").alias("id"))
+    m = M.latest_point(df.repartition(16), "k", "ts", "value", tiebreak="id")
+    got = {r["pipeline"]: r["value"] for r in m.collect()}
+    assert got["hot"] == float(n - 3)   # the largest id divisible by 3
+    assert len(got) == 1 + 97
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan
