@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from suite.common import out, table
 from suite.registry import query
-from suite.sqlkit import ge, int_parse, num, select_out, values
+from suite.sqlkit import ge, int_parse, select_out, values
 from vigil import operators as M
 from vigil.plans.evaluate import evaluate
 from vigil.plans.specs import normalize_specs, specs_frame
@@ -211,7 +211,6 @@ FROM j
 """)
 def m08_kv_value(spark, sf):
     ev = table(spark, sf, "events")
-    k = F.get_json_object("props", "$.k")
     newest = ev.groupBy("user_id").agg(F.max_by(F.struct("event_type", "props"), F.struct("ts", "event_id")).alias("e"))
     kv = newest.select(
         F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"),
@@ -225,7 +224,6 @@ def m08_kv_value(spark, sf):
     extra = specs_frame(spark, [{"pipeline": "user-none", "check": "kv_value", "threshold": 50.0,
                                  "params": {"key": "user:none", "profile": "redis"}}])
     specs = normalize_specs(users).unionByName(extra)
-    _ = k
     return out(evaluate(specs, M.kv_value(kv, specs)))
 
 
@@ -247,4 +245,3 @@ def m20_queue_depth(spark, sf):
     return out(evaluate(specs, M.queue_depth(ev, "event_type")))
 
 
-_ = num

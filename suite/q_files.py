@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from suite.common import ORDERS_AS_OF, ORDERS_AS_OF_SQL, orders_as_of, out, table
 from suite.registry import query
-from suite.sqlkit import ge, num, select_out, values
+from suite.sqlkit import ge, num, select_out
 from vigil import operators as M
 from vigil.plans.evaluate import evaluate
 from vigil.plans.specs import normalize_specs, specs_frame
@@ -119,4 +119,3 @@ def m26_age_hours(spark, sf):
     return out(evaluate(specs, measures, as_of=ORDERS_AS_OF))
 
 
-_ = values

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from suite import q_counts, q_runs, q_series
+from suite import q_counts, q_series
 from suite.common import EVENTS_AS_OF, out, table
 from suite.q_probes import STATIC_SQL, static_results
 from suite.registry import ORACLES, query
@@ -142,7 +142,6 @@ def u01_custom_check(spark, sf):
     return out(evaluate(specs, check_fn(li, "l_returnflag"), as_of=EVENTS_AS_OF))
 
 
-_ = q_runs
 
 
 # ---------------------------------------------------------------- E3 is_healthy

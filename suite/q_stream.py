@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from suite.common import EVENTS_AS_OF, EVENTS_AS_OF_SQL, out, table
-from suite.q_lag import TYPES, offsets_sql
+from suite.q_lag import TYPES
 from suite.q_probes import SERVICES_SQL, service_specs
 from suite.registry import ORACLES, query
 from suite.sqlkit import num
@@ -89,7 +89,6 @@ def r03_stream_freshness(spark, sf):
     return out(spark.read.parquet(path))
 
 
-_ = (offsets_sql, out)
 
 
 # ---------------------------------------------------------------- R1 + S10: closed windows -> verdict -> outbox, per batch
