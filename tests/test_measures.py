@@ -263,3 +263,13 @@ def test_hot_key_holding_a_third_of_rows(spark):
     assert len(got) == 1 + 97
     plan = m._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan
+
+
+def test_many_prefixes_take_the_grouped_plan(spark):
+    objs = spark.createDataFrame([(f"p{i % 100}/file{i}",) for i in range(1000)], "path string")
+    prefixes = {f"n{i}": f"p{i}/" for i in range(150)}
+    got = {r["pipeline"]: r["value"] for r in M.object_count(objs, prefixes).collect()}
+    assert len(got) == 150
+    assert got["n0"] == 10.0 and got["n99"] == 10.0 and got["n120"] == 0.0
+    few = {r["pipeline"]: r["value"] for r in M.object_count(objs, {"a": "p1/", "b": "zz"}).collect()}
+    assert few == {"a": 10.0, "b": 0.0}

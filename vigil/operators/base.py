@@ -31,18 +31,33 @@ def to_measures(df: DataFrame, check: str, pipeline: str | Column = "pipeline",
     )
 
 
+WIDE_LIMIT = 64
+
+
 def count_each(df: DataFrame, predicates: Mapping[str, Column], check: str) -> DataFrame:
-    """One scan, one aggregate: ``count_if(predicate)`` per named pipeline, then one
-    row per pipeline. The number of predicates is the size of a config list, and the
-    aggregate has no grouping key, so every partition pre-aggregates to one row."""
+    """One scan: the number of rows matching each named predicate.
+
+    Up to ``WIDE_LIMIT`` predicates: one global aggregate of ``count_if`` columns
+    (every task pre-aggregates to a single row), then one row per pipeline. Past
+    that, each row emits the names of the predicates it matches and a grouped
+    count follows, so thousands of configured patterns do not become thousands of
+    aggregate buffers in one generated method. Pipelines matching no row read 0
+    in both plans."""
     names = list(predicates)
     if not names:
         raise ValueError("no predicates given")
-    aggs = [F.count_if(F.coalesce(predicates[n], F.lit(False))).alias(f"c{i}") for i, n in enumerate(names)]
-    wide = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(n).alias("pipeline"), F.col(f"c{i}").alias("n")) for i, n in enumerate(names)])
-    long = wide.select(F.inline(rows))
-    return to_measures(long, check, value=F.col("n"))
+    if len(names) <= WIDE_LIMIT:
+        aggs = [F.count_if(F.coalesce(predicates[n], F.lit(False))).alias(f"c{i}") for i, n in enumerate(names)]
+        wide = df.agg(*aggs)
+        rows = F.array(*[F.struct(F.lit(n).alias("pipeline"), F.col(f"c{i}").alias("n")) for i, n in enumerate(names)])
+        long = wide.select(F.inline(rows))
+        return to_measures(long, check, value=F.col("n"))
+    hits = F.array(*[F.when(F.coalesce(predicates[n], F.lit(False)), F.lit(n)) for n in names])
+    matched = df.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("pipeline"))
+    counts = matched.groupBy("pipeline").agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.createDataFrame([(n,) for n in names], "pipeline string")
+    full = every.join(counts, "pipeline", "left").select("pipeline", F.coalesce("n", F.lit(0)).alias("n"))
+    return to_measures(full, check, value=F.col("n"))
 
 
 def latest(order: list[Column], *values: Column) -> Column:
