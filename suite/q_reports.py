@@ -34,7 +34,7 @@ def e01_specs_from_json(spark, sf):
         F.col("c_nationkey").alias("region"), F.col("c_mktsegment").alias("segment")))
     specs = specs_from_json(cust.select(config.alias("config")), "config")
     return specs.select("pipeline", "check", "op", "threshold", "alert_on_failure", "schedule",
-                        F.element_at("tags", 1).alias("first_tag"),
+                        F.try_element_at("tags", F.lit(1)).alias("first_tag"),
                         F.element_at("params", F.lit("region")).alias("region"),
                         F.element_at("params", F.lit("segment")).alias("segment"),
                         F.size("params").alias("n_params"))

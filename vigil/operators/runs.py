@@ -34,6 +34,6 @@ def latest_attempt(apps: DataFrame, name: str | Column, started: str | Column, a
         .orderBy(F.col("started").desc(), F.col("app_id").desc()).limit(top_n)
     agg = newest.groupBy("pipeline").agg(
         earliest([-epoch_micros(F.col("started")), -F.col("app_id")],
-                 F.element_at("attempts", 1).alias("a"), F.col("started").alias("started")).alias("x"))
+                 F.try_element_at("attempts", F.lit(1)).alias("a"), F.col("started").alias("started")).alias("x"))
     return to_measures(agg, check, state=F.lower(F.col("x.a.completed").cast("string")),
                        value=F.col("x.a.duration"), observed_at=F.col("x.started"))
