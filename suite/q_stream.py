@@ -14,10 +14,11 @@ from suite.sqlkit import num
 from vigil import operators as M
 from vigil.functions.verdicts import verdict_gt
 from vigil.plans.evaluate import as_of_lit
-from vigil.plans.specs import specs_frame
+from vigil.operators.base import to_measures
+from vigil.plans.specs import normalize_specs, specs_frame
 from vigil.session import scratch_path, use_utc
-from vigil.streaming import (evaluate_batches, file_stream, newest_per_key, partition_progress, run_available,
-                             window_counts)
+from vigil.streaming import (alert_batches, evaluate_batches, file_stream, newest_per_key, partition_progress,
+                             run_available, window_counts)
 
 
 def events_stream(spark, sf):
@@ -89,8 +90,6 @@ def r03_stream_freshness(spark, sf):
     return out(spark.read.parquet(path))
 
 
-
-
 # ---------------------------------------------------------------- R1 + S10: closed windows -> verdict -> outbox, per batch
 @query("r01_stream_window_alerts", sql="""
 WITH w AS (SELECT event_type AS t, date_trunc('day', ts) AS ws, count(*) AS n FROM events GROUP BY 1, 2)
@@ -99,17 +98,15 @@ SELECT 'log' AS channel, t || '@' || strftime(ws, '%Y-%m-%d') AS pipeline, 'crit
 FROM w WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE AND n <= 65
 """)
 def r01_stream_window_alerts(spark, sf):
-    from vigil.streaming import alert_batches
     path = scratch_path(spark, "r01-alerts")
     counts = window_counts(events_stream(spark, sf), "event_type", "ts", window="1 day", watermark="10 minutes")
     key = F.concat("pipeline", F.lit("@"), F.date_format("window_start", "yyyy-MM-dd"))
 
     def specs_of(batch):
         return batch.select(key.alias("pipeline"), F.lit("messages_in_window").alias("check"),
-                            F.lit("gt").alias("op"), F.lit(65.0).alias("threshold")).transform(_normalize)
+                            F.lit("gt").alias("op"), F.lit(65.0).alias("threshold")).transform(normalize_specs)
 
     def measures_of(batch):
-        from vigil.operators.base import to_measures
         return to_measures(batch, "messages_in_window", pipeline=key, value=F.col("n"), observed_at=F.col("window_end"))
 
     sink = alert_batches(specs_of, measures_of, [{"type": "log"}], path, lambda b: as_of_lit(EVENTS_AS_OF))
@@ -117,8 +114,3 @@ def r01_stream_window_alerts(spark, sf):
     ob = spark.read.schema("channel string, pipeline string, status string, payload string").json(path)
     return ob.select("channel", "pipeline", "status",
                      F.regexp_extract(F.get_json_object("payload", "$.line"), "Details: (.*)$", 1).alias("message"))
-
-
-def _normalize(df):
-    from vigil.plans.specs import normalize_specs
-    return normalize_specs(df)
