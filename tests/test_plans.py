@@ -91,3 +91,17 @@ def test_registries(spark):
     assert get_renderer("custom_x") is second and first is not second
     with pytest.raises(KeyError, match="Available channels"):
         get_renderer("pigeon")
+
+
+def test_run_checks_rerun_is_idempotent(spark):
+    from vigil.plans.runner import run_checks
+    from vigil.session import scratch_path
+    m = spark.createDataFrame([("etl_daily", "c", 5.0, None, None, None, None, True),
+                               ("etl_hourly", "c", 0.0, None, None, None, None, True)], MEASURES)
+    specs = specs_frame(spark, [{"pipeline": "etl_daily", "check": "c"}, {"pipeline": "etl_hourly", "check": "c"}])
+    path = scratch_path(spark, "run-outbox")
+    for _ in range(2):
+        run = run_checks(specs, m, [{"type": "log"}, {"type": "slack"}], as_of=AS_OF, outbox_path=path)
+    rep = run.report.collect()[0]
+    assert (rep["total"], rep["unhealthy"], rep["alerts_sent"]) == (2, 1, 2)
+    assert spark.read.json(path).count() == 2

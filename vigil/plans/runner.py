@@ -29,12 +29,15 @@ class Run:
 
 def run_checks(specs: DataFrame, measures, channels, as_of=None, defaults=None, alert_on_healthy: bool = False,
                outbox_path: str | None = None) -> Run:
-    """E2 + A1-A17 + E4: evaluate every spec once, route alerts, summarise."""
+    """E2 + A1-A17 + E4: evaluate every spec once, route alerts, summarise.
+    ``outbox_path`` names the folder of this run's outbox (one folder per run)."""
     results = check_all(specs, measures, as_of=as_of, defaults=defaults)
     ensure_checkpoint_dir(results.sparkSession)
     results = results.checkpoint(eager=True)
     outbox = route_alerts(results, channels, alert_on_healthy=alert_on_healthy)
     if outbox_path is not None:
-        write_outbox(outbox, outbox_path)
+        # The folder holds this run's outbox: overwriting makes a re-run (after a
+        # failure) rewrite the same sends instead of adding duplicates.
+        write_outbox(outbox, outbox_path, mode="overwrite")
         outbox = results.sparkSession.read.schema(outbox.schema).json(outbox_path)
     return Run(results=results, outbox=outbox, report=run_report(results, outbox))
