@@ -84,8 +84,10 @@ def test_opsgenie_and_slack_payloads(spark):
 def test_registries(spark):
     register_check("My_Check", lambda df, key: df)
     assert get_check("my_check") is get_check("MY_CHECK")
-    with pytest.raises(KeyError, match="Known checks"):
+    with pytest.raises(KeyError, match="Known checks: .*row_count"):
         get_check("nope")
+    from vigil import operators as M
+    assert get_check("Row_Count") is M.row_count
     first = register_renderer("custom_x", lambda ctx: F.lit("a"))
     second = register_renderer("custom_x", lambda ctx: F.lit("b"))
     assert get_renderer("custom_x") is second and first is not second
