@@ -107,3 +107,13 @@ def test_run_checks_rerun_is_idempotent(spark):
     rep = run.report.collect()[0]
     assert (rep["total"], rep["unhealthy"], rep["alerts_sent"]) == (2, 1, 2)
     assert spark.read.json(path).count() == 2
+
+
+def test_jdbc_source_argument_checks(spark):
+    from vigil.sources import jdbc_source
+    with pytest.raises(ValueError, match="exactly one"):
+        jdbc_source(spark, "jdbc:postgresql://db/x")
+    with pytest.raises(ValueError, match="exactly one"):
+        jdbc_source(spark, "jdbc:postgresql://db/x", query="select 1", table="t")
+    with pytest.raises(ValueError, match="partitioned reads"):
+        jdbc_source(spark, "jdbc:postgresql://db/x", table="t", partition_column="id")
