@@ -117,3 +117,23 @@ def test_jdbc_source_argument_checks(spark):
         jdbc_source(spark, "jdbc:postgresql://db/x", query="select 1", table="t")
     with pytest.raises(ValueError, match="partitioned reads"):
         jdbc_source(spark, "jdbc:postgresql://db/x", table="t", partition_column="id")
+
+
+def test_config_frames(spark):
+    from vigil.plans.specs import config_frames
+    cfg = config_frames(spark, {
+        "backend": "row_count", "backend_options": {"db_path": "/tmp/x.db", "threshold": 5},
+        "alert_channels": ["slack", {"type": "sms", "recipients": ["+1"]}],
+        "pipelines": [{"name": "daily_sales", "schedule": "0 6 * * *", "max_duration_seconds": 3600,
+                       "alert_on_failure": True, "tags": ["finance", "daily"], "table": "sales"},
+                      {"name": "user_sync", "alert_on_failure": False}]})
+    s = {r["pipeline"]: r for r in cfg.specs.collect()}
+    assert s["daily_sales"]["check"] == "row_count" and s["daily_sales"]["op"] == "ge"
+    assert s["daily_sales"]["schedule"] == "0 6 * * *" and s["daily_sales"]["max_duration_seconds"] == 3600
+    assert s["daily_sales"]["tags"] == ["finance", "daily"] and s["daily_sales"]["params"] == {"table": "sales"}
+    assert s["user_sync"]["alert_on_failure"] is False and s["user_sync"]["tags"] == []
+    assert cfg.channels == [{"type": "slack"}, {"type": "sms", "recipients": ["+1"]}]
+    assert cfg.defaults == {"row_count": 5.0}
+    empty = config_frames(spark, {})
+    assert empty.specs.count() == 0 and empty.channels == []
+    assert route_alerts(results(spark), empty.channels).count() == 0

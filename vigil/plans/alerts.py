@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.status import CRITICAL, OK, UNKNOWN, is_healthy
 from vigil.plans.registry import get_renderer, register_renderer, renderers
+from vigil.schema import OUTBOX
 
 APP = "vigil"
 
@@ -223,6 +224,8 @@ def channels_literal(channels: Iterable[Mapping]) -> Column:
 def route_alerts(results: DataFrame, channels: Iterable[Mapping], alert_on_healthy: bool = False) -> DataFrame:
     """A1-A4, A6 and the payloads A7-A17: one outbox row per send."""
     channels = list(channels)
+    if not channels:
+        return results.sparkSession.createDataFrame([], OUTBOX)
     healthy = is_healthy(F.col("status"))
     r = results.withColumn("_healthy", healthy)
     r = r.where(F.coalesce(F.col("alert_on_failure"), F.lit(True)))                    # A2

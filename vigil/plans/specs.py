@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,3 +147,45 @@ def specs_from_json(df: DataFrame, text: str | Column = "config") -> DataFrame:
         known["alert_on_failure"].alias("alert_on_failure"), known["tags"].alias("tags"),
         params.alias("params"),
     ))
+
+
+@dataclass
+class Config:
+    """A parsed config mapping as Spark inputs: the specs, the alert channels
+    (a short list of dicts for ``route_alerts``) and per-check default
+    thresholds (the source-level step of the threshold chain, V15)."""
+    specs: DataFrame
+    channels: list
+    defaults: dict
+
+
+PIPELINE_KEYS = ("name", "schedule", "max_duration_seconds", "alert_on_failure", "tags")
+
+
+def config_frames(spark: SparkSession, config: Mapping) -> Config:
+    """E1 from an already-parsed config mapping (``backend``, ``backend_options``,
+    ``alert_channels``, ``pipelines``). Each pipeline becomes one spec whose check
+    is its own ``check`` key or else the backend name; every other key lands in
+    ``params``. A numeric ``threshold`` in ``backend_options`` becomes the default
+    threshold of that check; channels may be given as type names or dicts."""
+    backend = config.get("backend")
+    options = dict(config.get("backend_options") or {})
+    rows = []
+    for p in config.get("pipelines") or []:
+        p = dict(p)
+        row = {k: p.pop(k) for k in PIPELINE_KEYS if k in p}
+        row["check"] = p.pop("check", None) or backend
+        for k in ("op", "threshold", "max_threshold", "max_age_hours", "expected"):
+            if k in p:
+                row[k] = p.pop(k)
+        row["params"] = {k: v for k, v in p.items()}
+        rows.append(row)
+    if rows:
+        specs = specs_frame(spark, rows)
+    else:
+        specs = normalize_specs(spark.createDataFrame([], SPECS))
+    channels = [{"type": c} if isinstance(c, str) else dict(c) for c in config.get("alert_channels") or []]
+    defaults = {}
+    if backend and isinstance(options.get("threshold"), (int, float)):
+        defaults[backend] = float(options["threshold"])
+    return Config(specs=specs, channels=channels, defaults=defaults)
