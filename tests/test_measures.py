@@ -273,3 +273,13 @@ def test_many_prefixes_take_the_grouped_plan(spark):
     assert got["n0"] == 10.0 and got["n99"] == 10.0 and got["n120"] == 0.0
     few = {r["pipeline"]: r["value"] for r in M.object_count(objs, {"a": "p1/", "b": "zz"}).collect()}
     assert few == {"a": 10.0, "b": 0.0}
+
+
+def test_backlog_until_salted_equals_plain(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(1)).otherwise(F.col("user_id")))
+    acks = hot.where(F.col("event_type") == "purchase")
+    plain = {r["pipeline"]: r["value"] for r in M.backlog_until(hot, acks, "user_id", "ts", "event_type").collect()}
+    salted = {r["pipeline"]: r["value"] for r in
+              M.backlog_until(hot, acks, "user_id", "ts", "event_type", salt=8).collect()}
+    assert plain == salted and len(plain) == 5

@@ -57,15 +57,25 @@ def backlog(produced: DataFrame, acked: DataFrame, on: str | list[str], key: str
 
 
 def backlog_until(produced: DataFrame, acks: DataFrame, match: str, ts: str, key: str | Column,
-                  check: str = "backlog") -> DataFrame:
+                  check: str = "backlog", salt: int = 1) -> DataFrame:
     """M19 where an acknowledgement is any later ack event of the same ``match``
     key (e.g. a user's purchase after a signup). Acks are first reduced to their
     newest time per match key, so the join meets one ack row per key instead of
     pairing every message with every ack; a message is pending when no ack exists
-    at or after it. A hot match key on the message side is split by AQE's skew
-    join (the other side has a single row per key)."""
+    at or after it.
+
+    A hot match key on the message side is split by AQE's skew join. ``salt > 1``
+    splits it explicitly as well: each message gets a deterministic bucket in
+    [0, salt) from a hash of its row (so a retried task rebuilds the same
+    buckets), and the one-row-per-key ack side is copied once per bucket, so a
+    key holding a third of the messages is spread over ``salt`` tasks."""
     newest_ack = acks.groupBy(match).agg(F.max(ts).alias("_acked_until"))
-    joined = produced.join(newest_ack, on=match, how="left")
+    on = [match]
+    if salt > 1:
+        produced = produced.withColumn("_salt", F.pmod(F.xxhash64(*produced.columns), F.lit(salt)).cast("int"))
+        newest_ack = newest_ack.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        on = [match, "_salt"]
+    joined = produced.join(newest_ack, on=on, how="left")
     pending = F.col("_acked_until").isNull() | (F.col(ts) > F.col("_acked_until"))
     agg = joined.groupBy(as_col(key).alias("pipeline")).agg(F.count_if(pending).alias("n"))
     return to_measures(agg, check, value=F.col("n"))
