@@ -187,3 +187,14 @@ def test_message_templates(spark):
     assert r["t1"] == ("ok", "Consumer lag 2 is within threshold (5)")
     assert r["t2"] == ("critical", "Consumer lag 100 exceeds threshold (5) on t2")
     assert r["t3"] == ("unknown", "lag: no data")
+
+
+def test_eq_without_expected_is_unknown(spark):
+    m = measures(spark, [("svc", "code", 1.0, None, None, None), ("svc2", "code", 2.0, None, None, None)])
+    specs = specs_frame(spark, [{"pipeline": "svc", "check": "code", "op": "eq"},
+                                {"pipeline": "svc2", "check": "code", "op": "eq", "expected": "1"}])
+    r = rows(evaluate(specs, m, as_of=AS_OF), "status", "message")
+    assert r["svc"] == ("unknown", "code: missing setting 'expected'")
+    assert r["svc2"] == ("critical", "code 2, expected 1")
+    with_default = rows(evaluate(specs, m, as_of=AS_OF, defaults={"code": 1}), "status")
+    assert with_default["svc"] == ("ok",)

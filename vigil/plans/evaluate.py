@@ -134,7 +134,7 @@ def _build_stages(defaults: Mapping[str, float] | None):
         .when(op == "between", V.verdict_between(v, t, hi))
         .when(op == "max_age", V.verdict_max_age(v, hours))
         .when(op == "count_recent", V.verdict_count_recent(v, t, F.col("_aux"), F.col("_max_age")))
-        .when(op == "eq", V.verdict_eq(v, expected))
+        .when(op == "eq", F.when(expected.isNull(), F.lit(UNKNOWN)).otherwise(V.verdict_eq(v, expected)))
     )
     completed = F.lower(state) == F.lit("true")
     st_status = (
@@ -167,7 +167,8 @@ def _build_stages(defaults: Mapping[str, float] | None):
         .otherwise(_msg(label, ": ", reason))
     )
     num_msg = (
-        F.when(v.isNull(), unknown_msg)
+        F.when((op == "eq") & expected.isNull(), _msg(label, ": missing setting 'expected'"))
+        .when(v.isNull(), unknown_msg)
         .when(op == "ge", F.when(ok_, _msg(label, " ", vt, " meets threshold ", tt)).otherwise(_msg(label, " ", vt, " below threshold ", tt)))
         .when(op == "gt", F.when(ok_, _msg(label, " ", vt, " above threshold ", tt)).otherwise(_msg(label, " ", vt, " not above threshold ", tt)))
         .when(op == "le", F.when(ok_, _msg(label, " ", vt, " within threshold ", tt)).otherwise(_msg(label, " ", vt, " exceeds threshold ", tt)))
