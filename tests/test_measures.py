@@ -283,3 +283,14 @@ def test_backlog_until_salted_equals_plain(spark):
     salted = {r["pipeline"]: r["value"] for r in
               M.backlog_until(hot, acks, "user_id", "ts", "event_type", salt=8).collect()}
     assert plain == salted and len(plain) == 5
+
+
+def test_source_error_is_unknown_for_that_check_only(spark):
+    from vigil.plans.evaluate import check_all
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    ok = M.guarded(spark, lambda: M.row_count(orders, "o_orderpriority"), "row_count")
+    broken = M.guarded(spark, lambda: M.row_count(spark.read.parquet("/nonexistent/table"), "x", check="lost"), "lost")
+    specs = specs_frame(spark, [{"pipeline": "1-URGENT", "check": "row_count"}, {"pipeline": "a", "check": "lost"}])
+    r = rows(check_all(specs, [ok, broken], as_of=AS_OF), "status", "message")
+    assert r["1-URGENT"][0] == "ok"
+    assert r["a"] == ("unknown", "lost: no data")

@@ -86,3 +86,16 @@ def epoch_micros(ts: Column) -> Column:
 
 def hours_between(start: Column, end: Column) -> Column:
     return micros_between(start, end).cast("double") / F.lit(3.6e9)
+
+
+def guarded(spark, build, check: str) -> DataFrame:
+    """V14 "source error => unknown" for one check: ``build()`` constructs the
+    check's measures; if that fails while planning (missing table, path or
+    column), the error is logged and an empty measure frame is returned, so the
+    check's specs read ``unknown`` (no data) while every other check still runs."""
+    import logging
+    try:
+        return build()
+    except Exception as exc:  # noqa: BLE001 - any planning error of this source
+        logging.getLogger("vigil").warning("check %s: source unavailable: %s", check, str(exc).splitlines()[0])
+        return spark.createDataFrame([], MEASURES)
