@@ -55,7 +55,7 @@ def count_each(df: DataFrame, predicates: Mapping[str, Column], check: str) -> D
     hits = F.array(*[F.when(F.coalesce(predicates[n], F.lit(False)), F.lit(n)) for n in names])
     matched = df.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("pipeline"))
     counts = matched.groupBy("pipeline").agg(F.count(F.lit(1)).alias("n"))
-    every = df.sparkSession.createDataFrame([(n,) for n in names], "pipeline string")
+    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("pipeline"))
     full = every.join(counts, "pipeline", "left").select("pipeline", F.coalesce("n", F.lit(0)).alias("n"))
     return to_measures(full, check, value=F.col("n"))
 
