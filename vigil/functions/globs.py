@@ -8,6 +8,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _class_char(c: str) -> str:
+    return c if c.isalnum() else "\\" + c
+
+
+def _class(body: str) -> str:
+    """A bracket class body (between ``[`` and ``]``) as a regex fragment.
+    ``!`` first negates; ``x-y`` is a range and a reversed range matches
+    nothing (it is dropped); every other character is literal. A class left
+    empty never matches; a negated empty class matches any one character."""
+    negate = body.startswith("!")
+    if negate:
+        body = body[1:]
+    items = []
+    p = 0
+    while p < len(body):
+        c = body[p]
+        if p + 2 < len(body) and body[p + 1] == "-":
+            hi = body[p + 2]
+            if c <= hi:
+                items.append(_class_char(c) + "-" + _class_char(hi))
+            p += 3
+        else:
+            items.append(_class_char(c))
+            p += 1
+    if not items:
+        return "." if negate else "(?!)"
+    return "[" + ("^" if negate else "") + "".join(items) + "]"
+
+
 def glob_regex(pattern: str) -> str:
     """fnmatch semantics, case-sensitive: ``*`` any run (``/`` included), ``?`` one
     character, ``[...]`` a class with ``[!...]`` negated; anchored at both ends."""
@@ -31,13 +60,8 @@ def glob_regex(pattern: str) -> str:
             if j >= n:
                 out.append(r"\[")
             else:
-                body = pattern[i:j].replace("\\", r"\\")
+                out.append(_class(pattern[i:j]))
                 i = j + 1
-                if body.startswith("!"):
-                    body = "^" + body[1:]
-                elif body.startswith("^"):
-                    body = "\\" + body
-                out.append("[" + body + "]")
         else:
             out.append(re.escape(c))
     return "(?s)^" + "".join(out) + "$"
