@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +30,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def fold_of(column: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
+
+
+def worker_object(key: tuple, make: Callable):
+    """An object a Python worker makes once and keeps for its later tasks (a loaded
+    tokenizer, a cache); tasks get their functions by value, so module globals would not last."""
+    store = sys.modules.setdefault("_vigil_worker_objects", types.ModuleType("_vigil_worker_objects")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import langid, simhash, topk
+from vigil.llm import langid, repair, simhash, topk, urlfilter, warc
 from vigil.llm.common import fold_of, read_table
 
 
@@ -27,6 +27,12 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def op2_token_files(spark, sf):
+    import public_tokenizers
+    docs = read_table(spark, sf, "documents", "doc_id", "text")
+    return repair.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op3_language_id(spark, sf):
     docs = read_table(spark, sf, "documents", "doc_id", "text", "lang")
     prototypes = langid.train(docs.where(fold_of(F.col("doc_id"), 3) != 1))
@@ -34,10 +40,34 @@ def op3_language_id(spark, sf):
     return found.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op4_warc_index(spark, sf):
+    return warc.archived_pages(read_table(spark, sf, "pages", "page_id", "url", "html"), least=1000)
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+sized AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+grouped AS (
+  SELECT *, count(*) OVER (PARTITION BY payload_digest) AS n, max(page_id) OVER (PARTITION BY payload_digest) AS keep FROM sized)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND n > 1 AND page_id IS DISTINCT FROM keep AND keep IS NOT NULL
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND n > 1 AND page_id IS DISTINCT FROM keep THEN keep END AS refers_to
+FROM grouped
+"""
+
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op6_url_filter(spark, sf):
+    return urlfilter.judge(read_table(spark, sf, "pages", "page_id", "url"), URL_RULES)
+
+
 def op7_simhash_dedup(spark, sf):
     docs = read_table(spark, sf, "documents", "doc_id", "text")
     return simhash.near_duplicates(docs, shingle=3, radius=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op3_language_id, op7_simhash_dedup)}
-ORACLES = {"op1_exact_topk": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_token_files, op3_language_id, op4_warc_index, op6_url_filter, op7_simhash_dedup)}
+ORACLES = {"op1_exact_topk": OP1_SQL, "op4_warc_index": OP4_SQL}
