@@ -24,6 +24,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -41,36 +42,58 @@ class WordEncoder:
     """Whole-text ids as little-endian uint32 bytes, words encoded once while cached.
 
     The byte-level pre-tokenizer always starts a word at a space that a non-space
-    follows, so a text's ids are those of its parts cut there, one after the other."""
+    follows, and at a punctuation mark behind a letter or digit; so a text's ids are those
+    of its parts cut there, one after the other. The cache has two generations of
+    ``entries`` words: when the newer is full it becomes the older, whose words move back
+    when they are met again."""
 
-    CUT, UNCUT = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
+    CUT, UNCUT, MARKS = re.compile(r" (?=\S)"), re.compile(r" (?!\S)"), ".,;:!?"
 
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str, entries: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.entries = Tokenizer.from_file(path), entries
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
     def _learn(self, words: set[str]) -> None:
-        missing = []
+        """Puts the ids of " word" into the cache for every word."""
+        new, old, stems, marked = self.new, self.old, set(), []
         for w in words:
-            if (known := self.old.get(w)) is not None:
-                self.new[w] = known
+            if (known := old.get(w)) is not None:
+                new[w] = known
+            elif w and w[-1] in self.MARKS and (stem := w.rstrip(self.MARKS)) and stem[-1].isalnum():
+                marked.append((w, stem))
+                stems.add(stem)
+            else:
+                stems.add(w)
+        unknown = []
+        for w in stems - new.keys():
+            if (known := old.get(w)) is not None:
+                new[w] = known
             else:
-                missing.append(w)
-        if missing:
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                self.new[w] = np.array(e.ids, dtype="<u4").tobytes()
+                unknown.append(w)
+        new.update(zip(unknown, self._ids([" " + w for w in unknown])))
+        endings = list({w[len(stem):] for w, stem in marked})
+        tail = dict(zip(endings, self._ids(endings)))
+        for w, stem in marked:
+            new[w] = new[stem] + tail[w[len(stem):]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.new) > self.entries:
             self.old, self.new = self.new, {}
         parts = [(self.CUT.split(t) if self.UNCUT.search(t) else t.split(" ")) for t in texts]
-        parts = [[p[0], *[" " + w for w in p[1:]]] for p in parts]
+        heads = self._ids([p[0] for p in parts])  # no space before the first part
+        for p in parts:
+            del p[0]
         if wanted := set().union(*parts).difference(self.new):
             self._learn(wanted)
-        return [b"".join(map(self.new.__getitem__, p)) for p in parts]
+        get = self.new.__getitem__
+        return [b"".join([h, *map(get, p)]) for h, p in zip(heads, parts)]
 
 
 def compress(ids: np.ndarray, least: int = 4, rounds: int = 8, gain: float = 0.03):
@@ -82,16 +105,19 @@ def compress(ids: np.ndarray, least: int = 4, rounds: int = 8, gain: float = 0.0
         mixed = (seq + np.uint64(r + 1)) * np.uint64(0x9E3779B97F4A7C15)
         side = (mixed >> np.uint64(40)) & np.uint64(1)
         at = np.flatnonzero(side[:-1] < side[1:])
-        pairs, inverse, counts = np.unique((seq[at] << np.uint64(32)) | seq[at + 1], return_inverse=True, return_counts=True)
+        met = (seq[at] << np.uint64(32)) | seq[at + 1]
+        slot = ((met * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        likely = np.bincount(slot, minlength=1 << 20)[slot] >= least  # what falls out is rarer than ``least``
+        at, met = at[likely], met[likely]
+        pairs, number, counts = np.unique(met, return_inverse=True, return_counts=True)
         frequent = counts >= least
-        chosen = frequent[inverse]
-        at = at[chosen]
-        if len(at) < gain * len(seq):
+        chosen = frequent[number]
+        at, number, pairs = at[chosen], (np.cumsum(frequent) - 1)[number[chosen]], pairs[frequent]
+        if not len(at) or len(at) < gain * len(seq):
             break
-        pairs = pairs[frequent]
         left, right = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
         starts.append(len(lengths))
-        seq[at] = (np.cumsum(frequent) - 1 + len(lengths))[inverse[chosen]].astype(np.uint64)
+        seq[at] = (number + len(lengths)).astype(np.uint64)
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
         seq = seq[keep]
