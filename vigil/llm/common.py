@@ -39,3 +39,9 @@ def worker_object(key: tuple, make: Callable):
     if key not in store:
         store[key] = make()
     return store[key]
+
+
+def normal_words(text: Column) -> Column:
+    """Lower-cased runs of letters and digits, in order; an empty array for null or no run."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    return F.filter(F.split(plain, " "), lambda w: w != "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import langid, repair, simhash, topk, urlfilter, warc
+from vigil.llm import decontaminate, langid, licenses, repair, simhash, topk, urlfilter, warc
 from vigil.llm.common import fold_of, read_table
 
 
@@ -15,11 +15,11 @@ def op1_exact_topk(spark, sf):
 
 OP1_SQL = """
 WITH usable AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
-         CAST(list_sum(list_transform(range(1, len(a.q) + 1), i -> a.q[i] * b.q[i])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
   FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
@@ -56,6 +56,31 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM grouped
 """
 
+def op5_license_scan(spark, sf):
+    return licenses.scan(read_table(spark, sf, "documents", "doc_id", "text"), least=0.8)
+
+
+def _words_sql(text):
+    return f"list_filter(string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda v: v <> '')"
+
+
+def _license_sql():
+    values = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in licenses.TEMPLATES)
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+WITH t0(license, passage) AS (VALUES {values}),
+t AS (SELECT license, {grams} AS g FROM (SELECT license, {_words_sql('passage')} AS w FROM t0)),
+d AS (SELECT doc_id, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS l, coalesce(text, '') AS body FROM documents),
+p AS (SELECT doc_id, row, unnest(CASE WHEN len(l) > 1 THEN list_append(l, body) ELSE l END) AS part,
+             unnest(range(len(l) + 1)) AS place_no FROM d),
+g AS (SELECT doc_id, row, place_no, {grams} AS g FROM (SELECT *, {_words_sql('part')} AS w FROM p WHERE part IS NOT NULL)),
+m AS (SELECT doc_id, row, place_no, license, 2 * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) AS dice
+      FROM g, t WHERE len(g.g) > 0 AND len(g.g) <= 2 * len(t.g) AND len(t.g) <= 2 * len(g.g)),
+r AS (SELECT *, row_number() OVER (PARTITION BY row, place_no ORDER BY dice DESC, license) AS place FROM m WHERE dice >= 0.8)
+SELECT doc_id, license, count(*) AS passages, max(dice) AS dice FROM r WHERE place = 1 GROUP BY doc_id, license
+"""
+
+
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -69,5 +94,24 @@ def op7_simhash_dedup(spark, sf):
     return simhash.near_duplicates(docs, shingle=3, radius=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_token_files, op3_language_id, op4_warc_index, op6_url_filter, op7_simhash_dedup)}
-ORACLES = {"op1_exact_topk": OP1_SQL, "op4_warc_index": OP4_SQL}
+def op8_decontamination(spark, sf):
+    docs = read_table(spark, sf, "documents", "doc_id", "text")
+    return decontaminate.contaminated(docs, read_table(spark, sf, "benchmark", "item_id", "text"), width=5, least=0.8)
+
+
+def _decontamination_sql():
+    grams = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"
+    return f"""
+WITH b AS (SELECT DISTINCT item_id, {grams} AS g FROM (SELECT item_id, {_words_sql('text')} AS w FROM benchmark WHERE text IS NOT NULL)),
+bg AS (SELECT item_id, g, unnest(g) AS s FROM b),
+dg AS (SELECT doc_id, row, unnest({grams}) AS s
+       FROM (SELECT doc_id, row_number() OVER () AS row, {_words_sql('text')} AS w FROM documents WHERE text IS NOT NULL)),
+m AS (SELECT doc_id, row, item_id, g, count(*) / max(len(g)) AS containment FROM dg JOIN bg USING (s) GROUP BY doc_id, row, item_id, g)
+SELECT doc_id, item_id, max(containment) AS containment FROM m WHERE containment >= 0.8 GROUP BY doc_id, item_id
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_token_files, op3_language_id, op4_warc_index, op5_license_scan,
+                                     op6_url_filter, op7_simhash_dedup, op8_decontamination)}
+ORACLES = {"op1_exact_topk": OP1_SQL, "op4_warc_index": OP4_SQL, "op5_license_scan": _license_sql(),
+           "op8_decontamination": _decontamination_sql()}
