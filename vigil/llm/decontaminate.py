@@ -32,7 +32,8 @@ def _shingles(words: Column, width: int, make) -> Column:
 
 
 # Words and their hashes are columns of their own: inside a lambda they would be made anew
-# for every shingle.
+# for every shingle. For the same reason no filter may be pushed below them: shingles are
+# exploded with explode_outer (which infers none), sizes are filtered behind a written table.
 def with_hashes(df: DataFrame, text: str, width: int, out: str) -> DataFrame:
     """``df`` with the text replaced by the hashes of its word shingles."""
     df = df.withColumn("_words", F.transform(normal_words(F.col(text)), lambda w: F.xxhash64(w)))
@@ -57,10 +58,10 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, width: int = 5, least:
     """``(text_key, item, containment)``: which distinct texts hold which items."""
     known = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("a"), F.col(item_text).alias("b"))
     known = with_hashes(with_shingles(known, "a", width, "grams"), "b", width, "hashes")
-    known = materialize(known.withColumn("n", F.size("grams")).where("n > 0").distinct(), "items")
+    known = materialize(known.withColumn("n", F.size("grams")), "items").where("n > 0").distinct()
     sketch = materialize(sketches(known, least).distinct(), "sketches")
     texts = docs.where(F.col(text).isNotNull()).select(F.md5(text).alias("text_key"), F.col(text).alias("body"))
-    found = (with_hashes(texts, "body", width, "hs").select("text_key", F.explode("hs").alias("h"))
+    found = (with_hashes(texts, "body", width, "hs").select("text_key", F.explode_outer("hs").alias("h"))
              .join(sketch, "h").select("text_key", "item").distinct())
     found = materialize(found, "candidates")
     wanted = texts.join(found.select("text_key").distinct(), "text_key", "left_semi")

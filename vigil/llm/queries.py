@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import decontaminate, langid, licenses, repair, simhash, topk, urlfilter, warc
-from vigil.llm.common import fold_of, read_table
+from vigil.llm import decontaminate, langid, licenses, repair, simhash, suffix_tree, topk, urlfilter, warc
+from vigil.llm.common import fold_of, materialize, read_table
 
 
 def op1_exact_topk(spark, sf):
@@ -111,7 +111,14 @@ SELECT doc_id, item_id, max(containment) AS containment FROM m WHERE containment
 """
 
 
+def op9_suffix_tree_scores(spark, sf):
+    docs = read_table(spark, sf, "documents", "doc_id", "text").withColumn("held_out", fold_of(F.col("doc_id"), 5) == 1)
+    texts = docs.where(~F.col("held_out")).select(F.col("text").alias("body"))
+    vocabulary = materialize(suffix_tree.word_counts(texts), "word-counts")
+    return suffix_tree.score(docs, vocabulary, suffix_tree.train(texts, vocabulary))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_token_files, op3_language_id, op4_warc_index, op5_license_scan,
-                                     op6_url_filter, op7_simhash_dedup, op8_decontamination)}
+                                     op6_url_filter, op7_simhash_dedup, op8_decontamination, op9_suffix_tree_scores)}
 ORACLES = {"op1_exact_topk": OP1_SQL, "op4_warc_index": OP4_SQL, "op5_license_scan": _license_sql(),
            "op8_decontamination": _decontamination_sql()}
