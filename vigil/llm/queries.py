@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import decontaminate, langid, licenses, repair, simhash, suffix_tree, topk, urlfilter, warc
+from vigil.llm import decontaminate, langid, licenses, repair, sentencepiece, simhash, suffix_tree, topk, urlfilter, warc
 from vigil.llm.common import fold_of, materialize, read_table
 
 
@@ -118,7 +118,13 @@ def op9_suffix_tree_scores(spark, sf):
     return suffix_tree.score(docs, vocabulary, suffix_tree.train(texts, vocabulary))
 
 
+def op10_sentencepiece(spark, sf):
+    import public_tokenizers
+    pieces = sentencepiece.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece.encode(read_table(spark, sf, "documents", "doc_id", "text"), pieces)
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_token_files, op3_language_id, op4_warc_index, op5_license_scan,
-                                     op6_url_filter, op7_simhash_dedup, op8_decontamination, op9_suffix_tree_scores)}
+                                     op6_url_filter, op7_simhash_dedup, op8_decontamination, op9_suffix_tree_scores, op10_sentencepiece)}
 ORACLES = {"op1_exact_topk": OP1_SQL, "op4_warc_index": OP4_SQL, "op5_license_scan": _license_sql(),
            "op8_decontamination": _decontamination_sql()}
