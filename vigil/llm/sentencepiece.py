@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -114,27 +115,26 @@ def encode_units(units: DataFrame, pieces: DataFrame) -> DataFrame:
     table = pieces.where("byte is null").select("piece", "id", "score")
     carried = [c for c in units.columns if c != "unit"]
     size = F.char_length("unit")
-    spans = (units.select("unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-             .select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start")))).alias("len"))
-             .select("unit", "start", "len", F.substring("unit", F.col("start") + 1, F.col("len")).alias("piece")))
+    spans = (units.select("unit", *carried, F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+             .select("unit", *carried, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start")))).alias("len"))
+             .select("unit", *carried, "start", "len", F.substring("unit", F.col("start") + 1, F.col("len")).alias("piece")))
     # the piece table is a model's vocabulary: small by construction
     edges = spans.join(F.broadcast(table), "piece", "left").where("id is not null or len = 1").select(
-        "unit", F.struct((F.col("start") + F.col("len")).alias("end"), "start", "id", F.coalesce("score", F.lit(fallback)).alias("score")).alias("e"))
-    lattice = edges.groupBy("unit").agg(F.array_sort(F.collect_list("e")).alias("edges"))
+        "unit", *carried, F.struct((F.col("start") + F.col("len")).alias("end"), "start", "id", F.coalesce("score", F.lit(fallback)).alias("score")).alias("e"))
+    lattice = edges.groupBy("unit", *carried).agg(F.array_sort(F.collect_list("e")).alias("edges"))
     step = "struct<s: double, path: array<struct<start: int, id: int>>>"
     start = F.array(F.struct(F.lit(0.0).alias("s"), F.array().cast("array<struct<start: int, id: int>>").alias("path"))).cast(f"array<{step}>")
 
     def fold(best, e):
         """best[p] is the best path to position p; edges come by end, then start."""
-        before = F.get(best, e["start"])
-        mine = F.struct((before["s"] + e["score"]).alias("s"), F.concat(
-            before["path"], F.array(F.struct(e["start"].alias("start"), e["id"].alias("id")))).alias("path"))
-        there = F.get(best, e["end"])
-        return F.when(there.isNull(), F.concat(best, F.array(mine))).when(
-            there["s"] < mine["s"], F.concat(F.slice(best, F.lit(1), e["end"]), F.array(mine))).otherwise(best)
-    best = lattice.select("unit", F.aggregate("edges", start, fold, lambda b: F.element_at(b, -1)).alias("b"))
-    found = best.select("unit", F.col("b.path").alias("path"), F.col("b.s").alias("score"))
-    return found.join(units, "unit") if carried else found
+        score = F.get(best, e["start"])["s"] + e["score"]
+        there = F.get(best, e["end"])["s"]
+        mine = F.array(F.struct(score.alias("s"), F.concat(F.get(best, e["start"])["path"], F.array(
+            F.struct(e["start"].alias("start"), e["id"].alias("id")))).alias("path")))
+        return F.when(there >= score, best).when(there.isNull(), F.concat(best, mine)).otherwise(
+            F.concat(F.slice(best, F.lit(1), e["end"]), mine))
+    best = lattice.select("unit", *carried, F.aggregate("edges", start, fold, lambda b: F.element_at(b, -1)).alias("b"))
+    return best.select("unit", *carried, F.col("b.path").alias("path"), F.col("b.s").alias("score"))
 
 
 def piece_ids(units: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -195,30 +195,27 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids, out = part.column(0), {n: [] for n in names[1:]}
-                owner = []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    units = cut.of(text)
-                    found = [index.get(u, -1) for u in units]
-                    which = np.array(found, dtype=np.int64)
-                    starts = np.cumsum([0, *map(len, units)], dtype=np.int64)[:-1]
-                    seen = which >= 0
-                    w = which[seen]
-                    terms = ((4 * starts[seen]) % MODULUS * one[w] + placed[w]) % MODULUS
-                    rare: dict[str, list[int]] = {}
-                    for j in np.flatnonzero(~seen).tolist():
-                        rare.setdefault(units[j], []).append(int(starts[j]))
-                    # the document's own row has a unit that is none, so it meets nothing and no other document
-                    lines = [(row, f" {row}", 0, 0, len(units), int(k[w].sum()), float(scores[w].sum()), int(terms.sum() % MODULUS))]
-                    lines += [(row, u, len(s), sum(s), 0, 0, 0.0, 0) for u, s in rare.items()]
-                    for line in lines:
-                        for n, v in zip(names[1:], line):
-                            out[n].append(v)
-                    owner += [i] * len(lines)
-                    row += 1
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner, pa.int64())), *[
-                    pa.array(out[f.name], {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "bigint": pa.int64()}[f.dataType.simpleString()])
-                    for f in schema.fields[1:]]], names=names)
+                docs = [cut.of(t) for t in part.column(1).to_pylist()]
+                size, flat = np.array([len(d) for d in docs], dtype=np.int64), list(chain.from_iterable(docs))
+                owner = np.repeat(np.arange(len(docs)), size)
+                which = np.fromiter(map(index.get, flat, repeat(-1)), np.int64, len(flat))
+                length = np.fromiter(map(len, flat), np.int64, len(flat))
+                ends = np.cumsum(length)
+                starts = ends - length - np.append(0, ends)[np.cumsum(size) - size][owner]  # offset in its own text
+                seen, rare = which >= 0, np.flatnonzero(which < 0)
+                w, mine = which[seen], owner[seen]
+                terms = ((4 * starts[seen]) % MODULUS * one[w] + placed[w]) % MODULUS
+                sums = [np.bincount(mine, weights=v, minlength=len(docs)) for v in (k[w], scores[w], terms)]  # exact below 2^53
+                # a document's own row has a unit that is none, so it meets nothing and no other document
+                rows_ = row + np.arange(len(docs))
+                zero, none = np.zeros(len(rare), np.int64), np.zeros(len(docs), np.int64)
+                columns = [np.concatenate([rows_, rows_[owner[rare]]]), [*[f" {r}" for r in rows_.tolist()], *[flat[i] for i in rare.tolist()]],
+                           np.concatenate([none, zero + 1]), np.concatenate([none, starts[rare]]), np.concatenate([size, zero]),
+                           np.concatenate([sums[0].astype(np.int64), zero]), np.concatenate([sums[1], zero.astype(np.float64)]),
+                           np.concatenate([sums[2].astype(np.int64) % MODULUS, zero])]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(np.concatenate([np.arange(len(docs)), owner[rare]]))), *map(pa.array, columns)], names=names)
+                row += len(docs)
     parts = rows.mapInArrow(run, schema)
     others = vocab.where(~frequent).select("unit", F.size("ids").alias("k"), "score", "id_sum", "place_sum")
     m = F.lit(MODULUS).cast("long")
@@ -261,7 +258,8 @@ def encode_pieces(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", te
 def decode(encoded: DataFrame, pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, ids)`` -> ``(id, text)``: pieces looked up by id, byte pieces joined to characters."""
     table = pieces.select("id", F.coalesce(F.lpad(F.hex("byte"), 2, "0"), F.hex(F.encode("piece", "UTF-8"))).alias("hexed"))
-    rows = encoded.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.posexplode_outer("ids").alias("_pos", "id"))
+    rows = encoded.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), "ids")
+    rows = rows.select("_row", "_id", F.posexplode_outer("ids").alias("_pos", "id"))
     met = rows.join(F.broadcast(table), "id", "left").groupBy("_row").agg(
         F.max("_id").alias("_id"), F.array_sort(F.collect_list(F.struct("_pos", "hexed"))).alias("p"))
     joined = F.decode(F.unhex(F.array_join(F.col("p.hexed"), "")), "UTF-8")
