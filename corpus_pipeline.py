@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import langid, simhash
+from vigil.llm import decontaminate, langid, sentencepiece, simhash
 from vigil.llm.common import materialize
 
 
@@ -26,8 +26,22 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.drop_near_duplicates(docs, shingle=3, radius=2)
 
 
-STAGES = [("language_id", language_stage), ("simhash_dedup", near_duplicate_stage)]
-ORACLE_SQL = None
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item (containment 0.8 of its five-word shingles)."""
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet").select("item_id", "text")
+    return decontaminate.drop_contaminated(docs, items, width=5, least=0.8)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece counts, scores and checksums of every remaining document's encoding."""
+    import public_tokenizers
+    pieces = sentencepiece.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece.encode(docs, pieces)
+
+
+STAGES = [("language_id", language_stage), ("simhash_dedup", near_duplicate_stage),
+          ("decontamination", decontamination_stage), ("sentencepiece", encoding_stage)]
+ORACLE_SQL = None  # cosines, fingerprints and the lattice are not SQL; tests hold run() against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,8 +190,9 @@ def components_of(rows: DataFrame, radius: int = 2, shard_size: int = 512) -> Da
     linked = nodes.join(comps, F.col("fp") == F.col("node")).select("fp", "root", "first_id")
     firsts = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = linked.join(firsts, "root").select(F.col("fp").alias("node"), "component_id")
-    return nodes.join(linked, F.col("fp") == F.col("node"), "left").select(
-        "fp", F.when(F.col("node").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # written, so that a later join deals both its sides anew and can split a hot fingerprint
+    return materialize(nodes.join(linked, F.col("fp") == F.col("node"), "left").select(
+        "fp", F.when(F.col("node").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2,
