@@ -260,7 +260,7 @@ def test_suffix_tree(frame):
     base = lambda t: sum(math.log10((counts[w] + .5) / (n + .5 * (v + 1))) for w in [*suffix_tree.tokens(t), b""])
     assert sorted(round(r["base_score"], 9) for r in rows) == sorted(round(base(t), 9) for _, t in docs)
     likely = max(rows, key=lambda r: r["n_tokens"])
-    assert likely["n_known"] == 7 and likely["score"] > likely["base_score"] + 2
+    assert likely["n_known"] == 7 and likely["score"] > likely["base_score"] + 1  # the end after "b" is a surprise
     # every state's distribution sums to one (the class of unknown words included)
     words = len(model.words)
     for history in ([0], [0, 1], [0, 1, 2], [0, 4, 1]):

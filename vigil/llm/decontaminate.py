@@ -69,7 +69,7 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, width: int = 5, least:
     distinct = wanted.groupBy("text_key").agg(F.min("body").alias("body"))
     held = with_shingles(distinct, "body", width, "held")
     share = F.size(F.array_intersect("grams", "held")) / F.col("n")
-    pairs = held.join(found, "text_key").join(known.select("item", "grams", "n"), "item")
+    pairs = held.join(found, "text_key").join(known.select(F.col("item").alias("known"), "grams", "n"), F.col("item").eqNullSafe(F.col("known")))
     return materialize(pairs.select("text_key", "item", share.alias("containment")).where(F.col("containment") >= least)
                        .groupBy("text_key", "item").agg(F.max("containment").alias("containment")), "contaminated")
 
