@@ -8,8 +8,7 @@ so an equi-join of the documents' shingle hashes with the sketches finds every c
 Candidates are verified on the shingles themselves: shared distinct shingles over the item's
 distinct shingles. Words are lower-cased runs of letters and digits.
 
-Documents are told apart by the digest of their text, so each distinct text is verified
-once and no id is needed. Column expressions, joins and aggregates only.
+Documents are told apart by the digest of their text, so no id is needed. Column expressions, joins and aggregates only.
 
 Edge cases: null or empty texts, and items or documents of fewer words than a shingle,
 hold no shingle and match nothing. Rows that share an id are reported together; a null id
@@ -41,9 +40,9 @@ def with_hashes(df: DataFrame, text: str, width: int, out: str) -> DataFrame:
 
 
 def with_shingles(df: DataFrame, text: str, width: int, out: str) -> DataFrame:
-    """``df`` with the text replaced by its distinct word shingles."""
+    """``df`` with the text replaced by its word shingles."""
     df = df.withColumn("_words", normal_words(F.col(text)))
-    return df.withColumn(out, F.array_distinct(_shingles(F.col("_words"), width, lambda near: F.concat_ws(" ", *near)))).drop("_words", text)
+    return df.withColumn(out, _shingles(F.col("_words"), width, lambda near: F.concat_ws(" ", *near))).drop("_words", text)
 
 
 def sketches(items: DataFrame, least: float) -> DataFrame:
@@ -58,20 +57,21 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, width: int = 5, least:
     """``(text_key, item, containment)``: which distinct texts hold which items."""
     known = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("a"), F.col(item_text).alias("b"))
     known = with_hashes(with_shingles(known, "a", width, "grams"), "b", width, "hashes")
+    known = known.withColumn("grams", F.array_distinct("grams"))
     known = materialize(known.withColumn("n", F.size("grams")), "items").where("n > 0").distinct()
     sketch = materialize(sketches(known, least).distinct(), "sketches")
     texts = docs.where(F.col(text).isNotNull()).select(F.md5(text).alias("text_key"), F.col(text).alias("body"))
     found = (with_hashes(texts, "body", width, "hs").select("text_key", F.explode_outer("hs").alias("h"))
              .join(sketch, "h").select("text_key", "item").distinct())
     found = materialize(found, "candidates")
-    wanted = texts.join(found.select("text_key").distinct(), "text_key", "left_semi")
-    # one copy of each text; its grams are made once
-    distinct = wanted.groupBy("text_key").agg(F.min("body").alias("body"))
-    held = with_shingles(distinct, "body", width, "held")
-    share = F.size(F.array_intersect("grams", "held")) / F.col("n")
-    pairs = held.join(found, "text_key").join(known.select(F.col("item").alias("known"), "grams", "n"), F.col("item").eqNullSafe(F.col("known")))
-    return materialize(pairs.select("text_key", "item", share.alias("containment")).where(F.col("containment") >= least)
-                       .groupBy("text_key", "item").agg(F.max("containment").alias("containment")), "contaminated")
+    # verified on the shingles themselves; only those an item has go on, so texts are never shuffled
+    grams = known.select("item", "n", F.explode("grams").alias("gram"))
+    shared = (with_shingles(texts, "body", width, "held").select("text_key", F.explode_outer("held").alias("gram"))
+              .join(materialize(grams, "item-shingles"), "gram").select("text_key", "item", "n", "gram").distinct())
+    held = shared.groupBy("text_key", "item", "n").agg((F.count("*") / F.col("n")).alias("containment")).where(F.col("containment") >= least)
+    candidate = (held["text_key"] == found["text_key"]) & held["item"].eqNullSafe(found["item"])
+    return materialize(held.join(found, candidate, "left_semi").groupBy("text_key", "item")
+                       .agg(F.max("containment").alias("containment")), "contaminated")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id",
