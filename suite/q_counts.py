@@ -117,7 +117,7 @@ def m04_index_count(spark, sf):
 
 
 # ---------------------------------------------------------------- M5 text_match_count
-M05_QUERIES = {"q-the": "text:the", "q-und": "text:UND", "q-all": "*:*", "q-la": "text:la", "q-none": "text:zzqqzz"}
+M05_QUERIES = {"q-the": "text:the", "q-und": "text:UND", "q-all": "*:*", "q-la": "text:la", "q-none": "text:zzqqzz", "q-fuer": "text:für", "q-r": "text:r"}
 
 
 def _m05_sql():
@@ -127,7 +127,7 @@ def _m05_sql():
             pred = "TRUE"
         else:
             term = q.split(":", 1)[1].lower()
-            pred = f"list_contains(regexp_split_to_array(lower(text), '\\W+'), '{term}')"
+            pred = f"list_contains(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), '{term}')"
         parts.append(f"SELECT '{name}' AS pipeline, CAST(count(*) FILTER (WHERE {pred}) AS DOUBLE) AS n FROM documents")
     st, msg = ge("v", "t", "text_match_count")
     return (f"WITH j AS (SELECT pipeline, n AS v, 200.0 AS t FROM ({' UNION ALL '.join(parts)})) "

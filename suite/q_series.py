@@ -73,14 +73,13 @@ def m10_trailing_range(spark, sf):
 
 # ---------------------------------------------------------------- M11 windowed_stat
 def _m11_sql():
-    b = f"CAST(floor(date_diff('microsecond', ts, {EVENTS_AS_OF_SQL}) / 86400000000.0) AS INTEGER)"
+    edge = f"{EVENTS_AS_OF_SQL} - INTERVAL 1 DAY"  # the newest period is [edge, as_of)
     st, msg = ge("v", "t", "windowed_stat")
     return f"""
-WITH r AS (SELECT event_type AS pipeline, {b} AS b, value FROM events
+WITH r AS (SELECT event_type AS pipeline, CASE WHEN ts >= {edge} THEN 0 ELSE 1 END AS b, value FROM events
            WHERE ts >= {EVENTS_AS_OF_SQL} - INTERVAL 2 DAY AND ts < {EVENTS_AS_OF_SQL}),
-m AS (SELECT pipeline, COALESCE(CAST(sum(CASE WHEN b = 0 THEN CAST(value AS DECIMAL(38,2)) END) AS DOUBLE),
-                                CAST(sum(CASE WHEN b = 1 THEN CAST(value AS DECIMAL(38,2)) END) AS DOUBLE), 0.0) AS v
-      FROM r GROUP BY 1),
+p AS (SELECT pipeline, b, CAST(sum(CAST(value AS DECIMAL(38,2))) AS DOUBLE) AS v FROM r GROUP BY 1, 2),
+m AS (SELECT pipeline, COALESCE(arg_min(COALESCE(v, 0.0), b), 0.0) AS v FROM p GROUP BY 1),
 j AS (SELECT s.pipeline, m.v, 1300.0 AS t FROM {_type_values()} LEFT JOIN m USING (pipeline))
 SELECT {select_out("pipeline", "windowed_stat", st, "v", "t", msg)} FROM j
 """
@@ -193,3 +192,28 @@ def v14_profiles(spark, sf):
     specs = specs_frame(spark, [{"pipeline": t, "check": c, "threshold": 0.0, "params": {"profile": p}}
                                 for t in TYPES for c, p in (("float_value", "postgres"), ("int_value", "trino"))])
     return out(evaluate(specs, as_float.unionByName(as_int), as_of=EVENTS_AS_OF))
+
+
+# ---------------------------------------------------------------- V14 a source that fails is unknown under every profile
+FAILING = [("mysql", "ge"), ("azure_eventhub", "le"), ("celery", "between"), ("postgres", "ge")]
+
+
+@query("v14_failed_source", sql=f"""
+WITH n AS (SELECT CAST(count(*) AS DOUBLE) AS v FROM orders),
+s(pipeline, op) AS (VALUES {", ".join(f"('{p}', '{o}')" for p, o in FAILING)})
+SELECT pipeline, 'lost' AS "check", 'unknown' AS status, CAST(NULL AS DOUBLE) AS value, 1.0 AS threshold,
+       'lost: source error' AS message FROM s
+UNION ALL
+SELECT pipeline, 'held', CASE WHEN op = 'ge' THEN CASE WHEN v >= 1 THEN 'ok' ELSE 'critical' END
+                              WHEN v <= 1 THEN 'ok' ELSE 'critical' END, v, 1.0, NULL FROM s, n WHERE op IN ('ge', 'le')
+""")
+def v14_failed_source(spark, sf):
+    orders = table(spark, sf, "orders")
+    specs = specs_frame(spark, [{"pipeline": p, "check": c, "op": o, "threshold": 1.0, "max_threshold": 5.0, "params": {"profile": p}}
+                                for p, o in FAILING for c in ("lost", "held") if c == "lost" or o in ("ge", "le")])
+    lost = M.guarded(spark, lambda: M.row_count(spark.read.parquet(f"{sf}/no_such_table.parquet"), "x", check="lost"), "lost", specs)
+    names = F.explode(F.array(*[F.lit(p) for p, o in FAILING if o in ("ge", "le")]))
+    total = orders.agg(F.count(F.lit(1)).alias("n")).select("n", names.alias("p"))
+    held = M.paged_count(total, "p", "n", check="held")
+    results = out(evaluate(specs, lost.unionByName(held), as_of=EVENTS_AS_OF))
+    return results.withColumn("message", F.when(F.col("check") == "lost", F.col("message")))

@@ -294,3 +294,69 @@ def test_source_error_is_unknown_for_that_check_only(spark):
     r = rows(check_all(specs, [ok, broken], as_of=AS_OF), "status", "message")
     assert r["1-URGENT"][0] == "ok"
     assert r["a"] == ("unknown", "lost: no data")
+
+
+def test_failed_source_is_unknown_under_every_profile(spark):
+    from vigil.plans.evaluate import check_all
+    specs = specs_frame(spark, [{"pipeline": p, "check": "lost", "op": o, "threshold": 0.0, "max_threshold": 5.0, "params": {"profile": p}}
+                                for p, o in (("azure_eventhub", "le"), ("celery", "between"), ("mysql", "ge"), ("postgres", "ge"))])
+    lost = M.guarded(spark, lambda: M.row_count(spark.read.parquet("/nonexistent/table"), "x", check="lost"), "lost", specs)
+    got = rows(check_all(specs, [lost], as_of=AS_OF), "status", "message")
+    assert set(got.values()) == {("unknown", "lost: source error")} and len(got) == 4
+
+
+def test_evaluation_time_ignores_driver_and_session_zone(spark):
+    import os
+    import time
+    from vigil.plans.evaluate import as_of_lit
+    import datetime as dt
+    zone, old = spark.conf.get("spark.sql.session.timeZone"), os.environ.get("TZ")
+    try:
+        os.environ["TZ"] = "America/New_York"
+        time.tzset()
+        for session in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", session)
+            got = spark.range(1).select(as_of_lit(dt.datetime(2024, 1, 31, 12)).cast("string").alias("x")).first()["x"]
+            assert got == "2024-01-31 12:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        os.environ.pop("TZ", None)
+        if old is not None:
+            os.environ["TZ"] = old
+        time.tzset()
+
+
+def test_instants_with_offsets(spark):
+    from vigil.operators.freshness import parse_instant
+    texts = ["2024-01-01T12:00:00+02:00", "2024-01-01T12:00:00-0530", "2024-01-01T12:00:00Z", "2024-01-01 12:00:00", "", "x", None, "2024-01-01"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(parse_instant(F.col("t")).cast("string")).collect()] == [
+        "2024-01-01 10:00:00", "2024-01-01 17:30:00", "2024-01-01 12:00:00", "2024-01-01 12:00:00", None, None, None, "2024-01-01 00:00:00"]
+
+
+def test_period_edges_belong_to_the_newer_period(spark):
+    as_of = F.lit("2024-01-01 00:10:00").cast("timestamp_ntz")
+    pts = spark.createDataFrame([("a", "2024-01-01 00:05:00", "9"), ("b", "2024-01-01 00:00:00", "9"), ("c", "2024-01-01 00:06:00", "n/a"),
+                                 ("c", "2024-01-01 00:01:00", "5")], "k string, ts string, value string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = rows(M.windowed_stat(pts, "k", as_of, 300, "Sum", 2), "value")
+    assert got == {"a": (9.0,), "b": (9.0,), "c": (0.0,)}
+
+
+def test_values_keep_their_types(spark):
+    docs = spark.createDataFrame([("p", '{"x": true}'), ("p", '{"x": 5}'), ("p", '{"x": "5"}'), ("p", '{"x": 5.0}'), ("p", '{"x": "true"}')], "k string, d string")
+    n = lambda v: rows(M.doc_count(docs, "k", "d", {"x": v}), "value").get("p", (0,))[0]
+    assert [n(True), n(5), n("5"), n("true"), n(False)] == [1, 2, 1, 1, 0]
+    one = M.sql_scalar(spark, "SELECT count(*) > 0 FROM range(3)", "p").first()
+    assert one["value"] == 1.0
+    text = spark.createDataFrame([("für dich",), ("f r",)], "text string")
+    assert rows(M.text_match_count(text, {"a": "text:für", "b": "text:r"}), "value") == {"a": (1.0,), "b": (1.0,)}
+    kv = spark.createDataFrame([("k", "1", 1), ("k", "9", 2), ("k", "5", 3)], "key string, value string, at int")
+    specs = specs_frame(spark, [{"pipeline": "p", "check": "kv_value", "params": {"key": "k", "on": True}}])
+    assert [r["raw"] for r in M.kv_value(kv, specs, order="at").collect()] == ["5"]
+    assert specs.first()["params"]["on"] == "true"
+
+
+def test_glob_end_is_the_end(spark):
+    from vigil.functions.globs import glob_match
+    df = spark.createDataFrame([("a.html",), ("a.html\n",)], "x string")
+    assert [r[0] for r in df.select(glob_match(F.col("x"), "*.html")).collect()] == [True, False]

@@ -91,7 +91,7 @@ def test_registries(spark):
     first = register_renderer("custom_x", lambda ctx: F.lit("a"))
     second = register_renderer("custom_x", lambda ctx: F.lit("b"))
     assert get_renderer("custom_x") is second and first is not second
-    with pytest.raises(KeyError, match="Available channels"):
+    with pytest.raises(KeyError, match="no renderer is registered"):
         get_renderer("pigeon")
 
 

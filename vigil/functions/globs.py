@@ -64,7 +64,7 @@ def glob_regex(pattern: str) -> str:
                 i = j + 1
         else:
             out.append(re.escape(c))
-    return "(?s)^" + "".join(out) + "$"
+    return "(?s)^" + "".join(out) + r"(?![\s\S])"  # "$" would also match before a final newline
 
 
 def glob_match(text: Column, pattern: str) -> Column:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.schema import MEASURES
+from vigil.schema import MEASURES, SOURCE_ERROR
 
 
 def as_col(c: str | Column) -> Column:
@@ -71,7 +70,7 @@ def earliest(order: list[Column], *values: Column) -> Column:
     return F.min_by(F.struct(*values), F.struct(*order))
 
 
-_EPOCH = _dt.datetime(1970, 1, 1)
+_EPOCH = "1970-01-01 00:00:00"  # as text: a datetime literal would be read in the driver's time zone
 
 
 def micros_between(start: Column, end: Column) -> Column:
@@ -88,14 +87,20 @@ def hours_between(start: Column, end: Column) -> Column:
     return micros_between(start, end).cast("double") / F.lit(3.6e9)
 
 
-def guarded(spark, build, check: str) -> DataFrame:
+def guarded(spark, build, check: str, specs: DataFrame | None = None) -> DataFrame:
     """V14 "source error => unknown" for one check: ``build()`` constructs the
     check's measures; if that fails while planning (missing table, path or
-    column), the error is logged and an empty measure frame is returned, so the
-    check's specs read ``unknown`` (no data) while every other check still runs."""
+    column), the error is logged and each of the check's specs gets a row marked
+    ``SOURCE_ERROR``, which the evaluation ranks above every profile: an
+    unavailable source never reads as an empty one. Every other check still runs.
+    Without ``specs`` the frame is empty, right only for profiles that read an
+    empty result as unknown."""
     import logging
     try:
         return build()
     except Exception as exc:  # noqa: BLE001 - any planning error of this source
         logging.getLogger("vigil").warning("check %s: source unavailable: %s", check, str(exc).splitlines()[0])
-        return spark.createDataFrame([], MEASURES)
+        if specs is None:
+            return spark.createDataFrame([], MEASURES)
+        return to_measures(specs.where(F.col("check") == F.lit(check)).select("pipeline").distinct(), check,
+                           state=F.lit(SOURCE_ERROR))

@@ -8,6 +8,7 @@ Catalyst pushes them into the Parquet scan and prunes to the columns used.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from vigil.functions.globs import base_name, glob_match, glob_regex
 from vigil.functions.jsonpath import json_path
-from vigil.operators.base import as_col, count_each, earliest, to_measures
+from vigil.operators.base import as_col, count_each, earliest, latest, to_measures
 
 
 def row_count(df: DataFrame, key: str | Column, where: str | Column | None = None, check: str = "row_count") -> DataFrame:
@@ -29,7 +30,7 @@ def row_count(df: DataFrame, key: str | Column, where: str | Column | None = Non
 
 def _first_column(frame: DataFrame) -> tuple[Column, bool]:
     field = frame.schema.fields[0]
-    numeric = isinstance(field.dataType, T.NumericType)
+    numeric = isinstance(field.dataType, (T.NumericType, T.BooleanType))
     return F.col(f"`{field.name}`"), numeric
 
 
@@ -58,11 +59,20 @@ def keyed_scalar(frame: DataFrame, key: str | Column, value: str | Column, order
 
 def doc_count(df: DataFrame, key: str | Column, doc: str | Column, equals: Mapping[str, object] | None = None,
               check: str = "doc_count") -> DataFrame:
-    """M3: documents whose JSON fields equal the given values; no filter = all."""
+    """M3: documents whose JSON fields equal the given values; no filter = all. Types
+    count: text "5" is not the number 5, and true is not 1."""
     d = as_col(doc)
     pred = F.lit(True)
     for field, wanted in (equals or {}).items():
-        pred = pred & (F.get_json_object(d, json_path(field)) == F.lit(str(wanted)))
+        found = F.to_json(F.try_variant_get(F.try_parse_json(d), json_path(field), "variant"))
+        is_text = found.startswith('"')
+        if isinstance(wanted, bool) or wanted is None:
+            same = found == F.lit(json.dumps(wanted))
+        elif isinstance(wanted, (int, float)):
+            same = ~is_text & (found.try_cast("double") == F.lit(float(wanted)))
+        else:
+            same = is_text & (F.get_json_object(d, json_path(field)) == F.lit(str(wanted)))
+        pred = pred & F.coalesce(same, F.lit(False))
     return row_count(df, key, where=pred, check=check)
 
 
@@ -92,8 +102,8 @@ def term_query(words: Column, query: str) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased words of a whole text (split on non-word characters)."""
-    return F.split(F.lower(text), r"\W+")
+    """Lower-cased words of a whole text (split on what is no word character in Unicode)."""
+    return F.split(F.lower(text), r"(?U)\W+")
 
 
 def text_match_count(df: DataFrame, queries: Mapping[str, str], fields: Mapping[str, str | Column] | None = None,
@@ -135,14 +145,18 @@ def view_count(df: DataFrame, key: str | Column, emitted: Column | None = None,
 
 
 def kv_value(kv: DataFrame, specs: DataFrame, key: str = "key", value: str = "value", param: str = "key",
-             check: str = "kv_value") -> DataFrame:
-    """M8: the text stored under the key each spec names in ``params[param]``.
+             check: str = "kv_value", order: str | Column | None = None) -> DataFrame:
+    """M8: the text stored under the key each spec names in ``params[param]``. A key
+    stored more than once has the value that is last by ``order`` (without one,
+    the greatest text), so a spec has one result.
 
     An equi-join of the spec keys with the store; AQE broadcasts the smaller side
     when its measured size allows, else a sort-merge join on the key."""
     wanted = specs.where(F.col("check") == F.lit(check)).select(
         "pipeline", F.element_at("params", F.lit(param)).alias("k"))
-    store = kv.select(as_col(key).cast("string").alias("k"), as_col(value).cast("string").alias("v"))
+    v = as_col(value).cast("string")
+    newest = F.max(v) if order is None else latest([as_col(order), v], v.alias("v"))["v"]
+    store = kv.groupBy(as_col(key).cast("string").alias("k")).agg(newest.alias("v"))
     joined = wanted.join(store, on="k", how="inner")
     return to_measures(joined, check, raw=F.col("v"))
 

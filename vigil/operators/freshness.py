@@ -10,10 +10,16 @@ from vigil.operators.base import as_col, hours_between, to_measures
 
 
 def parse_instant(c: Column) -> Column:
-    """ISO-8601 text (``Z`` allowed) or a timestamp -> UTC TIMESTAMP_NTZ; empty or
-    unparsable text is NULL."""
-    text = F.regexp_replace(F.trim(c.cast("string")), r"(Z|[+-]00:?00)$", "")
-    return F.when(F.length(text) > 0, text.try_cast("timestamp_ntz"))
+    """ISO-8601 text (``Z`` or an offset allowed) or a timestamp -> UTC TIMESTAMP_NTZ;
+    empty or unparsable text is NULL. Plain arithmetic: no session time zone."""
+    text = F.trim(c.cast("string"))
+    zone = r"[Tt ][0-9:.]+([+-])(\d\d):?(\d\d)$"
+    part = lambda i: F.regexp_extract(text, zone, i)
+    minutes = F.coalesce(part(2).try_cast("int") * 60 + part(3).try_cast("int"), F.lit(0))
+    east = F.when(part(1) == "-", -minutes).otherwise(minutes)
+    local = F.regexp_replace(F.regexp_replace(text, r"[Zz]$", ""), r"([Tt ][0-9:.]+)[+-]\d\d:?\d\d$", "$1")
+    return F.when(F.length(local) > 0, local.try_cast("timestamp_ntz")
+                  - F.make_dt_interval(F.lit(0), F.lit(0), east, F.lit(0)))
 
 
 def recent_objects(objects: DataFrame, key: str | Column, as_of: Column, mtime: str | Column = "modificationTime",

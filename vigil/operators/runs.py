@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.base import as_col, earliest, epoch_micros, latest, to_measures
+from vigil.operators.base import as_col, latest, to_measures
 
 
 def latest_run(runs: DataFrame, job: str | Column = "job", started: str | Column = "started",
@@ -33,7 +33,7 @@ def latest_attempt(apps: DataFrame, name: str | Column, started: str | Column, a
                          as_col(app_id).alias("app_id"), as_col(attempts).alias("attempts")) \
         .orderBy(F.col("started").desc(), F.col("app_id").desc()).limit(top_n)
     agg = newest.groupBy("pipeline").agg(
-        earliest([-epoch_micros(F.col("started")), -F.col("app_id")],
+        latest([F.col("started"), F.col("app_id")],
                  F.try_element_at("attempts", F.lit(1)).alias("a"), F.col("started").alias("started")).alias("x"))
     return to_measures(agg, check, state=F.lower(F.col("x.a.completed").cast("string")),
                        value=F.col("x.a.duration"), observed_at=F.col("x.started"))

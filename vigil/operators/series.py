@@ -51,7 +51,8 @@ def windowed_stat(points: DataFrame, key: str | Column, as_of: Column, period_se
         raise ValueError(f"stat must be one of {STATS}")
     t, v = as_col(ts), as_col(value).try_cast("double")
     age_us = micros_between(t, as_of)
-    bucket = F.floor(age_us / F.lit(period_seconds * 1_000_000)).cast("int")
+    # periods are [start, start + period): a point exactly one period old opens the newest one
+    bucket = (F.ceil(age_us / F.lit(period_seconds * 1_000_000)) - 1).cast("int")
     start = as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(period_seconds * periods)))
     recent = points.where((t >= start) & (t < as_of)).select(as_col(key).alias("pipeline"), bucket.alias("b"), v.alias("v"))
     vv = F.col("v") if decimals is None else F.col("v").cast(f"decimal(38,{decimals})")
@@ -68,8 +69,10 @@ def windowed_stat(points: DataFrame, key: str | Column, as_of: Column, period_se
             return F.max(F.when(inb, vv))
         return F.when(F.count_if(inb) > 0, F.count_if(inb))
 
-    agg = recent.groupBy("pipeline").agg(*[stat_of(i).cast("double").alias(f"s{i}") for i in range(periods)])
-    newest = F.coalesce(*[F.col(f"s{i}") for i in range(periods)], F.lit(0.0))
+    agg = recent.groupBy("pipeline").agg(*[stat_of(i).cast("double").alias(f"s{i}") for i in range(periods)],
+                                         F.min("b").alias("newest"))
+    # the newest period with points decides, also when it has no statistic (0.0)
+    newest = F.coalesce(F.try_element_at(F.array(*[F.col(f"s{i}") for i in range(periods)]), F.col("newest") + 1), F.lit(0.0))
     return to_measures(agg, check, value=newest)
 
 

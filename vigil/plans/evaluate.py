@@ -24,7 +24,7 @@ from vigil.functions import verdicts as V
 from vigil.functions.numbers import num_text
 from vigil.functions.profiles import coerce
 from vigil.functions.status import OK, UNKNOWN, WARNING
-from vigil.schema import MEASURES
+from vigil.schema import MEASURES, SOURCE_ERROR
 
 NUMERIC_OPS = ("ge", "gt", "le", "le_any", "between", "max_age", "count_recent", "eq")
 STATE_OPS = ("state_airflow", "state_dbt", "state_databricks", "completed", "truthy", "http", "static")
@@ -42,7 +42,8 @@ def as_of_lit(as_of) -> Column:
         as_of = _dt.datetime.fromisoformat(as_of.replace("Z", ""))
     if isinstance(as_of, _dt.datetime) and as_of.tzinfo is not None:
         as_of = as_of.astimezone(_dt.timezone.utc).replace(tzinfo=None)
-    return F.lit(as_of).cast("timestamp_ntz")
+    # as text: Spark reads a datetime literal in the time zone of the driver's process
+    return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def _param(name: str) -> Column:
@@ -83,7 +84,8 @@ def evaluate(specs: DataFrame, measures: DataFrame, as_of=None, defaults: Mappin
     # filter on status or message written by the caller is then pushed down no
     # further than these columns, instead of having every alias inlined into one
     # condition (which would repeat the coerced value dozens of times).
-    s1 = j.select(F.inline(F.array(F.struct(*inputs))))
+    # The spec's own columns stay outside it, so a filter on them reaches the scans.
+    s1 = j.select(*inputs[:5], F.inline(F.array(F.struct(*inputs[5:]))))
     s2 = s1.select("*", *stage2)
     return s2.select(*final[:8], as_of_lit(as_of).alias("checked_at"), *final[8:])
 
@@ -104,11 +106,13 @@ def _build_stages(defaults: Mapping[str, float] | None):
     op_ = F.coalesce(F.col("op"), F.lit("ge"))
     profile = _param("profile")
     zero_unset = F.coalesce(_param("zero_is_unset") == F.lit("true"), F.lit(False))
+    failed_ = F.coalesce(F.col("state") == F.lit(SOURCE_ERROR), F.lit(False))
     v_, reason_ = coerce(F.col("value"), F.col("raw"), F.col("present"), profile)
+    v_, reason_ = F.when(~failed_, v_), F.when(failed_, F.lit("source error")).otherwise(reason_)
     t_ = V.threshold_chain(F.col("threshold"), _source_default(defaults), _op_default(op_), zero_unset)
     inputs = [
         F.col("pipeline"), F.col("check"), F.col("tags"), F.col("alert_on_failure"), F.col("params"),
-        op_.alias("_op"),
+        op_.alias("_op"), failed_.alias("_failed"),
         F.coalesce(F.col("present"), F.lit(False)).alias("_present"),
         F.coalesce(_param("label"), F.col("check")).alias("_label"),
         v_.alias("_v"), reason_.alias("_reason"), t_.alias("_t"),
@@ -148,7 +152,7 @@ def _build_stages(defaults: Mapping[str, float] | None):
         .when(op == "http", V.verdict_http(mv, expected, state, F.col("_has_path")))
     )
     is_numeric = op.isin(*NUMERIC_OPS)
-    base_status = F.when(is_numeric, num_status).when(op.isin(*STATE_OPS), st_status).otherwise(F.lit(UNKNOWN))
+    base_status = F.when(F.col("_failed"), F.lit(UNKNOWN)).when(is_numeric, num_status).when(op.isin(*STATE_OPS), st_status).otherwise(F.lit(UNKNOWN))
     stage2 = [
         base_status.alias("_base_status"),
         expected.alias("_exp"),

@@ -68,7 +68,7 @@ def get_renderer(channel_type: str) -> Callable[[dict[str, Column]], Column]:
         return _RENDERERS[channel_type]
     except KeyError:
         known = ", ".join(sorted(_RENDERERS))
-        raise KeyError(f"Unknown alert channel '{channel_type}'. Available channels: {known}") from None
+        raise KeyError(f"no renderer is registered for channel type {channel_type!r}; there are: {known}") from None
 
 
 def renderers() -> dict[str, Callable[[dict[str, Column]], Column]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
@@ -67,6 +68,13 @@ def normalize_specs(df: DataFrame) -> DataFrame:
     return df.select(*[defaults.get(f, field(f)).alias(f) for f in SPECS.fieldNames()])
 
 
+def _text(value) -> str | None:
+    """A setting as text, as a JSON config gives it: true, not True."""
+    if value is None or isinstance(value, str):
+        return value
+    return json.dumps(value) if isinstance(value, (bool, list, tuple, dict)) else str(value)
+
+
 def specs_frame(spark: SparkSession, rows: Iterable[Mapping]) -> DataFrame:
     """Specs from a short list of dicts (a config file's pipelines). The rows
     become an inline table (a local relation in the JVM, no Python workers)."""
@@ -79,8 +87,8 @@ def specs_frame(spark: SparkSession, rows: Iterable[Mapping]) -> DataFrame:
         params = dict(r.get("params") or {})
         for k in list(r):
             if k not in known:
-                params[k] = None if r[k] is None else str(r.pop(k))
-        r["params"] = {str(k): None if v is None else str(v) for k, v in params.items()}
+                params[k] = r.pop(k)
+        r["params"] = {str(k): _text(v) for k, v in params.items()}
         for f in ("threshold", "max_threshold", "max_age_hours"):
             if r.get(f) is not None:
                 r[f] = float(r[f])

@@ -46,6 +46,9 @@ RESULTS = T.StructType([
     T.StructField("alert_on_failure", T.BooleanType(), True),
 ])
 
+# State of a measure whose source could not be read: unknown under every profile.
+SOURCE_ERROR = "#source error"
+
 OUTBOX = T.StructType([
     T.StructField("channel", T.StringType(), True),
     T.StructField("recipient", T.StringType(), True),
