@@ -66,10 +66,24 @@ class Units:
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece has a space behind another character")
         letters = set().union(*pieces) | {SPACE}
-        self.lone = {c for c in map(chr, range(128)) if c not in letters}  # ASCII characters of no piece
-        lone = "".join(re.escape(c) for c in sorted(self.lone))
-        self.find = re.compile(f"[{lone}]|{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" if lone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.pairs = {p[i:i + 2] for p in pieces for i in range(len(p) - 1)}
+        ascii_ = list(map(chr, range(128)))
+        lone = [c for c in ascii_ if c not in letters]  # in no piece: a unit each
+        before = {c: {q[0] for q in self.pairs if q[1] == c} for c in ascii_ if c in letters and not c.isalnum()}
+        # punctuation that pieces have behind other punctuation only starts a unit; what they
+        # have behind some characters starts one behind all others
+        marks = set(before)
+        while loose := {c for c in marks if not before[c] <= marks | {SPACE}}:
+            marks -= loose
+        soft = sorted(set(before) - marks)
+
+        def among(chars):
+            return "[" + re.escape("".join(sorted(chars))) + "]"
+        plain = f"[^{SPACE}{re.escape(''.join([*lone, *sorted(marks), *soft]))}]"
+        item = "(?:" + "|".join([plain, *[f"(?<={among(before[c])}){re.escape(c)}" for c in soft if before[c]]]) + ")"
+        kinds = [f"{SPACE}*{plain}{item}*", *([f"{SPACE}*{among(marks)}+{item}*"] if marks else []),
+                 *([f"{SPACE}*{among(soft)}{item}*"] if soft else []), *([among(lone)] if lone else []), f"{SPACE}+"]
+        self.find = re.compile("|".join(kinds)).findall
 
     def of(self, text: str | None) -> list[str]:
         if not text:
@@ -91,7 +105,7 @@ def unit_counts(texts: DataFrame, units: Units) -> DataFrame:
     """``texts(body)`` -> ``(unit, n)``."""
     shared = texts.sparkSession.sparkContext.broadcast(units)
 
-    def run(batches, limit=300_000):
+    def run(batches, limit=150_000):
         cut, counts = shared.value, Counter()
 
         def flush():
@@ -166,7 +180,7 @@ def vocabulary(texts: DataFrame, pieces: DataFrame, cut: Units) -> DataFrame:
     return materialize(found.select("unit", "n", "score", "ids", one.alias("id_sum"), placed.alias("place_sum")), "units")
 
 
-def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str = "text", dictionary: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str = "text", dictionary: int = 150_000) -> DataFrame:
     """Per document: id, n_units, n_pieces, score and ids_checksum of its encoding."""
     spark = docs.sparkSession
     cut = Units([r["piece"] for r in pieces.where("byte is null").select("piece").collect()])
