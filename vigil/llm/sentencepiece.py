@@ -80,8 +80,9 @@ class Units:
         def among(chars):
             return "[" + re.escape("".join(sorted(chars))) + "]"
         plain = f"[^{SPACE}{re.escape(''.join([*lone, *sorted(marks), *soft]))}]"
-        item = "(?:" + "|".join([plain, *[f"(?<={among(before[c])}){re.escape(c)}" for c in soft if before[c]]]) + ")"
-        kinds = [f"{SPACE}*{plain}{item}*", *([f"{SPACE}*{among(marks)}+{item}*"] if marks else []),
+        behind = "|".join(f"(?<={among(before[c])}){re.escape(c)}" for c in soft if before[c])
+        item = f"(?:{plain}++" + (f"|(?={among(soft)})(?:{behind}))" if behind else ")")
+        kinds = [f"{SPACE}*{plain}++{item}*", *([f"{SPACE}*{among(marks)}+{item}*"] if marks else []),
                  *([f"{SPACE}*{among(soft)}{item}*"] if soft else []), *([among(lone)] if lone else []), f"{SPACE}+"]
         self.find = re.compile("|".join(kinds)).findall
 
