@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import decontaminate, langid, sentencepiece, simhash
-from vigil.llm.common import materialize
+from vigil.llm.common import materialize, small_batches
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told: no letter in the text."""
+    small_batches(spark)
     prototypes = langid.train(docs)
     found = langid.predict(docs, prototypes, out=("_lang_pred", "_lang_score"))
     return found.where(F.col("_lang_pred") != "und").select(*docs.columns)
@@ -23,17 +24,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each SimHash component."""
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs, shingle=3, radius=2)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item (containment 0.8 of its five-word shingles)."""
+    small_batches(spark)
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet").select("item_id", "text")
     return decontaminate.drop_contaminated(docs, items, width=5, least=0.8)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece counts, scores and checksums of every remaining document's encoding."""
+    small_batches(spark)
     import public_tokenizers
     pieces = sentencepiece.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
     return sentencepiece.encode(docs, pieces)

@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 from vigil.session import scratch_path
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python workers by so many rows at once, which bounds their memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def read_table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a given table (all columns when none are named)."""
+    small_batches(spark)
     df = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
 
