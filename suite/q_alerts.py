@@ -28,7 +28,7 @@ def j(path: str):
 
 
 # ---------------------------------------------------------------- A1 should_alert
-@query("a01_should_alert", sql=base_sql(False) + " SELECT 'log' AS channel, pipeline, status, 'vigil-' || pipeline AS dedup_key FROM a")
+@query("a01_should_alert", sql=base_sql(False) + " SELECT 'log' AS channel, pipeline, status, 'vigil-' || pipeline || '-static_status' AS dedup_key FROM a")
 def a01_should_alert(spark, sf):
     return outbox(spark, sf, [{"type": "log"}]).select("channel", "pipeline", "status", "dedup_key")
 
@@ -127,7 +127,7 @@ def a10_webhook(spark, sf):
 
 # ---------------------------------------------------------------- A11 opsgenie
 @query("a11_opsgenie", sql=base_sql(True) + """
-SELECT pipeline, text AS message, 'vigil-' || pipeline AS alias,
+SELECT pipeline, text AS message, 'vigil-' || pipeline || '-static_status' AS alias,
        'Pipeline ''' || pipeline || ''' is in state: ' || status || '. Details: ' || CASE WHEN message <> '' THEN message ELSE 'N/A' END AS description,
        CASE WHEN status = 'critical' THEN 'P2' ELSE 'P5' END AS priority, '["etl","prod"]' AS tags, 'vigil' AS source,
        CASE WHEN status <> 'critical' THEN 'close' END AS action FROM a
@@ -142,7 +142,7 @@ def a11_opsgenie(spark, sf):
 # ---------------------------------------------------------------- A12 victorops
 @query("a12_victorops", sql=base_sql(True) + """
 SELECT pipeline, CASE status WHEN 'ok' THEN 'RECOVERY' WHEN 'critical' THEN 'CRITICAL' ELSE 'WARNING' END AS message_type,
-       'vigil.' || pipeline AS entity_id, 'Pipeline: ' || pipeline AS entity_display_name, text AS state_message,
+       'vigil.' || pipeline || '.static_status' AS entity_id, 'Pipeline: ' || pipeline AS entity_display_name, text AS state_message,
        'vigil' AS monitoring_tool FROM a
 """)
 def a12_victorops(spark, sf):

@@ -139,6 +139,32 @@ def m21_active_tasks(spark, sf):
     return out(evaluate(specs, M.active_tasks(workers, "tasks"), as_of=EVENTS_AS_OF))
 
 
+# ---------------------------------------------------------------- M21 bound by the setting ``queue`` (V14 where it is unset)
+BOUND_SPECS = [("nightly-users", "user", 100.0, 400.0), ("second-users", "user", 0.0, None), ("nightly-tools", "tool", 1.0, None),
+               ("nightly-absent", "nobody", 1.0, None), ("user", None, 0.0, None)]
+
+
+@query("m21_bound_queue", sql=f"""
+WITH m AS (SELECT role AS queue, CAST(count(*) AS DOUBLE) AS n FROM conversations GROUP BY 1),
+j AS (SELECT s.pipeline, CASE WHEN s.queue IS NOT NULL THEN COALESCE(m.n, 0.0) END AS v, s.lo, s.hi
+      FROM {values(BOUND_SPECS, ["pipeline", "queue", "lo", "hi"])} LEFT JOIN m USING (queue))
+SELECT pipeline, 'active_tasks' AS "check",
+       CASE WHEN v IS NULL THEN 'unknown' WHEN v < lo OR v > hi THEN 'critical' ELSE 'ok' END AS status, v AS value, lo AS threshold,
+       CASE WHEN v IS NULL THEN 'active_tasks: missing setting ''queue'''
+            WHEN v < lo THEN 'active_tasks ' || {num('v')} || ' below minimum ' || {num('lo')}
+            WHEN v > hi THEN 'active_tasks ' || {num('v')} || ' above maximum ' || {num('hi')}
+            ELSE 'active_tasks ' || {num('v')} || ' within bounds' END AS message
+FROM j
+""")
+def m21_bound_queue(spark, sf):
+    conv = table(spark, sf, "conversations")
+    workers = conv.select(task_map(conv).alias("tasks"))
+    specs = specs_frame(spark, [{"pipeline": p, "check": "active_tasks", "threshold": lo, "max_threshold": hi,
+                                 "params": {"profile": "celery", "queue": queue}} for p, queue, lo, hi in BOUND_SPECS])
+    measures = M.bind(specs, M.active_tasks(workers, "tasks"), required=["active_tasks"])
+    return out(evaluate(specs, measures, as_of=EVENTS_AS_OF))
+
+
 # ---------------------------------------------------------------- M22 messages_in_window (V2 gt)
 M22_SPECS = [("signup", 10.0), ("view", None), ("click", 10.0), ("error", 12.0), ("purchase", None), ("refund", None)]
 

@@ -75,7 +75,7 @@ def test_opsgenie_and_slack_payloads(spark):
     og = {o["pipeline"]: json.loads(o["payload"]) for o in ob if o["channel"] == "opsgenie"}
     assert og["etl_hourly"]["priority"] == "P2" and "action" not in og["etl_hourly"]
     assert og["etl_daily"]["priority"] == "P5" and og["etl_daily"]["action"] == "close"
-    assert og["etl_daily"]["alias"] == "vigil-etl_daily" and og["etl_daily"]["tags"] == ["etl", "prod"]
+    assert og["etl_daily"]["alias"] == "vigil-etl_daily-c" and og["etl_daily"]["tags"] == ["etl", "prod"]
     sl = {o["pipeline"]: json.loads(o["payload"]) for o in ob if o["channel"] == "slack"}
     assert sl["etl_daily"]["text"].startswith(":white_check_mark: Pipeline: etl_daily\nStatus:   OK\nDetails:  ")
     assert sl["etl_hourly"]["text"].startswith(":red_circle: ")
@@ -137,3 +137,44 @@ def test_config_frames(spark):
     empty = config_frames(spark, {})
     assert empty.specs.count() == 0 and empty.channels == []
     assert route_alerts(results(spark), empty.channels).count() == 0
+
+
+def test_two_checks_of_a_pipeline_are_two_incidents(spark):
+    m = spark.createDataFrame([("p", "a", 0.0, None, None, None, None, True)], MEASURES)
+    r = evaluate(specs_frame(spark, [{"pipeline": "p", "check": "a"}, {"pipeline": "p", "check": "b"}]), m, as_of=AS_OF)
+    ob = route_alerts(r, [{"type": "opsgenie"}, {"type": "victorops"}]).collect()
+    assert {o["dedup_key"] for o in ob} == {"vigil-p-a", "vigil-p-b"}
+    assert {json.loads(o["payload"]).get("alias") for o in ob} - {None} == {"vigil-p-a", "vigil-p-b"}
+    assert {json.loads(o["payload"]).get("entity_id") for o in ob} - {None} == {"vigil.p.a", "vigil.p.b"}
+
+
+def test_settings_bind_specs_to_data(spark):
+    from vigil.operators import bind
+    m = spark.createDataFrame([("emails", "active_tasks", 1.0, None, None, None, None, True)], MEASURES)
+    specs = specs_frame(spark, [
+        {"pipeline": "nightly-mail", "check": "active_tasks", "threshold": 0, "max_threshold": 0, "queue": "emails", "profile": "celery"},
+        {"pipeline": "emails", "check": "active_tasks", "threshold": 0, "max_threshold": 0, "profile": "celery"},
+        {"pipeline": "idle", "check": "active_tasks", "threshold": 0, "max_threshold": 0, "queue": "none", "profile": "celery"},
+        {"pipeline": "blank", "check": "active_tasks", "threshold": 0, "max_threshold": 0, "queue": "", "profile": "celery"}])
+
+    def statuses(**kw):
+        return {r["pipeline"]: (r["status"], r["value"]) for r in evaluate(specs, bind(specs, m, **kw), as_of=AS_OF).collect()}
+    assert statuses() == {"nightly-mail": ("critical", 1.0), "emails": ("critical", 1.0), "idle": ("ok", 0.0), "blank": ("ok", 0.0)}
+    assert statuses(required=["active_tasks"]) == {
+        "nightly-mail": ("critical", 1.0), "emails": ("unknown", None), "idle": ("ok", 0.0), "blank": ("unknown", None)}
+
+
+def test_run_from_a_config(spark):
+    from vigil.plans.runner import run_config
+    messages = spark.createDataFrame([("orders", 1), ("orders", 2), ("mail", 3)], "q string, id int")
+    config = {"backend": "queue_depth", "alert_channels": ["log"], "pipelines": [
+        {"name": "nightly", "queue": "orders", "threshold": 2}, {"name": "mail", "threshold": 5},
+        {"name": "gone", "check": "row_count", "threshold": 1, "profile": "mysql"}]}
+    sources = {"queue_depth": {"df": messages, "key": "q"}, "row_count": {"df": messages, "key": "no_such_column"}}
+    run = run_config(spark, config, sources, as_of=AS_OF)
+    assert {r["pipeline"]: r["status"] for r in run.results.collect()} == {"nightly": "ok", "mail": "critical", "gone": "unknown"}
+    assert {r["pipeline"] for r in run.outbox.collect()} == {"mail", "gone"}
+    with pytest.raises(KeyError, match="rowcount"):
+        run_config(spark, {"pipelines": [{"name": "p", "check": "rowcount"}]}, sources)
+    with pytest.raises(KeyError, match="no source"):
+        run_config(spark, {"pipelines": [{"name": "p", "check": "total_lag"}]}, sources)

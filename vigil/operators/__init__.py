@@ -1,6 +1,7 @@
 """Measures M1-M33: ``measure(df, key, ...) -> DataFrame[MEASURES]``, all lazy."""
 
 from vigil.operators.base import guarded
+from vigil.operators.binding import KEY_SETTING, bind
 from vigil.operators.combined import measure_many, newest_row
 from vigil.operators.counts import (doc_count, file_count, index_count, keyed_scalar, kv_value, object_count,
                                     paged_count, queue_depth, row_count, sql_scalar, text_match_count, view_count)
@@ -20,5 +21,5 @@ __all__ = [
     "total_lag_received", "max_lag_ms", "shard_lags", "backlog", "backlog_until", "active_tasks",
     "messages_in_window", "recent_objects", "age_hours", "parse_instant", "latest_run", "latest_attempt",
     "json_number_measure", "json_truthy_measure", "state_code", "probe_status", "static_status", "measure_many",
-    "newest_row", "guarded",
+    "newest_row", "guarded", "bind", "KEY_SETTING",
 ]

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.schema import MEASURES, SOURCE_ERROR
 
@@ -87,6 +88,30 @@ def hours_between(start: Column, end: Column) -> Column:
     return micros_between(start, end).cast("double") / F.lit(3.6e9)
 
 
+def packed(df: DataFrame, ts: str | Column, tiebreak: str | Column | None = None) -> Column | None:
+    """Time, then an integer tie-breaker, as one decimal: a fixed-width order, so "newest"
+    is a hash aggregate (a struct order would sort every task's rows first). A missing time
+    or tie-breaker orders below any other. None for columns of other types."""
+    tie = F.lit(0) if tiebreak is None else as_col(tiebreak)
+    kinds = [f.dataType for f in df.select(as_col(ts).alias("t"), tie.alias("k")).schema]
+    if not isinstance(kinds[0], (T.TimestampNTZType, T.TimestampType, T.DateType)) or not isinstance(kinds[1], T.IntegralType):
+        return None
+    micros = F.coalesce(epoch_micros(as_col(ts)), F.lit(-(1 << 62)))
+    tie = F.coalesce(tie.cast("long"), F.lit(-(1 << 63)))
+    return micros.cast("decimal(19,0)") * F.lit(str(2 * 10**19)).cast("decimal(20,0)") + tie.cast("decimal(19,0)")
+
+
+def newest_number(df: DataFrame, key: str | Column, ts: str | Column, value: Column,
+                  tiebreak: str | Column | None = None) -> DataFrame:
+    """``(pipeline, v, t)``: number and time of each key's newest row; a NULL number stays NULL."""
+    t, order = as_col(ts), packed(df, ts, tiebreak)
+    grouped = df.groupBy(as_col(key).alias("pipeline"))
+    if order is not None:
+        return grouped.agg(F.max_by(value, order).alias("v"), F.max(t).alias("t"))
+    by = [t] + ([as_col(tiebreak)] if tiebreak is not None else [])
+    return grouped.agg(latest(by, value.alias("v"), t.alias("t")).alias("p")).select("pipeline", "p.v", "p.t")
+
+
 def guarded(spark, build, check: str, specs: DataFrame | None = None) -> DataFrame:
     """V14 "source error => unknown" for one check: ``build()`` constructs the
     check's measures; if that fails while planning (missing table, path or

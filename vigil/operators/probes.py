@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.jsonpath import json_number, json_truthiness, json_value
-from vigil.operators.base import as_col, latest, to_measures
+from vigil.operators.base import as_col, latest, newest_number, to_measures
 
 
 def _newest(probes: DataFrame, key, ts, tiebreak, **cols: Column) -> DataFrame:
@@ -40,8 +40,8 @@ def json_truthy_measure(probes: DataFrame, key: str | Column, doc: str | Column,
 def state_code(probes: DataFrame, key: str | Column, code: str | Column = "code", ts: str | Column = "ts",
                tiebreak: str | Column | None = None, check: str = "state_code") -> DataFrame:
     """The newest health code per service (compare with ``eq``, 1 = serving)."""
-    newest = _newest(probes, key, ts, tiebreak, c=as_col(code).cast("double"))
-    return to_measures(newest, check, value=F.col("p.c"), observed_at=F.col("p._ts"))
+    newest = newest_number(probes, key, ts, as_col(code).cast("double"), tiebreak)
+    return to_measures(newest, check, value=F.col("v"), observed_at=F.col("t"))
 
 
 def probe_status(probes: DataFrame, key: str | Column, code: str | Column = "code", body: str | Column = "body",

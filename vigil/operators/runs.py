@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.base import as_col, latest, to_measures
+from vigil.operators.base import as_col, latest, packed, to_measures
 
 
 def latest_run(runs: DataFrame, job: str | Column = "job", started: str | Column = "started",
                run_id: str | Column = "run_id", state: str | Column = "state", life_cycle: str | Column | None = None,
                duration_ms: str | Column | None = None, check: str = "latest_run") -> DataFrame:
-    """The newest run per job (start time, then run id). ``max_by`` over a
-    struct instead of ``row_number`` over each job's whole history: no sort, and
-    one candidate per job per task crosses the shuffle."""
-    fields = [as_col(state).cast("string").alias("state"), as_col(started).alias("started")]
-    fields.append((F.lit(None) if life_cycle is None else as_col(life_cycle)).cast("string").alias("life_cycle"))
-    fields.append((F.lit(None) if duration_ms is None else as_col(duration_ms)).cast("double").alias("duration"))
-    agg = runs.groupBy(as_col(job).alias("pipeline")).agg(
-        latest([as_col(started), as_col(run_id)], *fields).alias("r"))
+    """The newest run per job (start time, then run id). The newest per job and state
+    comes first (a hash aggregate, as the states of a job are few), then the newest of a
+    job's states; no task sorts or windows the run history."""
+    fields = [(F.lit(None) if life_cycle is None else as_col(life_cycle)).cast("string").alias("life_cycle"),
+              (F.lit(None) if duration_ms is None else as_col(duration_ms)).cast("double").alias("duration")]
+    rows = runs.select(as_col(job).alias("pipeline"), as_col(state).cast("string").alias("state"), *fields,
+                       as_col(started).alias("started"), as_col(run_id).alias("run_id"))
+    order = packed(rows, "started", "run_id")
+    if order is None:  # run ids of another type
+        agg = rows.groupBy("pipeline").agg(latest([F.col("started"), F.col("run_id")], F.col("state"), F.col("started"),
+                                                  F.col("life_cycle"), F.col("duration")).alias("r"))
+    else:
+        per_state = rows.groupBy("pipeline", "state", "life_cycle").agg(
+            F.max_by("duration", order).alias("duration"), F.max("started").alias("started"), F.max(order).alias("o"))
+        agg = per_state.groupBy("pipeline").agg(
+            F.max_by(F.struct("state", "started", "life_cycle", "duration"), "o").alias("r"))
     return to_measures(agg, check, state=F.col("r.state"), raw=F.col("r.life_cycle"),
                        value=F.col("r.duration"), observed_at=F.col("r.started"))
 

@@ -1,10 +1,10 @@
 """Metric-series family: M9-M15.
 
-"Latest" and "first" are ``max_by`` / ``min_by`` over a struct order with a
-tie-breaker, never a sort or a window over a whole key: each task keeps one
-candidate per key, so a key holding a third of all points is reduced before
-the shuffle. The value is wrapped in a struct so a NULL value of the newest row
-is kept (and reads as unknown) instead of falling back to an older row.
+"Latest" (M9, M12) is ``max_by`` of a number over a fixed-width order, a hash aggregate:
+each task keeps one candidate per key, so a key holding a third of all points is reduced
+before the shuffle. "First" and "last" over any order and text (M13-M15) are ``min_by`` /
+``max_by`` over structs; Spark sorts each task's rows by key for these before it
+pre-aggregates. A NULL value of the newest row is kept (and reads as unknown).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.jsonpath import json_has, json_value
-from vigil.operators.base import as_col, earliest, epoch_micros, latest, micros_between, to_measures
+from vigil.operators.base import as_col, earliest, latest, micros_between, newest_number, to_measures
 
 # Statistics a period can be summarised by.
 STATS = ("Sum", "Average", "Minimum", "Maximum", "SampleCount")
@@ -22,10 +22,8 @@ STATS = ("Sum", "Average", "Minimum", "Maximum", "SampleCount")
 def latest_point(points: DataFrame, key: str | Column, ts: str | Column = "ts", value: str | Column = "value",
                  tiebreak: str | Column | None = None, check: str = "latest_point") -> DataFrame:
     """M9: the newest point's value per series; a NULL value stays NULL."""
-    order = [as_col(ts)] + ([as_col(tiebreak)] if tiebreak is not None else [])
-    agg = points.groupBy(as_col(key).alias("pipeline")).agg(
-        latest(order, as_col(value).try_cast("double").alias("v"), as_col(ts).alias("t")).alias("p"))
-    return to_measures(agg, check, value=F.col("p.v"), observed_at=F.col("p.t"))
+    agg = newest_number(points, key, ts, as_col(value).try_cast("double"), tiebreak)
+    return to_measures(agg, check, value=F.col("v"), observed_at=F.col("t"))
 
 
 def trailing_range(points: DataFrame, as_of: Column, minutes: float, ts: str | Column = "ts") -> DataFrame:
@@ -79,15 +77,13 @@ def windowed_stat(points: DataFrame, key: str | Column, as_of: Column, period_se
 def instant_vector(points: DataFrame, key: str | Column, series: str | Column, ts: str | Column = "ts",
                    value: str | Column = "value", tiebreak: str | Column | None = None,
                    check: str = "instant_vector") -> DataFrame:
-    """Of the series whose label equals the pipeline (``key``), the first
-    series in label order, and its newest sample. One aggregate: the struct order
-    is (series ascending, time descending)."""
-    t = as_col(ts)
-    order = [as_col(series), -epoch_micros(t)]
-    if tiebreak is not None:
-        order.append(-as_col(tiebreak))
-    agg = points.groupBy(as_col(key).alias("pipeline")).agg(
-        earliest(order, as_col(value).try_cast("double").alias("v"), t.alias("t")).alias("p"))
+    """Of the series whose label equals the pipeline (``key``), the first in label
+    order, and its newest sample: the newest per series (a hash aggregate over the
+    points), then the first of a pipeline's series."""
+    per_series = newest_number(points, F.struct(as_col(key).alias("key"), as_col(series).alias("series")), ts,
+                               as_col(value).try_cast("double"), tiebreak)
+    agg = per_series.groupBy(F.col("pipeline.key").alias("pipeline")).agg(
+        earliest([F.col("pipeline.series")], F.col("v"), F.col("t")).alias("p"))
     return to_measures(agg, check, value=F.col("p.v"), observed_at=F.col("p.t"))
 
 

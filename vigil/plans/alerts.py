@@ -64,6 +64,11 @@ def _nonempty(c: Column, fallback: str) -> Column:
     return F.when(F.coalesce(c, F.lit("")) != F.lit(""), c).otherwise(F.lit(fallback))
 
 
+def _incident(ctx: dict, mark: str) -> Column:
+    """What an incident is known by: results are per pipeline and check."""
+    return F.concat(F.lit(f"{APP}{mark}"), ctx["pipeline"], F.lit(mark), F.coalesce(ctx["check"], F.lit("")))
+
+
 def render_slack(ctx: dict) -> Column:
     emoji = F.when(ctx["healthy"], F.lit(SLACK_OK_EMOJI)).otherwise(F.lit(SLACK_FAIL_EMOJI))
     return F.to_json(F.struct(
@@ -106,7 +111,7 @@ def render_opsgenie(ctx: dict) -> Column:
     tags = F.filter(F.split(_param(ctx, "tags", ""), ","), lambda x: x != F.lit(""))
     return F.to_json(F.struct(
         ctx["text"].alias("message"),
-        F.concat(F.lit(f"{APP}-"), ctx["pipeline"]).alias("alias"),
+        _incident(ctx, "-").alias("alias"),
         F.concat(F.lit("Pipeline '"), ctx["pipeline"], F.lit("' is in state: "), ctx["status"],
                  F.lit(". Details: "), _nonempty(ctx["message"], "N/A")).alias("description"),
         F.when(failing, _param(ctx, "priority", OPSGENIE_PRIORITY)).otherwise(F.lit(OPSGENIE_RESOLVED_PRIORITY)).alias("priority"),
@@ -120,7 +125,7 @@ def render_victorops(ctx: dict) -> Column:
     kind = F.coalesce(F.element_at(_lit_map(VICTOROPS_TYPES), ctx["status"]), F.lit(VICTOROPS_DEFAULT))
     return F.to_json(F.struct(
         kind.alias("message_type"),
-        F.concat(F.lit(f"{APP}."), ctx["pipeline"]).alias("entity_id"),
+        _incident(ctx, ".").alias("entity_id"),
         F.concat(F.lit("Pipeline: "), ctx["pipeline"]).alias("entity_display_name"),
         ctx["text"].alias("state_message"),
         F.lit(APP).alias("monitoring_tool"),
@@ -253,6 +258,6 @@ def route_alerts(results: DataFrame, channels: Iterable[Mapping], alert_on_healt
         F.col("recipient"),
         F.col("pipeline"),
         F.col("status"),
-        F.concat(F.lit(f"{APP}-"), F.col("pipeline")).alias("dedup_key"),
+        _incident(ctx, "-").alias("dedup_key"),
         payload.alias("payload"),
     )

@@ -9,13 +9,16 @@ re-running the scans.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from vigil.plans.alerts import route_alerts
 from vigil.plans.evaluate import check_all
+from vigil.plans.registry import get_check
 from vigil.plans.report import run_report
+from vigil.plans.specs import config_frames
 from vigil.session import ensure_checkpoint_dir
 from vigil.sources.sinks import write_outbox
 
@@ -41,3 +44,29 @@ def run_checks(specs: DataFrame, measures, channels, as_of=None, defaults=None,
         write_outbox(outbox, outbox_path, mode="overwrite")
         outbox = results.sparkSession.read.schema(outbox.schema).json(outbox_path)
     return Run(results=results, outbox=outbox, report=run_report(results, outbox))
+
+
+def run_config(spark: SparkSession, config: Mapping, sources: Mapping[str, Mapping], as_of=None,
+               required: Iterable[str] = (), outbox_path: str | None = None) -> Run:
+    """A whole run from a parsed config: its checks by name, each measured once for all its
+    pipelines with the arguments ``sources[check]``, bound to the specs' settings, evaluated
+    and routed. A check that is not registered, or has no source, is an error; a source that
+    can't be read makes its own pipelines unknown."""
+    from vigil.operators import bind, guarded
+    cfg = config_frames(spark, config)
+    names = sorted({p.get("check") or config.get("backend") for p in config.get("pipelines") or []})
+    checks = {name: get_check(name) for name in names}
+    if lacking := [name for name in names if name not in sources]:
+        raise KeyError(f"no source given for {', '.join(lacking)}")
+    if not names:
+        raise ValueError("the config has no pipelines")
+    needed = set(required)
+    measures = []
+    for name, measure in checks.items():
+        of_check = cfg.specs.where(cfg.specs["check"] == name)
+
+        def build(name=name, measure=measure, of_check=of_check):
+            return bind(of_check, measure(**sources[name]), required=needed & {name})
+        measures.append(guarded(spark, build, name, cfg.specs))
+    return run_checks(cfg.specs, measures, cfg.channels, as_of=as_of, defaults=cfg.defaults,
+                      alert_on_healthy=bool(config.get("alert_on_healthy")), outbox_path=outbox_path)

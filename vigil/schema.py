@@ -48,6 +48,8 @@ RESULTS = T.StructType([
 
 # State of a measure whose source could not be read: unknown under every profile.
 SOURCE_ERROR = "#source error"
+# State of a measure whose spec lacks a required setting (named in ``raw``): unknown as well.
+MISSING_SETTING = "#missing setting"
 
 OUTBOX = T.StructType([
     T.StructField("channel", T.StringType(), True),
