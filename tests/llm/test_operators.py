@@ -246,6 +246,17 @@ def test_decontamination_against_brute_force(frame):
     assert decontaminate.contaminated(frame([], "doc_id long, text string"), items_df).collect() == []
 
 
+def test_decontamination_of_items_that_share_an_id(frame):
+    a, b = prose(500, 40).split(), prose(501, 40).split()
+    twins = [(i, " ".join(w)) for i in (1, None) for w in (a, b)]
+    assert len({tuple(a[i:i + 5]) for i in range(36)}) == len({tuple(b[i:i + 5]) for i in range(36)}) == 36  # one size
+    docs = [(1, " ".join(a[:22] + ["-"] + b[:22])), (2, " ".join(a) + " x"), (3, prose(7, 100))]
+    df, items = frame(docs, "doc_id long, text string"), frame(twins, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["containment"] for r in decontaminate.contaminated(df, items).collect()}
+    assert got == {(2, 1): 1.0, (2, None): 1.0}
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(df, items).collect()) == [1, 3]
+
+
 # --- 9 suffix tree
 def test_suffix_tree(frame):
     cycle = "a b c d " * 300

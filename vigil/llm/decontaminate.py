@@ -46,31 +46,34 @@ def with_shingles(df: DataFrame, text: str, width: int, out: str) -> DataFrame:
 
 
 def sketches(items: DataFrame, least: float) -> DataFrame:
-    """``items(item, words, grams, n)`` -> ``(item, h)``: each item's sketch."""
+    """``items(key, grams, hashes, n)`` -> ``(key, h)``: each item's sketch."""
     top = F.pow(F.lit(2), F.ceil(F.log2(F.col("n"))))  # largest size of the item's partition
     k = (F.floor((1 - least) * top + 1e-9) + 1).cast("int")
-    return items.select("item", F.explode(F.slice(F.array_sort(F.array_distinct("hashes")), F.lit(1), k)).alias("h"))
+    return items.select("key", F.explode(F.slice(F.array_sort(F.array_distinct("hashes")), F.lit(1), k)).alias("h"))
 
 
 def contaminated_texts(docs: DataFrame, items: DataFrame, width: int = 5, least: float = 0.8, item_col: str = "item_id",
                        text: str = "text", item_text: str = "text") -> DataFrame:
     """``(text_key, item, containment)``: which distinct texts hold which items."""
-    known = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("a"), F.col(item_text).alias("b"))
-    known = with_hashes(with_shingles(known, "a", width, "grams"), "b", width, "hashes")
-    known = known.withColumn("grams", F.array_distinct("grams"))
-    known = materialize(known.withColumn("n", F.size("grams")), "items").where("n > 0").distinct()
-    sketch = materialize(sketches(known, least).distinct(), "sketches")
+    named = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("a"), F.col(item_text).alias("b"))
+    named = with_hashes(with_shingles(named, "a", width, "grams"), "b", width, "hashes")
+    named = named.withColumn("grams", F.array_distinct("grams"))
+    # an item is known by its shingles: ids may be null or stand for several items
+    named = named.withColumn("key", F.md5(F.array_join("grams", "\n")))
+    named = materialize(named.withColumn("n", F.size("grams")), "items").where("n > 0")
+    known = named.select("key", "grams", "hashes", "n").dropDuplicates(["key"])
+    sketch = materialize(sketches(known, least), "sketches")
     texts = docs.where(F.col(text).isNotNull()).select(F.md5(text).alias("text_key"), F.col(text).alias("body"))
     found = (with_hashes(texts, "body", width, "hs").select("text_key", F.explode_outer("hs").alias("h"))
-             .join(sketch, "h").select("text_key", "item").distinct())
+             .join(sketch, "h").select("text_key", "key").distinct())
     found = materialize(found, "candidates")
     # verified on the shingles themselves; only those an item has go on, so texts are never shuffled
-    grams = known.select("item", "n", F.explode("grams").alias("gram"))
+    grams = known.select("key", "n", F.explode("grams").alias("gram"))
     shared = (with_shingles(texts, "body", width, "held").select("text_key", F.explode_outer("held").alias("gram"))
-              .join(materialize(grams, "item-shingles"), "gram").select("text_key", "item", "n", "gram").distinct())
-    held = shared.groupBy("text_key", "item", "n").agg((F.count("*") / F.col("n")).alias("containment")).where(F.col("containment") >= least)
-    candidate = (held["text_key"] == found["text_key"]) & held["item"].eqNullSafe(found["item"])
-    return materialize(held.join(found, candidate, "left_semi").groupBy("text_key", "item")
+              .join(materialize(grams, "item-shingles"), "gram").select("text_key", "key", "n", "gram").distinct())
+    held = shared.groupBy("text_key", "key", "n").agg((F.count("*") / F.col("n")).alias("containment")).where(F.col("containment") >= least)
+    ids = named.select("key", "item").distinct()
+    return materialize(held.join(found, ["text_key", "key"], "left_semi").join(ids, "key").groupBy("text_key", "item")
                        .agg(F.max("containment").alias("containment")), "contaminated")
 
 
