@@ -36,11 +36,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece counts, scores and checksums of every remaining document's encoding."""
+    """Encodes and decodes every remaining document: piece counts, scores, checksums and digests of the restored texts."""
     small_batches(spark)
     import public_tokenizers
     pieces = sentencepiece.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    return sentencepiece.encode(docs, pieces)
+    return sentencepiece.round_trip(docs, pieces)
 
 
 STAGES = [("language_id", language_stage), ("simhash_dedup", near_duplicate_stage),

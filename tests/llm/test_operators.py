@@ -319,6 +319,19 @@ def test_sentencepiece_lattice_and_round_trip(frame, spark):
     assert sentencepiece.encode(frame([], "doc_id long, text string"), pieces).collect() == []
 
 
+def test_sentencepiece_round_trip_is_derived_from_the_ids(frame, spark):
+    pieces = sentencepiece.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    docs = [(1, prose(1, 80)), (2, None), (3, ""), (4, "  two  blanks\n\tand \u2603 \u6f22 e\u0301 "), (None, "x" * 300), (6, "a b"), (6, "a b")]
+    df = frame(docs, "doc_id long, text string")
+    sums = ["doc_id", "n_units", "n_pieces", "score", "ids_checksum"]
+    for dictionary in (3, 400_000):
+        got = sentencepiece.round_trip(df, pieces, dictionary=dictionary)
+        assert sorted((str(r["doc_id"]), r["restored_md5"]) for r in got.collect()) == sorted(
+            (str(i), hashlib.md5((t or "").encode()).hexdigest()) for i, t in docs)
+        assert sorted(map(str, got.select(*sums).collect())) == sorted(map(str, sentencepiece.encode(df, pieces).select(*sums).collect()))
+    assert sentencepiece.round_trip(frame([], "doc_id long, text string"), pieces).collect() == []
+
+
 # --- pipeline
 def test_pipeline_keeps_clean_documents(frame, spark, tmp_path):
     import corpus_pipeline

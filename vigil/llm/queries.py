@@ -121,7 +121,7 @@ def op9_suffix_tree_scores(spark, sf):
 def op10_sentencepiece(spark, sf):
     import public_tokenizers
     pieces = sentencepiece.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    return sentencepiece.encode(read_table(spark, sf, "documents", "doc_id", "text"), pieces)
+    return sentencepiece.round_trip(read_table(spark, sf, "documents", "doc_id", "text"), pieces)
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_token_files, op3_language_id, op4_warc_index, op5_license_scan,

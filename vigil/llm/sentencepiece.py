@@ -11,7 +11,8 @@ Documents then look their units up: the units whose count reaches a threshold th
 ``dictionary`` units reach are broadcast, all others come by a join on the unit. Per document
 come the number of pieces, its score and a checksum over all (id, place) pairs, the
 place being 4 * character offset + byte within a character: it tells any other order.
-``encode`` gives the pieces themselves, ``decode`` turns them back into texts.
+``encode`` gives these sums from the units; ``encode_pieces`` writes every document's ids, ``decode``
+turns them back into texts, and ``round_trip`` derives the same sums and a digest of the restored text from the written ids.
 
 A model of type BPE has merge ranks instead of log probabilities; ``piece_table`` scores
 them -100000 - rank (sums stay exact): fewer pieces win, then smaller ranks. That is a Viterbi reading of the
@@ -24,6 +25,7 @@ differing edge starts earlier. An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from itertools import chain, repeat
@@ -31,7 +33,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -181,13 +183,8 @@ def vocabulary(texts: DataFrame, pieces: DataFrame, cut: Units) -> DataFrame:
     return materialize(found.select("unit", "n", "score", "ids", one.alias("id_sum"), placed.alias("place_sum")), "units")
 
 
-def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str = "text", dictionary: int = 150_000) -> DataFrame:
-    """Per document: id, n_units, n_pieces, score and ids_checksum of its encoding."""
-    spark = docs.sparkSession
-    cut = Units([r["piece"] for r in pieces.where("byte is null").select("piece").collect()])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("body"))
-    vocab = vocabulary(rows.select("body"), pieces, cut)
-    # the smallest count that at most ``dictionary`` units reach
+def frequent_units(vocab: DataFrame, dictionary: int) -> Column:
+    """Whether a unit reaches the smallest count that at most ``dictionary`` units reach."""
     tally = vocab.where(F.char_length("unit") <= LONG_UNIT).groupBy("n").agg(F.count("*").alias("units")).orderBy(F.col("n").desc())
     least, taken = None, 0
     for r in tally.toLocalIterator():
@@ -195,7 +192,16 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str
         if taken > dictionary:
             break
         least = r["n"]
-    frequent = (F.col("n") >= F.lit(least)) & (F.char_length("unit") <= LONG_UNIT) if least is not None else F.lit(False)
+    return (F.col("n") >= F.lit(least)) & (F.char_length("unit") <= LONG_UNIT) if least is not None else F.lit(False)
+
+
+def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str = "text", dictionary: int = 150_000) -> DataFrame:
+    """Per document: id, n_units, n_pieces, score and ids_checksum of its encoding."""
+    spark = docs.sparkSession
+    cut = Units([r["piece"] for r in pieces.where("byte is null").select("piece").collect()])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("body"))
+    vocab = vocabulary(rows.select("body"), pieces, cut)
+    frequent = frequent_units(vocab, dictionary)
     top = vocab.where(frequent).select("unit", F.size("ids").alias("k"), "score", "id_sum", "place_sum").toPandas()
     shared = spark.sparkContext.broadcast((cut, top["unit"].tolist(), top["k"].to_numpy(np.int64), top["score"].to_numpy(np.float64),
                                            top["id_sum"].to_numpy(np.int64), top["place_sum"].to_numpy(np.int64)))
@@ -243,40 +249,135 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str
                                   F.sum("total").alias("score"), (F.sum("c") % m).alias("ids_checksum")).drop("row")
 
 
-def encode_pieces(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(row, id, ids)``: the piece ids of every document, one row each."""
+def _bounded(batch, rows: int = 128):
+    """A batch's rows by so many at once."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays), pa.int32()))
+
+
+def encode_pieces(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str = "text", dictionary: int = 150_000) -> DataFrame:
+    """``(id, n_units, ids)``: the piece ids of every document, one written row each."""
     cut = Units([r["piece"] for r in pieces.where("byte is null").select("piece").collect()])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("body"))
-    vocab = vocabulary(rows.select("body"), pieces, cut).select("unit", "ids")
-    shared = docs.sparkSession.sparkContext.broadcast(cut)
-    schema = rows.select("id").schema.add("row", "long").add("unit", "string").add("at", ArrayType(IntegerType()))
+    vocab = vocabulary(rows.select("body"), pieces, cut)
+    frequent = frequent_units(vocab, dictionary)
+    top = vocab.where(frequent).select("unit", "ids").toPandas()
+    size = np.array([len(x) for x in top["ids"]], dtype=np.int64)
+    pool = np.concatenate([np.zeros(1, np.int32), *top["ids"]]).astype(np.int32)  # place 0 is for units not in the dictionary
+    shared = docs.sparkSession.sparkContext.broadcast((cut, top["unit"].tolist(), pool, size, 1 + np.cumsum(size) - size))
+    names = ["id", "row", "n_units", "ids", "no", "unit"]
+    schema = rows.select("id").schema.add("row", "long").add("n_units", "long").add("ids", ArrayType(IntegerType())).add(
+        "no", "integer").add("unit", "string")
 
     def run(batches):
-        row, cut = TaskContext.get().partitionId() << 33, shared.value
+        """A row per document, with -1 - no where its other unit ``no`` belongs, and a row per other unit."""
+        cut, words, pool, size, begin = shared.value
+        index = {w: i for i, w in enumerate(words)}
+        size, begin = np.append(size, 1), np.append(begin, 0)  # the last, -1: not in the dictionary
+        row, none = TaskContext.get().partitionId() << 33, np.zeros(0, np.int32)
         for batch in batches:
-            for name, text in zip(batch.column(0), batch.column(1)):
-                places: dict[str, list[int]] = {}
-                for i, u in enumerate(cut.of(text.as_py())):
-                    places.setdefault(u, []).append(i)
-                n = len(places)
+            for some in _bounded(batch):
+                held: list[list] = [[], [], [], [], [], []]
+                for name, text in zip(some.column(0).to_pylist(), some.column(1)):
+                    units = cut.of(text.as_py())
+                    which = np.fromiter(map(index.get, units, repeat(-1)), np.int64, len(units))
+                    count = size[which]
+                    first = np.cumsum(count) - count
+                    ids = pool[np.repeat(begin[which] - first, count) + np.arange(count.sum())]
+                    others: dict[str, int] = {}
+                    for i in np.flatnonzero(which < 0).tolist():
+                        ids[first[i]] = -1 - others.setdefault(units[i], len(others))
+                    n = len(others)
+                    for column, values in zip(held, ([name] * (n + 1), [row] * (n + 1), [len(units), *[None] * n], [ids, *[none] * n],
+                                                     [None, *range(n)], [None, *others])):
+                        column += values
+                    row += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name.as_py()] * (n + 1), batch.schema.field(0).type), pa.array([row] * (n + 1), pa.int64()),
-                     pa.array([*places, f" {row}"], pa.string()), pa.array([*places.values(), []], pa.list_(pa.int32()))],
-                    names=["id", "row", "unit", "at"])
-                row += 1
-    met = rows.mapInArrow(run, schema).join(vocab, "unit", "left")
-    grouped = met.groupBy("row").agg(F.max("id").alias(id_col), F.flatten(F.array_sort(F.flatten(F.collect_list(F.transform(
-        "at", lambda i: F.struct(i.alias("i"), F.col("ids").alias("ids"))))))["ids"]).alias("ids"))
-    return grouped.select(id_col, "ids")
+                    [pa.array(held[0], some.schema.field(0).type), pa.array(held[1], pa.int64()), pa.array(held[2], pa.int64()),
+                     _lists(held[3]), pa.array(held[4], pa.int32()), pa.array(held[5], pa.string())], names=names)
+    parts = materialize(rows.mapInArrow(run, schema), "known-ids")
+    others = parts.where("no is not null").select("row", "no", "unit").join(vocab.where(~frequent).select("unit", "ids"), "unit")
+    others = others.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("others"))
+    met = parts.where("no is null").select("id", "row", "n_units", "ids").join(others, "row", "left").select(
+        "id", "n_units", "ids", F.col("others.ids").alias("others"))
+
+    def put(batches):
+        for batch in batches:
+            for some in _bounded(batch):
+                whole = []
+                for at in range(some.num_rows):
+                    ids = some.column(2)[at].values.to_numpy(zero_copy_only=False)
+                    marks = np.flatnonzero(ids < 0)
+                    if len(marks):
+                        others, out, last = some.column(3)[at].values, [], 0
+                        ends, flat = others.offsets.to_numpy(), others.values.to_numpy(zero_copy_only=False)
+                        for place, no in zip(marks.tolist(), (-1 - ids[marks]).tolist()):
+                            out += [ids[last:place], flat[ends[no]:ends[no + 1]]]
+                            last = place + 1
+                        ids = np.concatenate([*out, ids[last:]])
+                    whole.append(ids)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), _lists(whole)], names=["id", "n_units", "ids"])
+    done = met.mapInArrow(put, met.select("id", "n_units", "ids").schema)
+    return materialize(done.select(F.col("id").alias(id_col), "n_units", "ids"), "piece-ids")
+
+
+def _piece_bytes(pieces: DataFrame) -> dict[int, bytes]:
+    return {r["id"]: r["piece"].encode("utf-8") if r["byte"] is None else bytes([r["byte"]]) for r in pieces.collect()}
+
+
+def _restored(ids: list[int], table: dict[int, bytes]) -> str:
+    body = b"".join([table.get(i, b"") for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
+    return body[1:] if body.startswith(" ") else body
 
 
 def decode(encoded: DataFrame, pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, ids)`` -> ``(id, text)``: pieces looked up by id, byte pieces joined to characters."""
-    table = pieces.select("id", F.coalesce(F.lpad(F.hex("byte"), 2, "0"), F.hex(F.encode("piece", "UTF-8"))).alias("hexed"))
-    rows = encoded.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), "ids")
-    rows = rows.select("_row", "_id", F.posexplode_outer("ids").alias("_pos", "id"))
-    met = rows.join(F.broadcast(table), "id", "left").groupBy("_row").agg(
-        F.max("_id").alias("_id"), F.array_sort(F.collect_list(F.struct("_pos", "hexed"))).alias("p"))
-    joined = F.decode(F.unhex(F.array_join(F.col("p.hexed"), "")), "UTF-8")
-    body = F.regexp_replace(F.translate(joined, SPACE, " "), "^ ", "")
-    return met.select(F.col("_id").alias(id_col), F.coalesce(body, F.lit("")).alias("text"))
+    shared = encoded.sparkSession.sparkContext.broadcast(_piece_bytes(pieces))
+    rows = encoded.select(F.col(id_col), "ids")
+
+    def run(batches):
+        for batch in batches:
+            for some in _bounded(batch):
+                bodies = [_restored(ids or [], shared.value) for ids in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(bodies, pa.string())], names=[id_col, "text"])
+    return rows.mapInArrow(run, rows.select(id_col, F.lit("").alias("text")).schema)
+
+
+def round_trip(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str = "text", dictionary: int = 150_000) -> DataFrame:
+    """Per document, from its written ids alone: id, n_units, n_pieces, score and ids_checksum
+    (those of ``encode``) and the MD5 of the text decoded from them."""
+    encoded = encode_pieces(docs, pieces, id_col, text, dictionary)
+    rows = pieces.collect()
+    fallback = min((r["score"] for r in rows), default=0.0) - 10.0
+    top = 1 + max((r["id"] for r in rows), default=0)
+    step, weight, inner = np.zeros(top, np.int64), np.zeros(top), np.zeros(top, bool)
+    for r in rows:
+        byte = r["byte"]
+        inner[r["id"]] = byte is not None and byte & 0xC0 == 0x80  # goes on with a character
+        step[r["id"]] = len(r["piece"]) if byte is None else not inner[r["id"]]
+        weight[r["id"]] = r["score"] if byte is None else 0.0 if inner[r["id"]] else fallback
+    shared = docs.sparkSession.sparkContext.broadcast((_piece_bytes(pieces), step, weight, inner))
+    names = [id_col, "n_units", "n_pieces", "score", "ids_checksum", "restored_md5"]
+    schema = encoded.select(id_col, "n_units").schema.add("n_pieces", "long").add("score", "double").add(
+        "ids_checksum", "long").add("restored_md5", "string")
+
+    def run(batches):
+        table, step, weight, inner = shared.value
+        for batch in batches:
+            n, total, sums, restored = [], [], [], []
+            for at in range(batch.num_rows):
+                ids = batch.column(2)[at].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                ahead, order = np.cumsum(step[ids]), np.arange(len(ids))
+                lead = np.maximum.accumulate(np.where(inner[ids], 0, order)) if len(ids) else order
+                places = 4 * (ahead - step[ids])[lead] + order - lead
+                n.append(len(ids))
+                total.append(float(weight[ids].sum()))
+                sums.append(int(((ids + 1) * (places + 1) % MODULUS).sum() % MODULUS))
+                restored.append(hashlib.md5(_restored(ids.tolist(), table).encode("utf-8")).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(total, pa.float64()),
+                                              pa.array(sums, pa.int64()), pa.array(restored, pa.string())], names=names)
+    return encoded.mapInArrow(run, schema)
