@@ -332,6 +332,20 @@ def test_sentencepiece_round_trip_is_derived_from_the_ids(frame, spark):
     assert sentencepiece.round_trip(frame([], "doc_id long, text string"), pieces).collect() == []
 
 
+def test_sentencepiece_of_long_runs(frame, spark):
+    pieces = sentencepiece.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    table = [tuple(r) for r in pieces.collect()]
+    least = min(r[2] for r in table)
+    rng = random.Random(5)
+    short = [(1, "=" * 300), (2, "".join(rng.choices("ACGT", k=400))), (3, "a" * 130)]
+    want = [(i, [x for x, _ in brute_encode(t, table, least)[0]]) for i, t in short]
+    got = sentencepiece.encode_pieces(frame(short, "doc_id long, text string"), pieces).collect()
+    assert sorted((r["doc_id"], list(r["ids"])) for r in got) == want
+    long = [(1, "x" * 100_000), (2, "".join(rng.choices("ACGT", k=100_000))), (3, "a b")]
+    out = sentencepiece.round_trip(frame(long, "doc_id long, text string"), pieces).collect()
+    assert {r["doc_id"]: r["restored_md5"] for r in out} == {i: hashlib.md5(t.encode()).hexdigest() for i, t in long}
+
+
 # --- pipeline
 def test_pipeline_keeps_clean_documents(frame, spark, tmp_path):
     import corpus_pipeline

@@ -5,6 +5,7 @@ piece has a "▁" behind another character, nor a character that no piece has, s
 segmentation of a text is that of its units. Distinct units are counted once (Spark aggregate)
 and encoded once: their substrings up to the longest piece are exploded, equi-joined to
 the piece table, grouped by unit as lattice edges, and folded by Viterbi with ``aggregate``.
+Units longer than LONG_UNIT (unbroken runs) are folded with back-pointers in a worker instead.
 A character without a piece is an edge of its UTF-8 byte pieces.
 
 Documents then look their units up: the units whose count reaches a threshold that at most
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import Counter
 from itertools import chain, repeat
 
@@ -171,10 +173,66 @@ def piece_ids(units: DataFrame, pieces: DataFrame) -> DataFrame:
     return out.select(*[c for c in units.columns if c != "path"], F.col("_p.id").alias("ids"), F.col("_p.place").alias("places"))
 
 
+def encode_long_units(units: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``units(unit, n)`` -> ``(unit, n, score, ids, places)`` by the same Viterbi with one
+    back-pointer per character: time and memory grow with a unit's length, not its square."""
+    rows = [tuple(r) for r in pieces.select("piece", "id", "score", "byte").collect()]
+    table = {p: (i, s) for p, i, s, byte in rows if byte is None}
+    code = {byte: i for _, i, _, byte in rows if byte is not None}
+    fallback = min((r[2] for r in rows), default=0.0) - 10.0
+    longest = max(map(len, table), default=1)
+    shared = units.sparkSession.sparkContext.broadcast((table, code if len(code) == 256 else {}, fallback, longest))
+
+    def run(batches):
+        table, code, fallback, longest = shared.value
+
+        def viterbi(unit):
+            size = len(unit)
+            best, back = array("d", [0.0]), array("q", [0])
+            for end in range(1, size + 1):
+                top = None
+                for start in range(max(0, end - longest), end):
+                    held = table.get(unit[start:end])
+                    if held is None and start < end - 1:
+                        continue
+                    score = best[start] + (held[1] if held else fallback)
+                    if top is None or score > top:  # equal scores: the earlier start
+                        top, at = score, start
+                best.append(top)
+                back.append(at)
+            starts, at = array("q"), size
+            while at:
+                at = back[at]
+                starts.append(at)
+            starts.reverse()
+            ids, places = array("i"), array("i")
+            for start, end in zip(starts, chain(starts[1:], [size])):
+                held = table.get(unit[start:end])
+                if held:
+                    ids.append(held[0])
+                    places.append(4 * start)
+                else:
+                    for j, byte in enumerate(unit[start].encode("utf-8")):
+                        ids.append(code.get(byte, 0))
+                        places.append(4 * start + j)
+            return best[size], ids, places
+        for batch in batches:
+            for unit, n in zip(batch.column(0), batch.column(1)):
+                score, ids, places = viterbi(unit.as_py())
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(np.frombuffer(x, np.int32))) for x in (ids, places)]
+                yield pa.RecordBatch.from_arrays([pa.array([unit.as_py()], pa.string()), pa.array([n.as_py()], pa.int64()),
+                                                  pa.array([score]), *lists], names=["unit", "n", "score", "ids", "places"])
+    return units.select("unit", "n").mapInArrow(run, "unit string, n long, score double, ids array<int>, places array<int>")
+
+
 def vocabulary(texts: DataFrame, pieces: DataFrame, cut: Units) -> DataFrame:
     """Every distinct unit of ``texts(body)``: (unit, n, score, ids, sums for the checksum)."""
-    counted = unit_counts(texts, cut)
-    found = piece_ids(encode_units(counted, pieces), pieces)
+    counted = materialize(unit_counts(texts, cut), "unit-counts")
+    short = F.char_length("unit") <= LONG_UNIT
+    columns = ["unit", "n", "score", "ids", "places"]
+    # dealt by unit before the substrings are exploded, so that edges are grouped where they are made
+    found = piece_ids(encode_units(counted.where(short).repartition("unit"), pieces), pieces).select(*columns).unionByName(
+        encode_long_units(counted.where(~short), pieces).select(*columns))
     m = F.lit(MODULUS).cast("long")
     plus = lambda a, x: (a + x) % m
     one = F.aggregate("ids", F.lit(0).cast("long"), lambda a, i: plus(a, i.cast("long") + 1))
