@@ -14,12 +14,22 @@ from vigil.llm import decontaminate, langid, sentencepiece, simhash
 from vigil.llm.common import materialize, small_batches
 
 
+#: Texts of so many letters need a cosine of CHANCE or more. Unrelated vectors of 1024 dimensions have cosines of
+#: about 1 / 32; the shortest texts of a language are no farther from that than gibberish, so they are kept.
+LETTERS, CHANCE = 200, 0.1
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: no letter in the text."""
+    """Drops documents whose language can't be told: no letter in the text, or a long text
+    that is near no language learned. Without labelled documents only the letters count."""
     small_batches(spark)
     prototypes = langid.train(docs)
+    if not prototypes:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.predict(docs, prototypes, out=("_lang_pred", "_lang_score"))
-    return found.where(F.col("_lang_pred") != "und").select(*docs.columns)
+    letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
+    told = F.when(F.col("_lang_score") >= CHANCE, F.lit(True)).otherwise(letters < LETTERS)
+    return found.where((F.col("_lang_pred") != "und") & told).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -356,3 +356,14 @@ def test_pipeline_keeps_clean_documents(frame, spark, tmp_path):
     frame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     frame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == list(range(12))
+
+
+def test_language_stage_without_labels_and_with_gibberish(frame, spark):
+    import corpus_pipeline
+    schema = "doc_id long, text string, lang string"
+    clean = [(i, prose(200 + i, 80), "en") for i in range(6)] + [(6, "To", "en"), (7, "Von.", "de")]
+    other = [(20, "?? 12", None), (21, None, None), (22, "", None)]
+    noise = [(30, "qwrtz psdfg xcvbn mklpq zzzz " * 30, None)]
+    kept = lambda rows: sorted(r["doc_id"] for r in corpus_pipeline.language_stage(spark, frame(rows, schema), "").collect())
+    assert kept([(i, t, None) for i, t, _ in clean + other]) == list(range(8))
+    assert kept(clean + other + noise) == list(range(8))
