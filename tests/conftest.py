@@ -4,9 +4,7 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
-
-AS_OF = "2024-06-01T12:00:00"
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 
 @pytest.fixture(scope="session")
@@ -20,8 +18,3 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
     yield s
-
-
-def rows(df, *cols):
-    """Result rows as {pipeline: tuple(cols)}."""
-    return {r["pipeline"]: tuple(r[c] for c in cols) for r in df.collect()}

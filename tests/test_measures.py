@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from vigil import operators as M
 from vigil.plans.evaluate import as_of_lit, evaluate
 from vigil.plans.specs import specs_frame

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import AS_OF
+from helpers import AS_OF
 from vigil.plans.alerts import route_alerts
 from vigil.plans.evaluate import evaluate, result_line
 from vigil.plans.registry import get_check, get_renderer, register_check, register_renderer

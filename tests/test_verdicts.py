@@ -1,6 +1,6 @@
 """Edge rules of the verdicts on literal rows (boundaries, NULL, NaN, profiles)."""
 
-from conftest import AS_OF, rows
+from helpers import AS_OF, rows
 from vigil.plans.evaluate import evaluate
 from vigil.plans.specs import specs_frame
 from vigil.schema import MEASURES
