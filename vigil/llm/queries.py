@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import decontaminate, langid, licenses, repair, sentencepiece, simhash, suffix_tree, topk, urlfilter, warc
+from vigil.llm import byte_bpe, decontaminate, importance, langid, licenses, repair, sentencepiece, simhash, suffix_tree, topk, urlfilter, variants, warc
 from vigil.llm.common import fold_of, materialize, read_table
 
 
@@ -124,7 +124,87 @@ def op10_sentencepiece(spark, sf):
     return sentencepiece.round_trip(read_table(spark, sf, "documents", "doc_id", "text"), pieces)
 
 
+def op11_importance_resampling(spark, sf):
+    docs = read_table(spark, sf, "documents", "doc_id", "text")
+    return importance.resample(docs, read_table(spark, sf, "benchmark", "text"), n_min=1, n_max=1, buckets=10_000, percent=10,
+                               least_words=20, seed="2024")
+
+
+def _crc32_sql(text):
+    """CRC-32 of a text's UTF-8 bytes; ``crc_table``, the 256 values of a byte, stands in its FROM."""
+    digits = f"hex(encode({text}))"
+    codes = f"list_transform(range(1, len({digits}), 2), lambda i: CAST(('0x' || substr({digits}, i, 2)) AS BIGINT))"
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {codes}), "
+            f"lambda a, b: xor(a >> 8, crc_table.t[(xor(a, b) & 255) + 1])))")
+
+
+_CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t)"""
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS f FROM benchmark),
+df AS (SELECT r, unnest(w) AS f FROM d),
+names AS (SELECT f, {_crc32_sql('f')} % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM b), crc_table),
+s AS (SELECT bucket, count(*) AS n FROM df JOIN names USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM b JOIN names USING (f) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+    / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+weights AS (
+  SELECT r, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM df JOIN names USING (f) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, r, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+           / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (r)),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS usable FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * usable // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
+def op12_spelling_variants(spark, sf):
+    counted = variants.counted_words(read_table(spark, sf, "documents", "doc_id", "text"), drop_one_in=31)
+    words = materialize(counted.where((F.col("n") >= 2) & (F.char_length("word") >= 7)), "words")
+    return variants.group_variants(words, dominance=10)
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_LOWER}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+hashed AS (SELECT run, n, {_crc32_sql("id || ':' || run")} AS h FROM (SELECT id, run, count(*) AS n FROM runs GROUP BY id, run), crc_table),
+spelt AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM cuts a JOIN cuts b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS top_n, min_by(near, (-m, near)) AS top FROM pairs GROUP BY word),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 10 * n THEN top END AS form, CASE WHEN top_n >= 10 * n THEN top_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain(word, root) AS (
+  SELECT word, word FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f
+JOIN (SELECT c.word, c.root FROM chain c JOIN forms g ON c.root = g.word WHERE g.form IS NULL) c ON f.word = c.word
+"""
+
+
+def op13_byte_bpe(spark, sf):
+    import public_tokenizers
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digests(byte_bpe.encode(read_table(spark, sf, "documents", "doc_id", "text"), ranks, public_tokenizers.PATTERN), ranks)
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_token_files, op3_language_id, op4_warc_index, op5_license_scan,
-                                     op6_url_filter, op7_simhash_dedup, op8_decontamination, op9_suffix_tree_scores, op10_sentencepiece)}
+                                     op6_url_filter, op7_simhash_dedup, op8_decontamination, op9_suffix_tree_scores, op10_sentencepiece,
+                                     op11_importance_resampling, op12_spelling_variants, op13_byte_bpe)}
 ORACLES = {"op1_exact_topk": OP1_SQL, "op4_warc_index": OP4_SQL, "op5_license_scan": _license_sql(),
-           "op8_decontamination": _decontamination_sql()}
+           "op8_decontamination": _decontamination_sql(), "op11_importance_resampling": OP11_SQL, "op12_spelling_variants": OP12_SQL}
