@@ -6,6 +6,7 @@ import sys
 import types
 from collections.abc import Callable
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,12 @@ def fold_of(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def share(spark: SparkSession, value) -> Broadcast:
+    """Broadcast of an object of a class of this subpackage as bytes (``pickle.loads`` in the
+    worker): a plain broadcast names the class by its module, which workers may not have."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def worker_object(key: tuple, make: Callable):
     """An object a Python worker makes once and keeps for its later tasks (a loaded
     tokenizer, a cache); tasks get their functions by value, so module globals would not last."""

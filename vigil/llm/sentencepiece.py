@@ -27,6 +27,7 @@ differing edge starts earlier. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from array import array
 from collections import Counter
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from vigil.llm.common import materialize
+from vigil.llm.common import materialize, share
 
 SPACE = "▁"
 MODULUS = (1 << 31) - 1
@@ -108,10 +109,10 @@ class Units:
 
 def unit_counts(texts: DataFrame, units: Units) -> DataFrame:
     """``texts(body)`` -> ``(unit, n)``."""
-    shared = texts.sparkSession.sparkContext.broadcast(units)
+    shared = share(texts.sparkSession, units)
 
     def run(batches, limit=150_000):
-        cut, counts = shared.value, Counter()
+        cut, counts = pickle.loads(shared.value), Counter()
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
@@ -261,14 +262,14 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str
     vocab = vocabulary(rows.select("body"), pieces, cut)
     frequent = frequent_units(vocab, dictionary)
     top = vocab.where(frequent).select("unit", F.size("ids").alias("k"), "score", "id_sum", "place_sum").toPandas()
-    shared = spark.sparkContext.broadcast((cut, top["unit"].tolist(), top["k"].to_numpy(np.int64), top["score"].to_numpy(np.float64),
+    shared = share(spark, (cut, top["unit"].tolist(), top["k"].to_numpy(np.int64), top["score"].to_numpy(np.float64),
                                            top["id_sum"].to_numpy(np.int64), top["place_sum"].to_numpy(np.int64)))
     names = ["id", "row", "unit", "n", "at", "n_units", "n_pieces", "total", "ids_checksum"]
     schema = rows.select("id").schema.add("row", "long").add("unit", "string").add("n", "long").add("at", "long").add(
         "n_units", "long").add("n_pieces", "long").add("total", "double").add("ids_checksum", "long")
 
     def run(batches):
-        cut, words, k, scores, one, placed = shared.value
+        cut, words, k, scores, one, placed = pickle.loads(shared.value)
         index = {w: i for i, w in enumerate(words)}
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -326,14 +327,14 @@ def encode_pieces(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", te
     top = vocab.where(frequent).select("unit", "ids").toPandas()
     size = np.array([len(x) for x in top["ids"]], dtype=np.int64)
     pool = np.concatenate([np.zeros(1, np.int32), *top["ids"]]).astype(np.int32)  # place 0 is for units not in the dictionary
-    shared = docs.sparkSession.sparkContext.broadcast((cut, top["unit"].tolist(), pool, size, 1 + np.cumsum(size) - size))
+    shared = share(docs.sparkSession, (cut, top["unit"].tolist(), pool, size, 1 + np.cumsum(size) - size))
     names = ["id", "row", "n_units", "ids", "no", "unit"]
     schema = rows.select("id").schema.add("row", "long").add("n_units", "long").add("ids", ArrayType(IntegerType())).add(
         "no", "integer").add("unit", "string")
 
     def run(batches):
         """A row per document, with -1 - no where its other unit ``no`` belongs, and a row per other unit."""
-        cut, words, pool, size, begin = shared.value
+        cut, words, pool, size, begin = pickle.loads(shared.value)
         index = {w: i for i, w in enumerate(words)}
         size, begin = np.append(size, 1), np.append(begin, 0)  # the last, -1: not in the dictionary
         row, none = TaskContext.get().partitionId() << 33, np.zeros(0, np.int32)
