@@ -27,8 +27,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from operator import ne
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ from vigil.llm.common import materialize
 
 RUN = "[A-Za-zÀ-ÿ]+"
 UPPER = {i: i + 32 for i in range(65, 91)}
-GROUPS, TOP = 12, 4
+GROUPS, TOP = 16, 4
 
 
 def counted_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run: str = RUN, drop_one_in: int = 31) -> DataFrame:
@@ -84,7 +86,7 @@ def with_vector(words: DataFrame, letters: list[str]) -> DataFrame:
 
 
 def _key(size: Column, counts: list[Column]) -> Column:
-    return F.array(size, *counts)
+    return F.concat_ws(",", size, *counts)
 
 
 def questions() -> Column:
@@ -101,62 +103,83 @@ def questions() -> Column:
     return F.array(*longer, *same)
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether exactly one inserted, deleted or replaced code point separates two words."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1 or a == b:
-        return False
-    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
-    return a[i:] == b[i + 1:] if len(a) < len(b) else a[i + 1:] == b[i + 1:]
+def one_more(word: str, longer: str) -> bool:
+    """Whether ``longer`` is ``word`` with one code point inserted."""
+    i = 0
+    for x, y in zip(word, longer):
+        if x != y:
+            break
+        i += 1
+    return word[i:] == longer[i + 1:]
 
 
 def near_pairs(vectors: DataFrame, shard_size: int = 8192) -> DataFrame:
     """Written ``vectors(word, n, size, counts)`` of distinct words -> ``(a, a_n, b, b_n)``, each near pair once."""
-    rest = F.slice("counts", F.lit(TOP + 1), F.size("counts")).alias("rest")
+    rest = F.concat_ws(",", F.slice("counts", F.lit(TOP + 1), F.size("counts")).cast("array<string>")).alias("rest")
     placed = vectors.select(_key(F.col("size"), [F.get("counts", F.lit(i)) for i in range(TOP)]).alias("key"), "word", "n", rest)
     keys = materialize(placed.groupBy("key").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards")), "trie-keys")
-    asked = vectors.select(F.explode(questions()).alias("q"), "word", "n", rest).select("q.key", "word", "n", "rest", "q.surplus", "q.deficit")
-    standing = placed.join(keys, "key").select(
-        "key", F.pmod(F.xxhash64("word"), F.col("shards").cast("long")).cast("int").alias("shard"), F.lit(-1).alias("surplus"),
-        F.lit(0).alias("deficit"), "word", "n", "rest")
-    asking = asked.join(keys, "key").select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "surplus", "deficit", "word", "n", "rest")
-    order = ["key", "shard"]
-    dealt = standing.unionByName(asking).repartition(*order).sortWithinPartitions(*order, "surplus")
+    asked = vectors.select(F.explode(questions()).alias("q"), "word", "n", rest).select(
+        "q.key", "word", "n", "rest", (F.col("q.surplus") + 2 * F.col("q.deficit")).alias("budget"))
+    def at(shard):
+        return F.concat_ws(",", "key", shard).alias("place")
+    standing = placed.join(keys, "key").select(at(F.pmod(F.xxhash64("word"), F.col("shards").cast("long"))), F.lit(-1).alias("budget"), "word", "n", "rest")
+    asking = asked.join(keys, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "budget", "word", "n", "rest")
+    dealt = standing.unionByName(asking.select(at(F.col("shard")), "budget", "word", "n", "rest")).repartition("place").sortWithinPartitions("place", "budget")
 
     def run(batches):
-        trie, at, close = {}, None, one_edit
-
-        def leaves(node, counts, level, surplus, deficit):
-            """Words under ``node`` whose counts differ by what is left of the budget, spent whole (a
-            replacement within a group spends neither)."""
-            if level == len(counts):
-                if surplus == deficit:
-                    yield from node
-                return
-            c = counts[level]
-            if c in node:
-                yield from leaves(node[c], counts, level + 1, surplus, deficit)
-            if surplus and c + 1 in node:
-                yield from leaves(node[c + 1], counts, level + 1, 0, deficit)
-            if deficit and c - 1 in node:
-                yield from leaves(node[c - 1], counts, level + 1, surplus, 0)
+        trie, last, numbers = {}, None, {}
+
+        def reach(node, counts, level, surplus, deficit, out):
+            """Adds to ``out`` the leaves under ``node`` whose counts differ by what is left of the budget,
+            spent whole (a replacement within a group spends neither)."""
+            while level < len(counts):
+                c = counts[level]
+                level += 1
+                if surplus and c + 1 in node:
+                    reach(node[c + 1], counts, level, 0, deficit, out)
+                if deficit and c - 1 in node:
+                    reach(node[c - 1], counts, level, surplus, 0, out)
+                if c not in node:
+                    return
+                node = node[c]
+            if surplus == deficit:
+                out.append(node)
         for batch in batches:
-            found = []
-            for key, shard, surplus, deficit, word, n, counts in zip(*[c.to_pylist() for c in batch.columns]):
-                if (key, shard) != at:
-                    trie, at = {}, (key, shard)
-                if surplus < 0:  # sorted first: the words that stand here
+            place, found = batch.column(0), []
+            if not batch.num_rows:
+                continue
+            new = [place[0].as_py() != last, *pc.not_equal(place.slice(1), place.slice(0, len(place) - 1)).to_pylist()]
+            last = place[len(place) - 1].as_py()
+            for other_trie, budget, word, n, rest in zip(new, *[c.to_pylist() for c in batch.columns[1:]]):
+                if other_trie:
+                    trie, numbers = {}, {}
+                counts = numbers.get(rest)
+                if counts is None:
+                    counts = numbers[rest] = [int(c) for c in rest.split(",")]
+                if budget < 0:  # sorted first: the words that stand here
                     node = trie
                     for c in counts[:-1]:
                         node = node.setdefault(c, {})
-                    node.setdefault(counts[-1], []).append((word, n))
+                    node.setdefault(counts[-1], ([], {}, {}))[0].append((word, n))
                     continue
-                own = surplus and deficit  # two words of one key ask for each other
-                for other, m in leaves(trie, counts, 0, surplus, deficit):
-                    if not (own and other <= word) and close(word, other):
-                        found.append((word, n, other, m))
+                leaves: list = []
+                reach(trie, counts, 0, budget & 1, budget >> 1, leaves)
+                size, own = len(word), budget == 3  # two words of one key ask for each other
+                half = size // 2
+                head, tail = word[:half], word[half:]
+                for words, *halves in leaves:
+                    longer = len(words[0][0]) - size  # all words of a leaf are of one length
+                    behind = half + longer
+                    if not (known := halves[longer]):  # one edit leaves a half as it is: words by either half
+                        for pair in words:
+                            known.setdefault((0, pair[0][:half]), []).append(pair)
+                            known.setdefault((1, pair[0][behind:]), []).append(pair)
+                    for other, m in known.get((0, head), ()):
+                        if one_more(word, other) if longer else sum(map(ne, word, other)) == 1 and not (own and other < word):
+                            found.append((word, n, other, m))
+                    for other, m in known.get((1, tail), ()):
+                        if other[:half] != head and (one_more(word, other) if longer else sum(map(ne, word, other)) == 1 and not (own and other < word)):
+                            found.append((word, n, other, m))
             if found:
                 a, a_n, b, b_n = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(a_n, pa.int64()), pa.array(b, pa.string()), pa.array(b_n, pa.int64())],
