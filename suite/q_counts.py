@@ -8,6 +8,7 @@ from suite.common import out, table
 from suite.registry import query
 from suite.sqlkit import ge, int_parse, select_out, values
 from vigil import operators as M
+from vigil.operators.winners import newest_rows
 from vigil.plans.evaluate import evaluate
 from vigil.plans.specs import normalize_specs, specs_frame
 
@@ -211,7 +212,8 @@ FROM j
 """)
 def m08_kv_value(spark, sf):
     ev = table(spark, sf, "events")
-    newest = ev.groupBy("user_id").agg(F.max_by(F.struct("event_type", "props"), F.struct("ts", "event_id")).alias("e"))
+    newest = newest_rows(ev, "user_id", [F.col("ts"), F.col("event_id")], ["event_type", "props"]).select(
+        "user_id", F.struct("event_type", "props").alias("e"))
     kv = newest.select(
         F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"),
         F.when(F.col("e.event_type") == "error", F.concat(F.get_json_object("e.props", "$.k"), F.lit(".5")))

@@ -1,4 +1,4 @@
-"""Shell globs as anchored regular expressions for ``rlike``."""
+"""Shell globs as anchored regular expressions for ``rlike`` (the translation has the shape of the standard library's)."""
 
 from __future__ import annotations
 
@@ -67,6 +67,22 @@ def glob_regex(pattern: str) -> str:
     return "(?s)^" + "".join(out) + r"(?![\s\S])"  # "$" would also match before a final newline
 
 
+def glob_literals(pattern: str) -> list[str]:
+    """The literal runs of a glob: what every match contains, in order. A class is no literal; a
+    bracket that never closes is one."""
+    runs, i = [""], 0
+    while i < len(pattern):
+        c = pattern[i]
+        end = pattern.find("]", i + 3 if pattern[i + 1:i + 2] == "!" else i + 2) if c == "[" else -1
+        if c in "*?" or end > 0:
+            runs.append("")
+            i = end if end > 0 else i
+        else:
+            runs[-1] += c
+        i += 1
+    return [r for r in runs if r]
+
+
 def glob_match(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(glob_regex(pattern)), F.lit(False))
 

@@ -39,7 +39,11 @@ def json_number(doc: Column, dotted: str) -> Column:
     """Number at the path like Python ``float(v)``: numbers and numeric strings read,
     ``true``/``false`` are 1.0/0.0; missing, null, objects, arrays and other text are
     NULL (the check is then unknown)."""
-    v = json_value(doc, dotted)
+    return variant_number(json_value(doc, dotted))
+
+
+def variant_number(v: Column) -> Column:
+    """``json_number`` of a VARIANT value."""
     text = F.to_json(v)
     return (
         F.when(v.isNull(), F.lit(None).cast("double"))
@@ -55,7 +59,11 @@ FALSY_JSON = ("null", "false", "0", '""', "[]", "{}")
 
 def json_truthiness(doc: Column, dotted: str) -> Column:
     """'truthy' / 'falsy' under Python truthiness; NULL when the path is missing."""
-    v = json_value(doc, dotted)
+    return truthiness_of(json_value(doc, dotted))
+
+
+def truthiness_of(v: Column) -> Column:
+    """``json_truthiness`` of a VARIANT value."""
     text = F.to_json(v)
     zero = F.try_variant_get(v, "$", "double") == F.lit(0.0)
     is_number = F.schema_of_variant(v).isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | F.schema_of_variant(v).startswith("DECIMAL")

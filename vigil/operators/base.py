@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,35 +29,6 @@ def to_measures(df: DataFrame, check: str, pipeline: str | Column = "pipeline",
     )
 
 
-WIDE_LIMIT = 64
-
-
-def count_each(df: DataFrame, predicates: Mapping[str, Column], check: str) -> DataFrame:
-    """One scan: the number of rows matching each named predicate.
-
-    Up to ``WIDE_LIMIT`` predicates: one global aggregate of ``count_if`` columns
-    (every task pre-aggregates to a single row), then one row per pipeline. Past
-    that, each row emits the names of the predicates it matches and a grouped
-    count follows, so thousands of configured patterns do not become thousands of
-    aggregate buffers in one generated method. Pipelines matching no row read 0
-    in both plans."""
-    names = list(predicates)
-    if not names:
-        raise ValueError("no predicates given")
-    if len(names) <= WIDE_LIMIT:
-        aggs = [F.count_if(F.coalesce(predicates[n], F.lit(False))).alias(f"c{i}") for i, n in enumerate(names)]
-        wide = df.agg(*aggs)
-        rows = F.array(*[F.struct(F.lit(n).alias("pipeline"), F.col(f"c{i}").alias("n")) for i, n in enumerate(names)])
-        long = wide.select(F.inline(rows))
-        return to_measures(long, check, value=F.col("n"))
-    hits = F.array(*[F.when(F.coalesce(predicates[n], F.lit(False)), F.lit(n)) for n in names])
-    matched = df.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("pipeline"))
-    counts = matched.groupBy("pipeline").agg(F.count(F.lit(1)).alias("n"))
-    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("pipeline"))
-    full = every.join(counts, "pipeline", "left").select("pipeline", F.coalesce("n", F.lit(0)).alias("n"))
-    return to_measures(full, check, value=F.col("n"))
-
-
 def latest(order: list[Column], *values: Column) -> Column:
     """The values of the row with the greatest ``order`` (a struct, so the first
     field decides and later ones break ties). A partial aggregate: each partition
@@ -88,17 +57,33 @@ def hours_between(start: Column, end: Column) -> Column:
     return micros_between(start, end).cast("double") / F.lit(3.6e9)
 
 
+def pack(df: DataFrame, order: list[Column]) -> Column | None:
+    """One or two whole numbers, times or dates as one decimal: a fixed-width order, so that
+    "newest" is a hash aggregate (a struct order would sort every task's rows first). A missing
+    one orders below any other. None for other types, and for a long before another."""
+    if len(order) > 2:
+        return None
+    kinds = [f.dataType for f in df.select(*[c.alias(f"k{i}") for i, c in enumerate(order)]).schema]
+    numbers = []
+    for c, kind in zip(order, kinds):
+        if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
+            numbers.append(F.coalesce(epoch_micros(c), F.lit(-(1 << 62))))
+        elif isinstance(kind, T.IntegralType):
+            numbers.append(F.coalesce(c.cast("long"), F.lit(-(1 << 63))))
+        else:
+            return None
+    if len(numbers) == 1:
+        return numbers[0].cast("decimal(38,0)")
+    if isinstance(kinds[0], T.LongType):
+        return None  # two longs are wider than any number
+    return numbers[0].cast("decimal(19,0)") * F.lit(str(2 * 10**19)).cast("decimal(20,0)") + numbers[1].cast("decimal(19,0)")
+
+
 def packed(df: DataFrame, ts: str | Column, tiebreak: str | Column | None = None) -> Column | None:
-    """Time, then an integer tie-breaker, as one decimal: a fixed-width order, so "newest"
-    is a hash aggregate (a struct order would sort every task's rows first). A missing time
-    or tie-breaker orders below any other. None for columns of other types."""
-    tie = F.lit(0) if tiebreak is None else as_col(tiebreak)
-    kinds = [f.dataType for f in df.select(as_col(ts).alias("t"), tie.alias("k")).schema]
-    if not isinstance(kinds[0], (T.TimestampNTZType, T.TimestampType, T.DateType)) or not isinstance(kinds[1], T.IntegralType):
+    """``pack`` of a time and an integer tie-breaker; None for columns of other types."""
+    if not isinstance(df.select(as_col(ts).alias("t")).schema[0].dataType, (T.TimestampNTZType, T.TimestampType, T.DateType)):
         return None
-    micros = F.coalesce(epoch_micros(as_col(ts)), F.lit(-(1 << 62)))
-    tie = F.coalesce(tie.cast("long"), F.lit(-(1 << 63)))
-    return micros.cast("decimal(19,0)") * F.lit(str(2 * 10**19)).cast("decimal(20,0)") + tie.cast("decimal(19,0)")
+    return pack(df, [as_col(ts)] + ([] if tiebreak is None else [as_col(tiebreak)]))
 
 
 def newest_number(df: DataFrame, key: str | Column, ts: str | Column, value: Column,

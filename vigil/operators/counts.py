@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.functions.globs import base_name, glob_match, glob_regex
+from vigil.functions.globs import base_name, glob_regex
 from vigil.functions.jsonpath import json_path
-from vigil.operators.base import as_col, count_each, earliest, latest, to_measures
+from vigil.operators.base import as_col, earliest, to_measures
+from vigil.operators.patterns import counted, glob_matches, prefix_matches, term_matches
+from vigil.operators.winners import newest_rows
 
 
 def row_count(df: DataFrame, key: str | Column, where: str | Column | None = None, check: str = "row_count") -> DataFrame:
@@ -93,14 +95,6 @@ def index_count(df: DataFrame, index: str | Column, patterns: Mapping[str, str],
     return to_measures(agg, check, value=F.col("n"))
 
 
-def term_query(words: Column, query: str) -> Column:
-    """``field:value`` term match against a field's word array; ``*:*`` matches all."""
-    if query.strip() == "*:*":
-        return F.lit(True)
-    term = query.split(":", 1)[1] if ":" in query else query
-    return F.array_contains(words, F.lit(term.lower()))
-
-
 def words_of(text: Column) -> Column:
     """Lower-cased words of a whole text (split on what is no word character in Unicode)."""
     return F.split(F.lower(text), r"(?U)\W+")
@@ -108,25 +102,16 @@ def words_of(text: Column) -> Column:
 
 def text_match_count(df: DataFrame, queries: Mapping[str, str], fields: Mapping[str, str | Column] | None = None,
                      check: str = "text_match_count") -> DataFrame:
-    """M5: hits of a term query per pipeline, counted in one scan for all queries.
-    Each field used by a query is tokenized once per document (a projection the
-    optimizer keeps, since its array feeds several counts)."""
-    def field_name(q: str) -> str:
-        return q.split(":", 1)[0] if ":" in q else "text"
-
-    used = sorted({field_name(q) for q in queries.values() if q.strip() != "*:*"})
-    cols = {}
-    for i, name in enumerate(used):
-        src = as_col(fields[name]) if fields and name in fields else F.col(name)
-        cols[name] = words_of(src).alias(f"_w{i}")
-    tokens = df.select(*cols.values()) if cols else df.select(F.lit(1).alias("_one"))
-    preds = {}
+    """M5: hits of a term query (``field:value``, a bare value in the field ``text``, ``*:*`` for all)
+    per pipeline, counted in one scan for any number of queries. Each field used is tokenized once
+    per document and its distinct words meet the terms by an equi-join."""
+    terms: dict[str, tuple[str, str] | None] = {}
     for p, q in queries.items():
-        if q.strip() == "*:*":
-            preds[p] = F.lit(True)
-        else:
-            preds[p] = term_query(F.col(f"_w{used.index(field_name(q))}"), q)
-    return count_each(tokens, preds, check)
+        field, colon, value = q.partition(":")
+        terms[p] = None if q.strip() == "*:*" else (field, value.lower()) if colon else ("text", q.lower())
+    used = sorted({t[0] for t in terms.values() if t})
+    words = df.select(*[words_of(as_col(fields[f]) if fields and f in fields else F.col(f)).alias(f) for f in used]) if used else df.select()
+    return counted(term_matches(words, terms), terms, check)
 
 
 def paged_count(pages: DataFrame, key: str | Column, count: str | Column, check: str = "paged_count") -> DataFrame:
@@ -154,9 +139,12 @@ def kv_value(kv: DataFrame, specs: DataFrame, key: str = "key", value: str = "va
     when its measured size allows, else a sort-merge join on the key."""
     wanted = specs.where(F.col("check") == F.lit(check)).select(
         "pipeline", F.element_at("params", F.lit(param)).alias("k"))
-    v = as_col(value).cast("string")
-    newest = F.max(v) if order is None else latest([as_col(order), v], v.alias("v"))["v"]
-    store = kv.groupBy(as_col(key).cast("string").alias("k")).agg(newest.alias("v"))
+    pairs = kv.select(as_col(key).cast("string").alias("k"), as_col(value).cast("string").alias("v"),
+                      *([] if order is None else [as_col(order).alias("o")]))
+    asked = pairs.join(wanted.select("k").distinct(), "k", "left_semi")  # before any sort
+    if order is not None:
+        asked = newest_rows(asked, "k", [F.col("o")], ["v"])
+    store = asked.groupBy("k").agg(F.max("v").alias("v"))
     joined = wanted.join(store, on="k", how="inner")
     return to_measures(joined, check, raw=F.col("v"))
 
@@ -178,8 +166,7 @@ def queue_depth(df: DataFrame, key: str | Column, distinct: str | Column | None
 def object_count(objects: DataFrame, prefixes: Mapping[str, str], path: str | Column = "path",
                  check: str = "object_count") -> DataFrame:
     """Entries whose key starts with the prefix, per pipeline, one scan."""
-    p = as_col(path)
-    return count_each(objects, {name: p.startswith(prefix) for name, prefix in prefixes.items()}, check)
+    return counted(prefix_matches(objects, as_col(path), prefixes), prefixes, check)
 
 
 def file_count(objects: DataFrame, globs: Mapping[str, str], path: str | Column = "path", bare_names: bool = False,
@@ -187,7 +174,6 @@ def file_count(objects: DataFrame, globs: Mapping[str, str], path: str | Column
     """Entries matching an fnmatch glob. ``bare_names`` matches the last path
     segment (a listing of names); otherwise the full entry. An empty glob matches
     everything."""
-    p = as_col(path)
-    target = base_name(p) if bare_names else p
-    preds = {name: (F.lit(True) if g in ("", None) else glob_match(target, g)) for name, g in globs.items()}
-    return count_each(objects, preds, check)
+    target = base_name(as_col(path)) if bare_names else as_col(path)
+    globs = {name: g or "" for name, g in globs.items()}
+    return counted(glob_matches(objects, target, globs), globs, check)

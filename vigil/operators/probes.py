@@ -7,13 +7,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.jsonpath import json_number, json_truthiness, json_value
-from vigil.operators.base import as_col, latest, newest_number, to_measures
+from vigil.operators.base import as_col, newest_number, to_measures
+from vigil.operators.winners import newest_rows
 
 
 def _newest(probes: DataFrame, key, ts, tiebreak, **cols: Column) -> DataFrame:
+    """(pipeline, p): the named columns and the time ``_ts`` of each key's newest probe."""
     order = [as_col(ts)] + ([as_col(tiebreak)] if tiebreak is not None else [])
-    fields = [c.alias(n) for n, c in cols.items()] + [as_col(ts).alias("_ts")]
-    return probes.groupBy(as_col(key).alias("pipeline")).agg(latest(order, *fields).alias("p"))
+    found = newest_rows(probes, as_col(key), order, [*[c.alias(n) for n, c in cols.items()], as_col(ts).alias("_ts")])
+    return found.select("pipeline", F.struct(*found.columns[1:]).alias("p"))
 
 
 def json_number_measure(probes: DataFrame, key: str | Column, doc: str | Column, path: str, ts: str | Column = "ts",

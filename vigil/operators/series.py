@@ -2,9 +2,9 @@
 
 "Latest" (M9, M12) is ``max_by`` of a number over a fixed-width order, a hash aggregate:
 each task keeps one candidate per key, so a key holding a third of all points is reduced
-before the shuffle. "First" and "last" over any order and text (M13-M15) are ``min_by`` /
-``max_by`` over structs; Spark sorts each task's rows by key for these before it
-pre-aggregates. A NULL value of the newest row is kept (and reads as unknown).
+before the shuffle. "First" and "last" over any order and text (M13-M15) find the winning
+order first and then read the winners' columns (``winners``). A NULL value of the newest row is kept
+(and reads as unknown).
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.jsonpath import json_has, json_value
-from vigil.operators.base import as_col, earliest, latest, micros_between, newest_number, to_measures
+from vigil.operators.base import as_col, earliest, micros_between, newest_number, to_measures
+from vigil.operators.winners import newest_rows
 
 # Statistics a period can be summarised by.
 STATS = ("Sum", "Average", "Minimum", "Maximum", "SampleCount")
@@ -90,8 +91,8 @@ def instant_vector(points: DataFrame, key: str | Column, series: str | Column, t
 def first_value(frame: DataFrame, key: str | Column, value: str | Column, order: list[Column],
                 check: str = "first_value") -> DataFrame:
     """First field of the first row of a result, per key, by an explicit order."""
-    agg = frame.groupBy(as_col(key).alias("pipeline")).agg(earliest(order, as_col(value).try_cast("double").alias("v")).alias("p"))
-    return to_measures(agg, check, value=F.col("p.v"))
+    firsts = newest_rows(frame, as_col(key), order, [as_col(value).try_cast("double").alias("v")], first=True)
+    return to_measures(firsts, check, value=F.col("v"))
 
 
 def first_line_with_field(lines: DataFrame, key: str | Column, line: str | Column, field: str,
@@ -103,8 +104,7 @@ def first_line_with_field(lines: DataFrame, key: str | Column, line: str | Colum
     has = json_has(ln, field)
     text = F.when(F.to_json(json_value(ln, field)).startswith('"'), F.variant_get(json_value(ln, field), "$", "string")) \
         .otherwise(F.to_json(json_value(ln, field)))
-    agg = lines.where(has).groupBy(as_col(key).alias("pipeline")).agg(earliest(order, text.alias("raw")).alias("p"))
-    return to_measures(agg, check, raw=F.col("p.raw"))
+    return to_measures(newest_rows(lines.where(has), as_col(key), order, [text.alias("raw")], first=True), check, raw=F.col("raw"))
 
 
 def last_row_value(rows: DataFrame, key: str | Column, value: str | Column, order: list[Column],
@@ -112,5 +112,5 @@ def last_row_value(rows: DataFrame, key: str | Column, value: str | Column, orde
     """The last data row's last column. A distributed read has no row order,
     so the caller names one (e.g. table, then row number)."""
     v = as_col(value)
-    agg = rows.groupBy(as_col(key).alias("pipeline")).agg(latest(order, v.cast("string").alias("raw"), v.try_cast("double").alias("v")).alias("p"))
-    return to_measures(agg, check, value=F.col("p.v"), raw=F.col("p.raw"))
+    lasts = newest_rows(rows, as_col(key), order, [v.cast("string").alias("raw"), v.try_cast("double").alias("v")])
+    return to_measures(lasts, check, value=F.col("v"), raw=F.col("raw"))
