@@ -80,11 +80,11 @@ REPORT_CHANNELS = [{"type": "slack"}, {"type": "sms", "recipients": ["+155599900
                    {"type": "webhook"}]
 
 
-# ---------------------------------------------------------------- E4 run report
+# ---------------------------------------------------------------- E4 run report (three channels; an SMS to two numbers is one send)
 @query("e04_run_report", sql=f"""
 WITH r AS ({E02_SQL})
 SELECT count(*) AS total, count(*) FILTER (WHERE status = 'ok') AS healthy,
-       count(*) FILTER (WHERE status <> 'ok') AS unhealthy, 4 * count(*) FILTER (WHERE status <> 'ok') AS alerts_sent,
+       count(*) FILTER (WHERE status <> 'ok') AS unhealthy, 3 * count(*) FILTER (WHERE status <> 'ok') AS alerts_sent,
        CASE WHEN count(*) FILTER (WHERE status <> 'ok') > 0 THEN 1 ELSE 0 END AS exit_code
 FROM r
 """)
@@ -98,7 +98,7 @@ WITH r AS ({E02_SQL}),
 a AS (SELECT count(*) AS total, count(*) FILTER (WHERE status = 'ok') AS healthy,
              count(*) FILTER (WHERE status <> 'ok') AS unhealthy FROM r)
 SELECT 'Checked ' || total || ' pipeline(s): ' || healthy || ' healthy, ' || unhealthy || ' unhealthy. Alerts sent: '
-       || (4 * unhealthy) || '.' AS summary
+       || (3 * unhealthy) || '.' AS summary
 FROM a
 """)
 def e05_summary(spark, sf):

@@ -122,7 +122,7 @@ STATISTICS = ["Sum", "Average", "Minimum", "Maximum", "SampleCount"]
 @query("m11_periods_by_spec", sql=_ge_sql("windowed_stat", "30.0", f"""t(x) AS (VALUES {_NAMES_SQL}),
 l(p) AS (VALUES {", ".join(f"({p})" for p in PERIODS)}), q(stat) AS (VALUES {", ".join(f"('{s}')" for s in STATISTICS)}),
 a AS (SELECT event_type AS x, value, date_diff('microsecond', ts, {EVENTS_AS_OF_SQL}) AS age FROM events),
-b AS (SELECT x, p, CAST(ceil(age / (p * 1000000.0)) AS INTEGER) - 1 AS b, value FROM a, l WHERE age > 0 AND age <= p * 2000000),
+b AS (SELECT x, p, CAST(ceil(age / (p * 1000000.0)) AS INTEGER) - 1 AS b, value FROM a, l WHERE age > 0 AND age <= CAST(p AS BIGINT) * 2000000),
 g AS (SELECT x, p, b, CAST(sum(CAST(value AS DECIMAL(38,4))) AS DOUBLE) AS total, count(value) AS n, count(*) AS every, min(value) AS low, max(value) AS high FROM b GROUP BY ALL),
 h AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY x, p ORDER BY b) = 1)""",
     """SELECT t.x || '-' || l.p || '-' || stat AS pipeline,

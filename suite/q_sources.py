@@ -178,3 +178,45 @@ def s08_commented_csv(spark, sf):
     specs = specs_frame(spark, [{"pipeline": p, "check": "last_row_value", "threshold": t, "params": {"profile": "influxdb"}}
                                 for p, t in S08_SPECS])
     return out(evaluate(specs, measures, as_of=EVENTS_AS_OF))
+
+
+# ---------------------------------------------------------------- S4 / S7: an export with broken lines
+def _broken_export(spark, sf):
+    """The events as JSON lines in the shared folder; every click with k = 3 is cut off."""
+    from vigil.session import scratch_path
+    ev = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    whole = F.to_json(F.struct(F.col("event_type").alias("kind"), k.alias("k")))
+    lines = ev.select(F.when((F.col("event_type") == "click") & (k == 3), F.left(whole, F.lit(12))).otherwise(whole).alias("value"))
+    path = scratch_path(spark, "broken-export")
+    lines.write.text(path)
+    return path
+
+
+_BROKEN_SQL = "event_type = 'click' AND CAST(json_extract_string(props, '$.k') AS INTEGER) = 3"
+
+
+@query("s04_bad_records", sql=f"""
+WITH b AS (SELECT count(*) AS n FROM events WHERE {_BROKEN_SQL})
+SELECT t AS pipeline, 'row_count' AS "check", 'unknown' AS status, CAST(NULL AS DOUBLE) AS value, 1.0 AS threshold,
+       'row_count: ' || n || ' bad records' AS message
+FROM (VALUES ('signup'), ('view'), ('click'), ('error'), ('purchase'), ('refund')) q(t), b
+""")
+def s04_bad_records(spark, sf):
+    """A source with lines that can't be read is unknown for all its pipelines, with the count."""
+    from vigil.sources import json_documents
+    from vigil.sources.records import unless_bad
+    read = json_documents(spark, _broken_export(spark, sf), "kind string, k int")
+    specs = specs_frame(spark, [{"pipeline": t, "check": "row_count"} for t in ("signup", "view", "click", "error", "purchase", "refund")])
+    return out(evaluate(specs, unless_bad(M.row_count(read.good, "kind"), read.bad, specs)))
+
+
+@query("s07_export_report", sql=f"""
+SELECT count(*) FILTER (WHERE NOT ({_BROKEN_SQL})) AS n_good, count(*) FILTER (WHERE {_BROKEN_SQL}) AS n_bad FROM events
+""")
+def s07_export_report(spark, sf):
+    """The file reader of an export: records read and lines reported as bad."""
+    from vigil.sources import ndjson_export
+    read = ndjson_export(spark, _broken_export(spark, sf))
+    both = read.good.select(F.lit(1).alias("good")).unionByName(read.bad.select(F.lit(0).alias("good")))
+    return both.agg(F.count_if(F.col("good") == 1).alias("n_good"), F.count_if(F.col("good") == 0).alias("n_bad"))

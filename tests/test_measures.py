@@ -334,6 +334,15 @@ def test_instants_with_offsets(spark):
         "2024-01-01 10:00:00", "2024-01-01 17:30:00", "2024-01-01 12:00:00", "2024-01-01 12:00:00", None, None, None, "2024-01-01 00:00:00"]
 
 
+def test_zones_are_honoured_or_the_text_is_no_time(spark):
+    from vigil.operators.freshness import parse_instant
+    texts = {"2024-01-01T12:00:00+02": "2024-01-01 10:00:00", "2024-01-01T12:00:00 +02:00": "2024-01-01 10:00:00", "2024-01-01 12:00:00 -0130": "2024-01-01 13:30:00",
+             "2024-01-01T12:00:00 Z": "2024-01-01 12:00:00", "2024-01-01T12:00:00.5+01": "2024-01-01 11:00:00.5", "2024-01-01T12:00:00 CET": None,
+             "2024-01-01T12:00:00[Europe/Berlin]": None, "2024-01-01T12:00:00 Europe/Berlin": None, "2024-01-01T12:00:00+2": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r[0]: r[1] for r in df.select("t", parse_instant(F.col("t")).cast("string")).collect()} == texts
+
+
 def test_period_edges_belong_to_the_newer_period(spark):
     as_of = F.lit("2024-01-01 00:10:00").cast("timestamp_ntz")
     pts = spark.createDataFrame([("a", "2024-01-01 00:05:00", "9"), ("b", "2024-01-01 00:00:00", "9"), ("c", "2024-01-01 00:06:00", "n/a"),

@@ -27,7 +27,7 @@ def test_runs_from_event_log(spark, tmp_path):
     log("app-2_2", [{"Event": "SparkListenerApplicationStart", "App Name": "load", "App ID": "app-2",
                      "App Attempt ID": "2", "Timestamp": 9000},
                     {"Event": "SparkListenerApplicationEnd", "Timestamp": 9000}])
-    apps = {r["app_id"]: r for r in runs_from_event_log(spark, str(tmp_path)).collect()}
+    apps = {r["app_id"]: r for r in runs_from_event_log(spark, str(tmp_path)).good.collect()}
     assert apps["app-1"]["name"] == "etl"
     assert apps["app-1"]["attempts"][0]["completed"] and apps["app-1"]["attempts"][0]["duration"] == 12000
     assert [a["attempt"] for a in apps["app-2"]["attempts"]] == ["2", "1"]      # newest attempt first

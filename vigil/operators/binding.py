@@ -12,7 +12,6 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.base import to_measures
 from vigil.schema import MEASURES, MISSING_SETTING
 
 # The setting that names what a check measures.
@@ -23,27 +22,48 @@ KEY_SETTING = {
 }
 
 
+# Without this setting a spec of the profile is unknown, whatever the data holds.
+REQUIRED_BY_PROFILE = {"celery": "queue", "rabbitmq": "queue", "azure_servicebus": "queue_name", "kafka": "topic", "mqtt": "topic",
+                       "sqs": "queue_url", "opensearch": "index", "tableau": "datasource_id", "redis": "key", "pubsub": "subscription",
+                       "nats": "stream", "dynamodb": "table", "couchdb": "database", "databricks": "job_id", "dbt": "job_id"}
+
+
+def _lacking() -> Column:
+    """The required setting a spec lacks: what its config found missing, else its profile's; NULL if none."""
+    needed = F.element_at(F.create_map(*[F.lit(x) for pair in REQUIRED_BY_PROFILE.items() for x in pair]), F.element_at("params", F.lit("profile")))
+    unset = F.coalesce(F.element_at("params", needed), F.lit("")) == ""
+    return F.coalesce(F.element_at("params", F.lit("missing_setting")), F.when(needed.isNotNull() & unset, needed))
+
+
 def _setting(settings: Mapping[str, str]) -> Column:
     """The value of the setting that names the check's key; NULL where unset or empty."""
     value = F.lit(None).cast("string")
     for check, name in settings.items():
         value = F.when(F.col("check") == F.lit(check), F.element_at("params", F.lit(name))).otherwise(value)
-    return F.when(value != F.lit(""), value)
+    preset = F.when(F.col("check") != F.lit("kv_value"), F.element_at("params", F.lit("key")))
+    return F.coalesce(F.when(value != F.lit(""), value), F.when(preset != F.lit(""), preset))
 
 
 def bind(specs: DataFrame, measures: DataFrame, settings: Mapping[str, str] | None = None,
          required: Iterable[str] = ()) -> DataFrame:
     """Measures keyed by pipeline. A spec's key is its setting (``settings`` over
-    ``KEY_SETTING``), or else its pipeline name; several specs may watch one key. For the
-    checks of ``required`` a spec without the setting is unknown (V14), whatever its
-    profile, and the pipeline name is not tried."""
+    ``KEY_SETTING``, else ``params['key']``), or else its pipeline name; several specs may watch one key. A spec that
+    lacks a setting its profile requires (``REQUIRED_BY_PROFILE``) or its config found missing is
+    unknown (V14) and the pipeline name is not tried; so is, for the checks of ``required``, a spec
+    without a key."""
     settings = {**KEY_SETTING, **(settings or {})}
     required = list(required)
-    named = specs.select("pipeline", "check", _setting(settings).alias("_named"))
-    unset = F.col("_named").isNull() & F.col("check").isin(required) if required else F.lit(False)
-    wanted = named.where(~unset).select("pipeline", "check", F.coalesce("_named", "pipeline").alias("_key"))
+    named = specs.select("pipeline", "check", _setting(settings).alias("_named"), _lacking().alias("_lacks"))
+    if required:
+        names = F.create_map(*[F.lit(x) for check in required for x in (check, settings.get(check, "key"))])
+        named = named.withColumn("_lacks", F.coalesce("_lacks", F.when(F.col("_named").isNull(), F.element_at(names, F.col("check")))))
+    wanted = named.where(F.col("_lacks").isNull()).select("pipeline", "check", F.coalesce("_named", "pipeline").alias("_key"))
     found = wanted.join(measures.withColumnRenamed("pipeline", "_key"), ["_key", "check"]).select(*MEASURES.fieldNames())
-    for check in required:
-        lacking = named.where(unset & (F.col("check") == F.lit(check))).select("pipeline")
-        found = found.unionByName(to_measures(lacking, check, state=F.lit(MISSING_SETTING), raw=F.lit(settings.get(check, "key"))))
-    return found
+    lacking = named.where(F.col("_lacks").isNotNull())
+    return found.unionByName(_unknown(lacking))
+
+
+def _unknown(lacking: DataFrame) -> DataFrame:
+    """A measure that names the missing setting for each of the specs."""
+    fields = {"pipeline": F.col("pipeline"), "check": F.col("check"), "raw": F.col("_lacks"), "state": F.lit(MISSING_SETTING), "present": F.lit(True)}
+    return lacking.select(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in MEASURES.fields])

@@ -11,14 +11,15 @@ from vigil.operators.base import as_col, hours_between, to_measures
 
 def parse_instant(c: Column) -> Column:
     """ISO-8601 text (``Z`` or an offset allowed) or a timestamp -> UTC TIMESTAMP_NTZ;
-    empty or unparsable text is NULL. Plain arithmetic: no session time zone."""
+    empty or unparsable text, a zone by name included, is NULL. Plain arithmetic: no session time zone."""
     text = F.trim(c.cast("string"))
-    zone = r"[Tt ][0-9:.]+([+-])(\d\d):?(\d\d)$"
+    zone = r"[Tt ][0-9:.]+\s*([+-])(\d\d)(?::?(\d\d))?$"
     part = lambda i: F.regexp_extract(text, zone, i)
-    minutes = F.coalesce(part(2).try_cast("int") * 60 + part(3).try_cast("int"), F.lit(0))
+    minutes = F.coalesce(part(2).try_cast("int") * 60 + F.coalesce(part(3).try_cast("int"), F.lit(0)), F.lit(0))
     east = F.when(part(1) == "-", -minutes).otherwise(minutes)
-    local = F.regexp_replace(F.regexp_replace(text, r"[Zz]$", ""), r"([Tt ][0-9:.]+)[+-]\d\d:?\d\d$", "$1")
-    return F.when(F.length(local) > 0, local.try_cast("timestamp_ntz")
+    local = F.regexp_replace(F.regexp_replace(text, r"\s*[Zz]$", ""), r"([Tt ][0-9:.]+)\s*[+-]\d\d(:?\d\d)?$", "$1")
+    plain = local.rlike(r"^[0-9]+-[0-9]+-[0-9]+([Tt ][0-9:.]+)?$")  # a zone not understood is no time, rather than another one
+    return F.when(plain, local.try_cast("timestamp_ntz")
                   - F.make_dt_interval(F.lit(0), F.lit(0), east, F.lit(0)))
 
 

@@ -24,7 +24,7 @@ from vigil.functions import verdicts as V
 from vigil.functions.numbers import num_text
 from vigil.functions.profiles import coerce
 from vigil.functions.status import OK, UNKNOWN, WARNING
-from vigil.schema import MEASURES, MISSING_SETTING, SOURCE_ERROR
+from vigil.schema import BAD_RECORDS, MEASURES, MISSING_SETTING, SOURCE_ERROR
 
 NUMERIC_OPS = ("ge", "gt", "le", "le_any", "between", "max_age", "count_recent", "eq")
 STATE_OPS = ("state_airflow", "state_dbt", "state_databricks", "completed", "truthy", "http", "static")
@@ -106,10 +106,11 @@ def _build_stages(defaults: Mapping[str, float] | None):
     op_ = F.coalesce(F.col("op"), F.lit("ge"))
     profile = _param("profile")
     zero_unset = F.coalesce(_param("zero_is_unset") == F.lit("true"), F.lit(False))
-    failed_ = F.coalesce(F.col("state").isin(SOURCE_ERROR, MISSING_SETTING), F.lit(False))
+    failed_ = F.coalesce(F.col("state").isin(SOURCE_ERROR, MISSING_SETTING, BAD_RECORDS), F.lit(False))
     v_, reason_ = coerce(F.col("value"), F.col("raw"), F.col("present"), profile)
     v_, reason_ = F.when(~failed_, v_), F.when(
-        F.col("state") == F.lit(MISSING_SETTING), _msg("missing setting '", F.col("raw"), "'")).when(failed_, F.lit("source error")).otherwise(reason_)
+        F.col("state") == F.lit(MISSING_SETTING), _msg("missing setting '", F.col("raw"), "'")).when(
+        F.col("state") == F.lit(BAD_RECORDS), F.col("raw")).when(failed_, F.lit("source error")).otherwise(reason_)
     t_ = V.threshold_chain(F.col("threshold"), _source_default(defaults), _op_default(op_), zero_unset)
     inputs = [
         F.col("pipeline"), F.col("check"), F.col("tags"), F.col("alert_on_failure"), F.col("params"),

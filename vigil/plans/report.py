@@ -9,18 +9,20 @@ from vigil.functions.status import is_healthy
 
 
 def run_report(results: DataFrame, outbox: DataFrame | None = None) -> DataFrame:
-    """One row (total, healthy, unhealthy, alerts_sent, exit_code).
+    """One row (total, healthy, unhealthy, alerts_sent, exit_code). A channel that
+    writes to several recipients sends one alert per result.
 
     Results and outbox rows are tagged and unioned into one global aggregate, so
     the report needs no join; every task pre-aggregates to one row."""
-    r = results.select(F.lit(1).alias("_r"), is_healthy(F.col("status")).alias("_h"))
+    r = results.select(F.lit(1).alias("_r"), is_healthy(F.col("status")).alias("_h"), F.lit(None).cast("string").alias("_to"))
     u = r
     if outbox is not None:
-        u = r.unionByName(outbox.select(F.lit(0).alias("_r"), F.lit(False).alias("_h")))
+        u = r.unionByName(outbox.select(F.lit(0).alias("_r"), F.lit(False).alias("_h"), F.when(
+            F.col("recipient").isNotNull(), F.to_json(F.struct("channel", "pipeline", "dedup_key"))).alias("_to")))
     agg = u.agg(
         F.coalesce(F.sum("_r"), F.lit(0)).cast("long").alias("total"),
         F.count_if((F.col("_r") == 1) & F.col("_h")).alias("healthy"),
-        F.count_if(F.col("_r") == 0).alias("alerts_sent"),
+        (F.count_if((F.col("_r") == 0) & F.col("_to").isNull()) + F.count_distinct("_to")).alias("alerts_sent"),
     )
     return agg.select(
         "total", "healthy", (F.col("total") - F.col("healthy")).alias("unhealthy"), "alerts_sent",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.plans.backends import BOUNDS, SOURCE_SETTINGS, get_preset, preset_row
 from vigil.schema import SPECS
 
 KNOWN_KEYS = ("name", "pipeline", "check", "op", "threshold", "max_threshold", "max_age_hours", "expected",
@@ -172,21 +173,31 @@ PIPELINE_KEYS = ("name", "schedule", "max_duration_seconds", "alert_on_failure",
 
 def config_frames(spark: SparkSession, config: Mapping) -> Config:
     """E1 from an already-parsed config mapping (``backend``, ``backend_options``,
-    ``alert_channels``, ``pipelines``). Each pipeline becomes one spec whose check
-    is its own ``check`` key or else the backend name; every other key lands in
-    ``params``. A numeric ``threshold`` in ``backend_options`` becomes the default
-    threshold of that check; channels may be given as type names or dicts."""
+    ``alert_channels``, ``pipelines``). Each pipeline becomes one spec. Its check is its own
+    ``check`` key, else what the backend's preset stands for (``backends.PRESETS``), else the
+    backend name itself. Every other key lands in ``params``. ``backend_options`` are the settings of
+    all pipelines that don't set their own: bounds, comparison and data settings; its ``threshold``
+    becomes the default of the check (V15). Numbers may come as text. Channels may be given as type
+    names or dicts."""
     backend = config.get("backend")
     options = dict(config.get("backend_options") or {})
+    preset = get_preset(backend)
     rows = []
     for p in config.get("pipelines") or []:
         p = dict(p)
         row = {k: p.pop(k) for k in PIPELINE_KEYS if k in p}
-        row["check"] = p.pop("check", None) or backend
-        for k in ("op", "threshold", "max_threshold", "max_age_hours", "expected"):
+        check = p.pop("check", None)
+        if check is None and preset:
+            rows.append({**row, **preset_row(backend.lower(), preset, p, options)})
+            continue
+        row["check"] = check or backend
+        shared = options if row["check"] == backend else {}
+        for k in BOUNDS:
             if k in p:
                 row[k] = p.pop(k)
-        row["params"] = {k: v for k, v in p.items()}
+            elif k != "threshold" and shared.get(k) is not None:
+                row[k] = shared[k]
+        row["params"] = {**{k: v for k, v in shared.items() if k in SOURCE_SETTINGS}, **p}
         rows.append(row)
     if rows:
         specs = specs_frame(spark, rows)
@@ -194,6 +205,16 @@ def config_frames(spark: SparkSession, config: Mapping) -> Config:
         specs = normalize_specs(spark.createDataFrame([], SPECS))
     channels = [{"type": c} if isinstance(c, str) else dict(c) for c in config.get("alert_channels") or []]
     defaults = {}
-    if backend and isinstance(options.get("threshold"), (int, float)):
-        defaults[backend] = float(options["threshold"])
+    names = [n for n, to in (preset.bounds.items() if preset else ()) if to == "threshold"]
+    given = next((x for x in (_number(options.get(n)) for n in ["threshold", *names]) if x is not None), preset.threshold if preset else None)
+    if backend and given is not None:
+        defaults[preset.check if preset else backend] = given
     return Config(specs=specs, channels=channels, defaults=defaults)
+
+
+def _number(value) -> float | None:
+    """A setting as a number; None for what is none (a truth value included)."""
+    try:
+        return None if isinstance(value, bool) else float(value)
+    except (TypeError, ValueError):
+        return None

@@ -50,6 +50,8 @@ RESULTS = T.StructType([
 SOURCE_ERROR = "#source error"
 # State of a measure whose spec lacks a required setting (named in ``raw``): unknown as well.
 MISSING_SETTING = "#missing setting"
+# State of a measure whose source holds records that can't be read (counted in ``raw``): unknown, too.
+BAD_RECORDS = "#bad records"
 
 OUTBOX = T.StructType([
     T.StructField("channel", T.StringType(), True),

@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.jsonpath import json_path
+from vigil.sources.records import Records, json_records
 
 
-def json_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("mode", "DROPMALFORMED")
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.json(path)
+def json_documents(spark: SparkSession, path: str, schema: str | None = None) -> Records:
+    """Documents of JSON line files and, apart, the lines that are none (``records.unless_bad`` makes their checks unknown)."""
+    return json_records(spark, path, schema)
 
 
 def json_field(doc: str | Column, dotted: str) -> Column:

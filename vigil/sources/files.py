@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.sources.records import Records, json_records
+
 
 def file_listing(spark: SparkSession, path: str, path_glob: str | None = None, recursive: bool = True) -> DataFrame:
     """S3: one row per file (path, modificationTime, length). The binary file
@@ -46,12 +48,9 @@ def with_row_order(df: DataFrame) -> DataFrame:
                      F.monotonically_increasing_id().alias("_pos"))
 
 
-def ndjson_export(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Line-delimited JSON; lines that do not parse are dropped."""
-    reader = spark.read.option("mode", "DROPMALFORMED")
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.json(path)
+def ndjson_export(spark: SparkSession, path: str, schema: str | None = None) -> Records:
+    """Line-delimited JSON. Lines that do not parse are skipped, as the export's reader does, and given apart to be reported."""
+    return json_records(spark, path, schema)
 
 
 def parsed_lines(lines: DataFrame, line: str = "line") -> DataFrame:
