@@ -147,3 +147,18 @@ def m03_filters_by_spec(spark, sf):
     wanted += [(f"{t}-all", {"collection": t}) for t in TYPES] + [(f"{t}-text", {"collection": t, "field": "k", "equals": '"5"'}) for t in TYPES]
     specs = specs_frame(spark, [{"pipeline": p, "check": "doc_count", "threshold": 30.0, "params": params} for p, params in wanted])
     return out(evaluate(specs, filtered_counts_by_spec(table(spark, sf, "events"), specs, "event_type", "props")))
+
+
+# ---------------------------------------------------------------- M20, distinct users a day from stored sketches
+@query("m20_sketched_depth", sql=f"""
+SELECT x AS pipeline, TRUE AS within_5_percent FROM (VALUES {_NAMES_SQL}) t(x) JOIN (SELECT DISTINCT event_type FROM events) ON event_type = x
+""")
+def m20_sketched_depth(spark, sf):
+    """Distinct message ids per queue, merged from one written sketch per queue and day, against the exact count."""
+    from vigil.session import scratch_path
+    events = table(spark, sf, "events")
+    path = scratch_path(spark, "queue-sketches")
+    M.queue_sketches(events, "event_type", "event_id", F.to_date("ts")).write.partitionBy("part").parquet(path)
+    depth = M.sketched_depth(spark.read.parquet(path))
+    exact = M.queue_depth(events, "event_type", distinct="event_id").select("pipeline", F.col("value").alias("exact"))
+    return depth.join(exact, "pipeline").select("pipeline", (F.abs(F.col("value") - F.col("exact")) <= 0.05 * F.col("exact")).alias("within_5_percent"))

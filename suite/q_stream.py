@@ -17,7 +17,8 @@ from vigil.plans.evaluate import as_of_lit
 from vigil.operators.base import to_measures
 from vigil.plans.specs import normalize_specs, specs_frame
 from vigil.session import scratch_path, use_utc
-from vigil.streaming import (alert_batches, evaluate_batches, file_stream, newest_per_key, partition_progress,
+from vigil.plans.evaluate import evaluate
+from vigil.streaming import (StateLog, alert_batches, evaluate_batches, file_stream, newest_per_key, partition_progress,
                              run_available, window_counts)
 
 
@@ -114,3 +115,35 @@ def r01_stream_window_alerts(spark, sf):
     ob = spark.read.schema("channel string, pipeline string, status string, payload string").json(path)
     return ob.select("channel", "pipeline", "status",
                      F.regexp_extract(F.get_json_object("payload", "$.line"), "Details: (.*)$", 1).alias("message"))
+
+
+# ---------------------------------------------------------------- R2 / R3 with published state as an upsert log
+def _events_in_parts(spark, sf, parts: int = 5):
+    """The events as a stream of ``parts`` files, a random share each, one a trigger."""
+    events = table(spark, sf, "events")
+    folder = scratch_path(spark, "events-in-parts")
+    for i, piece in enumerate(events.randomSplit([1.0] * parts, seed=7)):
+        piece.coalesce(1).write.mode("append").parquet(f"{folder}/{i}")
+    return file_stream(spark, f"{folder}/*", events.schema, max_files_per_trigger=1)
+
+
+@query("r02_stream_upserts", sql=ORACLES["m16_total_lag"])
+def r02_stream_upserts(spark, sf):
+    """The lag of r02, from a log of the partitions each trigger changed, compacted on the way."""
+    use_utc(spark)
+    cutoff = as_of_lit(EVENTS_AS_OF - dt.timedelta(days=1))
+    progress = partition_progress(_events_in_parts(spark, sf), "event_type", "user_id", F.col("ts") < cutoff)
+    log = StateLog(scratch_path(spark, "r02-log"), ["topic", "partition"], compact_every=3)
+    run_available(progress.writeStream.outputMode("update").foreachBatch(log.append), spark, "r02-log")
+    specs = specs_frame(spark, [{"pipeline": t, "check": "total_lag", "threshold": 65, "params": {"profile": "kafka"}} for t in TYPES])
+    return out(evaluate(specs, M.total_lag(log.read(spark)), as_of=EVENTS_AS_OF))
+
+
+@query("r03_stream_upserts", sql=ORACLES["r03_stream_freshness"])
+def r03_stream_upserts(spark, sf):
+    use_utc(spark)
+    newest = newest_per_key(_events_in_parts(spark, sf), F.concat(F.lit("svc-"), F.col("user_id").cast("string")), "ts")
+    log = StateLog(scratch_path(spark, "r03-log"), ["pipeline"], compact_every=2)
+    run_available(newest.writeStream.outputMode("update").foreachBatch(log.append), spark, "r03-log")
+    measures = M.age_hours(log.read(spark), "pipeline", "newest", as_of_lit(EVENTS_AS_OF))
+    return out(evaluate(service_specs(spark, sf, "age_hours"), measures, as_of=EVENTS_AS_OF))

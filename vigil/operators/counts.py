@@ -163,6 +163,20 @@ def queue_depth(df: DataFrame, key: str | Column, distinct: str | Column | None
     return to_measures(agg, check, value=F.col("n"))
 
 
+def queue_sketches(df: DataFrame, key: str | Column, distinct: str | Column, part: str | Column, lg_k: int = 12) -> DataFrame:
+    """M20 over huge logs: ``(pipeline, part, sketch)``, one mergeable HyperLogLog sketch of the distinct ids per queue and
+    part (a day). Stored once per closed part, so that a check reads the newest part's rows only."""
+    return df.groupBy(as_col(key).cast("string").alias("pipeline"), as_col(part).alias("part")).agg(
+        F.hll_sketch_agg(as_col(distinct).cast("string"), F.lit(lg_k)).alias("sketch"))
+
+
+def sketched_depth(sketches: DataFrame, check: str = "queue_depth") -> DataFrame:
+    """M20 from stored sketches: distinct ids per queue over all parts given (an id in two parts counts once). With ``lg_k``
+    12 the standard error is about 1.3 % (1.04 / sqrt(2^lg_k), less for few ids)."""
+    agg = sketches.groupBy("pipeline").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+    return to_measures(agg, check, value=F.col("n"))
+
+
 def object_count(objects: DataFrame, prefixes: Mapping[str, str], path: str | Column = "path",
                  check: str = "object_count") -> DataFrame:
     """Entries whose key starts with the prefix, per pipeline, one scan."""
