@@ -29,8 +29,8 @@ import zlib
 from collections import Counter
 from operator import ne
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,14 +79,19 @@ def letter_groups(words: DataFrame, groups: int) -> list[str]:
 
 
 def with_vector(words: DataFrame, letters: list[str]) -> DataFrame:
-    """Adds ``size`` and ``counts``, the letters a word has of each group."""
+    """Adds ``size``, ``counts`` (the letters a word has of each group of the key) and ``rest`` (of the others, as text)."""
     size = F.char_length("word")
     counts = [size - F.char_length(F.translate("word", g, "")) if g else F.lit(0) for g in letters]
-    return words.select("word", "n", size.alias("size"), F.array(*counts).alias("counts"))
+    return words.select("word", "n", size.alias("size"), F.array(*counts[:TOP]).alias("counts"), F.concat_ws(",", *counts[TOP:]).alias("rest"))
 
 
 def _key(size: Column, counts: list[Column]) -> Column:
-    return F.concat_ws(",", size, *counts)
+    """The length and the counts modulo 64 as one number. A word's questions differ by two at most in a
+    count, so they have keys of their own, and the words of a key are of one length."""
+    key = size.cast("long")
+    for c in counts:
+        key = F.shiftleft(key, 6).bitwiseOR(c.cast("long").bitwiseAND(F.lit(63)))
+    return key
 
 
 def questions() -> Column:
@@ -114,17 +119,16 @@ def one_more(word: str, longer: str) -> bool:
 
 
 def near_pairs(vectors: DataFrame, shard_size: int = 8192) -> DataFrame:
-    """Written ``vectors(word, n, size, counts)`` of distinct words -> ``(a, a_n, b, b_n)``, each near pair once."""
-    rest = F.concat_ws(",", F.slice("counts", F.lit(TOP + 1), F.size("counts")).cast("array<string>")).alias("rest")
-    placed = vectors.select(_key(F.col("size"), [F.get("counts", F.lit(i)) for i in range(TOP)]).alias("key"), "word", "n", rest)
+    """Written ``with_vector`` of distinct words -> ``(a, a_n, b, b_n)``, each near pair once."""
+    placed = vectors.select(_key(F.col("size"), [F.get("counts", F.lit(i)) for i in range(TOP)]).alias("key"), "word", "n", "rest")
     keys = materialize(placed.groupBy("key").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards")), "trie-keys")
-    asked = vectors.select(F.explode(questions()).alias("q"), "word", "n", rest).select(
-        "q.key", "word", "n", "rest", (F.col("q.surplus") + 2 * F.col("q.deficit")).alias("budget"))
-    def at(shard):
-        return F.concat_ws(",", "key", shard).alias("place")
-    standing = placed.join(keys, "key").select(at(F.pmod(F.xxhash64("word"), F.col("shards").cast("long"))), F.lit(-1).alias("budget"), "word", "n", "rest")
-    asking = asked.join(keys, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "budget", "word", "n", "rest")
-    dealt = standing.unionByName(asking.select(at(F.col("shard")), "budget", "word", "n", "rest")).repartition("place").sortWithinPartitions("place", "budget")
+    asked = vectors.select(F.explode(questions()).alias("q"), "word", "n", "rest").select(
+        "q.key", "word", "n", "rest", (F.col("q.surplus") + 2 * F.col("q.deficit")).cast("byte").alias("budget"))
+    columns = ["key", "shard", "budget", "word", "n", "rest"]
+    shard = F.pmod(F.xxhash64("word"), F.col("shards").cast("long")).cast("int")
+    standing = placed.join(keys, "key").withColumn("shard", shard).withColumn("budget", F.lit(-1).cast("byte")).select(*columns)
+    asking = asked.join(keys, "key").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(*columns)
+    dealt = standing.unionByName(asking).repartition("key", "shard").sortWithinPartitions("key", "shard", "budget")
 
     def run(batches):
         trie, last, numbers = {}, None, {}
@@ -145,12 +149,13 @@ def near_pairs(vectors: DataFrame, shard_size: int = 8192) -> DataFrame:
             if surplus == deficit:
                 out.append(node)
         for batch in batches:
-            place, found = batch.column(0), []
             if not batch.num_rows:
                 continue
-            new = [place[0].as_py() != last, *pc.not_equal(place.slice(1), place.slice(0, len(place) - 1)).to_pylist()]
-            last = place[len(place) - 1].as_py()
-            for other_trie, budget, word, n, rest in zip(new, *[c.to_pylist() for c in batch.columns[1:]]):
+            found, places = [], [batch.column(0).to_numpy(), batch.column(1).to_numpy()]
+            new = np.append(True, np.logical_or(*[p[1:] != p[:-1] for p in places]))
+            new[0] = (int(places[0][0]), int(places[1][0])) != last
+            last = int(places[0][-1]), int(places[1][-1])
+            for other_trie, budget, word, n, rest in zip(new.tolist(), *[c.to_pylist() for c in batch.columns[2:]]):
                 if other_trie:
                     trie, numbers = {}, {}
                 counts = numbers.get(rest)
