@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 from vigil.llm.common import materialize
 
 RUN = "[A-Za-zÀ-ÿ]+"
-UPPER = {i: i + 32 for i in range(65, 91)}
 GROUPS, TOP = 16, 4
 
 
@@ -47,14 +46,14 @@ def counted_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", r
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text).alias("body"))
 
     def count(batches, limit=300_000):
-        find, held = re.compile(run).findall, Counter()
+        find, held = re.compile(run).findall, Counter()  # bytes.lower() changes A-Z only
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
         for batch in batches:
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 start = zlib.crc32(f"{id_}:".encode())
-                for word, n in Counter(find((text.as_py() or "").translate(UPPER))).items():
+                for word, n in Counter(find((text.as_py() or "").encode("utf-8").lower().decode("utf-8"))).items():
                     h = zlib.crc32(word.encode(), start)
                     if h % drop_one_in == 0:
                         at = h % len(word)
