@@ -67,8 +67,7 @@ def unless_bad(measures: DataFrame, bad: DataFrame, names: DataFrame | None = No
     columns = MEASURES.fieldNames()
     if names is not None:
         measures = names.select("pipeline", "check").distinct().join(measures, ["pipeline", "check"], "left").select(*columns)
-    count = bad_count(bad).select("n_bad", F.lit(1).alias("_one"))
-    told = measures.withColumn("_one", F.lit(1)).join(count, "_one")
+    told = measures.withColumn("n_bad", bad_count(bad).scalar())  # one number, counted once
     spoilt = F.col("n_bad") > 0
 
     def field(name: str) -> Column:
