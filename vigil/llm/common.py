@@ -30,9 +30,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder of ``spark.checkpoint.dir`` and read it
     back: cuts the lineage, survives lost executors, and gives later joins a size
     Catalyst knows."""
+    return materialize_at(df, name)[0]
+
+
+def materialize_at(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
+    """``materialize`` with options of the writer; also gives the folder, for ``discard``."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes written tables that no later step reads: call it once what was derived from them is written."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """``stem``, with underscores before it until no column of ``df`` has that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = "_" + stem
+    return stem
 
 
 def fold_of(column: Column, modulus: int) -> Column:

@@ -12,8 +12,8 @@ Documents then look their units up: the units whose count reaches a threshold th
 ``dictionary`` units reach are broadcast, all others come by a join on the unit. Per document
 come the number of pieces, its score and a checksum over all (id, place) pairs, the
 place being 4 * character offset + byte within a character: it tells any other order.
-``encode`` gives these sums from the units; ``encode_pieces`` writes every document's ids, ``decode``
-turns them back into texts, and ``round_trip`` derives the same sums and a digest of the restored text from the written ids.
+``encode_pieces`` writes every document's ids, ``decode`` turns them back into texts, and ``round_trip`` derives
+these sums and a digest of the restored text from the written ids (``encode``: the sums alone).
 
 A model of type BPE has merge ranks instead of log probabilities; ``piece_table`` scores
 them -100000 - rank (sums stay exact): fewer pieces win, then smaller ranks. That is a Viterbi reading of the
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from vigil.llm.common import materialize, share
+from vigil.llm.common import discard, materialize_at, share
 
 SPACE = "▁"
 MODULUS = (1 << 31) - 1
@@ -127,51 +127,73 @@ def unit_counts(texts: DataFrame, units: Units) -> DataFrame:
     return texts.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+# An edge is one long: 20 bits end, 20 bits START - start, 24 bits 1 + id (0: no piece). Larger is a later end, then an earlier start.
+START, ID = (1 << 20) - 1, (1 << 24) - 1
+
+
+def _start(edge: Column) -> Column:
+    return F.lit(START) - F.shiftright(edge, 24).bitwiseAND(F.lit(START)).cast("int")
+
+
 def encode_units(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``units(unit, ...)`` of distinct units -> the same plus ``path`` (array of
-    (start, id), id null where a character has no piece) and ``score``."""
-    bounds = pieces.agg(F.max(F.when(F.col("byte").isNull(), F.char_length("piece"))).alias("longest"), F.min("score").alias("least")).first()
-    longest, fallback = bounds["longest"] or 1, (bounds["least"] or 0.0) - 10.0
-    table = pieces.where("byte is null").select("piece", "id", "score")
+    """``units(unit, ...)`` of distinct units of less than 2^20 characters -> the same plus ``path``
+    (array of (start, id), id null where a character has no piece) and ``score``."""
+    known = [tuple(r) for r in pieces.where("byte is null").select("id", "score", F.char_length("piece")).collect()]
+    least = pieces.agg(F.min("score")).first()[0]
+    fallback, longest = (least or 0.0) - 10.0, max((k[2] for k in known), default=1)
+    scores = [fallback] * (2 + max((k[0] for k in known), default=0))  # by 1 + id
+    for i, score, _ in known:
+        scores[1 + i] = score
+    weights = F.split(F.lit(",".join(map(repr, scores))), ",").cast("array<double>")  # folded to one literal
+    table = pieces.where("byte is null").select("piece", "id")
     carried = [c for c in units.columns if c != "unit"]
     size = F.char_length("unit")
     spans = (units.select("unit", *carried, F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
              .select("unit", *carried, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start")))).alias("len"))
              .select("unit", *carried, "start", "len", F.substring("unit", F.col("start") + 1, F.col("len")).alias("piece")))
+    edge = (F.shiftleft((F.col("start") + F.col("len")).cast("long"), 44)
+            .bitwiseOR(F.shiftleft((F.lit(START) - F.col("start")).cast("long"), 24))
+            .bitwiseOR((F.coalesce("id", F.lit(-1)) + 1).cast("long")))
     # the piece table is a model's vocabulary: small by construction
-    edges = spans.join(F.broadcast(table), "piece", "left").where("id is not null or len = 1").select(
-        "unit", *carried, F.struct((F.col("start") + F.col("len")).alias("end"), "start", "id", F.coalesce("score", F.lit(fallback)).alias("score")).alias("e"))
-    lattice = edges.groupBy("unit", *carried).agg(F.array_sort(F.collect_list("e")).alias("edges"))
-    step = "struct<s: double, path: array<struct<start: int, id: int>>>"
-    start = F.array(F.struct(F.lit(0.0).alias("s"), F.array().cast("array<struct<start: int, id: int>>").alias("path"))).cast(f"array<{step}>")
-
-    def fold(best, e):
-        """best[p] is the best path to position p; edges come by end, then start."""
-        score = F.get(best, e["start"])["s"] + e["score"]
-        there = F.get(best, e["end"])["s"]
-        mine = F.array(F.struct(score.alias("s"), F.concat(F.get(best, e["start"])["path"], F.array(
-            F.struct(e["start"].alias("start"), e["id"].alias("id")))).alias("path")))
-        return F.when(there >= score, best).when(there.isNull(), F.concat(best, mine)).otherwise(
-            F.concat(F.slice(best, F.lit(1), e["end"]), mine))
-    best = lattice.select("unit", *carried, F.aggregate("edges", start, fold, lambda b: F.element_at(b, -1)).alias("b"))
-    return best.select("unit", *carried, F.col("b.path").alias("path"), F.col("b.s").alias("score"))
+    edges = spans.join(F.broadcast(table), "piece", "left").where("id is not null or len = 1").select("unit", *carried, edge.alias("e"))
+    lattice = edges.groupBy("unit", *carried).agg(F.sort_array(F.collect_list("e")).alias("edges"))
+    begin = F.struct(F.array(F.lit(0.0)).alias("done"), F.array().cast("array<bigint>").alias("back"),
+                     F.lit(None).cast("struct<s: double, e: bigint>").alias("top"))
+
+    def fold(state, e):
+        """done[p] is the best score to position p < size(done), back[p - 1] its last edge; top is the best
+        edge so far to position size(done). Edges come by end, and every position has one."""
+        done, back, top = state["done"], state["back"], state["top"]
+        before = F.coalesce(F.get(done, _start(e)), top["s"])  # none only where this edge starts at top's position
+        mine = F.struct((before + F.get(weights, e.bitwiseAND(F.lit(ID)).cast("int"))).alias("s"), e.alias("e"))
+        return F.when(F.shiftright(e, 44) == F.size(done), F.struct(
+            done.alias("done"), back.alias("back"), F.greatest(top, mine).alias("top"))).otherwise(F.struct(
+                F.concat(done, F.array(top["s"])).alias("done"), F.concat(back, F.array(top["e"])).alias("back"), mine.alias("top")))
+    best = lattice.select("unit", *carried, F.aggregate("edges", begin, fold).alias("b"))
+    # the walk back: an edge is on the path if it ends where the one taken last starts
+    last = F.array(F.col("b.top.e"))
+
+    def walk(path, e):
+        taken = F.concat(F.array(e), path)
+        return F.when(_start(F.get(path, F.lit(0))) == F.shiftright(e, 44), taken).otherwise(path)
+    walked = best.select("unit", *carried, F.col("b.top.s").alias("score"), F.aggregate(F.reverse("b.back"), last, walk).alias("way"))
+    number = lambda e: (e.bitwiseAND(F.lit(ID)) - 1).cast("int")
+    path = F.transform("way", lambda e: F.struct(_start(e).alias("start"), F.when(number(e) >= 0, number(e)).alias("id")))
+    return walked.select("unit", *carried, path.alias("path"), "score")
 
 
 def piece_ids(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Adds ``ids`` and ``places`` (4 * start + byte) to units with a path."""
+    """Replaces ``path`` by the ``ids`` of its pieces, byte pieces for a character without one."""
     byte_ids = [r["id"] for r in pieces.where("byte is not null").orderBy("byte").select("id").collect()]
     code = F.lit(byte_ids if len(byte_ids) == 256 else [0] * 256)
 
     def char_bytes(p):
         hexed = F.hex(F.encode(F.substring(F.col("unit"), p["start"] + 1, F.lit(1)), "UTF-8"))
-        return F.transform(F.sequence(F.lit(0), (F.length(hexed) / 2).cast("int") - 1), lambda j: F.struct(
-            F.element_at(code, F.conv(F.substring(hexed, 2 * j + 1, F.lit(2)), 16, 10).cast("int") + 1).alias("id"),
-            (4 * p["start"] + j).alias("place")))
-    plain = F.transform("path", lambda p: F.struct(p["id"].alias("id"), (4 * p["start"]).alias("place")))
-    spelled = F.flatten(F.transform("path", lambda p: F.when(
-        p["id"].isNotNull(), F.array(F.struct(p["id"].alias("id"), (4 * p["start"]).alias("place")))).otherwise(char_bytes(p))))
-    out = units.withColumn("_p", F.when(F.exists("path", lambda p: p["id"].isNull()), spelled).otherwise(plain))
-    return out.select(*[c for c in units.columns if c != "path"], F.col("_p.id").alias("ids"), F.col("_p.place").alias("places"))
+        return F.transform(F.sequence(F.lit(0), (F.length(hexed) / 2).cast("int") - 1), lambda j: F.element_at(
+            code, F.conv(F.substring(hexed, 2 * j + 1, F.lit(2)), 16, 10).cast("int") + 1))
+    spelled = F.flatten(F.transform("path", lambda p: F.when(p["id"].isNotNull(), F.array(p["id"])).otherwise(char_bytes(p))))
+    ids = F.when(F.exists("path", lambda p: p["id"].isNull()), spelled).otherwise(F.transform("path", lambda p: p["id"]))
+    return units.withColumn("ids", ids).drop("path")
 
 
 def encode_long_units(units: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -206,40 +228,44 @@ def encode_long_units(units: DataFrame, pieces: DataFrame) -> DataFrame:
                 at = back[at]
                 starts.append(at)
             starts.reverse()
-            ids, places = array("i"), array("i")
+            ids = array("i")
             for start, end in zip(starts, chain(starts[1:], [size])):
                 held = table.get(unit[start:end])
                 if held:
                     ids.append(held[0])
-                    places.append(4 * start)
                 else:
-                    for j, byte in enumerate(unit[start].encode("utf-8")):
-                        ids.append(code.get(byte, 0))
-                        places.append(4 * start + j)
-            return best[size], ids, places
+                    ids.extend(code.get(byte, 0) for byte in unit[start].encode("utf-8"))
+            return ids
         for batch in batches:
             for unit, n in zip(batch.column(0), batch.column(1)):
-                score, ids, places = viterbi(unit.as_py())
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(np.frombuffer(x, np.int32))) for x in (ids, places)]
+                ids = pa.array(np.frombuffer(viterbi(unit.as_py()), np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array([unit.as_py()], pa.string()), pa.array([n.as_py()], pa.int64()),
-                                                  pa.array([score]), *lists], names=["unit", "n", "score", "ids", "places"])
-    return units.select("unit", "n").mapInArrow(run, "unit string, n long, score double, ids array<int>, places array<int>")
+                                                  pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=["unit", "n", "ids"])
+    return units.select("unit", "n").mapInArrow(run, "unit string, n long, ids array<int>")
 
 
-def vocabulary(texts: DataFrame, pieces: DataFrame, cut: Units) -> DataFrame:
-    """Every distinct unit of ``texts(body)``: (unit, n, score, ids, sums for the checksum)."""
-    counted = materialize(unit_counts(texts, cut), "unit-counts")
+#: Units of one task of the lattice. Their edges (about 20 a unit) are grouped in memory, unsorted: a few dozen MB.
+TASK_UNITS = 32_000
+GROUPS_IN_MEMORY = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+
+
+def vocabulary(texts: DataFrame, pieces: DataFrame, cut: Units) -> tuple[DataFrame, str]:
+    """Every distinct unit of ``texts(body)``, ``(unit, n, ids)``, and the folder it is written to."""
+    spark = texts.sparkSession
+    counted, folder = materialize_at(unit_counts(texts, cut), "unit-counts", compression="zstd")
     short = F.char_length("unit") <= LONG_UNIT
-    columns = ["unit", "n", "score", "ids", "places"]
     # dealt by unit before the substrings are exploded, so that edges are grouped where they are made
-    found = piece_ids(encode_units(counted.where(short).repartition("unit"), pieces), pieces).select(*columns).unionByName(
-        encode_long_units(counted.where(~short), pieces).select(*columns))
-    m = F.lit(MODULUS).cast("long")
-    plus = lambda a, x: (a + x) % m
-    one = F.aggregate("ids", F.lit(0).cast("long"), lambda a, i: plus(a, i.cast("long") + 1))
-    placed = F.aggregate(F.arrays_zip("ids", "places"), F.lit(0).cast("long"),
-                         lambda a, x: plus(a, (x["ids"].cast("long") + 1) * (x["places"] + 1)))
-    return materialize(found.select("unit", "n", "score", "ids", one.alias("id_sum"), placed.alias("place_sum")), "units")
+    tasks = 1 + counted.where(short).count() // TASK_UNITS
+    found = piece_ids(encode_units(counted.where(short).repartition(tasks, "unit"), pieces), pieces).select("unit", "n", "ids").unionByName(
+        encode_long_units(counted.where(~short), pieces))
+    former = spark.conf.get(GROUPS_IN_MEMORY)
+    spark.conf.set(GROUPS_IN_MEMORY, str(2 * TASK_UNITS))
+    try:
+        out = materialize_at(found, "units", compression="zstd")
+    finally:
+        spark.conf.set(GROUPS_IN_MEMORY, former)
+    discard(spark, folder)
+    return out
 
 
 def frequent_units(vocab: DataFrame, dictionary: int) -> Column:
@@ -256,56 +282,7 @@ def frequent_units(vocab: DataFrame, dictionary: int) -> Column:
 
 def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str = "text", dictionary: int = 150_000) -> DataFrame:
     """Per document: id, n_units, n_pieces, score and ids_checksum of its encoding."""
-    spark = docs.sparkSession
-    cut = Units([r["piece"] for r in pieces.where("byte is null").select("piece").collect()])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("body"))
-    vocab = vocabulary(rows.select("body"), pieces, cut)
-    frequent = frequent_units(vocab, dictionary)
-    top = vocab.where(frequent).select("unit", F.size("ids").alias("k"), "score", "id_sum", "place_sum").toPandas()
-    shared = share(spark, (cut, top["unit"].tolist(), top["k"].to_numpy(np.int64), top["score"].to_numpy(np.float64),
-                                           top["id_sum"].to_numpy(np.int64), top["place_sum"].to_numpy(np.int64)))
-    names = ["id", "row", "unit", "n", "at", "n_units", "n_pieces", "total", "ids_checksum"]
-    schema = rows.select("id").schema.add("row", "long").add("unit", "string").add("n", "long").add("at", "long").add(
-        "n_units", "long").add("n_pieces", "long").add("total", "double").add("ids_checksum", "long")
-
-    def run(batches):
-        cut, words, k, scores, one, placed = pickle.loads(shared.value)
-        index = {w: i for i, w in enumerate(words)}
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                docs = [cut.of(t) for t in part.column(1).to_pylist()]
-                size, flat = np.array([len(d) for d in docs], dtype=np.int64), list(chain.from_iterable(docs))
-                owner = np.repeat(np.arange(len(docs)), size)
-                which = np.fromiter(map(index.get, flat, repeat(-1)), np.int64, len(flat))
-                length = np.fromiter(map(len, flat), np.int64, len(flat))
-                ends = np.cumsum(length)
-                starts = ends - length - np.append(0, ends)[np.cumsum(size) - size][owner]  # offset in its own text
-                seen, rare = which >= 0, np.flatnonzero(which < 0)
-                w, mine = which[seen], owner[seen]
-                terms = ((4 * starts[seen]) % MODULUS * one[w] + placed[w]) % MODULUS
-                sums = [np.bincount(mine, weights=v, minlength=len(docs)) for v in (k[w], scores[w], terms)]  # exact below 2^53
-                # a document's own row has a unit that is none, so it meets nothing and no other document
-                rows_ = row + np.arange(len(docs))
-                zero, none = np.zeros(len(rare), np.int64), np.zeros(len(docs), np.int64)
-                columns = [np.concatenate([rows_, rows_[owner[rare]]]), [*[f" {r}" for r in rows_.tolist()], *[flat[i] for i in rare.tolist()]],
-                           np.concatenate([none, zero + 1]), np.concatenate([none, starts[rare]]), np.concatenate([size, zero]),
-                           np.concatenate([sums[0].astype(np.int64), zero]), np.concatenate([sums[1], zero.astype(np.float64)]),
-                           np.concatenate([sums[2].astype(np.int64) % MODULUS, zero])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(np.concatenate([np.arange(len(docs)), owner[rare]]))), *map(pa.array, columns)], names=names)
-                row += len(docs)
-    parts = rows.mapInArrow(run, schema)
-    others = vocab.where(~frequent).select("unit", F.size("ids").alias("k"), "score", "id_sum", "place_sum")
-    m = F.lit(MODULUS).cast("long")
-    term = ((4 * F.col("at")) % m * F.coalesce("id_sum", F.lit(0)) + F.col("n") % m * F.coalesce("place_sum", F.lit(0))) % m
-    zero = F.lit(0).cast("long")
-    met = parts.join(others, "unit", "left").select(
-        "id", "row", "n_units", (F.col("n_pieces") + F.coalesce(F.col("n") * F.col("k"), zero)).alias("n_pieces"),
-        (F.col("total") + F.coalesce(F.col("n") * F.col("score"), F.lit(0.0))).alias("total"), (F.col("ids_checksum") + term).alias("c"))
-    return met.groupBy("row").agg(F.max("id").alias(id_col), F.sum("n_units").alias("n_units"), F.sum("n_pieces").alias("n_pieces"),
-                                  F.sum("total").alias("score"), (F.sum("c") % m).alias("ids_checksum")).drop("row")
+    return round_trip(docs, pieces, id_col, text, dictionary).drop("restored_md5")
 
 
 def _bounded(batch, rows: int = 128):
@@ -322,7 +299,7 @@ def encode_pieces(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", te
     """``(id, n_units, ids)``: the piece ids of every document, one written row each."""
     cut = Units([r["piece"] for r in pieces.where("byte is null").select("piece").collect()])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("body"))
-    vocab = vocabulary(rows.select("body"), pieces, cut)
+    vocab, vocab_folder = vocabulary(rows.select("body"), pieces, cut)
     frequent = frequent_units(vocab, dictionary)
     top = vocab.where(frequent).select("unit", "ids").toPandas()
     size = np.array([len(x) for x in top["ids"]], dtype=np.int64)
@@ -358,7 +335,7 @@ def encode_pieces(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(held[0], some.schema.field(0).type), pa.array(held[1], pa.int64()), pa.array(held[2], pa.int64()),
                      _lists(held[3]), pa.array(held[4], pa.int32()), pa.array(held[5], pa.string())], names=names)
-    parts = materialize(rows.mapInArrow(run, schema), "known-ids")
+    parts, parts_folder = materialize_at(rows.mapInArrow(run, schema), "known-ids", compression="zstd")
     others = parts.where("no is not null").select("row", "no", "unit").join(vocab.where(~frequent).select("unit", "ids"), "unit")
     others = others.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("others"))
     met = parts.where("no is null").select("id", "row", "n_units", "ids").join(others, "row", "left").select(
@@ -381,7 +358,9 @@ def encode_pieces(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", te
                     whole.append(ids)
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), _lists(whole)], names=["id", "n_units", "ids"])
     done = met.mapInArrow(put, met.select("id", "n_units", "ids").schema)
-    return materialize(done.select(F.col("id").alias(id_col), "n_units", "ids"), "piece-ids")
+    written, _ = materialize_at(done.select(F.col("id").alias(id_col), "n_units", "ids"), "piece-ids", compression="zstd")
+    discard(docs.sparkSession, vocab_folder, parts_folder)
+    return written
 
 
 def _piece_bytes(pieces: DataFrame) -> dict[int, bytes]:
