@@ -257,6 +257,29 @@ def test_decontamination_of_items_that_share_an_id(frame):
     assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(df, items).collect()) == [1, 3]
 
 
+def test_columns_with_the_names_used_inside(frame, spark):
+    import corpus_pipeline
+    names = ["text_key", "_text_key", "simhash", "_simhash", "row", "_row", "fp", "body", "rare", "_rare", "lang_pred", "_lang_pred",
+             "lang_score", "n_tokens", "Score", "word", "c", "m", "hs", "key"]
+    rows = [(i, t, "en", "a", *[f"{i}{n}" for n in names]) for i, t in ((1, prose(2, 60)), (2, prose(2, 60)), (3, prose(4, 60)), (4, None))]
+    docs = frame(rows, DOC + "".join(f", {n} string" for n in names))
+    items = frame([(1, prose(4, 60))], "item_id long, text string")
+
+    def ids(df):
+        assert df.columns == docs.columns
+        assert all(r[n] == f"{r['doc_id']}{n}" for r in df.collect() for n in names)
+        return sorted(r["doc_id"] for r in df.collect())
+    assert ids(decontaminate.drop_contaminated(docs, items)) == [1, 2, 4]
+    assert ids(simhash.drop_near_duplicates(docs)) == [1, 3, 4]
+    assert ids(corpus_pipeline.language_stage(spark, docs, "")) == [1, 2, 3]
+    vocab = materialize(suffix_tree.word_counts(docs.select("text")), "v")
+    scored = suffix_tree.score(docs, vocab, suffix_tree.train(docs.select("text"), vocab))
+    kept = [n for n in names if n not in ("n_tokens", "Score")]
+    assert scored.columns == ["doc_id", "lang", "source", *kept, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert all(r[n] == f"{r['doc_id']}{n}" for r in scored.collect() for n in kept)
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in scored.collect()) == [(1, 61), (2, 61), (3, 61), (4, 1)]
+
+
 # --- 9 suffix tree
 def test_suffix_tree(frame):
     cycle = "a b c d " * 300

@@ -5,15 +5,15 @@ sketched by the MinHash order: the ``k`` shingles with the smallest hashes, wher
 one more than a partition's items may miss, floor((1 - least) * largest size) + 1. A
 document that contains at least ``least`` of an item's shingles must hold one of its sketch,
 so an equi-join of the documents' shingle hashes with the sketches finds every candidate.
-Candidates are verified on the shingles themselves: shared distinct shingles over the item's
-distinct shingles. Words are lower-cased runs of letters and digits.
+Only candidate texts are shingled again, and (text, item) candidates alone are verified on the
+shingles themselves: shared distinct shingles over the item's distinct shingles. Words are lower-cased runs of letters and digits.
 
 Documents are told apart by the digest of their text, so no id is needed. Column expressions, joins and aggregates only.
 
 Edge cases: null or empty texts, and items or documents of fewer words than a shingle,
 hold no shingle and match nothing. Rows that share an id are reported together; a null id
 is reported as null. Items that share an id give the greater containment. Repeated rows
-change nothing. Empty tables give no rows (no document is dropped).
+change nothing. Empty tables give no rows (no document is dropped). Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import materialize, normal_words
+from vigil.llm.common import free_name, materialize, normal_words
 
 
 def _shingles(words: Column, width: int, make) -> Column:
@@ -67,13 +67,15 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, width: int = 5, least:
     found = (with_hashes(texts, "body", width, "hs").select("text_key", F.explode_outer("hs").alias("h"))
              .join(sketch, "h").select("text_key", "key").distinct())
     found = materialize(found, "candidates")
-    # verified on the shingles themselves; only those an item has go on, so texts are never shuffled
-    grams = known.select("key", "n", F.explode("grams").alias("gram"))
-    shared = (with_shingles(texts, "body", width, "held").select("text_key", F.explode_outer("held").alias("gram"))
-              .join(materialize(grams, "item-shingles"), "gram").select("text_key", "key", "n", "gram").distinct())
+    # verified on the shingles themselves, of the candidate pairs alone: a passage that many texts share meets
+    # the items its text is a candidate for, and the pair's text spreads it over the tasks
+    pairs = found.join(known.select("key", "n", F.explode("grams").alias("gram")), "key")
+    again = texts.join(found.select("text_key").distinct(), "text_key", "left_semi")
+    shared = (with_shingles(again, "body", width, "held").select("text_key", F.explode_outer("held").alias("gram"))
+              .join(pairs, ["text_key", "gram"]).select("text_key", "key", "n", "gram").distinct())
     held = shared.groupBy("text_key", "key", "n").agg((F.count("*") / F.col("n")).alias("containment")).where(F.col("containment") >= least)
     ids = named.select("key", "item").distinct()
-    return materialize(held.join(found, ["text_key", "key"], "left_semi").join(ids, "key").groupBy("text_key", "item")
+    return materialize(held.join(ids, "key").groupBy("text_key", "item")
                        .agg(F.max("containment").alias("containment")), "contaminated")
 
 
@@ -88,6 +90,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose text holds an item."""
-    found = contaminated_texts(docs, items, text=text, **options).select("text_key").distinct()
-    keyed = docs.withColumn("_text_key", F.md5(text))
-    return keyed.join(found, F.col("_text_key") == F.col("text_key"), "left_anti").drop("_text_key")
+    key = free_name(docs, "text_key")
+    found = contaminated_texts(docs, items, text=text, **options).select(F.col("text_key").alias(key)).distinct()
+    return docs.withColumn(key, F.md5(text)).join(found, key, "left_anti").select(*docs.columns)

@@ -15,7 +15,8 @@ each local component instead of the links inside it.
 Edge cases: null text counts as empty; a text with no word has fingerprint zero, linked
 like any other; fewer words than a shingle give one shingle of all words. Repeated rows
 share a fingerprint. A null id takes no part in the smallest id of its component (null
-if no member has an id). An empty table gives no rows; other columns are ignored.
+if no member has an id). An empty table gives no rows; other columns are ignored, and
+kept by ``drop_near_duplicates`` whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import materialize
+from vigil.llm.common import free_name, materialize
 from vigil.llm.components import connected_components
 
 SEED = 42
@@ -209,12 +210,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
                          shard_size: int = 512) -> DataFrame:
     """``docs`` with one row of each component left: the one with the smallest id (rows
     without an id last; among repeated rows, the first written)."""
-    columns = docs.columns
-    keyed = materialize(with_fingerprints(docs, text, shingle, out="_simhash")
-                        .withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
+    fp, row = free_name(docs, "simhash"), free_name(docs, "row")
+    keyed = materialize(with_fingerprints(docs, text, shingle, out=fp).withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
     rows = keyed.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("i"),
-                                 F.col("_row").alias("row")).alias("id"), F.col("_simhash").alias("fp"))
+                                 F.col(row).alias("row")).alias("id"), F.col(fp).alias("fp"))
     comps = components_of(rows, radius, shard_size)
     extra = (rows.join(comps, "fp").where(F.col("id.row") != F.col("component_id.row"))
-             .select(F.col("id.row").alias("_row")))
-    return keyed.join(materialize(extra, "copies"), "_row", "left_anti").select(*columns)
+             .select(F.col("id.row").alias(row)))
+    return keyed.join(materialize(extra, "copies"), row, "left_anti").select(*docs.columns)
