@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import decontaminate, langid, sentencepiece, simhash
-from vigil.llm.common import materialize, small_batches
+from vigil.llm.common import discard, free_name, materialize_at, small_batches
 
 
 #: Texts of so many letters need a cosine of CHANCE or more. Unrelated vectors of 1024 dimensions have cosines of
@@ -21,25 +21,29 @@ LETTERS, CHANCE = 200, 0.1
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told: no letter in the text, or a long text
-    that is near no language learned. Without labelled documents only the letters count."""
+    that is near no language learned. Without labelled documents only the letters count.
+    Null and empty texts have no letter. Repeated rows share one decision."""
     small_batches(spark)
     prototypes = langid.train(docs)
     if not prototypes:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = langid.predict(docs, prototypes, out=("_lang_pred", "_lang_score"))
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    found = langid.predict(docs, prototypes, out=(lang, score))
     letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
-    told = F.when(F.col("_lang_score") >= CHANCE, F.lit(True)).otherwise(letters < LETTERS)
-    return found.where((F.col("_lang_pred") != "und") & told).select(*docs.columns)
+    told = F.when(F.col(score) >= CHANCE, F.lit(True)).otherwise(letters < LETTERS)
+    return found.where((F.col(lang) != "und") & told).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component."""
+    """Keeps one document of each SimHash component: the smallest id, of repeated rows the first
+    written. Null and empty texts share fingerprint zero; an empty table stays empty."""
     small_batches(spark)
     return simhash.drop_near_duplicates(docs, shingle=3, radius=2)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item (containment 0.8 of its five-word shingles)."""
+    """Drops documents that hold a benchmark item (containment 0.8 of its five-word shingles).
+    Null, empty and short texts hold none; without items nothing is dropped."""
     small_batches(spark)
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet").select("item_id", "text")
     return decontaminate.drop_contaminated(docs, items, width=5, least=0.8)
@@ -59,7 +63,9 @@ ORACLE_SQL = None  # cosines, fingerprints and the lattice are not SQL; tests ho
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs, former = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, folder = materialize_at(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, *former)  # written anew by this stage, so read no more
+        former = [folder]
     return docs
