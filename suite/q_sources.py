@@ -16,7 +16,7 @@ from vigil.plans.alerts import route_alerts
 from vigil.plans.evaluate import evaluate
 from vigil.plans.specs import specs_frame
 from vigil.session import scratch_path
-from vigil.sources import file_listing, parse_documents, parsed_lines, register_views, table_source, write_outbox
+from vigil.sources import file_listing, parse_documents, parsed_lines, register_views, snapshot_diff, table_source, write_outbox
 
 # ---------------------------------------------------------------- S1 relational query (SQL on views)
 S01_SPECS = [("F", 5000.0), ("O", 5000.0), ("P", 5000.0), ("X", 5000.0)]
@@ -73,6 +73,26 @@ def s03_file_listing(spark, sf):
     return out(evaluate(specs, measures, as_of=ORDERS_AS_OF))
 
 
+# ---------------------------------------------------------------- S3: two snapshots of an inventory kept as a table
+@query("s03_snapshot_diff", sql="""
+WITH l AS (SELECT concat_ws('/', user_id, event_type, hour(ts)) AS path, ts FROM events),
+b AS (SELECT path, count(*) AS size, max(ts) AS at FROM l WHERE ts < TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1),
+a AS (SELECT path, count(*) AS size, max(ts) AS at FROM l WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY 1)
+SELECT path, CASE WHEN b.at IS NULL THEN 'new' WHEN a.at IS NULL THEN 'vanished'
+                  WHEN a.at = b.at AND a.size = b.size THEN 'same' ELSE 'changed' END AS change,
+       CAST(coalesce(a.size, 0) - coalesce(b.size, 0) AS BIGINT) AS grown
+FROM b FULL JOIN a USING (path)
+""")
+def s03_snapshot_diff(spark, sf):
+    """Objects written by the events: the first snapshot holds those before the 20th, the second those kept since the 10th."""
+    events = table(spark, sf, "events").select("ts", F.concat_ws("/", F.col("user_id").cast("string"), "event_type", F.hour("ts").cast("string")).alias("path"))
+
+    def listing(which):
+        return events.where(which).groupBy("path").agg(F.max("ts").alias("modificationTime"), F.count("*").alias("length"))
+    diff = snapshot_diff(listing("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'"), listing("ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00'"))
+    return diff.select("path", "change", (F.coalesce("length", F.lit(0)) - F.coalesce("length_before", F.lit(0))).alias("grown"))
+
+
 # ---------------------------------------------------------------- S4 JSON documents in a column
 S04_SPECS = [("signup", 20.0), ("view", 20.0), ("click", 20.0), ("error", 20.0), ("purchase", 20.0), ("refund", 20.0)]
 

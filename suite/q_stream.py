@@ -19,7 +19,7 @@ from vigil.plans.specs import normalize_specs, specs_frame
 from vigil.session import scratch_path, use_utc
 from vigil.plans.evaluate import evaluate
 from vigil.streaming import (StateLog, alert_batches, evaluate_batches, file_stream, newest_per_key, partition_progress,
-                             run_available, window_counts)
+                             late_event_measures, late_events, run_available, watermark_of, window_counts)
 
 
 def events_stream(spark, sf):
@@ -54,6 +54,47 @@ def r01_stream_window_counts(spark, sf):
                     verdict_gt(F.col("n").cast("double"), F.lit(65.0)).alias("status"))
 
 
+# ---------------------------------------------------------------- R1: messages the watermark dropped
+LATE_WINDOWS_SQL = """
+e AS (SELECT event_type AS pipeline, date_trunc('day', ts) AS ws, ts, coalesce(value < 20, FALSE) AS second FROM events),
+marks AS (SELECT max(ts) FILTER (WHERE NOT second) - INTERVAL 10 MINUTE AS first_run, max(ts) - INTERVAL 10 MINUTE AS both_runs FROM e),
+late AS (SELECT pipeline, ws, count(*) FILTER (WHERE second AND ws + INTERVAL 1 DAY <= first_run) AS n_late, count(*) AS n_all
+         FROM e, marks WHERE ws + INTERVAL 1 DAY <= both_runs GROUP BY 1, 2)"""
+
+
+def late_windows(spark, sf):
+    """Two runs of one stream: the events of small value come with the second, mostly behind the first one's watermark."""
+    use_utc(spark)
+    events = table(spark, sf, "events")
+    folder, path, ckpt = (scratch_path(spark, f"r01-late-{x}") for x in ("in", "out", "state"))
+    second = F.coalesce(F.col("value") < 20, F.lit(False))
+    for part in (events.where(~second), events.where(second)):
+        part.write.mode("append").parquet(folder)
+        counts = window_counts(file_stream(spark, folder, events.schema), "event_type", "ts")
+        query_ = run_available(counts.writeStream.format("parquet").option("path", path).outputMode("append"), spark, "r01-late", ckpt)
+    return late_events(events, spark.read.parquet(path), watermark_of(query_), "event_type", "ts")
+
+
+@query("r01_late_windows", sql=f"""
+WITH {LATE_WINDOWS_SQL}
+SELECT pipeline, strftime(ws, '%Y-%m-%d') AS window_start, n_all - n_late AS n, n_late FROM late
+""")
+def r01_late_windows(spark, sf):
+    late = late_windows(spark, sf)
+    return late.select("pipeline", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "n", "n_late")
+
+
+@query("r01_late_events", sql=f"""
+WITH {LATE_WINDOWS_SQL},
+m AS (SELECT pipeline, CAST(sum(n_late) AS DOUBLE) AS value FROM late GROUP BY 1)
+SELECT pipeline, value, CASE WHEN value <= 150 THEN 'ok' ELSE 'critical' END AS status FROM m
+""")
+def r01_late_events(spark, sf):
+    specs = specs_frame(spark, [{"pipeline": t, "check": "late_events", "op": "le", "threshold": 150.0} for t in TYPES])
+    results = evaluate(specs, late_event_measures(late_windows(spark, sf)), as_of=EVENTS_AS_OF)
+    return results.where("value is not null").select("pipeline", "value", "status")
+
+
 # ---------------------------------------------------------------- R2 running lag per partition
 @query("r02_stream_lag", sql=ORACLES["m16_total_lag"])
 def r02_stream_lag(spark, sf):

@@ -71,3 +71,31 @@ def test_stream_window_counts_drop_late_events(spark):
     run()
     got = {r["window_start"].date().isoformat(): r["n"] for r in spark.read.parquet(out).collect()}
     assert got == {"2024-01-01": 3, "2024-01-02": 1}
+
+
+def test_late_events_counts_what_the_watermark_dropped(spark, tmp_path):
+    from vigil.streaming import file_stream, late_event_measures, late_events, run_available, watermark_of, window_counts
+    schema, (inp, out, state) = "k string, ts timestamp_ntz", (str(tmp_path / x) for x in ("in", "out", "state"))
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    on_time = [("a", at(1, 3)), ("a", at(1, 4)), (None, at(2, 1)), ("a", at(4, 12)), ("b", None)]
+    late = [("a", at(1, 9)), ("a", at(1, 10)), ("c", at(2, 2)), (None, at(2, 3)), ("a", at(4, 1)), ("a", at(6, 1))]
+    for rows in (on_time, late):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(inp)
+        counts = window_counts(file_stream(spark, inp, schema), "k", "ts")
+        q = run_available(counts.writeStream.format("parquet").option("path", out).outputMode("append"), spark, "late", state)
+    assert watermark_of(q) == dt.datetime(2024, 1, 6, 0, 50)
+    got = late_events(spark.read.parquet(inp), spark.read.parquet(out), watermark_of(q), "k", "ts")
+    assert {(r["pipeline"], r["window_start"].day): (r["n"], r["n_late"]) for r in got.collect()} == {
+        ("a", 1): (2, 2), ("c", 2): (0, 1), (None, 2): (1, 1), ("a", 4): (2, 0)}
+    assert {r["pipeline"]: r["value"] for r in late_event_measures(got).collect()} == {"a": 2.0, "c": 1.0, None: 1.0}
+
+
+def test_snapshot_diff(spark):
+    from vigil.sources import snapshot_diff
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    schema = "path string, modificationTime timestamp_ntz, length long"
+    before = spark.createDataFrame([("a", t(1), 5), ("b", t(1), 5), ("c", t(1), 5), ("c", t(2), 6), ("d", None, None), (None, t(1), 1)], schema)
+    after = spark.createDataFrame([("b", t(1), 5), ("c", t(2), 7), ("d", None, None), ("e", t(3), 0), ("e", t(3), 0)], schema)
+    got = {r["path"]: (r["change"], r["length_before"], r["length"]) for r in snapshot_diff(before, after).collect()}
+    assert got == {"a": ("vanished", 5, None), "b": ("same", 5, 5), "c": ("changed", 6, 7), "d": ("same", None, None), "e": ("new", None, 0)}
+    assert snapshot_diff(before.limit(0), after.limit(0)).collect() == []

@@ -29,6 +29,20 @@ def table_files(df: DataFrame) -> DataFrame:
         F.col("_metadata.file_size").alias("length")).distinct()
 
 
+def snapshot_diff(before: DataFrame, after: DataFrame, path: str = "path", length: str = "length",
+                  modified: str = "modificationTime") -> DataFrame:
+    """S3 over inventories kept as tables: ``(path, change, length_before, length)`` of every object of either snapshot, ``change``
+    being new, vanished, changed (another length or time) or same. The listings stay distributed: no file index is held on
+    the driver. A path listed twice counts as its newest entry; rows without a path are no objects."""
+    def newest(listing, suffix):
+        entry = F.max(F.struct(F.col(modified).alias("at"), F.col(length).alias("size"))).alias(f"e{suffix}")
+        return listing.where(F.col(path).isNotNull()).groupBy(F.col(path).alias("path")).agg(entry)
+    both = newest(before, 0).join(newest(after, 1), "path", "full")
+    change = F.when(F.col("e0").isNull(), "new").when(F.col("e1").isNull(), "vanished").when(
+        F.col("e0").eqNullSafe(F.col("e1")), "same").otherwise("changed")
+    return both.select("path", change.alias("change"), F.col("e0.size").alias("length_before"), F.col("e1.size").alias("length"))
+
+
 def line_export(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their order: (file, block, line_no). Order within a file is
     (block start, position in block); ``monotonically_increasing_id`` only

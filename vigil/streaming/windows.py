@@ -8,6 +8,8 @@ the specs can be the preserved side of a left join (a stream cannot be).
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +53,41 @@ def window_counts(stream: DataFrame, key: str | Column, ts: str | Column, window
         F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n")
 
 
+def watermark_of(query) -> dt.datetime | None:
+    """The watermark a stream reached, as UTC wall clock, from its progress; None before its first event."""
+    marks = [p["eventTime"]["watermark"] for p in map(as_dict, query.recentProgress) if (p.get("eventTime") or {}).get("watermark")]
+    return dt.datetime.fromisoformat(max(marks).replace("Z", "+00:00")).replace(tzinfo=None) if marks else None
+
+
+def as_dict(progress) -> dict:
+    return progress if isinstance(progress, dict) else json.loads(progress.json)
+
+
+def late_events(events: DataFrame, windows: DataFrame, closed_until: dt.datetime | Column, key: str | Column, ts: str | Column,
+                window: str = "1 day") -> DataFrame:
+    """What the watermark dropped, exactly. ``(pipeline, window_start, window_end, n, n_late)`` of every window that ends by
+    ``closed_until``: ``n`` messages emitted by ``window_counts``, ``n_late`` more in the source ``events``. The stream's own
+    counter is no measure: it counts partial aggregates, not messages. Both sides are one row per key and window before they
+    meet, so a hot key costs nothing; a null key is a key. Rows without a time belong to no window. Windows
+    that only late messages fell into have n = 0."""
+    end = closed_until if isinstance(closed_until, Column) else F.lit(closed_until)
+    held = (events.select(as_col(key).alias("pipeline"), event_time(ts).alias("_et"))
+            .groupBy("pipeline", F.window("_et", window).alias("w")).agg(F.count(F.lit(1)).alias("_all"))
+            .select("pipeline", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "_all")
+            .where(F.col("window_end") <= end.cast("timestamp_ntz")))
+    sent = windows.groupBy(F.col("pipeline").alias("_p"), F.col("window_start").alias("_w")).agg(F.sum("n").alias("n"))
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    return held.join(sent, F.col("pipeline").eqNullSafe(F.col("_p")) & (F.col("window_start") == F.col("_w")), "left").select(
+        "pipeline", "window_start", "window_end", n.alias("n"), (F.col("_all") - n).alias("n_late"))
+
+
+def late_event_measures(late: DataFrame, check: str = "late_events") -> DataFrame:
+    """Dropped messages per pipeline as a measure, 0 where none was dropped."""
+    agg = late.groupBy("pipeline").agg(F.sum("n_late").alias("n"), F.max("window_end").alias("upto"))
+    return to_measures(agg, check, value=F.col("n"), observed_at=F.col("upto"))
+
+
 def partition_progress(stream: DataFrame, topic: str | Column, partition: str | Column,
                        consumed: Column) -> DataFrame:
     """R2: running end and committed offsets per (topic, partition) of a log
@@ -79,11 +116,12 @@ def evaluate_batches(specs: DataFrame, to_measures_fn: Callable[[DataFrame], Dat
     return run
 
 
-def run_available(query_builder, spark: SparkSession, name: str):
+def run_available(query_builder, spark: SparkSession, name: str, checkpoint: str | None = None):
     """Start a stream with ``trigger(availableNow=True)``, checkpointing under the
-    shared checkpoint folder, and wait for it to drain the available input."""
+    shared checkpoint folder (or in ``checkpoint``, to go on where an earlier run
+    ended), and wait for it to drain the available input."""
     use_utc(spark)
-    ckpt = scratch_path(spark, f"stream-{name}")
+    ckpt = checkpoint or scratch_path(spark, f"stream-{name}")
     q = query_builder.option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
