@@ -115,7 +115,7 @@ def op9_suffix_tree_scores(spark, sf):
     docs = read_table(spark, sf, "documents", "doc_id", "text").withColumn("held_out", fold_of(F.col("doc_id"), 5) == 1)
     texts = docs.where(~F.col("held_out")).select(F.col("text").alias("body"))
     vocabulary = materialize(suffix_tree.word_counts(texts), "word-counts")
-    return suffix_tree.score(docs, vocabulary, suffix_tree.train(texts, vocabulary))
+    return suffix_tree.score(docs, vocabulary, suffix_tree.train(texts, vocabulary), learned=~F.col("held_out"))
 
 
 def op10_sentencepiece(spark, sf):

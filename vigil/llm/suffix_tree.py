@@ -1,84 +1,93 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Training counts every word of every training text (Spark aggregate), then, for the words of
-probability ``share`` and more (at most 1/share of them), which words follow which, and
-which follow the retained pairs. Entries of joint probability ``joint`` and more are kept, so a
-level of the tree has at most 1/joint entries, the proven bound of what is broadcast. A
+Training counts every word of every training text (Spark aggregate). A context of one to ``depth`` words
+(newest first) is a node of the tree; a word that follows it ``floor`` (2) times and more is an
+entry of it, whatever the size of the corpus, so the tree grows with the corpus. A
 context stays only if its next-word distribution diverges from its parent's (the context
 without its oldest word) by ``divergence`` nats (Kullback-Leibler).
 
 Smoothing is absolute discounting: P(x|s) = (n(s,x) - d) / n(s) + rest(s) * P(x|parent of s), down
 to the root P(x) = (c + 0.5) / (N + 0.5 (V + 1)), which makes each state's distribution sum to one.
-Scoring walks the text with the longest retained suffix as state. Words outside the
-broadcast dictionary only need their root term; those are joined with the full counts.
+
+The tree is never in one place. Every token of the training texts and of the texts to score is a window:
+the word and the ``depth`` words before it. Windows are dealt by their newest context word, so a
+task has all contexts that end in its words, counts its branches of the tree from the windows of the training
+texts, and scores all windows. Only sums per text go back. A context followed more than
+``crowd`` times in training is dealt by the next word too: its counts are exact there, what all its words leave to
+the parent is summed by Spark (at most N / crowd rows), and its windows go on to be dealt by one context word more.
+
+The words of probability ``dictionary`` and more (at most 1/dictionary) are numbered by a broadcast, all
+others by a join, one row per word of a block of texts. Words met less than ``floor`` times in training
+can't be in the tree; as contexts they leave the root, which such tokens are scored by at once.
 
 Text is lower-cased (A-Z), words are runs without ASCII blanks, and an end symbol closes
-each text; it is also the context of the first word.
+each text; it is also the context of the first word, and no context goes beyond it.
 
 Edge cases: null text counts as empty (one token, the end). Repeated rows and repeated or
 null ids each keep their own row. Without training rows every token has the root's single
-class (log10 1 = 0). An empty table gives no rows. Long texts are scored whole, a batch of
-rows at a time.
+class (log10 1 = 0). An empty table gives no rows. Long texts are scored whole; a block of texts holds
+about a million tokens, or one longer text.
 """
 
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from vigil.llm.common import free_name, materialize, share
+from vigil.llm.common import materialize, share
 
 END = b""  # no word is empty
+ONCE = -2  # number of a word met in training, but less than ``floor`` times; -1: never met
+GATHERED = 5_000_000  # tokens of a corpus small enough for ``Model.token_scores``
 
 
 @dataclass
 class Model:
-    """Dictionary (most frequent first), root counts, and per level sorted entry keys."""
+    """Dictionary (the end symbol, then most frequent first), root counts, and the training texts the tree is counted from."""
     words: list[bytes]
     counts: np.ndarray
-    alphabet: int                # the first so many words are symbols of the tree
     total: int
     distinct: int
     least: int                   # every word counted this often is in the dictionary
-    contexts: list[np.ndarray]   # per level: retained contexts, sorted (word; word * alphabet + word)
-    rests: list[np.ndarray]      # per level: mass left to the parent
-    entries: list[np.ndarray]    # per level: sorted context index * alphabet + word
-    shares: list[np.ndarray]     # per level: discounted share of each entry
+    floor: int
+    depth: int
+    discount: float
+    divergence: float
+    crowd: int
+    texts: DataFrame | None      # of one column
+    gathered: list[np.ndarray] | None = None
 
     def root(self, counts) -> np.ndarray:
         return np.log10((np.asarray(counts) + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
     def token_scores(self, flat: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 probability of flat[1:] by longest retained suffix; ``flat`` holds word
+        """log10 probability of flat[1:] by the longest retained suffix; ``flat`` holds word
         numbers (-1: not in the dictionary), texts closed by 0 (end), and starts with 0.
-        A token outside the dictionary gets the factor before its root term only."""
-        x, b = flat[1:], flat[:-1]
-        a = np.concatenate([[-1], flat[:-2]])
-        n = self.alphabet
-        symbol = (x >= 0) & (x < n)
-        prob = np.where(x >= 0, 10.0 ** root, 1.0)
-        usable = (b >= 0) & (b < n)
-        for level, context in enumerate([np.where(usable, b, -1),
-                                         np.where(usable & (b > 0) & (a >= 0) & (a < n), a * n + b, -1)]):
-            known = self.contexts[level]
-            if not len(known):
-                continue
-            at = np.minimum(np.searchsorted(known, context), len(known) - 1)
-            held = known[at] == context
-            key = np.where(held & symbol, at * n + x, -1)
-            entry = np.minimum(np.searchsorted(self.entries[level], key), max(0, len(self.entries[level]) - 1))
-            hit = self.entries[level][entry] == key if len(self.entries[level]) else np.zeros(len(key), bool)
-            extra = self.shares[level][entry] * hit if len(self.entries[level]) else 0.0
-            prob = np.where(held, extra + self.rests[level][at] * prob, prob)
-        return np.log10(prob)
+        A token outside the dictionary gets the factor before its root term only. This gathers the training
+        texts, so it is for small corpora with all words in the dictionary; ``score`` is for any."""
+        if self.total > GATHERED:
+            raise ValueError("the training texts are too many to gather")
+        if self.gathered is None:
+            index = {w: i for i, w in enumerate(self.words)}
+            words = [w for r in self.texts.collect() for w in [*tokens(r[0]), END]]
+            ids = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+            self.gathered = [ids, *_contexts(ids, self.depth)]
+        x = np.asarray(flat[1:])
+        ahead = [np.concatenate(c) for c in zip(self.gathered, [x, *_contexts(x, self.depth, int(flat[0]))])]
+        old = self.gathered[0]
+        start = np.concatenate([10.0 ** self.root(self.counts)[old] if len(old) else np.zeros(0), np.where(x >= 0, 10.0 ** np.asarray(root), 1.0)])
+        learn = np.arange(len(start)) < len(old)
+        return np.log10(probabilities(self, ahead[0], ahead[1:], learn, start)[len(old):])
 
 
 def tokens(text) -> list[bytes]:
@@ -104,159 +113,495 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").where("c > 0").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _numbers(texts, index: dict[bytes, int]) -> np.ndarray:
-    """Word numbers of the texts, each closed by the end symbol; one end in front."""
-    words = list(chain([END], *[[*tokens(t), END] for t in texts]))
-    return np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+def train(texts: DataFrame, vocabulary: DataFrame, dictionary: float = 1e-6, floor: int = 2, depth: int = 3,
+          discount: float = 0.5, divergence: float = 0.02, crowd: int = 2_000_000) -> Model:
+    """``texts(body)`` and their materialised ``word_counts`` -> the model: its dictionary and root here,
+    its tree counted where ``score`` needs it."""
+    sums = vocabulary.agg(F.sum("c"), F.count("*")).first()
+    total, distinct = sums[0] or 0, sums[1]
+    least = max(1, int(np.ceil(dictionary * total)))
+    top = vocabulary.where((F.col("c") >= least) | (F.col("word") == F.lit(END))).toPandas()
+    top["end"] = [w == END for w in top["word"]]
+    top = top.sort_values(["end", "c", "word"], ascending=[False, False, True])  # the end symbol is number 0
+    return Model([bytes(w) for w in top["word"]], top["c"].to_numpy(dtype=np.int64), total, distinct, least, max(2, floor), depth,
+                 discount, divergence, crowd, texts)
+
+
+def _contexts(ids: np.ndarray, depth: int, front: int = 0) -> list[np.ndarray]:
+    """The word before each word, the one before that, ...; -1 behind an end symbol or a word that has no number."""
+    before = np.concatenate([[front], ids[:-1]]).astype(ids.dtype) if len(ids) else ids
+    out = [np.where(before >= 0, before, -1)]
+    for k in range(1, depth):
+        older = np.concatenate([np.full(min(k, len(ids)), -1, ids.dtype), before[:-k]])
+        out.append(np.where((out[-1] > 0) & (older >= 0), older, -1))
+    return out
+
+
+def _hash(columns) -> np.ndarray:
+    """One number of 64 bits for each row of whole numbers."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = (h ^ c.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _groups(major: np.ndarray, minor: np.ndarray):
+    """Of each pair its number, and of each number a row that has it."""
+    _, at, number = np.unique(major.astype(np.int64) << 32 | (minor.astype(np.int64) + 2), return_index=True, return_inverse=True)
+    return number.astype(np.int32), at
+
+
+def _entries(model: Model, number: np.ndarray, at: np.ndarray, x: np.ndarray, learn: np.ndarray) -> np.ndarray:
+    """How often each (context, word) was met in training; 0 where that is less than the floor."""
+    n = np.bincount(number, weights=learn, minlength=len(at))
+    return np.where((n >= model.floor) & (x[at] >= 0), n, 0.0)
+
+
+def _stays(model: Model, inside, parent_inside, gain):
+    """Whether the divergence of contexts from their parents, with all other words as one class, is large enough."""
+    out, parent_out = np.clip(1 - inside, 1e-12, 1), np.clip(1 - parent_inside, 1e-12, 1)
+    return (inside > 0) & (gain + out * np.log(out / parent_out) >= model.divergence)
+
+
+def probabilities(model: Model, x: np.ndarray, contexts: list[np.ndarray], learn: np.ndarray, start: np.ndarray, level: int = 0) -> np.ndarray:
+    """P(x | contexts) of windows that hold all training windows of their contexts from ``level`` on;
+    ``learn`` tells these, ``start`` is the probability by the contexts before."""
+    prob = start.copy()
+    live = np.flatnonzero(contexts[level] >= 0)
+    group = np.zeros(len(live), np.int64)
+    for k in range(level):
+        group, _ = _groups(group, contexts[k][live])
+    for k in range(level, len(contexts)):
+        if not len(live):
+            break
+        group, _ = _groups(group, contexts[k][live])
+        word, flag = x[live], learn[live]
+        size = np.bincount(group, weights=flag)
+        number, at = _groups(group, word)
+        n, of = _entries(model, number, at, word, flag), group[at]
+        some = n > 0
+        p = n[some] / size[of[some]]
+        parent = prob[live[at[some]]]
+
+        def total(values, of=of[some], count=len(size)):
+            return np.bincount(of, weights=values, minlength=count)
+        stays = _stays(model, total(p), total(parent), total(p * np.log(p / parent)))
+        taken = np.zeros(len(n))
+        taken[some] = (n[some] - model.discount) / size[of[some]]
+        rest = 1 - np.bincount(of, weights=taken, minlength=len(size))
+        prob[live] = np.where(stays[group], taken[number] + rest[group] * prob[live], prob[live])
+        if k + 1 < len(contexts):
+            on = (size[group] >= model.floor) & (contexts[k + 1][live] >= 0)  # a longer context is met no more often
+            live, group = live[on], group[on]
+    return prob
+
+
+def _bytes(values: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, their bytes by place, compressed."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values, "<i4").reshape(-1, 1).view(np.uint8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _array(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * size, codec="zstd", asbytes=True), np.uint8).reshape(4, size)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(size)
+
+
+def _one(value) -> pa.ListArray:
+    """One row that holds all values of an array."""
+    return pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value)
+
+
+def _row(values: list, fields) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(values, fields)], names=[n for n, _ in fields])
+
+
+def _zipped(words: list[bytes]) -> bytes:
+    data = b" ".join(words)  # no word has a blank
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
 
+def _words(data: bytes) -> list[bytes]:
+    return pa.decompress(data[4:], int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True).split(b" ")
 
-def _context_counts(texts: DataFrame, words: list[bytes], alphabet: int, contexts: np.ndarray | None) -> DataFrame:
-    """``(key, n)``: how often a symbol follows a context (a symbol, or one of ``contexts``)."""
-    shared = texts.sparkSession.sparkContext.broadcast((words[:alphabet], contexts))
+
+def _shelves(words: list[bytes], shelves: int):
+    """Places of the words by shelf (a hash), then in order; and (shelf, from, to) of these places."""
+    shelf = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shelves
+    order = np.array(sorted(range(len(words)), key=list(zip(shelf.tolist(), words)).__getitem__), np.int64)
+    shelf = shelf[order]
+    first = np.flatnonzero(np.diff(shelf, prepend=-1))
+    return order, list(zip(shelf[first].tolist(), first.tolist(), [*first[1:].tolist(), len(words)]))
+
+
+BLOCK = "block long, n long, kept long, learn binary, size binary, token binary, rare array<struct<shelf: long, n: long, words: binary>>"
+
+
+def _blocks(docs: DataFrame, carried: int, shared, shelves: int, limit: int = 1_000_000) -> DataFrame:
+    """``docs`` (carried columns, learn, body) -> blocks of texts: word numbers, other words (``rare``) by their
+    place in the block, and the carried columns as arrays."""
+    schema = StructType.fromDDL(BLOCK)
+    for k, f in enumerate(docs.schema.fields[:carried]):
+        schema = schema.add(f"c{k}", ArrayType(f.dataType))
 
     def run(batches):
-        names, known = shared.value
-        index = {w: i for i, w in enumerate(names)}
+        index = {w: i for i, w in enumerate(pickle.loads(shared.value).words)}
+        block, held, numbers, rare, size = TaskContext.get().partitionId() << 33, [], [], {}, 0
+
+        class Numbers(dict):
+            def __missing__(self, word):
+                return -1 - rare.setdefault(word, len(rare))
+        find = Numbers(index).__getitem__
+
+        def close():
+            table, words = pa.Table.from_batches(held), list(rare)
+            sizes, flat = np.array([len(t) for t in numbers]), np.concatenate(numbers)
+            order, parts = _shelves(words, shelves)
+            place = np.empty(len(words) + 1, np.int32)
+            place[order] = np.arange(len(words))
+            flat = np.where(flat < 0, -1 - place[np.where(flat < 0, -1 - flat, len(words))], flat)
+            words = [words[i] for i in order.tolist()]
+            columns = [pa.array([v], t) for v, t in (
+                (block, pa.int64()), (len(flat), pa.int64()), (len(sizes), pa.int64()),
+                (_bytes(table.column(carried).to_numpy().astype(np.int32)), pa.binary()), (_bytes(sizes), pa.binary()), (_bytes(flat), pa.binary()))]
+            columns += [_one(c) for c in (
+                pa.StructArray.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([b - a for _, a, b in parts], pa.int64()),
+                                            pa.array([_zipped(words[a:b]) for _, a, b in parts], pa.binary())], names=["shelf", "n", "words"]),
+                *[table.column(k).combine_chunks() for k in range(carried)])]
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                cut = 0
+                for r, text in enumerate(part.column(carried + 1)):
+                    words = [*tokens(text.as_py()), END]
+                    if numbers and size + len(words) > limit:
+                        if r > cut:
+                            held.append(part.slice(cut, r - cut))
+                        yield close()
+                        block, cut, size = block + 1, r, 0
+                        held.clear(), numbers.clear(), rare.clear()
+                    numbers.append(np.fromiter(map(find, words), np.int32, len(words)))
+                    size += len(words)
+                held.append(part.slice(cut))
+        if numbers:
+            yield close()
+    return docs.mapInArrow(run, schema)
+
+
+def _answers(blocks: DataFrame, vocabulary: DataFrame, model: Model, shelves: int) -> DataFrame:
+    """Counts and numbers of the blocks' other words, ``(block, found)``: they and the words outside the dictionary are dealt by shelf,
+    where the latter are numbered in order."""
+    fields = [("shelf", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("numbers", pa.binary())]
+    ddl = "shelf long, block long, n long, words binary, numbers binary"
+    floor, behind = model.floor, len(model.words)
+
+    def put(batches, limit=300_000):
         held, size = [], 0
 
-        def merged():
-            keys = np.concatenate([k for k, _ in held])
-            at, inverse = np.unique(keys, return_inverse=True)
-            return at, np.bincount(inverse, weights=np.concatenate([n for _, n in held]), minlength=len(at)).astype(np.int64)
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["key", "n"])
+        def close():
+            words, c = (pa.chunked_array([b.column(k) for b in held]) for k in range(2))
+            words, c = words.to_pylist(), c.to_numpy()
+            order, parts = _shelves(words, shelves)
+            for shelf, a, b in parts:
+                yield _row([shelf, -1, b - a, _zipped([words[i] for i in order[a:b].tolist()]), _bytes(c[order[a:b]])], fields)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                flat = _numbers((t.as_py() for t in batch.column(0).slice(at, 512)), index)
-                if known is None:
-                    context, x = flat[:-1], flat[1:]
-                else:
-                    pair = np.where((flat[:-2] >= 0) & (flat[1:-1] > 0), flat[:-2] * alphabet + flat[1:-1], -1)
-                    place = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-                    context, x = np.where(known[place] == pair, place, -1), flat[2:]
-                keys, n = np.unique((context * alphabet + x)[(context >= 0) & (x >= 0)], return_counts=True)
-                held.append((keys, n))
-                size += len(keys)
-                if size > 4_000_000:
-                    held = [merged()]
-                    if (size := len(held[0][0])) > 2_000_000:
-                        yield flush()
-                        held, size = [], 0
-        if held:
-            yield flush()
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def train(texts: DataFrame, vocabulary: DataFrame, share: float = 1e-5, joint: float = 5e-7, dictionary: float = 1e-6,
-          discount: float = 0.5, divergence: float = 0.02) -> Model:
-    """``texts(body)`` and their materialised ``word_counts`` -> the suffix tree."""
-    sums = vocabulary.agg(F.sum("c"), F.count("*")).first()
-    total, distinct = sums[0] or 0, sums[1]
-    least = max(1, int(np.ceil(dictionary * total)))
-    top = vocabulary.where((F.col("c") >= least) | (F.col("word") == F.lit(END))).toPandas()
-    top["end"] = [w == END for w in top["word"]]
-    top = top.sort_values(["end", "c", "word"], ascending=[False, False, True])  # the end symbol is number 0
-    words, counts = [bytes(w) for w in top["word"]], top["c"].to_numpy(dtype=np.int64)
-    alphabet = max(1, int((counts >= max(1, share * total)).sum()))
-    model = Model(words, counts, alphabet, total, distinct, least, [], [], [], [])
-    log_root = model.root(counts[:alphabet]) if total else np.zeros(alphabet)
-    floor = max(2, int(np.ceil(joint * total)))
-    sizes, pairs = counts[:alphabet], None  # how often each possible context is followed
-    for level in range(2):
-        rows = _context_counts(texts, words, alphabet, pairs).where(F.col("n") >= floor).toPandas() if total and (level == 0 or len(pairs)) else None
-        key = rows["key"].to_numpy(np.int64) if rows is not None else np.zeros(0, np.int64)
-        n = rows["n"].to_numpy(np.float64) if rows is not None else np.zeros(0)
-        order = np.argsort(key)
-        key, n = key[order], n[order]
-        context, x = key // alphabet, key % alphabet
-        # parent's probability of each entry: the root, or level 0 by the pair's newer word
-        if level == 0:
-            parent = 10.0 ** log_root[x]
+            held.append(batch)
+            size += batch.num_rows
+            if size >= limit:
+                yield from close()
+                held, size = [], 0
+        if size:
+            yield from close()
+    asked = blocks.select("block", F.inline("rare")).select("shelf", "block", "n", "words", F.lit(None).cast("binary").alias("numbers"))
+    other = vocabulary.where((F.col("c") < model.least) & (F.col("word") != F.lit(END))).select("word", F.col("c").cast("int"))
+    dealt = other.mapInArrow(put, ddl).unionByName(asked).repartition(shelves, "shelf").sortWithinPartitions("shelf", "block")
+
+    def answer(batches):
+        now, held, index, values = None, {}, None, None
+        for batch in batches:
+            for shelf, block, n, words, numbers in zip(*[batch.column(k) for k in range(5)]):
+                shelf, block, n, words = shelf.as_py(), block.as_py(), n.as_py(), _words(words.as_py())
+                if shelf != now:
+                    now, held, index = shelf, {}, None
+                if block < 0:
+                    held.update(zip(words, _array(numbers.as_py(), n).tolist()))
+                    continue
+                if index is None:
+                    names = sorted(held)
+                    index = dict(zip(names, range(1, len(names) + 1)))
+                    c = np.array([0, *map(held.__getitem__, names)])
+                    number = np.where(c >= floor, behind + shelf + shelves * np.arange(len(c)), ONCE)
+                    values, held = np.stack([c, np.where(c > 0, number, -1)]), {}
+                at = np.fromiter(map(index.get, words, repeat(0)), np.int64, n)
+                yield _row([shelf, block, n, None, _bytes(values[:, at])], fields)
+    return dealt.mapInArrow(answer, ddl).groupBy("block").agg(F.collect_list(F.struct("shelf", "n", "numbers")).alias("found"))
+
+
+# Windows stand in a table: word, contexts, 2 * text + learned, and first a word's count where it is outside the dictionary, later
+# the bits of the probability by the contexts before the level.
+def _first_windows(m: Model, batch):
+    """(block, windows, what the root alone tells of the texts) of the blocks; words whose context is not in the tree have no window."""
+    column = dict(zip(batch.schema.names, batch.columns))
+    for r in range(batch.num_rows):
+        n, rows = (column[c][r].as_py() for c in ("n", "kept"))
+        token, size, learn = (_array(column[c][r].as_py(), k) for c, k in (("token", n), ("size", rows), ("learn", rows)))
+        found = sorted(column["found"][r].as_py() or [], key=lambda f: f["shelf"])
+        times, number = np.concatenate([*[_array(f["numbers"], 2 * f["n"]).reshape(2, f["n"]) for f in found], np.array([[0], [-1]])], axis=1)
+        other = np.where(token < 0, -1 - token, len(times) - 1)
+        ids = np.where(token >= 0, token, number[other]).astype(np.int32)
+        c = np.where(token >= 0, 0, times[other])
+        base = m.root(np.where(token >= 0, m.counts[np.maximum(token, 0)], c) if len(m.counts) else c)
+        contexts = _contexts(ids, m.depth)
+        held = contexts[0] >= 0
+        first = np.cumsum(size) - size
+        known = np.add.reduceat(((token >= 0) | (c > 0)).astype(np.int64), first)
+        sums = np.stack([np.add.reduceat(v, first) for v in (base, np.where(held, 0.0, base))])
+        told = [rows, _bytes(np.concatenate([size, known])), sums.astype("<f8").tobytes()]
+        texts = np.repeat(2 * np.arange(rows, dtype=np.int32) + learn, size)
+        block = column["block"][r].as_py()
+        yield block, np.stack([v[held].astype(np.int32) for v in (np.maximum(ids, -1), *contexts, texts, c)]), told if block >= 0 else None
+
+
+def _more_windows(m: Model, batch):
+    """The same of windows that went on; sums of those that did not go with them."""
+    for block, kind, n, data, sums in zip(*[batch.column(k).to_pylist() for k in range(5)]):
+        if kind == 1:
+            yield block, _array(data, (m.depth + 3) * n).reshape(m.depth + 3, n), None
         else:
-            newer = pairs[context] % alphabet
-            flat = np.stack([np.zeros_like(newer), newer, x], axis=1)
-            parent = np.array([]) if not len(x) else 10.0 ** _after(model, flat, log_root)
-        inside = np.bincount(context, weights=n, minlength=len(sizes)) / np.maximum(sizes, 1)
-        parent_inside = np.bincount(context, weights=parent, minlength=len(sizes))
-        p = n / np.maximum(sizes[context], 1)
-        gain = np.bincount(context, weights=p * np.log(p / parent) if len(p) else None, minlength=len(sizes))
-        out, parent_out = np.clip(1 - inside, 1e-12, 1), np.clip(1 - parent_inside, 1e-12, 1)
-        keep = (inside > 0) & (gain + out * np.log(out / parent_out) >= divergence)
-        place = np.cumsum(keep) - 1
-        stays = keep[context] if len(context) else np.zeros(0, bool)
-        spent = np.bincount(context, weights=np.maximum(n - discount, 0), minlength=len(sizes)) / np.maximum(sizes, 1)
-        own = pairs if level else np.arange(alphabet)
-        model.contexts.append(own[keep])
-        model.rests.append((1 - spent)[keep])
-        model.entries.append(place[context[stays]] * alphabet + x[stays])
-        model.shares.append((np.maximum(n - discount, 0) / np.maximum(sizes[context], 1))[stays])
-        if level == 0:
-            deep = (n >= max(2, share * total)) & (context > 0) & (x > 0)  # pairs frequent enough to be contexts
-            pairs, sizes = key[deep], n[deep]
-    return model
-
-
-def _after(model: Model, triples: np.ndarray, log_root: np.ndarray) -> np.ndarray:
-    """log10 P(third | second) of word-number triples, by the levels built so far."""
-    context, x = triples[:, 1], triples[:, 2]
-    prob = 10.0 ** log_root[x]
-    known = model.contexts[0]
-    if len(known):
-        at = np.minimum(np.searchsorted(known, context), len(known) - 1)
-        held = known[at] == context
-        key = np.where(held, at * model.alphabet + x, -1)
-        entry = np.minimum(np.searchsorted(model.entries[0], key), len(model.entries[0]) - 1)
-        extra = model.shares[0][entry] * (model.entries[0][entry] == key)
-        prob = np.where(held, extra + model.rests[0][at] * prob, prob)
-    return np.log10(prob)
-
-
-def score(docs: DataFrame, vocabulary: DataFrame, model: Model, text: str = "text") -> DataFrame:
+            yield block, None, [n, data, sums]
+
+
+@dataclass
+class Crowd:
+    """Contexts of one level that are dealt by the next word too, by hash: how often met, and once summed what they leave to the parent."""
+    hashes: np.ndarray
+    sizes: np.ndarray
+    stays: np.ndarray | None = None
+    rests: np.ndarray | None = None
+
+    def find(self, columns) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(columns[0]), -1)
+        h = _hash(columns)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
+
+def _sums(block: int, table: np.ndarray, prob: np.ndarray) -> list:
+    rows, number = np.unique(table[-2] >> 1, return_inverse=True)
+    return [block, 0, len(rows), _bytes(rows), np.bincount(number, weights=np.log10(prob)).astype("<f8").tobytes(), None, None]
+
+
+SOLVED = "block long, kind int, n long, data binary, sums binary, context array<int>, parts array<double>"
+
+
+def _solved(rows: DataFrame, model: Model, shared, crowd: Crowd, level: int, buckets: int) -> DataFrame:
+    """Kind 0: sums of texts, 4: what was told of texts before. Of crowded contexts, kind 1: windows with how often the context and the word were met,
+    2: parts of the sums of a context, 3: a longer context that is crowded itself."""
+    crowds, columns = share(rows.sparkSession, crowd), model.depth + 3
+    windows = _first_windows if level == 1 else _more_windows
+
+    def route(batches):
+        m, many = pickle.loads(shared.value), pickle.loads(crowds.value)
+        for batch in batches:
+            for block, table, told in windows(m, batch):
+                if told:
+                    yield _row([block % buckets, block, *told], dealt)
+                if table is None:
+                    continue
+                context = table[1:1 + level]
+                h = _hash(context)
+                split = many.find(context) >= 0
+                h[split] = _hash([*context[:, split], table[0][split]])
+                bucket = (h % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket << 32 | table[1], kind="stable")
+                table, bucket = table[:, order], bucket[order]
+                firsts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+                for a, b in zip(firsts, firsts[1:]):
+                    yield _row([int(bucket[a]), block, int(b - a), _bytes(table[:, a:b]), None], dealt)
+    dealt = [("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("sums", pa.binary())]
+    rows = rows.mapInArrow(route, "bucket long, block long, n long, data binary, sums binary").repartition(
+        buckets, "bucket").sortWithinPartitions("bucket")
+
+    def solve(batches):
+        m, many = pickle.loads(shared.value), pickle.loads(crowds.value)
+
+        def out(found):
+            names = SOLVED.split(", ")
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64())]
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(types)], names=[n.split()[0] for n in names])
+
+        def bucket(blocks, sizes, tables):
+            ends = np.cumsum(sizes)[:-1]
+            table, begin = np.empty((columns, sum(sizes)), np.int32), 0
+            for data, size in zip(tables, sizes):
+                table[:, begin:begin + size] = _array(data, columns * size).reshape(columns, size)
+                begin += size
+            tables.clear()
+            x, contexts, learn = table[0], list(table[1:1 + m.depth]), (table[-2] & 1).astype(bool)
+            if level == 1:
+                inside = (x >= 0) & (x < len(m.words))
+                start = 10.0 ** m.root(np.where(inside, m.counts[np.where(inside, x, 0)], table[-1]) if len(m.counts) else table[-1])
+                del inside
+                table[-1] = start.astype(np.float32).view(np.int32)
+            else:
+                start = np.ascontiguousarray(table[-1]).view(np.float32).astype(np.float64)
+            crowded = many.find(contexts[:level])
+            plain = crowded < 0
+            prob, n = np.ones(len(x)), np.zeros(len(x))
+            held = slice(None) if plain.all() else plain
+            prob[held] = probabilities(m, x[held], [c[held] for c in contexts], learn[held], start[held], level - 1)
+            part = np.flatnonzero(~plain)
+            if len(part):
+                number, at = _groups(crowded[part], x[part])
+                times = _entries(m, number, at, x[part], learn[part])
+                n[part] = times[number]
+                some = times > 0
+                of, p, parent = crowded[part][at][some], times[some] / many.sizes[crowded[part][at][some]], start[part][at][some]
+                seen, place, which = np.unique(of, return_index=True, return_inverse=True)
+                lead = part[at[some][place]]
+                sums = [np.bincount(which, weights=v, minlength=len(seen)).tolist() for v in (
+                    (times[some] - m.discount) / many.sizes[of], p, parent, p * np.log(p / parent))]
+                found = [[None, 2, 0, None, None, table[1:1 + level, i].tolist(), list(v)] for i, *v in zip(lead, *sums)]
+                for i, k in zip(part[at[some]], times[some]):
+                    if k >= m.crowd and x[i] > 0 and level < m.depth:
+                        found.append([None, 3, 0, None, None, [int(x[i]), *table[1:1 + level, i].tolist()], [float(k)]])
+                if found:
+                    yield out(found)
+            for block, piece, probs, flags, met in zip(blocks, np.split(table, ends, axis=1), np.split(prob, ends), np.split(plain, ends), np.split(n, ends)):
+                found = [_sums(block, piece[:, flags], probs[flags])] if flags.any() and block >= 0 else []
+                if not flags.all():
+                    more = np.concatenate([piece, met[None].astype(np.int32)])[:, ~flags]
+                    found.append([block, 1, more.shape[1], _bytes(more), None, None, None])
+                if found:
+                    yield out(found)
+        now, blocks, sizes, tables = None, [], [], []
+        for batch in batches:
+            for b, block, n, data, sums in zip(*[batch.column(k) for k in range(5)]):
+                b, block, n, data = b.as_py(), block.as_py(), n.as_py(), data.as_py()
+                if sums.is_valid:
+                    yield out([[block, 4, n, data, sums.as_py(), None, None]])
+                    continue
+                if b != now and tables:
+                    yield from bucket(blocks, sizes, tables)
+                    blocks, sizes, tables = [], [], []
+                now = b
+                blocks.append(block)
+                sizes.append(n)
+                tables.append(data)
+        if tables:
+            yield from bucket(blocks, sizes, tables)
+    return rows.mapInArrow(solve, SOLVED)
+
+
+def _crowd(contexts: list[tuple], sizes: list[float]) -> tuple[Crowd, np.ndarray]:
+    """The contexts by hash, and their order."""
+    h = _hash(np.array(contexts, np.int64).reshape(len(contexts), -1).T) if contexts else np.zeros(0, np.uint64)
+    order = np.argsort(h)
+    return Crowd(h[order], np.array(sizes, np.float64)[order]), order
+
+
+def _went_on(solved: DataFrame, model: Model, crowd: Crowd, level: int, last: bool) -> DataFrame:
+    """Windows of crowded contexts with the probability by these; at the last level their sums per text."""
+    crowds = share(solved.sparkSession, crowd)
+    columns, discount = model.depth + 4, model.discount
+
+    def run(batches):
+        many = pickle.loads(crowds.value)
+        for batch in batches:
+            for block, n, data in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                table = _array(data, columns * n).reshape(columns, n)
+                table, met = table[:-1].copy(), table[-1].astype(np.float64)
+                at = many.find(table[1:1 + level])
+                prob = table[-1].view(np.float32).astype(np.float64)
+                taken = np.where(met > 0, (met - discount) / many.sizes[at], 0.0)
+                prob = np.where(many.stays[at], taken + many.rests[at] * prob, prob)
+                out = np.ones(n, bool) if last else table[1 + level] < 0  # no longer context
+                table[-1] = prob.astype(np.float32).view(np.int32)
+                found = [_sums(block, table[:, out], prob[out])] if out.any() and block >= 0 else []
+                if not out.all():
+                    found.append([block, 1, int((~out).sum()), _bytes(table[:, ~out]), None, None, None])
+                if found:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+                        names=["block", "kind", "n", "data", "sums"])
+    return solved.where("kind = 1").select("block", "n", "data").mapInArrow(run, "block long, kind int, n long, data binary, sums binary")
+
+
+def _tree_sums(rows: DataFrame, total: int, model: Model, shared, per_task: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """``(block, n, data, sums)`` twice: what the root tells of the texts, and log10 probabilities summed per text, in any number of parts."""
+    level, told, answers = 1, [], []
+    often = np.flatnonzero(model.counts >= model.crowd)
+    crowd, _ = _crowd([(int(i),) for i in often], model.counts[often].tolist())
+    while True:
+        solved = materialize(_solved(rows, model, shared, crowd, level, 1 + total // per_task), f"suffix-sums-{level}")
+        answers.append(solved.where("kind = 0"))
+        told.append(solved.where("kind = 4"))
+        if not len(crowd.hashes):
+            break
+        parts = solved.where("kind = 2").groupBy("context").agg(*[F.sum(F.col("parts")[k]).alias(f"s{k}") for k in range(4)]).collect()
+        crowd.stays, crowd.rests = np.zeros(len(crowd.hashes), bool), np.ones(len(crowd.hashes))
+        for context, spent, inside, parent_inside, gain in parts:
+            at = crowd.find(np.array(context, np.int64).reshape(-1, 1))
+            crowd.stays[at], crowd.rests[at] = _stays(model, inside, parent_inside, gain), 1 - spent
+        rows = _went_on(solved, model, crowd, level, level == model.depth)
+        if level == model.depth:
+            answers.append(rows)
+            break
+        longer = solved.where("kind = 3").select("context", F.col("parts")[0]).collect()
+        total, level = solved.where("kind = 1").agg(F.sum("n")).first()[0] or 0, level + 1
+        crowd, _ = _crowd([tuple(r[0]) for r in longer], [r[1] for r in longer])
+
+    def union(parts):
+        out = parts[0].select("block", "n", "data", "sums")
+        for p in parts[1:]:
+            out = out.unionByName(p.select("block", "n", "data", "sums"))
+        return out
+    return told[0].select("block", "n", "data", "sums"), union(answers + told[1:])
+
+
+def score(docs: DataFrame, vocabulary: DataFrame, model: Model, text: str = "text", learned: Column | None = None) -> DataFrame:
     """``docs`` (without the text) plus n_tokens, n_known, train_tokens, base_score, score; a column
-    of ``docs`` with one of these names gives way to the result."""
+    of ``docs`` with one of these names gives way to the result. ``learned`` says which rows of ``docs``
+    are the training texts, where these are among them: they are dealt once then."""
+    spark = docs.sparkSession
     results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     carried = [c for c in docs.columns if c != text and c.lower() not in results]
-    body, at_row, unknown = (free_name(docs, stem) for stem in ("body", "row", "rare"))
-    shared = share(docs.sparkSession, model)
-    rows = docs.select(*carried, F.col(text).alias(body))
-    kept = rows.drop(body).schema
-    schema = rows.drop(body).select("*", F.lit(0).cast("long").alias(at_row), F.lit(0).cast("long").alias("n_tokens"),
-                                       F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"),
-                                       F.array().cast("array<binary>").alias(unknown)).schema
+    shared = share(spark, replace(model, texts=None, gathered=None))
+    learn = F.lit(False) if learned is None else F.coalesce(learned, F.lit(False))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carried)], learn.alias("learn"), F.col(f"`{text}`").alias("body"))
+    shelves = 1 + model.distinct // 200_000
+
+    def prepared(rows, width):
+        blocks = materialize(_blocks(rows, width, shared, shelves), "suffix-blocks")
+        tokens_of = blocks.select("block", "n", "kept", "learn", "size", "token")
+        return blocks, tokens_of.join(_answers(blocks, vocabulary, model, shelves), "block", "left")
+    blocks, known = prepared(rows, len(carried))
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    if learned is None:  # blocks that are only learned from have no number
+        own, more = prepared(model.texts.select(F.lit(True).alias("learn"), F.col(model.texts.columns[0]).alias("body")), 0)
+        known = known.unionByName(more.withColumn("block", F.lit(-1).cast("long")))
+        total += own.agg(F.sum("n")).first()[0] or 0
+    told, sums = _tree_sums(known, total, model, shared)
+    sums = sums.groupBy("block").agg(F.collect_list(F.struct("n", "data", "sums")).alias("found"))
+    whole = [f"c{k}" for k in range(len(carried))]
+    joined = blocks.select("block", *whole).join(told, "block").join(sums, "block", "left").drop("block")
+    schema = rows.select(*whole).schema
+    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double")):
+        schema = schema.add(name, kind)
 
     def run(batches):
-        m = pickle.loads(shared.value)
-        index = {w: i for i, w in enumerate(m.words)}
-        roots, row = m.root(m.counts), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                words = [[*tokens(t), END] for t in part.column(len(kept.fields)).to_pylist()]
-                size = np.array([len(w) for w in words])
-                flatten = list(chain.from_iterable(words))
-                flat = np.fromiter(map(index.get, flatten, repeat(-1)), np.int64, len(flatten))
-                known = flat >= 0
-                base = np.where(known, roots[flat] if len(roots) else 0.0, 0.0)
-                tree = m.token_scores(np.concatenate([[0], flat]), base)
-                first = np.cumsum(size) - size
-                total = [np.add.reduceat(v, first) for v in (known.astype(np.int64), base, tree)]
-                rare = np.flatnonzero(~known)
-                offsets = np.searchsorted(rare, np.append(first, len(flat))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array([flatten[i] for i in rare.tolist()], pa.binary()))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:len(kept.fields)], pa.array(np.arange(row, row + len(size))), pa.array(size.astype(np.int64)),
-                     *[pa.array(v) for v in total], lists], names=schema.names)
-                row += len(size)
-    scored = materialize(rows.mapInArrow(run, schema), "suffix-scores")
-    rare = scored.select(F.col(at_row).alias("row"), F.explode(unknown).alias("word")).join(
-        vocabulary.where(F.col("c") < model.least), "word", "left")
-    scale = model.total + 0.5 * (model.distinct + 1)
-    term = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(scale)))
-    more = rare.groupBy("row").agg(F.sum(term).alias("sum"), F.count("c").alias("also")).alias("m")
-    extra = F.coalesce("m.sum", F.lit(0.0))
-    scored = scored.alias("s")
-    return scored.join(more, F.col(f"s.{at_row}") == F.col("m.row"), "left").select(
-        *[F.col(f"s.`{c}`") for c in carried], "n_tokens", (F.col("n_known") + F.coalesce("m.also", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_score") + extra).alias("base_score"),
-        (F.col("score") + extra).alias("score"))
+            for r in range(batch.num_rows):
+                n, data, told, found = (batch.column(len(whole) + k)[r].as_py() for k in range(4))
+                size, known = _array(data, 2 * n).reshape(2, n).astype(np.int64)
+                base, tree = np.frombuffer(told, "<f8").reshape(2, n).copy()
+                for part in found or []:
+                    tree[_array(part["data"], part["n"])] += np.frombuffer(part["sums"], "<f8")
+                yield pa.RecordBatch.from_arrays([*[batch.column(k)[r].values for k in range(len(whole))], *map(pa.array, (size, known, base, tree))],
+                                                 names=schema.names)
+    return joined.mapInArrow(run, schema).select(
+        *[F.col(f"c{k}").alias(c) for k, c in enumerate(carried)], "n_tokens", "n_known",
+        F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
