@@ -416,7 +416,7 @@ def _solved(rows: DataFrame, model: Model, shared, crowd: Crowd, level: int, buc
                 split = many.find(context) >= 0
                 h[split] = _hash([*context[:, split], table[0][split]])
                 bucket = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket << 32 | table[1], kind="stable")
+                order = np.lexsort((table[2], table[1], bucket))  # equal contexts side by side compress best
                 table, bucket = table[:, order], bucket[order]
                 firsts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
                 for a, b in zip(firsts, firsts[1:]):
@@ -585,23 +585,33 @@ def score(docs: DataFrame, vocabulary: DataFrame, model: Model, text: str = "tex
         known = known.unionByName(more.withColumn("block", F.lit(-1).cast("long")))
         total += own.agg(F.sum("n")).first()[0] or 0
     told, sums = _tree_sums(known, total, model, shared)
-    sums = sums.groupBy("block").agg(F.collect_list(F.struct("n", "data", "sums")).alias("found"))
     whole = [f"c{k}" for k in range(len(carried))]
-    joined = blocks.select("block", *whole).join(told, "block").join(sums, "block", "left").drop("block")
+    texts = blocks.select("block", *whole).join(told, "block").withColumn("part", F.lit(0))
+    for f in texts.select(*whole).schema:
+        sums = sums.withColumn(f.name, F.lit(None).cast(f.dataType))
+    joined = texts.unionByName(sums.withColumn("part", F.lit(1))).repartition("block").sortWithinPartitions("block", "part")
     schema = rows.select(*whole).schema
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double")):
         schema = schema.add(name, kind)
 
     def run(batches):
+        now = None
+
+        def close():
+            return pa.RecordBatch.from_arrays([*now[0], *map(pa.array, now[1:])], names=schema.names)
         for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns))
             for r in range(batch.num_rows):
-                n, data, told, found = (batch.column(len(whole) + k)[r].as_py() for k in range(4))
+                n, data, sums = (column[c][r].as_py() for c in ("n", "data", "sums"))
+                if column["part"][r].as_py():
+                    now[-1][_array(data, n)] += np.frombuffer(sums, "<f8")
+                    continue
+                if now:
+                    yield close()
                 size, known = _array(data, 2 * n).reshape(2, n).astype(np.int64)
-                base, tree = np.frombuffer(told, "<f8").reshape(2, n).copy()
-                for part in found or []:
-                    tree[_array(part["data"], part["n"])] += np.frombuffer(part["sums"], "<f8")
-                yield pa.RecordBatch.from_arrays([*[batch.column(k)[r].values for k in range(len(whole))], *map(pa.array, (size, known, base, tree))],
-                                                 names=schema.names)
+                now = [[column[c][r].values for c in whole], size, known, *np.frombuffer(sums, "<f8").reshape(2, n).copy()]
+        if now:
+            yield close()
     return joined.mapInArrow(run, schema).select(
         *[F.col(f"c{k}").alias(c) for k, c in enumerate(carried)], "n_tokens", "n_known",
         F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
