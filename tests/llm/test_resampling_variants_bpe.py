@@ -183,6 +183,20 @@ def test_byte_bpe_digests_null_ids_and_empty_tables(spark, bpe):
     assert byte_bpe.encode(empty, path, pattern).collect() == []
 
 
+def test_byte_bpe_merges_in_the_worker(spark, bpe):
+    """Spark's expressions fold no words, and the two ways to merge agree with the library."""
+    path, pattern, library = bpe
+    encoded = byte_bpe.encode(docs_of(spark, [(1, "one two")]), path, pattern)
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "transform(" not in plan
+    ranks = byte_bpe.read_ranks(path)
+    rng = random.Random(3)
+    for word in ["a" * 300, "=" * 257, *("".join(rng.choices("abcdeé", k=n)) for n in range(2, 240))]:
+        want = library.encode_ordinary(word)
+        assert byte_bpe.merge_word(word.encode(), ranks) == want
+        assert len(word) < 2 or word.encode() in ranks or byte_bpe._merge_long(word.encode(), ranks) == want
+
+
 def test_unknown_ids_decode_to_nothing(spark, bpe):
     out = spark.range(1).select(byte_bpe.decode(F.array(F.lit(60_000), F.lit(64), F.lit(-1), F.lit(None).cast("int")), bpe[0])).first()[0]
     assert bytes(out) == {v: k for k, v in byte_bpe.read_ranks(bpe[0]).items()}[64]

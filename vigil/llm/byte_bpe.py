@@ -1,22 +1,12 @@
-"""Byte-level BPE encoding and decoding by folds of Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
 A text falls apart into words by the vocabulary's split pattern and each word is merged on
-its own. A Python worker only splits and numbers words: the words it has not met before in
-its task leave it as byte arrays, and Spark folds each of these distinct words once
-(``aggregate``): in every step the neighbours of least rank are found and all places where
-these two stand side by side become one symbol, from left to right. No rank that a merge
-makes possible is below its own (true of any vocabulary whose tokens can be reached by its
-merges), so a step does at once what single merges do one after the other, and a run of
-100,000 equal bytes takes some twenty steps. A worker downstream, in the same task, puts
-the folded words into their texts. Nothing is shuffled or written.
-
-A symbol is one character: bytes are U+0000 to U+00FF, and the smaller a token's rank, the
-higher its character. A word is a string, and the merge to make next is the greatest of those its
-neighbours allow. The rank map is a literal that holds every way to cut a token into two: an
-array of short texts, the place in it a hash of the two neighbours, since Spark looks up the
-keys of a map literal one by one.
-
-``remember`` bounds the words a task keeps: beyond it both workers forget all and go on.
+its own: of all neighbours whose joint bytes are a token, those of least rank (the first such
+place) become one, until none are left. A Python worker splits the texts, merges a word when
+its task first meets it, and looks it up from then on. Long words are merged with a heap, so a run
+of 100,000 equal bytes takes no square time. Nothing is shuffled or written.
+
+``remember`` bounds the words a task keeps: beyond it the worker forgets all and goes on.
 
 Decoding joins the pieces of the ids, an array literal of their bytes in hexadecimal.
 
@@ -28,16 +18,16 @@ empty table gives no rows. Columns beside the id and the text are ignored, whate
 from __future__ import annotations
 
 import base64
+import heapq
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 16
-TOP = 0xD000  # symbol of rank 0
-MARK, LINE = "\ue000", "\ue001"  # no symbols
+from vigil.llm.common import WordIds
+
+LONG_WORD = 100  # bytes
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,139 +36,80 @@ def read_ranks(path: str) -> dict[bytes, int]:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("a byte has no token")
-    if TOP - max(ranks.values()) <= 0xFF:
-        raise ValueError("more tokens than symbols")
     return ranks
 
 
-def _symbol(token: bytes, ranks: dict[bytes, int]) -> str:
-    return chr(token[0]) if len(token) == 1 else chr(TOP - ranks[token])
-
-
-def _bucket(a: str, b: str) -> int:
-    """Spark's ``pmod(xxhash64(a, b), BUCKETS)``."""
-    h = xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))
-    return (h - (1 << 64) if h >> 63 else h) % BUCKETS
-
-
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal: bucket -> for all neighbours in it MARK, the two, what they become, the two again."""
-    buckets = [""] * BUCKETS
-    for token in ranks:
-        for i in range(1, len(token)):
-            if token[:i] in ranks and token[i:] in ranks:
-                a, b = _symbol(token[:i], ranks), _symbol(token[i:], ranks)
-                buckets[_bucket(a, b)] += MARK + a + b + _symbol(token, ranks) + a + b
-    return F.split(F.lit(LINE.join(buckets)), LINE)
-
-
-def _let(value: Column, body) -> Column:
-    """body(value), with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def fold_word(word: Column, merges: Column) -> Column:
-    """Symbols of one word, given as binary, as a string."""
-    def merge(a, b):
-        """What two neighbours allow: the new symbol and the two it replaces, or empty."""
-        held = F.get(merges, F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
-        return F.substring(F.split_part(held, F.concat(F.lit(MARK), a, b), F.lit(2)), 1, 3)
-
-    def state(text, allowed):
-        return _let(allowed, lambda m: F.struct(text.alias("s"), m.alias("allowed"), F.coalesce(F.array_max(m), F.lit("")).alias("next")))
-
-    def anew(text):
-        return state(text, _let(F.split(text, ""), lambda symbols: F.transform(
-            F.slice(symbols, F.lit(2), F.size(symbols)), lambda b, i: merge(F.get(symbols, i), b))))
-
-    def merged(now, text, new, at):
-        """One place (from 1) became the new symbol: its merges with either side are looked up."""
-        allowed, last = now["allowed"], at - 1
-        return state(text, F.transform(F.slice(allowed, F.lit(2), F.size(allowed)), lambda behind, i: F.when(
-            i > last, behind).when(i < last - 1, F.get(allowed, i)).when(i == last, merge(new, F.substring(text, at + 1, F.lit(1))))
-            .otherwise(merge(F.substring(text, at - 1, F.lit(1)), new))))
-
-    def step(now, _):
-        new, old = F.substring(now["next"], 1, 1), F.substring(now["next"], 2, 2)
-        return F.when(now["next"] == "", now).otherwise(_let(F.replace(now["s"], old, new), lambda text: F.when(
-            F.char_length(text) == F.char_length(now["s"]) - 1, _let(F.position(old, now["s"]), lambda at: merged(now, text, new, at)))
-            .otherwise(anew(text))))
-    size = F.octet_length(word)
-    turns = F.when(size > 1, F.sequence(F.lit(2), size)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(turns, _let(F.decode(word, "ISO-8859-1"), anew), step, lambda now: now["s"])
-
-
-def _numbered(batches, find, remember: int, rows: int):
-    """(generation, ids, words of each text, word numbers, new words) of some texts at a time."""
-    class Numbers(dict):
-        def __missing__(self, word):
-            number = self[word] = len(self)
-            fresh.append(word)
-            return number
-    known, generation = Numbers(), 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            some, fresh, numbers = batch.slice(at, rows), [], []
-            if len(known) > remember:
-                known, generation = Numbers(), generation + 1
-            for text in some.column(1):
-                numbers.append(np.fromiter(map(known.__getitem__, find(text.as_py() or "")), np.int32))
-            yield generation, some.column(0), numbers, fresh
-
-
-def _list(values: pa.Array, ends) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Token ids of one word."""
+    if (whole := ranks.get(word)) is not None:
+        return [whole]
+    if len(word) > LONG_WORD:
+        return _merge_long(word, ranks)
+    get, none = ranks.get, 1 << 62  # above any rank
+    parts = [word[i:i + 1] for i in range(len(word))]
+    allowed = [get(word[i:i + 2], none) for i in range(len(word) - 1)]
+    while allowed and (least := min(allowed)) < none:
+        at = allowed.index(least)
+        new = parts[at] = parts[at] + parts.pop(at + 1)
+        del allowed[at]
+        if at < len(allowed):
+            allowed[at] = get(new + parts[at + 1], none)
+        if at:
+            allowed[at - 1] = get(parts[at - 1] + new, none)
+    return [ranks[p] for p in parts]
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same with a heap of (rank, begin, end): a token stands at its begin, ``ahead`` and ``back`` link the begins."""
+    size = len(word)
+    ahead, back = list(range(1, size + 1)), list(range(-1, size - 1))
+    heap = [(rank, i, i + 2) for i in range(size - 1) if (rank := ranks.get(word[i:i + 2])) is not None]
+    heapq.heapify(heap)
+
+    def offer(i):
+        """What the token at i and the one behind it allow."""
+        if i >= 0 and ahead[i] < size:
+            end = ahead[ahead[i]]
+            if (rank := ranks.get(word[i:end])) is not None:
+                heapq.heappush(heap, (rank, i, end))
+
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        second = ahead[i]
+        if second < 0 or second >= size or ahead[second] != end:
+            continue  # one of the two has been merged since
+        ahead[i], ahead[second] = end, -1
+        if end < size:
+            back[end] = i
+        offer(back[i])
+        offer(i)
+    out, i = [], 0
+    while i < size:
+        out.append(ranks[word[i:ahead[i]]])
+        i = ahead[i]
+    return out
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text: str = "text",
            remember: int = 400_000, rows: int = 64) -> DataFrame:
     """``(id, ids)``: the token ids of every text."""
-    ranks = read_ranks(rank_file)
-    spark = docs.sparkSession
-    single = spark.sparkContext.broadcast([ranks[bytes([b])] for b in range(256)])
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
     source = docs.select(F.col(id_col).alias("id"), F.col(text).alias("body"))
-    id_type = source.schema["id"].dataType
-    block = source.select(F.lit(0).alias("generation"), F.array("id").alias("id"), F.array(F.lit(0)).alias("words"),
-                          F.array(F.lit(0)).alias("numbers"), F.array(F.lit(b"")).alias("fresh")).schema
 
-    def cut(batches):
+    def run(batches):
         import regex
-        for generation, ids, numbers, fresh in _numbered(batches, regex.compile(pattern).findall, remember, rows):
-            sizes, flat = [len(n) for n in numbers], np.concatenate(numbers)
-            columns = [ids, pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()), pa.array([w.encode("utf-8") for w in fresh], pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([generation], pa.int32()), *[_list(c, [0, len(c)]) for c in columns]],
-                                             names=["generation", "id", "words", "numbers", "fresh"])
-
-    merges = rank_map(ranks)
-    folded = source.mapInArrow(cut, block).select(
-        "generation", "id", "words", "numbers", F.transform("fresh", lambda w: fold_word(w, merges)).alias("folded"))
-    out = source.select("id", F.array(F.lit(0)).alias("ids")).schema
-
-    def put(batches):
-        table = TOP - np.arange(1 << 16, dtype=np.int32)  # symbol -> id
-        table[:256] = single.value
-        now, pool, held, begin, size = None, np.zeros(0, np.int32), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ranks, find = shared.value, regex.compile(pattern).findall
+        known = WordIds(lambda word: merge_word(word.encode("utf-8"), ranks))
         for batch in batches:
-            for r in range(batch.num_rows):
-                generation = batch.column(0)[r].as_py()
-                ids, words, numbers = (batch.column(c)[r].values for c in (1, 2, 3))
-                fresh = batch.column(4)[r].as_py()
-                if generation != now:
-                    now, held, begin, size = generation, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
-                new = table[np.frombuffer("".join(fresh).encode("utf-16-le"), np.uint16)]
-                while held + len(new) > len(pool):
-                    pool = np.concatenate([pool, np.zeros(max(len(pool), len(new), 1 << 16), np.int32)])
-                pool[held:held + len(new)] = new
-                sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
-                begin, size = np.concatenate([begin, held + np.cumsum(sizes) - sizes]), np.concatenate([size, sizes])
-                held += len(new)
-                which = numbers.to_numpy(zero_copy_only=False)
-                count = size[which]
-                last = np.concatenate([[0], np.cumsum(count)])
-                tokens = pool[np.repeat(begin[which] - last[:-1], count) + np.arange(last[-1])]
-                texts = np.concatenate([[0], np.cumsum(words.to_numpy(zero_copy_only=False))])
-                yield pa.RecordBatch.from_arrays([ids, _list(pa.array(tokens, pa.int32()), last[texts])], names=["id", "ids"])
-    return folded.mapInArrow(put, out).select(F.col("id").cast(id_type).alias(id_col), "ids")
+            for at in range(0, batch.num_rows, rows):
+                some = batch.slice(at, rows)
+                known.trim(remember)
+                numbers = [np.fromiter(map(known.__getitem__, find(text.as_py() or "")), np.int64) for text in some.column(1)]
+                ids, begin = known.ids_of(np.concatenate(numbers))
+                ends = pa.array(begin[np.cumsum([0, *map(len, numbers)])], pa.int32())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))], names=["id", "ids"])
+    encoded = source.mapInArrow(run, source.select("id", F.array(F.lit(0)).alias("ids")).schema)
+    return encoded.select(F.col("id").alias(id_col), "ids")
 
 
 def decode(ids: Column, rank_file: str) -> Column:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import sys
 import types
+from array import array
 from collections.abc import Callable
 
+import numpy as np
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +77,39 @@ def worker_object(key: tuple, make: Callable):
     return store[key]
 
 
+class WordIds(dict):
+    """Word -> its number, in a Python worker: a word is encoded when it is first met, and its ids are kept.
+    ``words`` come with their ids, the bytes of 32-bit numbers that end at the 64-bit ``ends``; they are never forgotten."""
+
+    def __init__(self, encode: Callable, words=(), ids: bytes = b"", ends: bytes = b""):
+        super().__init__(zip(words, range(len(words))))
+        self.encode, self.words = encode, words
+        self.pool, self.ends = array("i", ids), array("q", bytes(8) + ends)
+
+    def __missing__(self, word):
+        self.pool.extend(self.encode(word))
+        self.ends.append(len(self.pool))
+        number = self[word] = len(self.ends) - 2
+        return number
+
+    def trim(self, remember: int) -> bool:
+        """Whether it forgot all but the first words, as it held ``remember`` others, or 16 ids for each of so many."""
+        fixed = len(self.words)
+        if len(self) - fixed <= remember and len(self.pool) - self.ends[fixed] <= 16 * remember:
+            return False
+        self.clear()
+        self.update(zip(self.words, range(fixed)))
+        del self.pool[self.ends[fixed]:], self.ends[fixed + 1:]
+        return True
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and where each word's begin (and the last one's end)."""
+        pool, ends = np.asarray(self.pool), np.asarray(self.ends)
+        count = ends[numbers + 1] - ends[numbers]
+        begin = np.concatenate([[0], np.cumsum(count)])
+        return pool[np.repeat(ends[numbers] - begin[:-1], count) + np.arange(begin[-1])], begin
+
+
 def normal_words(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order; an empty array for null or no run."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
