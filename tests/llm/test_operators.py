@@ -1,5 +1,6 @@
 """Small brute-force checks and edge cases of the training-data operators."""
 
+import glob
 import hashlib
 import math
 import random
@@ -12,6 +13,7 @@ import xxhash
 
 from vigil.llm import decontaminate, langid, licenses, repair, sentencepiece, simhash, suffix_tree, topk, urlfilter, warc
 from vigil.llm.common import materialize
+from vigil.session import ensure_checkpoint_dir
 
 DOC = "doc_id long, text string, lang string, source string"
 WORDS = "the of and to in was form order ship house river stone green light open".split()
@@ -369,6 +371,19 @@ def test_sentencepiece_of_long_runs(frame, spark):
     assert {r["doc_id"]: r["restored_md5"] for r in out} == {i: hashlib.md5(t.encode()).hexdigest() for i, t in long}
 
 
+def test_sentencepiece_writes_only_counts_and_ids(frame, spark):
+    """Units outside the dictionary are encoded where they stand, however few a task keeps: nothing is joined or written for them."""
+    pieces = sentencepiece.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    table = [tuple(r) for r in pieces.collect()]
+    docs = [(i, prose(i, 40) + "  (x), \u6f22\u2581y" * (i % 3)) for i in range(300)]
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/vigil/*"))
+    got = sentencepiece.encode_pieces(frame(docs, "doc_id long, text string").repartition(1), pieces, dictionary=3, remember=5).collect()
+    assert {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{root}/vigil/*")) - before} == {"llm-piece-ids"}
+    least = min(r[2] for r in table)
+    assert sorted((r["doc_id"], list(r["ids"])) for r in got) == [(i, [x for x, _ in brute_encode(t, table, least)[0]]) for i, t in docs]
+
+
 # --- pipeline
 def test_pipeline_keeps_clean_documents(frame, spark, tmp_path):
     import corpus_pipeline

@@ -1,16 +1,16 @@
-"""SentencePiece encoding and decoding over a relational lattice.
+"""SentencePiece encoding and decoding.
 
 A text becomes "▁" plus itself with every space as "▁", and falls apart into units: no
 piece has a "▁" behind another character, nor a character that no piece has, so the best
-segmentation of a text is that of its units. Distinct units are counted once (Spark aggregate)
-and encoded once: their substrings up to the longest piece are exploded, equi-joined to
-the piece table, grouped by unit as lattice edges, and folded by Viterbi with ``aggregate``.
-Units longer than LONG_UNIT (unbroken runs) are folded with back-pointers in a worker instead.
-A character without a piece is an edge of its UTF-8 byte pieces.
-
-Documents then look their units up: the units whose count reaches a threshold that at most
-``dictionary`` units reach are broadcast, all others come by a join on the unit. Per document
-come the number of pieces, its score and a checksum over all (id, place) pairs, the
+segmentation of a text is that of its units. Distinct units are counted once (Spark aggregate). Those
+whose count reaches a threshold that at most ``dictionary`` units reach are encoded once, by tasks of their own, and
+broadcast with their ids. All other units are encoded where they stand: by the task that meets them, which keeps the
+ids of up to ``remember`` units and words (a text is cut at its spaces first). So no text and no unit goes through a join, and nothing but counts and ids is written.
+
+A unit is encoded by Viterbi over its substrings in the piece table, with one back-pointer a character: time and
+memory grow with a unit's length. A character without a piece is its UTF-8 byte pieces.
+
+Per document come the number of pieces, its score and a checksum over all (id, place) pairs, the
 place being 4 * character offset + byte within a character: it tells any other order.
 ``encode_pieces`` writes every document's ids, ``decode`` turns them back into texts, and ``round_trip`` derives
 these sums and a digest of the restored text from the written ids (``encode``: the sums alone).
@@ -35,12 +35,11 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from vigil.llm.common import discard, materialize_at, share
+from vigil.llm.common import WordIds, discard, materialize_at, share
 
 SPACE = "▁"
 MODULUS = (1 << 31) - 1
@@ -65,7 +64,7 @@ def piece_table(spark: SparkSession, model_file: str) -> DataFrame:
 
 
 class Units:
-    """Cuts texts into units that the pieces of a table never cross."""
+    """Cuts texts into words and these into units that the pieces of a table never cross."""
 
     def __init__(self, pieces: list[str]):
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
@@ -89,12 +88,18 @@ class Units:
         item = f"(?:{plain}++" + (f"|(?={among(soft)})(?:{behind}))" if behind else ")")
         kinds = [f"{SPACE}*{plain}++{item}*", *([f"{SPACE}*{among(marks)}+{item}*"] if marks else []),
                  *([f"{SPACE}*{among(soft)}{item}*"] if soft else []), *([among(lone)] if lone else []), f"{SPACE}+"]
-        self.find = re.compile("|".join(kinds)).findall
+        self.find, self.runs = re.compile("|".join(kinds)).findall, re.compile(f"{SPACE}({SPACE}*[^{SPACE}]*)").findall
 
-    def of(self, text: str | None) -> list[str]:
+    def words(self, text: str | None) -> list[str]:
+        """What follows each space of "▁" and the text, up to the next space with a character before it: a unit lies in one word."""
         if not text:
             return []
-        units = self.find(SPACE + text.replace(" ", SPACE))
+        body = SPACE + text.replace(" ", SPACE)
+        return self.runs(body) if SPACE + SPACE in body else body.split(SPACE)[1:]
+
+    def of(self, word: str) -> list[str]:
+        """The units of "▁" and a word."""
+        units = self.find(SPACE + word)
         if max(map(len, units)) <= LONG_UNIT:
             return units
         out = []
@@ -112,160 +117,80 @@ def unit_counts(texts: DataFrame, units: Units) -> DataFrame:
     shared = share(texts.sparkSession, units)
 
     def run(batches, limit=150_000):
-        cut, counts = pickle.loads(shared.value), Counter()
+        cut, words = pickle.loads(shared.value), Counter()
 
         def flush():
+            counts: Counter = Counter()
+            for word, n in words.items():
+                for unit in cut.of(word):
+                    counts[unit] += n
+            words.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
                                               names=["unit", "n"])
         for batch in batches:
             for text in batch.column(0):
-                counts.update(cut.of(text.as_py()))
-                if len(counts) > limit:
+                words.update(cut.words(text.as_py()))
+                if len(words) > limit:
                     yield flush()
-                    counts.clear()
         yield flush()
     return texts.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-# An edge is one long: 20 bits end, 20 bits START - start, 24 bits 1 + id (0: no piece). Larger is a later end, then an earlier start.
-START, ID = (1 << 20) - 1, (1 << 24) - 1
-
-
-def _start(edge: Column) -> Column:
-    return F.lit(START) - F.shiftright(edge, 24).bitwiseAND(F.lit(START)).cast("int")
-
-
-def encode_units(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``units(unit, ...)`` of distinct units of less than 2^20 characters -> the same plus ``path``
-    (array of (start, id), id null where a character has no piece) and ``score``."""
-    known = [tuple(r) for r in pieces.where("byte is null").select("id", "score", F.char_length("piece")).collect()]
-    least = pieces.agg(F.min("score")).first()[0]
-    fallback, longest = (least or 0.0) - 10.0, max((k[2] for k in known), default=1)
-    scores = [fallback] * (2 + max((k[0] for k in known), default=0))  # by 1 + id
-    for i, score, _ in known:
-        scores[1 + i] = score
-    weights = F.split(F.lit(",".join(map(repr, scores))), ",").cast("array<double>")  # folded to one literal
-    table = pieces.where("byte is null").select("piece", "id")
-    carried = [c for c in units.columns if c != "unit"]
-    size = F.char_length("unit")
-    spans = (units.select("unit", *carried, F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-             .select("unit", *carried, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start")))).alias("len"))
-             .select("unit", *carried, "start", "len", F.substring("unit", F.col("start") + 1, F.col("len")).alias("piece")))
-    edge = (F.shiftleft((F.col("start") + F.col("len")).cast("long"), 44)
-            .bitwiseOR(F.shiftleft((F.lit(START) - F.col("start")).cast("long"), 24))
-            .bitwiseOR((F.coalesce("id", F.lit(-1)) + 1).cast("long")))
-    # the piece table is a model's vocabulary: small by construction
-    edges = spans.join(F.broadcast(table), "piece", "left").where("id is not null or len = 1").select("unit", *carried, edge.alias("e"))
-    lattice = edges.groupBy("unit", *carried).agg(F.sort_array(F.collect_list("e")).alias("edges"))
-    begin = F.struct(F.array(F.lit(0.0)).alias("done"), F.array().cast("array<bigint>").alias("back"),
-                     F.lit(None).cast("struct<s: double, e: bigint>").alias("top"))
-
-    def fold(state, e):
-        """done[p] is the best score to position p < size(done), back[p - 1] its last edge; top is the best
-        edge so far to position size(done). Edges come by end, and every position has one."""
-        done, back, top = state["done"], state["back"], state["top"]
-        before = F.coalesce(F.get(done, _start(e)), top["s"])  # none only where this edge starts at top's position
-        mine = F.struct((before + F.get(weights, e.bitwiseAND(F.lit(ID)).cast("int"))).alias("s"), e.alias("e"))
-        return F.when(F.shiftright(e, 44) == F.size(done), F.struct(
-            done.alias("done"), back.alias("back"), F.greatest(top, mine).alias("top"))).otherwise(F.struct(
-                F.concat(done, F.array(top["s"])).alias("done"), F.concat(back, F.array(top["e"])).alias("back"), mine.alias("top")))
-    best = lattice.select("unit", *carried, F.aggregate("edges", begin, fold).alias("b"))
-    # the walk back: an edge is on the path if it ends where the one taken last starts
-    last = F.array(F.col("b.top.e"))
-
-    def walk(path, e):
-        taken = F.concat(F.array(e), path)
-        return F.when(_start(F.get(path, F.lit(0))) == F.shiftright(e, 44), taken).otherwise(path)
-    walked = best.select("unit", *carried, F.col("b.top.s").alias("score"), F.aggregate(F.reverse("b.back"), last, walk).alias("way"))
-    number = lambda e: (e.bitwiseAND(F.lit(ID)) - 1).cast("int")
-    path = F.transform("way", lambda e: F.struct(_start(e).alias("start"), F.when(number(e) >= 0, number(e)).alias("id")))
-    return walked.select("unit", *carried, path.alias("path"), "score")
-
-
-def piece_ids(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Replaces ``path`` by the ``ids`` of its pieces, byte pieces for a character without one."""
-    byte_ids = [r["id"] for r in pieces.where("byte is not null").orderBy("byte").select("id").collect()]
-    code = F.lit(byte_ids if len(byte_ids) == 256 else [0] * 256)
-
-    def char_bytes(p):
-        hexed = F.hex(F.encode(F.substring(F.col("unit"), p["start"] + 1, F.lit(1)), "UTF-8"))
-        return F.transform(F.sequence(F.lit(0), (F.length(hexed) / 2).cast("int") - 1), lambda j: F.element_at(
-            code, F.conv(F.substring(hexed, 2 * j + 1, F.lit(2)), 16, 10).cast("int") + 1))
-    spelled = F.flatten(F.transform("path", lambda p: F.when(p["id"].isNotNull(), F.array(p["id"])).otherwise(char_bytes(p))))
-    ids = F.when(F.exists("path", lambda p: p["id"].isNull()), spelled).otherwise(F.transform("path", lambda p: p["id"]))
-    return units.withColumn("ids", ids).drop("path")
-
-
-def encode_long_units(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``units(unit, n)`` -> ``(unit, n, score, ids, places)`` by the same Viterbi with one
-    back-pointer per character: time and memory grow with a unit's length, not its square."""
-    rows = [tuple(r) for r in pieces.select("piece", "id", "score", "byte").collect()]
-    table = {p: (i, s) for p, i, s, byte in rows if byte is None}
-    code = {byte: i for _, i, _, byte in rows if byte is not None}
-    fallback = min((r[2] for r in rows), default=0.0) - 10.0
-    longest = max(map(len, table), default=1)
-    shared = units.sparkSession.sparkContext.broadcast((table, code if len(code) == 256 else {}, fallback, longest))
+class Lattice:
+    """Best segmentations over the rows of a piece table, a tree of characters: (score, what may follow)."""
+
+    def __init__(self, rows: list):
+        self.table = {r["piece"]: (r["id"], r["score"]) for r in rows if r["byte"] is None}
+        code = {r["byte"]: r["id"] for r in rows if r["byte"] is not None}
+        self.code = code if len(code) == 256 else {}
+        self.fallback = min((r["score"] for r in rows), default=0.0) - 10.0
+        self.longest = max(map(len, self.table), default=1)
+        self.tree: dict = {}
+        for piece, (_, score) in self.table.items():
+            node = self.tree
+            for c in piece[:-1]:
+                node = node.setdefault(c, [None, {}])[1]
+            node.setdefault(piece[-1], [None, {}])[0] = score
+
+    def ids(self, unit: str) -> array:
+        """Piece ids of a unit; byte pieces for a character without a piece."""
+        size, table, tree, fallback, longest = len(unit), self.table, self.tree, self.fallback, self.longest
+        best, back = [0.0] + [float("-inf")] * size, [0] * (size + 1)
+        for start in range(size):
+            before, after, end = best[start], tree, start
+            for c in unit[start:start + longest]:
+                node = after.get(c)
+                if node is None:
+                    break
+                end += 1
+                score, after = node
+                if score is not None and before + score > best[end]:  # equal scores: the earlier start
+                    best[end], back[end] = before + score, start
+            if unit[start] not in table and before + fallback > best[start + 1]:
+                best[start + 1], back[start + 1] = before + fallback, start
+        cuts = [size]
+        while cuts[-1]:
+            cuts.append(back[cuts[-1]])
+        cuts.reverse()
+        out = array("i")
+        for start, end in zip(cuts, cuts[1:]):
+            if held := table.get(unit[start:end]):
+                out.append(held[0])
+            else:
+                out.extend(self.code.get(byte, 0) for byte in unit[start].encode("utf-8"))
+        return out
+
+
+def encode_units(units: DataFrame, lattice: Lattice) -> DataFrame:
+    """``units(unit)`` of distinct units -> ``(unit, ids)``."""
+    shared = share(units.sparkSession, lattice)
 
     def run(batches):
-        table, code, fallback, longest = shared.value
-
-        def viterbi(unit):
-            size = len(unit)
-            best, back = array("d", [0.0]), array("q", [0])
-            for end in range(1, size + 1):
-                top = None
-                for start in range(max(0, end - longest), end):
-                    held = table.get(unit[start:end])
-                    if held is None and start < end - 1:
-                        continue
-                    score = best[start] + (held[1] if held else fallback)
-                    if top is None or score > top:  # equal scores: the earlier start
-                        top, at = score, start
-                best.append(top)
-                back.append(at)
-            starts, at = array("q"), size
-            while at:
-                at = back[at]
-                starts.append(at)
-            starts.reverse()
-            ids = array("i")
-            for start, end in zip(starts, chain(starts[1:], [size])):
-                held = table.get(unit[start:end])
-                if held:
-                    ids.append(held[0])
-                else:
-                    ids.extend(code.get(byte, 0) for byte in unit[start].encode("utf-8"))
-            return ids
+        lattice = pickle.loads(shared.value)
         for batch in batches:
-            for unit, n in zip(batch.column(0), batch.column(1)):
-                ids = pa.array(np.frombuffer(viterbi(unit.as_py()), np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array([unit.as_py()], pa.string()), pa.array([n.as_py()], pa.int64()),
-                                                  pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=["unit", "n", "ids"])
-    return units.select("unit", "n").mapInArrow(run, "unit string, n long, ids array<int>")
-
-
-#: Units of one task of the lattice. Their edges (about 20 a unit) are grouped in memory, unsorted: a few dozen MB.
-TASK_UNITS = 32_000
-GROUPS_IN_MEMORY = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-
-
-def vocabulary(texts: DataFrame, pieces: DataFrame, cut: Units) -> tuple[DataFrame, str]:
-    """Every distinct unit of ``texts(body)``, ``(unit, n, ids)``, and the folder it is written to."""
-    spark = texts.sparkSession
-    counted, folder = materialize_at(unit_counts(texts, cut), "unit-counts", compression="zstd")
-    short = F.char_length("unit") <= LONG_UNIT
-    # dealt by unit before the substrings are exploded, so that edges are grouped where they are made
-    tasks = 1 + counted.where(short).count() // TASK_UNITS
-    found = piece_ids(encode_units(counted.where(short).repartition(tasks, "unit"), pieces), pieces).select("unit", "n", "ids").unionByName(
-        encode_long_units(counted.where(~short), pieces))
-    former = spark.conf.get(GROUPS_IN_MEMORY)
-    spark.conf.set(GROUPS_IN_MEMORY, str(2 * TASK_UNITS))
-    try:
-        out = materialize_at(found, "units", compression="zstd")
-    finally:
-        spark.conf.set(GROUPS_IN_MEMORY, former)
-    discard(spark, folder)
-    return out
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), _lists([np.asarray(lattice.ids(u)) for u in batch.column(0).to_pylist()])], names=["unit", "ids"])
+    return units.select("unit").mapInArrow(run, "unit string, ids array<int>")
 
 
 def frequent_units(vocab: DataFrame, dictionary: int) -> Column:
@@ -295,72 +220,44 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays), pa.int32()))
 
 
-def encode_pieces(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str = "text", dictionary: int = 150_000) -> DataFrame:
+def encode_pieces(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str = "text", dictionary: int = 150_000,
+                  remember: int = 200_000) -> DataFrame:
     """``(id, n_units, ids)``: the piece ids of every document, one written row each."""
-    cut = Units([r["piece"] for r in pieces.where("byte is null").select("piece").collect()])
+    spark, found = docs.sparkSession, pieces.collect()
+    cut, lattice = Units([r["piece"] for r in found if r["byte"] is None]), Lattice(found)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("body"))
-    vocab, vocab_folder = vocabulary(rows.select("body"), pieces, cut)
-    frequent = frequent_units(vocab, dictionary)
-    top = vocab.where(frequent).select("unit", "ids").toPandas()
-    size = np.array([len(x) for x in top["ids"]], dtype=np.int64)
-    pool = np.concatenate([np.zeros(1, np.int32), *top["ids"]]).astype(np.int32)  # place 0 is for units not in the dictionary
-    shared = share(docs.sparkSession, (cut, top["unit"].tolist(), pool, size, 1 + np.cumsum(size) - size))
-    names = ["id", "row", "n_units", "ids", "no", "unit"]
-    schema = rows.select("id").schema.add("row", "long").add("n_units", "long").add("ids", ArrayType(IntegerType())).add(
-        "no", "integer").add("unit", "string")
+    counted, folder = materialize_at(unit_counts(rows.select("body"), cut), "unit-counts", compression="zstd")
+    top = encode_units(counted.where(frequent_units(counted, dictionary)), lattice).toPandas()
+    discard(spark, folder)
+    ends = np.cumsum([len(x) for x in top["ids"]], dtype=np.int64)
+    pool = np.concatenate([np.zeros(0, np.int32), *top["ids"]]).astype(np.int32)
+    shared = share(spark, (cut, lattice, top["unit"].tolist(), pool.tobytes(), ends.tobytes()))
 
     def run(batches):
-        """A row per document, with -1 - no where its other unit ``no`` belongs, and a row per other unit."""
-        cut, words, pool, size, begin = pickle.loads(shared.value)
-        index = {w: i for i, w in enumerate(words)}
-        size, begin = np.append(size, 1), np.append(begin, 0)  # the last, -1: not in the dictionary
-        row, none = TaskContext.get().partitionId() << 33, np.zeros(0, np.int32)
+        cut, lattice, words, pool, ends = pickle.loads(shared.value)
+        held, sizes = WordIds(lattice.ids, words, pool, ends), array("q")  # ids of units, units of each word
+
+        def encode(word):
+            units = cut.of(word)
+            sizes.append(len(units))
+            return chain.from_iterable(held.pool[held.ends[i]:held.ends[i + 1]] for i in map(held.__getitem__, units))
+        known = WordIds(encode)
         for batch in batches:
             for some in _bounded(batch):
-                held: list[list] = [[], [], [], [], [], []]
-                for name, text in zip(some.column(0).to_pylist(), some.column(1)):
-                    units = cut.of(text.as_py())
-                    which = np.fromiter(map(index.get, units, repeat(-1)), np.int64, len(units))
-                    count = size[which]
-                    first = np.cumsum(count) - count
-                    ids = pool[np.repeat(begin[which] - first, count) + np.arange(count.sum())]
-                    others: dict[str, int] = {}
-                    for i in np.flatnonzero(which < 0).tolist():
-                        ids[first[i]] = -1 - others.setdefault(units[i], len(others))
-                    n = len(others)
-                    for column, values in zip(held, ([name] * (n + 1), [row] * (n + 1), [len(units), *[None] * n], [ids, *[none] * n],
-                                                     [None, *range(n)], [None, *others])):
-                        column += values
-                    row += 1
+                held.trim(remember)
+                if known.trim(remember):
+                    del sizes[:]
+                texts = [cut.words(text.as_py()) for text in some.column(1)]
+                numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.int64)
+                ids, begin = known.ids_of(numbers)
+                cuts = np.cumsum([0, *map(len, texts)])
+                n_units = np.diff(np.concatenate([[0], np.cumsum(np.asarray(sizes)[numbers])])[cuts])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(held[0], some.schema.field(0).type), pa.array(held[1], pa.int64()), pa.array(held[2], pa.int64()),
-                     _lists(held[3]), pa.array(held[4], pa.int32()), pa.array(held[5], pa.string())], names=names)
-    parts, parts_folder = materialize_at(rows.mapInArrow(run, schema), "known-ids", compression="zstd")
-    others = parts.where("no is not null").select("row", "no", "unit").join(vocab.where(~frequent).select("unit", "ids"), "unit")
-    others = others.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("others"))
-    met = parts.where("no is null").select("id", "row", "n_units", "ids").join(others, "row", "left").select(
-        "id", "n_units", "ids", F.col("others.ids").alias("others"))
-
-    def put(batches):
-        for batch in batches:
-            for some in _bounded(batch):
-                whole = []
-                for at in range(some.num_rows):
-                    ids = some.column(2)[at].values.to_numpy(zero_copy_only=False)
-                    marks = np.flatnonzero(ids < 0)
-                    if len(marks):
-                        others, out, last = some.column(3)[at].values, [], 0
-                        ends, flat = others.offsets.to_numpy(), others.values.to_numpy(zero_copy_only=False)
-                        for place, no in zip(marks.tolist(), (-1 - ids[marks]).tolist()):
-                            out += [ids[last:place], flat[ends[no]:ends[no + 1]]]
-                            last = place + 1
-                        ids = np.concatenate([*out, ids[last:]])
-                    whole.append(ids)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), _lists(whole)], names=["id", "n_units", "ids"])
-    done = met.mapInArrow(put, met.select("id", "n_units", "ids").schema)
-    written, _ = materialize_at(done.select(F.col("id").alias(id_col), "n_units", "ids"), "piece-ids", compression="zstd")
-    discard(docs.sparkSession, vocab_folder, parts_folder)
-    return written
+                    [some.column(0), pa.array(n_units, pa.int64()), pa.ListArray.from_arrays(pa.array(begin[cuts], pa.int32()), pa.array(ids, pa.int32()))],
+                    names=["id", "n_units", "ids"])
+    schema = rows.select("id").schema.add("n_units", "long").add("ids", ArrayType(IntegerType()))
+    done = rows.mapInArrow(run, schema).select(F.col("id").alias(id_col), "n_units", "ids")
+    return materialize_at(done, "piece-ids", compression="zstd")[0]
 
 
 def _piece_bytes(pieces: DataFrame) -> dict[int, bytes]:
@@ -368,7 +265,7 @@ def _piece_bytes(pieces: DataFrame) -> dict[int, bytes]:
 
 
 def _restored(ids: list[int], table: dict[int, bytes]) -> str:
-    body = b"".join([table.get(i, b"") for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
+    body = b"".join(map(table.get, ids, repeat(b""))).decode("utf-8", "replace").replace(SPACE, " ")
     return body[1:] if body.startswith(" ") else body
 
 
