@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,15 @@ def test_the_tree_grows_with_the_corpus(frame):
     rows = suffix_tree.score(docs.where(f"doc_id >= {len(filler)}"), vocab, suffix_tree.train(training, vocab)).collect()
     score = {r["doc_id"] - len(filler): r["score"] for r in rows}
     assert score[0] == score[1] > score[2] + 10
+
+
+def test_windows_go_by_whole_contexts():
+    """A bucket is solved a share of its contexts at a time, and no context is cut in two."""
+    rng = np.random.default_rng(4)
+    context, held = rng.integers(0, 40, 5000).astype(np.int32), rng.random(5000) < 0.9
+    found = list(suffix_tree._chunks(context, held, 300))
+    assert sorted(np.concatenate(found).tolist()) == np.flatnonzero(held).tolist()
+    assert len(found) > 5 and max(map(len, found)) < 300 + np.bincount(context[held]).max()
+    assert sum(len(set(context[rows].tolist())) for rows in found) == len(set(context[held].tolist()))
+    assert all((np.diff(rows[context[rows] == c]) > 0).all() for rows in found for c in set(context[rows].tolist()))
+    assert list(suffix_tree._chunks(context, np.zeros(5000, bool))) == []

@@ -197,6 +197,17 @@ def probabilities(model: Model, x: np.ndarray, contexts: list[np.ndarray], learn
     return prob
 
 
+def _chunks(context: np.ndarray, held: np.ndarray, size: int = 200_000):
+    """The rows that are held, by about so many at a time or all of one context word: no context is in two."""
+    order = np.flatnonzero(held)
+    order = order[np.argsort(context[order], kind="stable")]
+    ends, begin = np.append(np.flatnonzero(np.diff(context[order])) + 1, len(order)), 0
+    while begin < len(order):
+        end = ends[min(np.searchsorted(ends, begin + size), len(ends) - 1)]
+        yield order[begin:end]
+        begin = end
+
+
 def _bytes(values: np.ndarray) -> bytes:
     """Whole numbers of 32 bits, their bytes by place, compressed."""
     planes = np.ascontiguousarray(np.ascontiguousarray(values, "<i4").reshape(-1, 1).view(np.uint8).T)
@@ -440,26 +451,31 @@ def _solved(rows: DataFrame, model: Model, shared, crowd: Crowd, level: int, buc
                 table[:, begin:begin + size] = _array(data, columns * size).reshape(columns, size)
                 begin += size
             tables.clear()
-            x, contexts, learn = table[0], list(table[1:1 + m.depth]), (table[-2] & 1).astype(bool)
-            if level == 1:
-                inside = (x >= 0) & (x < len(m.words))
-                start = 10.0 ** m.root(np.where(inside, m.counts[np.where(inside, x, 0)], table[-1]) if len(m.counts) else table[-1])
-                del inside
-                table[-1] = start.astype(np.float32).view(np.int32)
-            else:
-                start = np.ascontiguousarray(table[-1]).view(np.float32).astype(np.float64)
+            x, contexts = table[0], list(table[1:1 + m.depth])
             crowded = many.find(contexts[:level])
             plain = crowded < 0
-            prob, n = np.ones(len(x)), np.zeros(len(x))
-            held = slice(None) if plain.all() else plain
-            prob[held] = probabilities(m, x[held], [c[held] for c in contexts], learn[held], start[held], level - 1)
             part = np.flatnonzero(~plain)
+            crowded = crowded[part]
+            prob, n = np.ones(len(x)), np.zeros(len(x))
+
+            def begin(rows):
+                """Whether these windows are learned from, and their probabilities by the contexts before, which the table keeps."""
+                if level > 1:
+                    return (table[-2, rows] & 1).astype(bool), table[-1, rows].view(np.float32).astype(np.float64)
+                inside = (x[rows] >= 0) & (x[rows] < len(m.words))
+                c = table[-1, rows]
+                start = 10.0 ** m.root(np.where(inside, m.counts[np.where(inside, x[rows], 0)], c) if len(m.counts) else c)
+                table[-1, rows] = start.astype(np.float32).view(np.int32)
+                return (table[-2, rows] & 1).astype(bool), start
+            for rows in _chunks(contexts[level - 1], plain):
+                prob[rows] = probabilities(m, x[rows], [c[rows] for c in contexts], *begin(rows), level - 1)
             if len(part):
-                number, at = _groups(crowded[part], x[part])
-                times = _entries(m, number, at, x[part], learn[part])
+                learn, start = begin(part)
+                number, at = _groups(crowded, x[part])
+                times = _entries(m, number, at, x[part], learn)
                 n[part] = times[number]
                 some = times > 0
-                of, p, parent = crowded[part][at][some], times[some] / many.sizes[crowded[part][at][some]], start[part][at][some]
+                of, p, parent = crowded[at][some], times[some] / many.sizes[crowded[at][some]], start[at][some]
                 seen, place, which = np.unique(of, return_index=True, return_inverse=True)
                 lead = part[at[some][place]]
                 sums = [np.bincount(which, weights=v, minlength=len(seen)).tolist() for v in (
