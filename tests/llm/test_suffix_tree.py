@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.llm import suffix_tree
-from vigil.llm.common import materialize
+from vigil.llm.common import CLEANUP, materialize
 
 
 def brute_scores(training, texts, depth=3, floor=2, discount=0.5, divergence=0.02):
@@ -95,3 +97,32 @@ def test_windows_go_by_whole_contexts():
     assert sum(len(set(context[rows].tolist())) for rows in found) == len(set(context[held].tolist()))
     assert all((np.diff(rows[context[rows] == c]) > 0).all() for rows in found for c in set(context[rows].tolist()))
     assert list(suffix_tree._chunks(context, np.zeros(5000, bool))) == []
+
+
+def test_parts_of_sums_are_small_and_keep_their_value():
+    """A text has a part of its sum in most buckets: a part takes about half the bytes of a double and a row number."""
+    rng = np.random.default_rng(2)
+    rows = np.flatnonzero(rng.random(1700) < 0.8)
+    table, prob = np.zeros((6, 2 * len(rows)), np.int32), rng.random(2 * len(rows)) * 1e-3
+    table[-2] = np.tile(2 * rows, 2)
+    block, kind, n, data, sums = suffix_tree._sums(7, table, prob)[:5]
+    assert (block, kind, n) == (7, 0, len(rows)) and len(data) + len(sums) < 6 * n
+    got, parts = suffix_tree._added(n, data, sums)
+    assert got.tolist() == rows.tolist()
+    assert np.abs(parts - np.log10(prob).reshape(2, n).sum(0)).max() < 1e-7
+    far = np.array([-1e9, -300.25, 0.0, 2.5])
+    assert suffix_tree._added(4, *suffix_tree._parts(np.array([0, 3, 4, 90_000]), far))[1].tolist() == far.tolist()
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return set(re.findall(r"shuffle_(\d+)_", files))
+    before, setting = shuffles(), spark.conf.get(CLEANUP, None)
+    kept = spark.range(1000).repartition(3, "id")
+    written = materialize(kept, "t")
+    until = time.time() + 10
+    while (left := shuffles() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(CLEANUP, None) == setting
+    assert written.count() == 1000

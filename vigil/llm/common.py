@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from vigil.session import scratch_path
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts go to Python workers by so many rows at once, which bounds their memory."""
@@ -36,9 +38,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def materialize_at(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
-    """``materialize`` with options of the writer; also gives the folder, for ``discard``."""
-    path = scratch_path(df.sparkSession, f"llm-{name}")
-    df.write.options(**options).parquet(path)
+    """``materialize`` with options of the writer; also gives the folder, for ``discard``. The shuffle files of
+    the write go when it is done, not when the driver happens to collect its garbage."""
+    path, conf = scratch_path(df.sparkSession, f"llm-{name}"), df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

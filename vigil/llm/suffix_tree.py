@@ -48,6 +48,7 @@ from vigil.llm.common import materialize, share
 
 END = b""  # no word is empty
 ONCE = -2  # number of a word met in training, but less than ``floor`` times; -1: never met
+UNIT = float(1 << 24)  # parts of a text's sum are whole numbers of 1 / UNIT
 GATHERED = 5_000_000  # tokens of a corpus small enough for ``Model.token_scores``
 
 
@@ -219,6 +220,20 @@ def _array(data: bytes, size: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").reshape(size)
 
 
+def _parts(rows: np.ndarray, sums: np.ndarray) -> tuple[bytes, bytes]:
+    """Rows in order, by their steps, and a sum for each in units of 2 ** -24: a text has a part in most buckets, so
+    there are nearly as many as windows."""
+    whole = np.rint(sums * UNIT).astype(np.int64)
+    low, high = (whole & 0xFFFFFFFF).astype(np.uint32).view(np.int32), (whole >> 32).astype(np.int32)
+    return _bytes(np.diff(rows, prepend=0)), _bytes(np.concatenate([low, high]))
+
+
+def _added(n: int, rows: bytes, sums: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and sums of ``_parts``."""
+    low, high = _array(sums, 2 * n).reshape(2, n)
+    return np.cumsum(_array(rows, n)), ((high.astype(np.int64) << 32) + low.view(np.uint32)) / UNIT
+
+
 def _one(value) -> pa.ListArray:
     """One row that holds all values of an array."""
     return pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value)
@@ -402,7 +417,7 @@ class Crowd:
 
 def _sums(block: int, table: np.ndarray, prob: np.ndarray) -> list:
     rows, number = np.unique(table[-2] >> 1, return_inverse=True)
-    return [block, 0, len(rows), _bytes(rows), np.bincount(number, weights=np.log10(prob)).astype("<f8").tobytes(), None, None]
+    return [block, 0, len(rows), *_parts(rows, np.bincount(number, weights=np.log10(prob))), None, None]
 
 
 SOLVED = "block long, kind int, n long, data binary, sums binary, context array<int>, parts array<double>"
@@ -620,7 +635,8 @@ def score(docs: DataFrame, vocabulary: DataFrame, model: Model, text: str = "tex
             for r in range(batch.num_rows):
                 n, data, sums = (column[c][r].as_py() for c in ("n", "data", "sums"))
                 if column["part"][r].as_py():
-                    now[-1][_array(data, n)] += np.frombuffer(sums, "<f8")
+                    rows, parts = _added(n, data, sums)
+                    now[-1][rows] += parts
                     continue
                 if now:
                     yield close()
