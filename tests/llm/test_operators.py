@@ -405,3 +405,27 @@ def test_language_stage_without_labels_and_with_gibberish(frame, spark):
     kept = lambda rows: sorted(r["doc_id"] for r in corpus_pipeline.language_stage(spark, frame(rows, schema), "").collect())
     assert kept([(i, t, None) for i, t, _ in clean + other]) == list(range(8))
     assert kept(clean + other + noise) == list(range(8))
+
+
+def test_units_encoded_together_are_those_encoded_alone(spark):
+    pieces = sentencepiece.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    cut, lattice = sentencepiece.Units([r["piece"] for r in pieces if r["byte"] is None]), sentencepiece.Lattice(pieces)
+    rng = random.Random(6)
+    units = ["▁", "▁the", "▁ofthndouer", "a" * 64, "a" * 65, "\U0001f600x", "ACGT" * 90,
+             *["".join(rng.choice("abcDeñé▁.-=漢\U0001f600xAC0") for _ in range(rng.randrange(1, 70))) for _ in range(400)]]
+    ids, sizes = lattice.all_ids(units)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [list(lattice.ids(u)) for u in units]
+    assert [len(x) for x in lattice.all_ids([])] == [0, 0]
+    words = ["plain", "Ñandú", "a1b", "x" * 63, "x" * 64, "don't", "a.b", "1,000.", "漢字", "²x", ""]
+    fast = [cut.of(w) for w in words if w]
+    cut.whole = False
+    assert fast == [cut.of(w) for w in words if w]
+
+
+def test_sentencepiece_forgets_and_goes_on(frame, spark):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdeé.") for _ in range(rng.randrange(1, 9))) for _ in range(40)) for _ in range(300)]
+    docs = frame([(i, t) for i, t in enumerate([*texts, None, "", "  ", " a"])], "doc_id long, text string").repartition(1)
+    pieces = sentencepiece.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    few = sentencepiece.encode_pieces(docs, pieces, dictionary=20, remember=10)
+    assert sorted(map(str, few.collect())) == sorted(map(str, sentencepiece.encode_pieces(docs, pieces).collect()))

@@ -100,6 +100,13 @@ class WordIds(dict):
         number = self[word] = len(self.ends) - 2
         return number
 
+    def add(self, words: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Words it does not hold: their ids, one after the other, and how many each has."""
+        first = len(self.ends) - 1
+        self.update(zip(words, range(first, first + len(words))))
+        self.ends.frombytes((len(self.pool) + np.cumsum(sizes)).astype(np.int64).tobytes())
+        self.pool.frombytes(ids.astype(np.int32).tobytes())
+
     def trim(self, remember: int) -> bool:
         """Whether it forgot all but the first words, as it held ``remember`` others, or 16 ids for each of so many."""
         fixed = len(self.words)

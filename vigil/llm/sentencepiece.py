@@ -88,6 +88,7 @@ class Units:
         item = f"(?:{plain}++" + (f"|(?={among(soft)})(?:{behind}))" if behind else ")")
         kinds = [f"{SPACE}*{plain}++{item}*", *([f"{SPACE}*{among(marks)}+{item}*"] if marks else []),
                  *([f"{SPACE}*{among(soft)}{item}*"] if soft else []), *([among(lone)] if lone else []), f"{SPACE}+"]
+        self.whole = not any(map(str.isalnum, lone))  # a run of letters and digits is a unit
         self.find, self.runs = re.compile("|".join(kinds)).findall, re.compile(f"{SPACE}({SPACE}*[^{SPACE}]*)").findall
 
     def words(self, text: str | None) -> list[str]:
@@ -99,6 +100,8 @@ class Units:
 
     def of(self, word: str) -> list[str]:
         """The units of "▁" and a word."""
+        if self.whole and len(word) < LONG_UNIT and word.isalnum():
+            return [SPACE + word]
         units = self.find(SPACE + word)
         if max(map(len, units)) <= LONG_UNIT:
             return units
@@ -116,7 +119,7 @@ def unit_counts(texts: DataFrame, units: Units) -> DataFrame:
     """``texts(body)`` -> ``(unit, n)``."""
     shared = share(texts.sparkSession, units)
 
-    def run(batches, limit=150_000):
+    def run(batches, limit=300_000):
         cut, words = pickle.loads(shared.value), Counter()
 
         def flush():
@@ -151,6 +154,15 @@ class Lattice:
             for c in piece[:-1]:
                 node = node.setdefault(c, [None, {}])[1]
             node.setdefault(piece[-1], [None, {}])[0] = score
+        starts = {"": 0}  # the same tree in arrays: (node, character) in order, the node it leads to, that node's piece
+        for piece in self.table:
+            for end in range(1, len(piece) + 1):
+                starts.setdefault(piece[:end], len(starts))
+        key = np.array([starts[p[:-1]] << 21 | ord(p[-1]) for p in starts if p], np.int64)
+        order = np.argsort(key)
+        self.key, self.after = key[order], 1 + order
+        held = [self.table.get(p, (-1, 0.0)) for p in starts]
+        self.piece, self.score = np.array([h[0] for h in held], np.int32), np.array([h[1] for h in held], np.float64)
 
     def ids(self, unit: str) -> array:
         """Piece ids of a unit; byte pieces for a character without a piece."""
@@ -181,6 +193,60 @@ class Lattice:
         return out
 
 
+    def all_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of many units, one after the other, and how many each has: what ``ids`` does, for all units at
+        once from one place to the next. Very long units and those with a character without a piece go there."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        quick = sizes <= LONG_UNIT if len(self.key) else np.zeros(len(units), bool)
+        short = np.flatnonzero(quick)
+        sizes = sizes[short]
+        chars = np.frombuffer("".join([units[i] for i in short.tolist()]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        owner, first = np.repeat(np.arange(len(short)), sizes), np.cumsum(sizes) - sizes
+        place = np.arange(len(chars)) - first[owner]
+        left, lone = sizes[owner] - place, np.ones(len(chars), bool)
+        live, node, edges, depth = np.arange(len(chars)), np.zeros(len(chars), np.int64), [], 0
+        while len(live):
+            key = node << 21 | chars[live + depth]
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            hit = self.key[at] == key
+            live, node, depth = live[hit], self.after[at[hit]], depth + 1
+            some = self.piece[node] >= 0
+            edges.append((live[some], np.full(int(some.sum()), depth), node[some]))
+            if depth == 1:
+                lone[live[some]] = False
+            on = left[live] > depth
+            live, node = live[on], node[on]
+        quick[short[owner[lone]]] = False
+        owners, found = [], []
+        if edges:
+            start, length, node = map(np.concatenate, zip(*edges))
+            order = np.argsort(place[start].astype(np.int16), kind="stable")
+            start, length, node = start[order], length[order], node[order]
+            cuts = np.searchsorted(place[start], np.arange(sizes.max() + 1)).tolist()
+            source = start + owner[start]  # a unit of n characters has n + 1 places
+            target, gain, origin = source + length, self.score[node], first + np.arange(len(short))
+            best, back, by = np.full(len(chars) + len(short), -np.inf), np.zeros(len(chars) + len(short), np.int64), np.zeros(len(chars) + len(short), np.int64)
+            best[origin] = 0.0
+            for a, b in zip(cuts, cuts[1:]):
+                value = best[source[a:b]] + gain[a:b]
+                better = np.flatnonzero(value > best[target[a:b]])  # equal scores: the earlier start
+                to = target[a:b][better]
+                best[to], back[to], by[to] = value[better], source[a:b][better], node[a:b][better]
+            now, live = origin + sizes, np.flatnonzero(quick[short] & (sizes > 0))
+            while len(live):
+                owners.append(short[live])
+                found.append(self.piece[by[now[live]]])
+                now[live] = back[now[live]]
+                live = live[now[live] > origin[live]]
+        owners.reverse()
+        found.reverse()
+        for i in np.flatnonzero(~quick).tolist():
+            found.append(np.asarray(self.ids(units[i]), np.int32))
+            owners.append(np.full(len(found[-1]), i))
+        owners, found = np.concatenate([np.zeros(0, np.int64), *owners]), np.concatenate([np.zeros(0, np.int32), *found])
+        return found[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(units))
+
+
 def encode_units(units: DataFrame, lattice: Lattice) -> DataFrame:
     """``units(unit)`` of distinct units -> ``(unit, ids)``."""
     shared = share(units.sparkSession, lattice)
@@ -188,8 +254,9 @@ def encode_units(units: DataFrame, lattice: Lattice) -> DataFrame:
     def run(batches):
         lattice = pickle.loads(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _lists([np.asarray(lattice.ids(u)) for u in batch.column(0).to_pylist()])], names=["unit", "ids"])
+            ids, sizes = lattice.all_ids(batch.column(0).to_pylist())
+            ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))], names=["unit", "ids"])
     return units.select("unit").mapInArrow(run, "unit string, ids array<int>")
 
 
@@ -215,11 +282,6 @@ def _bounded(batch, rows: int = 128):
     return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays), pa.int32()))
-
-
 def encode_pieces(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str = "text", dictionary: int = 150_000,
                   remember: int = 200_000) -> DataFrame:
     """``(id, n_units, ids)``: the piece ids of every document, one written row each."""
@@ -235,19 +297,23 @@ def encode_pieces(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", te
 
     def run(batches):
         cut, lattice, words, pool, ends = pickle.loads(shared.value)
-        held, sizes = WordIds(lattice.ids, words, pool, ends), array("q")  # ids of units, units of each word
-
-        def encode(word):
-            units = cut.of(word)
-            sizes.append(len(units))
-            return chain.from_iterable(held.pool[held.ends[i]:held.ends[i + 1]] for i in map(held.__getitem__, units))
-        known = WordIds(encode)
+        held, known, sizes = WordIds(lattice.ids, words, pool, ends), WordIds(None), array("q")  # ids of units and words, units of each word
+
+        def learn(new):
+            units = list(map(cut.of, new))
+            flat, counts = list(chain.from_iterable(units)), np.fromiter(map(len, units), np.int64, len(units))
+            other = [u for u in set(flat) if u not in held]
+            held.add(other, *lattice.all_ids(other))
+            ids, begin = held.ids_of(np.fromiter(map(held.__getitem__, flat), np.int64, len(flat)))
+            known.add(new, ids, np.diff(begin[np.cumsum([0, *counts])]))
+            sizes.frombytes(counts.tobytes())
         for batch in batches:
             for some in _bounded(batch):
                 held.trim(remember)
                 if known.trim(remember):
                     del sizes[:]
                 texts = [cut.words(text.as_py()) for text in some.column(1)]
+                learn([w for w in set(chain.from_iterable(texts)) if w not in known])
                 numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.int64)
                 ids, begin = known.ids_of(numbers)
                 cuts = np.cumsum([0, *map(len, texts)])
@@ -264,11 +330,15 @@ def _piece_bytes(pieces: DataFrame) -> dict[int, bytes]:
     return {r["id"]: r["piece"].encode("utf-8") if r["byte"] is None else bytes([r["byte"]]) for r in pieces.collect()}
 
 
-def _restored(ids: list[int], table: dict[int, bytes]) -> str:
-    body = b"".join(map(table.get, ids, repeat(b""))).decode("utf-8", "replace").replace(SPACE, " ")
+def _text(data: bytes) -> str:
+    body = data.decode("utf-8", "replace").replace(SPACE, " ")
     return body[1:] if body.startswith(" ") else body
 
 
+def _restored(ids: list[int], table: dict[int, bytes]) -> str:
+    return _text(b"".join(map(table.get, ids, repeat(b""))))
+
+
 def decode(encoded: DataFrame, pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, ids)`` -> ``(id, text)``: pieces looked up by id, byte pieces joined to characters."""
     shared = encoded.sparkSession.sparkContext.broadcast(_piece_bytes(pieces))
@@ -302,17 +372,22 @@ def round_trip(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text:
 
     def run(batches):
         table, step, weight, inner = shared.value
-        for batch in batches:
-            n, total, sums, restored = [], [], [], []
-            for at in range(batch.num_rows):
-                ids = batch.column(2)[at].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                ahead, order = np.cumsum(step[ids]), np.arange(len(ids))
-                lead = np.maximum.accumulate(np.where(inner[ids], 0, order)) if len(ids) else order
-                places = 4 * (ahead - step[ids])[lead] + order - lead
-                n.append(len(ids))
-                total.append(float(weight[ids].sum()))
-                sums.append(int(((ids + 1) * (places + 1) % MODULUS).sum() % MODULUS))
-                restored.append(hashlib.md5(_restored(ids.tolist(), table).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(total, pa.float64()),
-                                              pa.array(sums, pa.int64()), pa.array(restored, pa.string())], names=names)
+        held = pa.array([table.get(i, b"") for i in range(top)], pa.binary())
+        for some in chain.from_iterable(map(_bounded, batches)):
+            cuts = some.column(2).offsets.to_numpy().astype(np.int64)
+            ids = some.column(2).values[cuts[0]:cuts[-1]].to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts -= cuts[0]
+            n, order = np.diff(cuts), np.arange(len(ids))
+            row = np.repeat(np.arange(len(n)), n)
+            start, before = cuts[row], np.cumsum(step[ids]) - step[ids]
+            lead = np.maximum.accumulate(np.where(inner[ids], start, order))
+            places = 4 * (before[lead] - before[start]) + order - lead
+            sums = np.concatenate([[0], np.cumsum((ids + 1) * (places + 1) % MODULUS)])[cuts]
+            total = np.bincount(row, weights=weight[ids], minlength=len(n))
+            taken = held.take(pa.array(ids))
+            ends = np.frombuffer(taken.buffers()[1], np.int32)[cuts].tolist() if len(ids) else [0] * len(cuts)
+            body = taken.buffers()[2].to_pybytes() if len(ids) else b""
+            restored = [hashlib.md5(_text(body[a:b]).encode("utf-8")).hexdigest() for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(total, pa.float64()),
+                                              pa.array(np.diff(sums) % MODULUS, pa.int64()), pa.array(restored, pa.string())], names=names)
     return encoded.mapInArrow(run, schema)
