@@ -429,3 +429,20 @@ def test_sentencepiece_forgets_and_goes_on(frame, spark):
     pieces = sentencepiece.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
     few = sentencepiece.encode_pieces(docs, pieces, dictionary=20, remember=10)
     assert sorted(map(str, few.collect())) == sorted(map(str, sentencepiece.encode_pieces(docs, pieces).collect()))
+
+
+def test_runs_of_letters_go_straight_to_the_model():
+    """The ids are those of the whole text, and only other words go through the tokenizer."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, asked = repair.WordEncoder(path), []
+    plain, ids = [f"{a}{b}" for a in ("lyble", "Thtion", "ñez", "öie") for b in ("heat", "kê", "anou", "Q")], encoder._ids
+    encoder._ids = lambda parts: [asked.append(p) for p in parts] and ids(parts)
+    texts = [" ".join(plain), "; ".join(plain) + ".", " ".join(f"{w}.\n{w}" for w in plain)]
+    found = encoder.encode(texts)
+    assert set(asked) == {".", ";", ".\n"}
+    rng = random.Random(9)
+    signs = [" ", " ", "\n", ".", ",", "a", "Bc", "é", "'s", "1", "²", "×", "\t", "\u00a0", "\x1c", "漢", "<|endoftext|>", "ª", "Ω", "\r", "ɏ"]
+    texts += ["", " ", "a.\nB", "a.\n B", "a.\n\nB", "x...\n...y", *["".join(rng.choice(signs) for _ in range(rng.randrange(1, 14))) for _ in range(2000)]]
+    found += encoder.encode(texts[3:])
+    whole = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [e.ids for e in whole]

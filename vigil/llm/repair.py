@@ -20,6 +20,7 @@ no shards and no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -38,62 +39,84 @@ MAGIC = b"RPG1"
 HEAD = "<4sIIIII"  # magic, first nonterminal, rounds, rules, symbols, documents
 
 
+class Cache(dict):
+    """Key -> what ``make`` gives for it, once."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class WordEncoder:
     """Whole-text ids as little-endian uint32 bytes, words encoded once while cached.
 
     The byte-level pre-tokenizer always starts a word at a space that a non-space
-    follows, and at a punctuation mark behind a letter or digit; so a text's ids are those
-    of its parts cut there, one after the other. The cache has two generations of
+    follows, at a punctuation mark behind a letter or digit, and on both sides of a single
+    line end; so a text's ids are those of its parts cut there, one after the other. A run of letters is
+    one pre-token: where the tokenizer has no step but the byte-level one, it goes straight to the
+    library's model. The cache has two generations of
     ``entries`` words: when the newer is full it becomes the older, whose words move back
-    when they are met again."""
+    when they are met again. Its keys are words behind a space; one that begins with a space stands without."""
 
-    CUT, UNCUT, MARKS = re.compile(r" (?=\S)"), re.compile(r" (?!\S)"), ".,;:!?"
+    CUT, UNCUT, MARKS, LETTERS = re.compile(r" (?=\S)"), re.compile(r" (?!\S)"), ".,;:!?", "A-Za-zÀ-ÖØ-öø-ɏ"
+    PLAIN = re.compile(f"( ?[{LETTERS}]+)([{MARKS}]*)(?:\n([!-~{LETTERS}][^\n]*))?")
+    STEP = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
     def __init__(self, path: str, entries: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.entries = Tokenizer.from_file(path), entries
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new, self.old = Cache(self._found), {}
+        self.tails = Cache(lambda tail: self._ids([tail])[0])
+        said = json.loads(self.tokenizer.to_str())
+        step = said["pre_tokenizer"] or {}
+        self.letters = not said["normalizer"] and {k: step.get(k) for k in self.STEP} == self.STEP and not any(
+            re.fullmatch(f"\\s*[{self.LETTERS}]+\\s*", t["content"]) for t in said["added_tokens"])
+        self.plain = self.PLAIN.fullmatch if self.letters else lambda word: None
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level tokens
+        self.table = dict(zip([b for b in range(256) if b not in printed], range(256, 512)))
+        self.model = self.tokenizer.model.tokenize
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, words: set[str]) -> None:
-        """Puts the ids of " word" into the cache for every word."""
-        new, old, stems, marked = self.new, self.old, set(), []
-        for w in words:
-            if (known := old.get(w)) is not None:
-                new[w] = known
-            elif w and w[-1] in self.MARKS and (stem := w.rstrip(self.MARKS)) and stem[-1].isalnum():
-                marked.append((w, stem))
-                stems.add(stem)
-            else:
-                stems.add(w)
-        unknown = []
-        for w in stems - new.keys():
-            if (known := old.get(w)) is not None:
-                new[w] = known
-            else:
-                unknown.append(w)
-        new.update(zip(unknown, self._ids([" " + w for w in unknown])))
-        endings = list({w[len(stem):] for w, stem in marked})
-        tail = dict(zip(endings, self._ids(endings)))
-        for w, stem in marked:
-            new[w] = new[stem] + tail[w[len(stem):]]
+    def _word(self, text: str) -> bytes:
+        """Ids of one pre-token, its bytes as the library's byte-level letters."""
+        return array("I", [t.id for t in self.model(text)]).tobytes()
+
+    def _found(self, word: str) -> bytes:
+        known = self.old.get(word)
+        return self._encode(word) if known is None else known
+
+    def _encode(self, word: str) -> bytes:
+        if self.letters and word.isalpha() and word.isascii():
+            return self._word("Ġ" + word)
+        if part := self.plain(word):
+            stem, marks, line = part.groups()
+            if line is not None:
+                return self.new[stem] + self.tails[marks + "\n"] + self.new[" " + line]
+            if marks:
+                return self.new[stem] + self.tails[marks]
+            text = stem[1:] if stem[0] == " " else " " + stem
+            return self._word(text.encode("utf-8").decode("latin-1").translate(self.table))
+        if word and word[-1] in self.MARKS and (stem := word.rstrip(self.MARKS)) and stem[-1].isalnum():
+            return self.new[stem] + self.tails[word[len(stem):]]
+        return self._ids([word[1:] if word[:1] == " " else " " + word])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.new) > self.entries:
-            self.old, self.new = self.new, {}
-        parts = [(self.CUT.split(t) if self.UNCUT.search(t) else t.split(" ")) for t in texts]
-        heads = self._ids([p[0] for p in parts])  # no space before the first part
-        for p in parts:
-            del p[0]
-        if wanted := set().union(*parts).difference(self.new):
-            self._learn(wanted)
-        get = self.new.__getitem__
-        return [b"".join([h, *map(get, p)]) for h, p in zip(heads, parts)]
+            self.old, self.new = self.new, Cache(self._found)
+        get, out = self.new.__getitem__, []
+        for text in texts:
+            parts = self.CUT.split(text) if self.UNCUT.search(text) else text.split(" ")
+            parts[0] = " " + parts[0]  # no space before the first part
+            out.append(b"".join(map(get, parts)))
+        return out
 
 
 def compress(ids: np.ndarray, least: int = 4, rounds: int = 8, gain: float = 0.03):
