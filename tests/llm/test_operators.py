@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import json
 import math
 import random
 import zlib
@@ -446,3 +447,25 @@ def test_runs_of_letters_go_straight_to_the_model():
     found += encoder.encode(texts[3:])
     whole = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
     assert [np.frombuffer(f, "<u4").tolist() for f in found] == [e.ids for e in whole]
+
+
+def test_new_words_go_to_the_model_together(tmp_path):
+    """Runs of letters behind a space, marks and lines behind them or not, are looked up in one call for many texts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdeéñöhtAÉɏ") for _ in range(rng.randrange(1, 9))) for _ in range(900)]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", ",", "###", "$%.", "\n" + rng.choice(words)]) for _ in range(50)) for _ in range(80)]
+    encoder, alone = repair.WordEncoder(path, entries=300), []
+    one = encoder.model
+    encoder.model = lambda word: alone.append(word) or one(word)
+    found = encoder.encode(texts[:40]) + encoder.encode(texts[40:])  # the second call has an older generation
+    assert alone and not any(word.startswith("Ġ") for word in alone)
+    whole = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == whole
+    said = json.loads(encoder.tokenizer.to_str())  # with a token over the end of a word and a space, words stand alone
+    said["model"]["vocab"]["aĠ"] = max(encoder.tokenizer.get_vocab().values()) + 1
+    said["model"]["merges"].append(["a", "Ġ"] if isinstance(said["model"]["merges"][0], list) else "a Ġ")
+    (tmp_path / "over.json").write_text(json.dumps(said))
+    other = repair.WordEncoder(str(tmp_path / "over.json"))
+    assert other.joined is None
+    assert [np.frombuffer(f, "<u4").tolist() for f in other.encode(texts)] == whole

@@ -20,12 +20,14 @@ no shards and no rows.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
 import struct
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,13 +60,17 @@ class WordEncoder:
     follows, at a punctuation mark behind a letter or digit, and on both sides of a single
     line end; so a text's ids are those of its parts cut there, one after the other. A run of letters is
     one pre-token: where the tokenizer has no step but the byte-level one, it goes straight to the
-    library's model. The cache has two generations of
+    library's model. The new ones behind a space go there together, joined by their spaces, where no token
+    reaches over a space behind a letter: none of the model's merges does then. The cache has two generations of
     ``entries`` words: when the newer is full it becomes the older, whose words move back
     when they are met again. Its keys are words behind a space; one that begins with a space stands without."""
 
     CUT, UNCUT, MARKS, LETTERS = re.compile(r" (?=\S)"), re.compile(r" (?!\S)"), ".,;:!?", "A-Za-zÀ-ÖØ-öø-ɏ"
-    PLAIN = re.compile(f"( ?[{LETTERS}]+)([{MARKS}]*)(?:\n([!-~{LETTERS}][^\n]*))?")
+    SIGNS = r"!-&(-/:-@\[-`{-~"  # any ASCII punctuation but the apostrophe: one pre-token behind letters
+    PLAIN = re.compile(f"( ?[{LETTERS}]+)([{SIGNS}]*)(?:\n([!-~{LETTERS}][^\n]*))?")
     STEP = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    OVER = re.compile("[A-Za-z]Ġ|(?:^|[Ã-É])[^Ġ]Ġ")  # a token with the last byte of a letter and a space behind it
+    TOGETHER = 100  # words in a line
 
     def __init__(self, path: str, entries: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,11 +81,19 @@ class WordEncoder:
         said = json.loads(self.tokenizer.to_str())
         step = said["pre_tokenizer"] or {}
         self.letters = not said["normalizer"] and {k: step.get(k) for k in self.STEP} == self.STEP and not any(
-            re.fullmatch(f"\\s*[{self.LETTERS}]+\\s*", t["content"]) for t in said["added_tokens"])
+            re.fullmatch(f"\\s*[{self.LETTERS}]*[{self.SIGNS}]*\\s*", t["content"]) for t in said["added_tokens"])
         self.plain = self.PLAIN.fullmatch if self.letters else lambda word: None
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level tokens
         self.table = dict(zip([b for b in range(256) if b not in printed], range(256, 512)))
+        self.bytes = "".join(chr(self.table.get(b, b)) for b in range(256))
         self.model = self.tokenizer.model.tokenize
+        tokens, model = self.tokenizer.get_vocab(with_added_tokens=False), said["model"]
+        self.first = np.zeros(1 + max(tokens.values(), default=0), bool)
+        self.first[[i for t, i in tokens.items() if t[0] == "Ġ"]] = True
+        whole = set(self.bytes) <= tokens.keys()
+        self.joined = Tokenizer(self.tokenizer.model) if self.letters and whole and model["type"] == "BPE" and not any(
+            model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")) and not any(
+            map(self.OVER.search, tokens)) else None
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
@@ -108,27 +122,67 @@ class WordEncoder:
             return self.new[stem] + self.tails[word[len(stem):]]
         return self._ids([word[1:] if word[:1] == " " else " " + word])[0]
 
+    def _together(self, words: list[str]) -> None:
+        """Learns runs of letters behind a space: each one's ids begin with a token that begins with the space."""
+        lines = [" " + " ".join(words[at:at + self.TOGETHER]) for at in range(0, len(words), self.TOGETHER)]
+        lines = [codecs.charmap_decode(line.encode("utf-8"), "strict", self.bytes)[0] for line in lines]
+        found = self.joined.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4")
+        cuts, held = (4 * np.flatnonzero(self.first[ids])).tolist(), ids.tobytes()
+        self.new.update(zip(words, [held[a:b] for a, b in zip(cuts, [*cuts[1:], len(held)])], strict=True))
+
+    def _learn(self, words: set[str]) -> None:
+        """Words the newer generation lacks; those made of others come after what they are made of."""
+        new, old, letters, others, made = self.new, self.old, [], set(), []
+        if old:
+            new.update((w, old[w]) for w in words if w in old)
+            words = [w for w in words if w not in new]
+        if self.joined is None:
+            return
+        for word in words:
+            if word.isalpha() and word.isascii():
+                letters.append(word)
+            elif part := self.plain(word):
+                stem, marks, line = part.groups()
+                if line is not None or marks:
+                    made.append((word, stem, marks, line))
+                    word = stem
+                if word[0] != " " and word not in new and word not in old:
+                    others.add(word)
+        others.difference_update(letters)
+        self._together(letters)
+        self._together(list(others))
+        tails = self.tails
+        for word, stem, marks, line in made:
+            new[word] = new[stem] + tails[marks] if line is None else new[stem] + tails[marks + "\n"] + new[" " + line]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.new) > self.entries:
             self.old, self.new = self.new, Cache(self._found)
-        get, out = self.new.__getitem__, []
+        words, ends = [], [0]
         for text in texts:
             parts = self.CUT.split(text) if self.UNCUT.search(text) else text.split(" ")
             parts[0] = " " + parts[0]  # no space before the first part
-            out.append(b"".join(map(get, parts)))
-        return out
+            words += parts
+            ends.append(len(words))
+        found = list(map(self.new.get, words))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        self._learn({words[i] for i in gaps})
+        for i in gaps:
+            found[i] = self.new[words[i]]
+        return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def compress(ids: np.ndarray, least: int = 4, rounds: int = 8, gain: float = 0.03):
     """Re-Pair of one shard: (first nonterminal, round starts, rules, lengths, symbols)."""
-    seq = ids.astype(np.uint64)
+    seq = ids.astype(np.uint32)
     base = int(ids.max()) + 1 if len(ids) else 0
     starts, rules, lengths = [], [np.zeros((0, 2), np.uint64)], np.ones(base, np.int64)
     for r in range(rounds):
-        mixed = (seq + np.uint64(r + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        side = (mixed >> np.uint64(40)) & np.uint64(1)
+        mixed = (np.arange(len(lengths), dtype=np.uint64) + np.uint64(r + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        side = ((mixed >> np.uint64(40)) & np.uint64(1)).astype(np.int8)[seq]  # of each symbol
         at = np.flatnonzero(side[:-1] < side[1:])
-        met = (seq[at] << np.uint64(32)) | seq[at + 1]
+        met = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
         slot = ((met * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
         likely = np.bincount(slot, minlength=1 << 20)[slot] >= least  # what falls out is rarer than ``least``
         at, met = at[likely], met[likely]
@@ -140,7 +194,7 @@ def compress(ids: np.ndarray, least: int = 4, rounds: int = 8, gain: float = 0.0
             break
         left, right = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
         starts.append(len(lengths))
-        seq[at] = (number + len(lengths)).astype(np.uint64)
+        seq[at] = (number + len(lengths)).astype(np.uint32)
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
         seq = seq[keep]
@@ -228,8 +282,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
                  pa.array([len(flat)], pa.int64()), pa.array([pack(flat, starts)], pa.binary())],
                 names=["part", "shard", "ids", "n_tokens", "file"])
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                piece = batch.slice(at, 64)
                 for i, code in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist())):
                     if held and size + len(code) // 4 >= shard_tokens:
                         yield close()
