@@ -87,6 +87,28 @@ def test_the_tree_grows_with_the_corpus(frame):
     assert score[0] == score[1] > score[2] + 10
 
 
+def test_windows_are_dealt_once(frame, monkeypatch):
+    """A block has a row in a bucket at most, also of windows in crowded contexts, in many small buckets of each level."""
+    written, materialized = Counter(), suffix_tree.materialize
+
+    def counted(df, name):
+        out = materialized(df, name)
+        written["sums" if name.startswith("suffix-sums") else name] += out.count()
+        return out
+    texts, per_task = corpus(), 100
+    monkeypatch.setattr(suffix_tree, "materialize", counted)
+    monkeypatch.setattr(suffix_tree._tree_sums, "__defaults__", (per_task,))
+    docs = frame([(i, t, i % 5 != 1) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean").repartition(3)
+    training = docs.where("learn").select(F.col("text").alias("body"))
+    vocab = suffix_tree.materialize(suffix_tree.word_counts(training), "v")
+    model = suffix_tree.train(training, vocab, dictionary=0.01, crowd=8)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, vocab, model, learned=F.col("learn")).collect()}
+    want = brute_scores([t for i, t in enumerate(texts) if i % 5 != 1], texts)[0]
+    assert all(abs(got[i] - s) < 1e-4 for i, s in enumerate(want))
+    windows = sum(len((t or "").split()) + 1 for t in texts)
+    assert 0 < written["sums"] <= 3 * (windows // per_task + 5)  # 3 blocks, what is told of each, and a bucket more for each level
+
+
 def test_windows_go_by_whole_contexts():
     """A bucket is solved a share of its contexts at a time, and no context is cut in two."""
     rng = np.random.default_rng(4)

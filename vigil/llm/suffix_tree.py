@@ -10,11 +10,12 @@ Smoothing is absolute discounting: P(x|s) = (n(s,x) - d) / n(s) + rest(s) * P(x|
 to the root P(x) = (c + 0.5) / (N + 0.5 (V + 1)), which makes each state's distribution sum to one.
 
 The tree is never in one place. Every token of the training texts and of the texts to score is a window:
-the word and the ``depth`` words before it. Windows are dealt by their newest context word, so a
+the word and the ``depth`` words before it. Windows are dealt once, by their newest context word, so a
 task has all contexts that end in its words, counts its branches of the tree from the windows of the training
-texts, and scores all windows. Only sums per text go back. A context followed more than
-``crowd`` times in training is dealt by the next word too: its counts are exact there, what all its words leave to
-the parent is summed by Spark (at most N / crowd rows), and its windows go on to be dealt by one context word more.
+texts, and scores all windows. Only sums per text go back. Windows of a context followed more than
+``crowd`` times in training are dealt by one context word more. How often its words follow it is counted before, one row
+per distinct (context, word) of a block of texts: the counts go back to the blocks, and what all its words leave to
+the parent is summed by Spark (at most N / crowd rows).
 
 The words of probability ``dictionary`` and more (at most 1/dictionary) are numbered by a broadcast, all
 others by a join, one row per word of a block of texts. Words met less than ``floor`` times in training
@@ -26,7 +27,8 @@ each text; it is also the context of the first word, and no context goes beyond
 Edge cases: null text counts as empty (one token, the end). Repeated rows and repeated or
 null ids each keep their own row. Without training rows every token has the root's single
 class (log10 1 = 0). An empty table gives no rows. Long texts are scored whole; a block of texts holds
-about a million tokens, or one longer text.
+up to five million tokens, or one longer text. A block has a row in most buckets of windows, so their number is a product, which
+large blocks and buckets keep small.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from vigil.llm.common import materialize, share
+from vigil.llm.common import discard, materialize, materialize_at, share
 
 END = b""  # no word is empty
 ONCE = -2  # number of a word met in training, but less than ``floor`` times; -1: never met
@@ -264,7 +266,7 @@ def _shelves(words: list[bytes], shelves: int):
 BLOCK = "block long, n long, kept long, learn binary, size binary, token binary, rare array<struct<shelf: long, n: long, words: binary>>"
 
 
-def _blocks(docs: DataFrame, carried: int, shared, shelves: int, limit: int = 1_000_000) -> DataFrame:
+def _blocks(docs: DataFrame, carried: int, shared, shelves: int, limit: int = 5_000_000) -> DataFrame:
     """``docs`` (carried columns, learn, body) -> blocks of texts: word numbers, other words (``rare``) by their
     place in the block, and the carried columns as arrays."""
     schema = StructType.fromDDL(BLOCK)
@@ -365,44 +367,42 @@ def _answers(blocks: DataFrame, vocabulary: DataFrame, model: Model, shelves: in
     return dealt.mapInArrow(answer, ddl).groupBy("block").agg(F.collect_list(F.struct("shelf", "n", "numbers")).alias("found"))
 
 
-# Windows stand in a table: word, contexts, 2 * text + learned, and first a word's count where it is outside the dictionary, later
-# the bits of the probability by the contexts before the level.
-def _first_windows(m: Model, batch):
-    """(block, windows, what the root alone tells of the texts) of the blocks; words whose context is not in the tree have no window."""
-    column = dict(zip(batch.schema.names, batch.columns))
-    for r in range(batch.num_rows):
-        n, rows = (column[c][r].as_py() for c in ("n", "kept"))
-        token, size, learn = (_array(column[c][r].as_py(), k) for c, k in (("token", n), ("size", rows), ("learn", rows)))
-        found = sorted(column["found"][r].as_py() or [], key=lambda f: f["shelf"])
-        times, number = np.concatenate([*[_array(f["numbers"], 2 * f["n"]).reshape(2, f["n"]) for f in found], np.array([[0], [-1]])], axis=1)
-        other = np.where(token < 0, -1 - token, len(times) - 1)
-        ids = np.where(token >= 0, token, number[other]).astype(np.int32)
-        c = np.where(token >= 0, 0, times[other])
-        base = m.root(np.where(token >= 0, m.counts[np.maximum(token, 0)], c) if len(m.counts) else c)
-        contexts = _contexts(ids, m.depth)
-        held = contexts[0] >= 0
-        first = np.cumsum(size) - size
-        known = np.add.reduceat(((token >= 0) | (c > 0)).astype(np.int64), first)
-        sums = np.stack([np.add.reduceat(v, first) for v in (base, np.where(held, 0.0, base))])
-        told = [rows, _bytes(np.concatenate([size, known])), sums.astype("<f8").tobytes()]
-        texts = np.repeat(2 * np.arange(rows, dtype=np.int32) + learn, size)
-        block = column["block"][r].as_py()
-        yield block, np.stack([v[held].astype(np.int32) for v in (np.maximum(ids, -1), *contexts, texts, c)]), told if block >= 0 else None
-
-
-def _more_windows(m: Model, batch):
-    """The same of windows that went on; sums of those that did not go with them."""
-    for block, kind, n, data, sums in zip(*[batch.column(k).to_pylist() for k in range(5)]):
-        if kind == 1:
-            yield block, _array(data, (m.depth + 3) * n).reshape(m.depth + 3, n), None
-        else:
-            yield block, None, [n, data, sums]
+# Windows stand in a table: word, contexts, 2 * text + learned, and last a word's count where it is outside the dictionary, or
+# the bits of the probability by the crowded contexts.
+def _windows(m: Model, column: dict, r: int):
+    """A block's windows and (counts of the words outside the dictionary, which words have a window, first words of the texts): words
+    whose context is not in the tree have none."""
+    n, rows = (column[c][r].as_py() for c in ("n", "kept"))
+    token, size, learn = (_array(column[c][r].as_py(), k) for c, k in (("token", n), ("size", rows), ("learn", rows)))
+    found = sorted(column["found"][r].as_py() or [], key=lambda f: f["shelf"])
+    times, number = np.concatenate([*[_array(f["numbers"], 2 * f["n"]).reshape(2, f["n"]) for f in found], np.array([[0], [-1]], np.int32)], axis=1)
+    rare = np.flatnonzero(token < 0)
+    ids, c = token.copy(), np.zeros(n, np.int32)
+    ids[rare], c[rare] = number[-1 - token[rare]], times[-1 - token[rare]]
+    contexts = _contexts(ids, m.depth)
+    held = contexts[0] >= 0
+    table = np.empty((m.depth + 3, int(held.sum())), np.int32)
+    for k, v in enumerate((np.maximum(ids, -1), *contexts, np.repeat(2 * np.arange(rows, dtype=np.int32) + learn, size), c)):
+        np.compress(held, v, out=table[k])
+    return table, token, c, held, size
+
+
+def _told(m: Model, token: np.ndarray, c: np.ndarray, held: np.ndarray, size: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Sizes and known words of a block's texts, and their sums by the root: of all words, and of those without a window."""
+    base = m.root(c)
+    base[token >= 0] = m.root(m.counts)[token[token >= 0]]
+    first = np.cumsum(size) - size
+    known = np.add.reduceat(((token >= 0) | (c > 0)).astype(np.int64), first)
+    total = np.add.reduceat(base, first)
+    base[held] = 0.0
+    return _bytes(np.concatenate([size, known])), np.stack([total, np.add.reduceat(base, first)])
 
 
 @dataclass
 class Crowd:
-    """Contexts of one level that are dealt by the next word too, by hash: how often met, and once summed what they leave to the parent."""
+    """Contexts of one level that are followed too often for one task: how often, and once summed what they leave to the parent."""
     hashes: np.ndarray
+    words: np.ndarray
     sizes: np.ndarray
     stays: np.ndarray | None = None
     rests: np.ndarray | None = None
@@ -415,182 +415,268 @@ class Crowd:
         return np.where(self.hashes[at] == h, at, -1)
 
 
+def _crowd(contexts: list[tuple], sizes: list[float], level: int) -> Crowd:
+    """The contexts by hash."""
+    words = np.array(contexts, np.int64).reshape(len(contexts), level)
+    h = _hash(words.T)
+    order = np.argsort(h)
+    return Crowd(h[order], words[order], np.array(sizes, np.float64)[order])
+
+
+def _inside(m: Model, crowd: Crowd, level: int, table: np.ndarray, live: np.ndarray):
+    """The windows that are in crowded contexts of a level: their rows and contexts; and the distinct (context, word) of those
+    that can be entries, dealt by a hash: which windows these are, and the number of each one's pair."""
+    at = crowd.find([c[live] for c in table[1:1 + level]])
+    live, at = live[at >= 0], at[at >= 0]
+    word = np.flatnonzero(table[0, live] >= 0)
+    pairs, number = np.unique(at[word] << 32 | table[0, live[word]], return_inverse=True)
+    return live, at, word, pairs, number
+
+
+def _dealt(pairs: np.ndarray, buckets: int):
+    """Places of the pairs by bucket, and (bucket, from, to) of these places."""
+    bucket = (_hash([pairs]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return order, [(k, a, b) for k, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())) if a < b]
+
+
+def _climbed(m: Model, crowds: list[Crowd], buckets: list[int], table: np.ndarray, column: dict, r: int):
+    """How many context words of each window are a crowded context, and its probability by these (by the root, at the last level
+    that is not yet answered)."""
+    passed, prob = np.zeros(table.shape[1], np.int8), None
+    live = np.flatnonzero(table[1] <= len(crowds[0].hashes)) if crowds else []  # by number the most frequent words come first, behind the end
+    for level, (crowd, parts) in enumerate(zip(crowds, buckets), 1):
+        live, at, word, pairs, number = _inside(m, crowd, level, table, live)
+        if prob is None:
+            prob, x = np.zeros(table.shape[1]), table[0, live]
+            inside = (x >= 0) & (x < len(m.words))
+            prob[live] = 10.0 ** m.root(np.where(inside, m.counts[np.where(inside, x, 0)], table[-1, live]))
+        found = sorted(column[f"met{level}"][r].as_py() or [], key=lambda f: f["bucket"])
+        met, order = np.zeros(len(pairs)), _dealt(pairs, parts)[0]
+        if found:
+            met[order] = np.concatenate([_array(f["data"], f["n"]) for f in found])
+        taken = np.zeros(len(live))
+        taken[word] = (np.where(met > 0, met - m.discount, 0.0)[number]) / crowd.sizes[at[word]]
+        passed[live] = level
+        prob[live] = np.where(crowd.stays[at], taken + crowd.rests[at] * prob[live], prob[live])
+    return passed, prob, live
+
+
+MET = "kind int, bucket long, block long, n long, data binary, parts array<double>"
+
+
+def _met(rows: DataFrame, model: Model, shared, crowds: list[Crowd], parts: list[int]) -> DataFrame:
+    """Of the windows in crowded contexts of the last level, kind 0: how often a block's distinct (context, word) were met in training,
+    1: parts of the sums of a context, 2: a longer context that is crowded itself."""
+    sent, level, buckets = share(rows.sparkSession, crowds), len(crowds), parts[-1]
+    asked = [("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]
+
+    def ask(batches):
+        m, many = pickle.loads(shared.value), pickle.loads(sent.value)
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns))
+            for r in range(batch.num_rows):
+                table = _windows(m, column, r)[0]
+                _, prob, live = _climbed(m, many[:-1], parts, table, column, r)
+                if prob is None:
+                    live = np.flatnonzero(table[1] <= len(many[-1].hashes))
+                live, _, word, pairs, number = _inside(m, many[-1], level, table, live)
+                lead = np.empty(len(pairs), np.int64)
+                lead[number] = live[word]
+                if prob is None:
+                    x = table[0, lead]
+                    start = 10.0 ** m.root(np.where(x < len(m.words), m.counts[np.minimum(x, len(m.words) - 1)], table[-1, lead]))
+                else:
+                    start = prob[lead]
+                n = np.bincount(number, weights=table[-2, live[word]] & 1, minlength=len(pairs))
+                order, dealt = _dealt(pairs, buckets)
+                data = np.stack([v[order] for v in (
+                    (pairs >> 32).astype(np.int32), pairs.astype(np.int32), n.astype(np.int32), start.astype(np.float32).view(np.int32))])
+                for bucket, a, b in dealt:
+                    yield _row([bucket, column["block"][r].as_py(), b - a, _bytes(data[:, a:b])], asked)
+    rows = rows.mapInArrow(ask, "bucket long, block long, n long, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+    def answer(batches):
+        m, crowd = pickle.loads(shared.value), pickle.loads(sent.value)[-1]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.float64())]
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(types)], names=[c.split()[0] for c in MET.split(", ")])
+
+        def close(bucket, blocks, tables):
+            at, x, n, start = np.concatenate(tables, axis=1)
+            number, lead = _groups(at, x)
+            n = np.bincount(number, weights=n, minlength=len(lead))
+            n = np.where(n >= m.floor, n, 0.0)
+            found, end = [], 0
+            for block, piece in zip(blocks, tables):
+                begin, end = end, end + piece.shape[1]
+                found.append([0, bucket, block, end - begin, _bytes(n[number[begin:end]].astype(np.int32)), None])
+            yield out(found)
+            times, lead = n[n > 0], lead[n > 0]
+            of, word, parent = at[lead], x[lead], start[lead].view(np.float32).astype(np.float64)
+            seen, which = np.unique(of, return_inverse=True)
+            p = times / crowd.sizes[of]
+            sums = [np.bincount(which, weights=v, minlength=len(seen)).tolist() for v in (
+                (times - m.discount) / crowd.sizes[of], p, parent, p * np.log(p / parent))]
+            found = [[1, int(i), None, None, None, list(v)] for i, *v in zip(seen, *sums)]
+            more = (times >= m.crowd) & (word > 0) if level < m.depth else np.zeros(len(times), bool)
+            found += [[2, int(i), int(w), None, None, [float(k)]] for i, w, k in zip(of[more], word[more], times[more])]
+            if found:
+                yield out(found)
+        now, blocks, tables = None, [], []
+        for batch in batches:
+            for bucket, block, n, data in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+                if bucket != now and tables:
+                    yield from close(now, blocks, tables)
+                    blocks, tables = [], []
+                now = bucket
+                blocks.append(block)
+                tables.append(_array(data, 4 * n).reshape(4, n))
+        if tables:
+            yield from close(now, blocks, tables)
+    return rows.mapInArrow(answer, MET)
+
+
 def _sums(block: int, table: np.ndarray, prob: np.ndarray) -> list:
     rows, number = np.unique(table[-2] >> 1, return_inverse=True)
-    return [block, 0, len(rows), *_parts(rows, np.bincount(number, weights=np.log10(prob))), None, None]
+    return [block, 0, len(rows), *_parts(rows, np.bincount(number, weights=np.log10(prob)))]
 
 
-SOLVED = "block long, kind int, n long, data binary, sums binary, context array<int>, parts array<double>"
+SOLVED = "block long, kind int, n long, data binary, sums binary"
 
 
-def _solved(rows: DataFrame, model: Model, shared, crowd: Crowd, level: int, buckets: int) -> DataFrame:
-    """Kind 0: sums of texts, 4: what was told of texts before. Of crowded contexts, kind 1: windows with how often the context and the word were met,
-    2: parts of the sums of a context, 3: a longer context that is crowded itself."""
-    crowds, columns = share(rows.sparkSession, crowd), model.depth + 3
-    windows = _first_windows if level == 1 else _more_windows
+def _solved(rows: DataFrame, model: Model, shared, crowds: list[Crowd], parts: list[int], levels: list[int]) -> DataFrame:
+    """Kind 0: sums of texts, 4: what is told of texts before their windows are dealt. ``levels``: in how many buckets windows are that
+    are in no crowded context, in one of one word, ..."""
+    sent, depth = share(rows.sparkSession, crowds), model.depth
+    columns, buckets, begins = depth + 3, sum(levels), np.cumsum([0, *levels])
+    dealt = [("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("sums", pa.binary())]
 
     def route(batches):
-        m, many = pickle.loads(shared.value), pickle.loads(crowds.value)
+        m, many = pickle.loads(shared.value), pickle.loads(sent.value)
         for batch in batches:
-            for block, table, told in windows(m, batch):
-                if told:
-                    yield _row([block % buckets, block, *told], dealt)
-                if table is None:
-                    continue
-                context = table[1:1 + level]
-                h = _hash(context)
-                split = many.find(context) >= 0
-                h[split] = _hash([*context[:, split], table[0][split]])
-                bucket = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((table[2], table[1], bucket))  # equal contexts side by side compress best
-                table, bucket = table[:, order], bucket[order]
-                firsts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-                for a, b in zip(firsts, firsts[1:]):
-                    yield _row([int(bucket[a]), block, int(b - a), _bytes(table[:, a:b]), None], dealt)
-    dealt = [("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("sums", pa.binary())]
+            column = dict(zip(batch.schema.names, batch.columns))
+            for r in range(batch.num_rows):
+                block = column["block"][r].as_py()
+                table, *words = _windows(m, column, r)
+                data, sums = _told(m, *words) if block >= 0 else (None, None)
+                del words
+                bucket = np.full(table.shape[1], -1, np.int32)
+                passed, prob, _ = _climbed(m, many, parts, table, column, r)
+                for level in range(1 + len(many)):
+                    of = np.flatnonzero(passed == level) if many else slice(None)
+                    if level:
+                        table[-1, of] = prob[of].astype(np.float32).view(np.int32)
+                        done = table[1 + level, of] < 0 if level < depth else np.ones(len(of), bool)  # no longer context
+                        if block >= 0:
+                            sums[1] += np.bincount(table[-2, of[done]] >> 1, weights=np.log10(prob[of[done]]), minlength=sums.shape[1])
+                        of = of[~done]
+                    if level < depth:
+                        bucket[of] = begins[level] + (_hash(table[1:2 + level, of]) % np.uint64(levels[level])).astype(np.int32)
+                del passed, prob
+                if block >= 0:
+                    yield _row([block % buckets, block, sums.shape[1], data, sums.astype("<f8").tobytes()], dealt)
+                order = _side_by_side(bucket, table[1], table[2] if depth > 1 else table[1])
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+                held, size = [], 0
+                for k, (a, b) in enumerate(zip(ends, ends[1:])):
+                    if a < b:
+                        held.append([k, block, b - a, _bytes(table[:, order[a:b]]), None])
+                        size += len(held[-1][3])
+                    if held and (size > 1 << 20 or k + 1 == buckets):
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(zip(*held), dealt)], names=[n for n, _ in dealt])
+                        held, size = [], 0
     rows = rows.mapInArrow(route, "bucket long, block long, n long, data binary, sums binary").repartition(
         buckets, "bucket").sortWithinPartitions("bucket")
 
     def solve(batches):
-        m, many = pickle.loads(shared.value), pickle.loads(crowds.value)
+        m = pickle.loads(shared.value)
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
         def out(found):
-            names = SOLVED.split(", ")
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64())]
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(types)], names=[n.split()[0] for n in names])
-
-        def bucket(blocks, sizes, tables):
-            ends = np.cumsum(sizes)[:-1]
-            table, begin = np.empty((columns, sum(sizes)), np.int32), 0
-            for data, size in zip(tables, sizes):
-                table[:, begin:begin + size] = _array(data, columns * size).reshape(columns, size)
-                begin += size
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found), types)], names=[c.split()[0] for c in SOLVED.split(", ")])
+
+        def solved(bucket, blocks, sizes, tables):
+            level = int(np.searchsorted(begins, bucket, "right")) - 1
+            ends = np.cumsum(sizes).tolist()
+            table = np.empty((columns, ends[-1]), np.int32)
+            for data, size, end in zip(tables, sizes, ends):
+                table[:, end - size:end] = _array(data, columns * size).reshape(columns, size)
             tables.clear()
-            x, contexts = table[0], list(table[1:1 + m.depth])
-            crowded = many.find(contexts[:level])
-            plain = crowded < 0
-            part = np.flatnonzero(~plain)
-            crowded = crowded[part]
-            prob, n = np.ones(len(x)), np.zeros(len(x))
-
-            def begin(rows):
-                """Whether these windows are learned from, and their probabilities by the contexts before, which the table keeps."""
-                if level > 1:
-                    return (table[-2, rows] & 1).astype(bool), table[-1, rows].view(np.float32).astype(np.float64)
-                inside = (x[rows] >= 0) & (x[rows] < len(m.words))
-                c = table[-1, rows]
-                start = 10.0 ** m.root(np.where(inside, m.counts[np.where(inside, x[rows], 0)], c) if len(m.counts) else c)
-                table[-1, rows] = start.astype(np.float32).view(np.int32)
-                return (table[-2, rows] & 1).astype(bool), start
-            for rows in _chunks(contexts[level - 1], plain):
-                prob[rows] = probabilities(m, x[rows], [c[rows] for c in contexts], *begin(rows), level - 1)
-            if len(part):
-                learn, start = begin(part)
-                number, at = _groups(crowded, x[part])
-                times = _entries(m, number, at, x[part], learn)
-                n[part] = times[number]
-                some = times > 0
-                of, p, parent = crowded[at][some], times[some] / many.sizes[crowded[at][some]], start[at][some]
-                seen, place, which = np.unique(of, return_index=True, return_inverse=True)
-                lead = part[at[some][place]]
-                sums = [np.bincount(which, weights=v, minlength=len(seen)).tolist() for v in (
-                    (times[some] - m.discount) / many.sizes[of], p, parent, p * np.log(p / parent))]
-                found = [[None, 2, 0, None, None, table[1:1 + level, i].tolist(), list(v)] for i, *v in zip(lead, *sums)]
-                for i, k in zip(part[at[some]], times[some]):
-                    if k >= m.crowd and x[i] > 0 and level < m.depth:
-                        found.append([None, 3, 0, None, None, [int(x[i]), *table[1:1 + level, i].tolist()], [float(k)]])
-                if found:
-                    yield out(found)
-            for block, piece, probs, flags, met in zip(blocks, np.split(table, ends, axis=1), np.split(prob, ends), np.split(plain, ends), np.split(n, ends)):
-                found = [_sums(block, piece[:, flags], probs[flags])] if flags.any() and block >= 0 else []
-                if not flags.all():
-                    more = np.concatenate([piece, met[None].astype(np.int32)])[:, ~flags]
-                    found.append([block, 1, more.shape[1], _bytes(more), None, None, None])
-                if found:
-                    yield out(found)
+            x, contexts, prob = table[0], list(table[1:1 + depth]), np.ones(table.shape[1])
+            for rows in _chunks(contexts[level], np.ones(len(x), bool)):
+                if level:
+                    start = table[-1, rows].view(np.float32).astype(np.float64)
+                else:
+                    inside = (x[rows] >= 0) & (x[rows] < len(m.words))
+                    start = 10.0 ** m.root(np.where(inside, m.counts[np.where(inside, x[rows], 0)], table[-1, rows]) if len(m.counts) else table[-1, rows])
+                prob[rows] = probabilities(m, x[rows], [c[rows] for c in contexts], (table[-2, rows] & 1).astype(bool), start, level)
+            found = [_sums(block, table[:, end - size:end], prob[end - size:end]) for block, size, end in zip(blocks, sizes, ends) if block >= 0]
+            if found:
+                yield out(found)
         now, blocks, sizes, tables = None, [], [], []
         for batch in batches:
             for b, block, n, data, sums in zip(*[batch.column(k) for k in range(5)]):
                 b, block, n, data = b.as_py(), block.as_py(), n.as_py(), data.as_py()
                 if sums.is_valid:
-                    yield out([[block, 4, n, data, sums.as_py(), None, None]])
+                    yield out([[block, 4, n, data, sums.as_py()]])
                     continue
                 if b != now and tables:
-                    yield from bucket(blocks, sizes, tables)
+                    yield from solved(now, blocks, sizes, tables)
                     blocks, sizes, tables = [], [], []
                 now = b
                 blocks.append(block)
                 sizes.append(n)
                 tables.append(data)
         if tables:
-            yield from bucket(blocks, sizes, tables)
+            yield from solved(now, blocks, sizes, tables)
     return rows.mapInArrow(solve, SOLVED)
 
 
-def _crowd(contexts: list[tuple], sizes: list[float]) -> tuple[Crowd, np.ndarray]:
-    """The contexts by hash, and their order."""
-    h = _hash(np.array(contexts, np.int64).reshape(len(contexts), -1).T) if contexts else np.zeros(0, np.uint64)
-    order = np.argsort(h)
-    return Crowd(h[order], np.array(sizes, np.float64)[order]), order
+def _side_by_side(bucket: np.ndarray, newest: np.ndarray, older: np.ndarray) -> np.ndarray:
+    """Rows by bucket; in one, equal contexts side by side, which compress best."""
+    free = 62 - int(bucket.max(initial=0) + 1).bit_length()
+    low = free // 2
+    key = (bucket.astype(np.int64) + 1) << free | (newest.astype(np.int64) & ((1 << free - low) - 1)) << low
+    key |= older & ((1 << low) - 1)
+    return np.argsort(key, kind="stable")
 
 
-def _went_on(solved: DataFrame, model: Model, crowd: Crowd, level: int, last: bool) -> DataFrame:
-    """Windows of crowded contexts with the probability by these; at the last level their sums per text."""
-    crowds = share(solved.sparkSession, crowd)
-    columns, discount = model.depth + 4, model.discount
-
-    def run(batches):
-        many = pickle.loads(crowds.value)
-        for batch in batches:
-            for block, n, data in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                table = _array(data, columns * n).reshape(columns, n)
-                table, met = table[:-1].copy(), table[-1].astype(np.float64)
-                at = many.find(table[1:1 + level])
-                prob = table[-1].view(np.float32).astype(np.float64)
-                taken = np.where(met > 0, (met - discount) / many.sizes[at], 0.0)
-                prob = np.where(many.stays[at], taken + many.rests[at] * prob, prob)
-                out = np.ones(n, bool) if last else table[1 + level] < 0  # no longer context
-                table[-1] = prob.astype(np.float32).view(np.int32)
-                found = [_sums(block, table[:, out], prob[out])] if out.any() and block >= 0 else []
-                if not out.all():
-                    found.append([block, 1, int((~out).sum()), _bytes(table[:, ~out]), None, None, None])
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
-                        names=["block", "kind", "n", "data", "sums"])
-    return solved.where("kind = 1").select("block", "n", "data").mapInArrow(run, "block long, kind int, n long, data binary, sums binary")
-
-
-def _tree_sums(rows: DataFrame, total: int, model: Model, shared, per_task: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """``(block, n, data, sums)`` twice: what the root tells of the texts, and log10 probabilities summed per text, in any number of parts."""
-    level, told, answers = 1, [], []
+def _tree_sums(rows: DataFrame, paths: list[str], total: int, model: Model, shared, per_task: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """``(block, n, data, sums)`` twice: what is told of the texts, and log10 probabilities summed per text, in any number of parts.
+    ``rows`` are read from ``paths``, which no one else reads."""
+    crowds, parts, levels = [], [], []
     often = np.flatnonzero(model.counts >= model.crowd)
-    crowd, _ = _crowd([(int(i),) for i in often], model.counts[often].tolist())
-    while True:
-        solved = materialize(_solved(rows, model, shared, crowd, level, 1 + total // per_task), f"suffix-sums-{level}")
-        answers.append(solved.where("kind = 0"))
-        told.append(solved.where("kind = 4"))
-        if not len(crowd.hashes):
-            break
-        parts = solved.where("kind = 2").groupBy("context").agg(*[F.sum(F.col("parts")[k]).alias(f"s{k}") for k in range(4)]).collect()
+    crowd = _crowd([(int(i),) for i in often], model.counts[often].tolist(), 1)
+    left = 1.0
+    while len(crowd.hashes):
+        part = min(left, crowd.sizes.sum() / model.total)  # of the windows
+        levels.append(1 + int(total * (left - part)) // per_task)
+        left = part
+        crowds.append(crowd)
+        parts.append(1 + int(total * part) // (2 * per_task))
+        met = materialize(_met(rows, model, shared, crowds, parts), f"suffix-met-{len(crowds)}")
         crowd.stays, crowd.rests = np.zeros(len(crowd.hashes), bool), np.ones(len(crowd.hashes))
-        for context, spent, inside, parent_inside, gain in parts:
-            at = crowd.find(np.array(context, np.int64).reshape(-1, 1))
+        sums = met.where("kind = 1").groupBy("bucket").agg(*[F.sum(F.col("parts")[k]).alias(f"s{k}") for k in range(4)])
+        for at, spent, inside, parent_inside, gain in sums.collect():
             crowd.stays[at], crowd.rests[at] = _stays(model, inside, parent_inside, gain), 1 - spent
-        rows = _went_on(solved, model, crowd, level, level == model.depth)
-        if level == model.depth:
-            answers.append(rows)
+        answers = met.where("kind = 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "data")).alias(f"met{len(crowds)}"))
+        rows = rows.join(answers, "block", "left")
+        longer = met.where("kind = 2").select("bucket", "block", F.col("parts")[0]).collect()
+        if len(crowds) == model.depth:
             break
-        longer = solved.where("kind = 3").select("context", F.col("parts")[0]).collect()
-        total, level = solved.where("kind = 1").agg(F.sum("n")).first()[0] or 0, level + 1
-        crowd, _ = _crowd([tuple(r[0]) for r in longer], [r[1] for r in longer])
-
-    def union(parts):
-        out = parts[0].select("block", "n", "data", "sums")
-        for p in parts[1:]:
-            out = out.unionByName(p.select("block", "n", "data", "sums"))
-        return out
-    return told[0].select("block", "n", "data", "sums"), union(answers + told[1:])
+        crowd = _crowd([(x, *crowd.words[at].tolist()) for at, x, _ in longer], [n for *_, n in longer], len(crowds) + 1)
+    if len(crowds) < model.depth:
+        levels.append(1 + int(total * left) // per_task)
+    if crowds:  # written, as the shuffle files of the join would stay beside those of the windows
+        answered, path = materialize_at(rows, "suffix-answered")
+        discard(rows.sparkSession, *paths)
+        rows, paths = answered, [path]
+    solved = materialize(_solved(rows, model, shared, crowds, parts, levels), "suffix-sums")
+    discard(rows.sparkSession, *paths)
+    return tuple(solved.where(f"kind = {kind}").select("block", "n", "data", "sums") for kind in (4, 0))
 
 
 def score(docs: DataFrame, vocabulary: DataFrame, model: Model, text: str = "text", learned: Column | None = None) -> DataFrame:
@@ -605,19 +691,22 @@ def score(docs: DataFrame, vocabulary: DataFrame, model: Model, text: str = "tex
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carried)], learn.alias("learn"), F.col(f"`{text}`").alias("body"))
     shelves = 1 + model.distinct // 200_000
 
-    def prepared(rows, width):
-        blocks = materialize(_blocks(rows, width, shared, shelves), "suffix-blocks")
+    whole, paths = [f"c{k}" for k in range(len(carried))], []
+
+    def prepared(rows, columns):
+        blocks, path = materialize_at(_blocks(rows, len(columns), shared, shelves), "suffix-blocks")
+        kept = materialize(blocks.select("block", *columns), "suffix-rows")
         tokens_of = blocks.select("block", "n", "kept", "learn", "size", "token")
-        return blocks, tokens_of.join(_answers(blocks, vocabulary, model, shelves), "block", "left")
-    blocks, known = prepared(rows, len(carried))
-    total = blocks.agg(F.sum("n")).first()[0] or 0
-    if learned is None:  # blocks that are only learned from have no number
-        own, more = prepared(model.texts.select(F.lit(True).alias("learn"), F.col(model.texts.columns[0]).alias("body")), 0)
-        known = known.unionByName(more.withColumn("block", F.lit(-1).cast("long")))
-        total += own.agg(F.sum("n")).first()[0] or 0
-    told, sums = _tree_sums(known, total, model, shared)
-    whole = [f"c{k}" for k in range(len(carried))]
-    texts = blocks.select("block", *whole).join(told, "block").withColumn("part", F.lit(0))
+        known, numbered = materialize_at(tokens_of.join(_answers(blocks, vocabulary, model, shelves), "block", "left"), "suffix-numbers")
+        discard(spark, path)
+        paths.append(numbered)
+        return kept, known
+    kept, known = prepared(rows, whole)
+    if learned is None:  # blocks that are only learned from have numbers below 0
+        own = prepared(model.texts.select(F.lit(True).alias("learn"), F.col(model.texts.columns[0]).alias("body")), [])[1]
+        known = known.unionByName(own.withColumn("block", -1 - F.col("block")))
+    told, sums = _tree_sums(known, paths, known.agg(F.sum("n")).first()[0] or 0, model, shared)
+    texts = kept.join(told, "block").withColumn("part", F.lit(0))
     for f in texts.select(*whole).schema:
         sums = sums.withColumn(f.name, F.lit(None).cast(f.dataType))
     joined = texts.unionByName(sums.withColumn("part", F.lit(1))).repartition("block").sortWithinPartitions("block", "part")
