@@ -27,7 +27,7 @@ each text; it is also the context of the first word, and no context goes beyond
 Edge cases: null text counts as empty (one token, the end). Repeated rows and repeated or
 null ids each keep their own row. Without training rows every token has the root's single
 class (log10 1 = 0). An empty table gives no rows. Long texts are scored whole; a block of texts holds
-up to five million tokens, or one longer text. A block has a row in most buckets of windows, so their number is a product, which
+up to 2.5 million tokens, or one longer text. A block has a row in most buckets of windows, so their number is a product, which
 large blocks and buckets keep small.
 """
 
@@ -151,8 +151,16 @@ def _hash(columns) -> np.ndarray:
 
 def _groups(major: np.ndarray, minor: np.ndarray):
     """Of each pair its number, and of each number a row that has it."""
-    _, at, number = np.unique(major.astype(np.int64) << 32 | (minor.astype(np.int64) + 2), return_index=True, return_inverse=True)
-    return number.astype(np.int32), at
+    key = major.astype(np.int64)
+    key <<= 32
+    key |= minor + 2
+    order = np.argsort(key, kind="stable")
+    key, new = key[order], np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    del key
+    number = np.empty(len(order), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return number, order[new]
 
 
 def _entries(model: Model, number: np.ndarray, at: np.ndarray, x: np.ndarray, learn: np.ndarray) -> np.ndarray:
@@ -266,7 +274,7 @@ def _shelves(words: list[bytes], shelves: int):
 BLOCK = "block long, n long, kept long, learn binary, size binary, token binary, rare array<struct<shelf: long, n: long, words: binary>>"
 
 
-def _blocks(docs: DataFrame, carried: int, shared, shelves: int, limit: int = 5_000_000) -> DataFrame:
+def _blocks(docs: DataFrame, carried: int, shared, shelves: int, limit: int = 2_500_000) -> DataFrame:
     """``docs`` (carried columns, learn, body) -> blocks of texts: word numbers, other words (``rare``) by their
     place in the block, and the carried columns as arrays."""
     schema = StructType.fromDDL(BLOCK)
@@ -379,20 +387,25 @@ def _windows(m: Model, column: dict, r: int):
     rare = np.flatnonzero(token < 0)
     ids, c = token.copy(), np.zeros(n, np.int32)
     ids[rare], c[rare] = number[-1 - token[rare]], times[-1 - token[rare]]
+    del rare, times, number
     contexts = _contexts(ids, m.depth)
     held = contexts[0] >= 0
     table = np.empty((m.depth + 3, int(held.sum())), np.int32)
-    for k, v in enumerate((np.maximum(ids, -1), *contexts, np.repeat(2 * np.arange(rows, dtype=np.int32) + learn, size), c)):
-        np.compress(held, v, out=table[k])
+    for k in range(m.depth, 0, -1):
+        np.compress(held, contexts.pop(), out=table[k])
+    np.compress(held, np.maximum(ids, -1, out=ids), out=table[0])
+    del ids
+    np.compress(held, np.repeat(2 * np.arange(rows, dtype=np.int32) + learn, size), out=table[-2])
+    np.compress(held, c, out=table[-1])
     return table, token, c, held, size
 
 
 def _told(m: Model, token: np.ndarray, c: np.ndarray, held: np.ndarray, size: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Sizes and known words of a block's texts, and their sums by the root: of all words, and of those without a window."""
-    base = m.root(c)
-    base[token >= 0] = m.root(m.counts)[token[token >= 0]]
-    first = np.cumsum(size) - size
-    known = np.add.reduceat(((token >= 0) | (c > 0)).astype(np.int64), first)
+    inside, first = token >= 0, np.cumsum(size) - size
+    base = np.empty(len(token))
+    base[inside], base[~inside] = m.root(m.counts)[token[inside]], m.root(c[~inside])
+    known = np.add.reduceat(inside | (c > 0), first, dtype=np.int64)
     total = np.add.reduceat(base, first)
     base[held] = 0.0
     return _bytes(np.concatenate([size, known])), np.stack([total, np.add.reduceat(base, first)])
@@ -638,9 +651,11 @@ def _solved(rows: DataFrame, model: Model, shared, crowds: list[Crowd], parts: l
 def _side_by_side(bucket: np.ndarray, newest: np.ndarray, older: np.ndarray) -> np.ndarray:
     """Rows by bucket; in one, equal contexts side by side, which compress best."""
     free = 62 - int(bucket.max(initial=0) + 1).bit_length()
-    low = free // 2
-    key = (bucket.astype(np.int64) + 1) << free | (newest.astype(np.int64) & ((1 << free - low) - 1)) << low
-    key |= older & ((1 << low) - 1)
+    low, key = free // 2, bucket.astype(np.int64)
+    key += 1
+    for width, v in ((free - low, newest), (low, older)):
+        key <<= width
+        key |= v & ((1 << width) - 1)
     return np.argsort(key, kind="stable")
 
 
