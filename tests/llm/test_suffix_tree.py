@@ -87,7 +87,8 @@ def test_the_tree_grows_with_the_corpus(frame):
     assert score[0] == score[1] > score[2] + 10
 
 
-def test_windows_are_dealt_once(frame, monkeypatch):
+@pytest.mark.parametrize("pairs", [0, 1_000_000])
+def test_windows_are_dealt_once(frame, monkeypatch, pairs):
     """A block has a row in a bucket at most, also of windows in crowded contexts, in many small buckets of each level."""
     written, materialized = Counter(), suffix_tree.materialize
 
@@ -98,6 +99,7 @@ def test_windows_are_dealt_once(frame, monkeypatch):
     texts, per_task = corpus(), 100
     monkeypatch.setattr(suffix_tree, "materialize", counted)
     monkeypatch.setattr(suffix_tree._tree_sums, "__defaults__", (per_task,))
+    monkeypatch.setattr(suffix_tree, "PAIRS", pairs, raising=False)
     docs = frame([(i, t, i % 5 != 1) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean").repartition(3)
     training = docs.where("learn").select(F.col("text").alias("body"))
     vocab = suffix_tree.materialize(suffix_tree.word_counts(training), "v")

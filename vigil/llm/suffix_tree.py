@@ -14,7 +14,7 @@ the word and the ``depth`` words before it. Windows are dealt once, by their new
 task has all contexts that end in its words, counts its branches of the tree from the windows of the training
 texts, and scores all windows. Only sums per text go back. Windows of a context followed more than
 ``crowd`` times in training are dealt by one context word more. How often its words follow it is counted before, one row
-per distinct (context, word) of a block of texts: the counts go back to the blocks, and what all its words leave to
+per distinct (context, word) of a block of texts: the counts go back to the blocks (by a broadcast if they are few), and what all its words leave to
 the parent is summed by Spark (at most N / crowd rows).
 
 The words of probability ``dictionary`` and more (at most 1/dictionary) are numbered by a broadcast, all
@@ -51,6 +51,7 @@ from vigil.llm.common import discard, materialize, materialize_at, share
 END = b""  # no word is empty
 ONCE = -2  # number of a word met in training, but less than ``floor`` times; -1: never met
 UNIT = float(1 << 24)  # parts of a text's sum are whole numbers of 1 / UNIT
+PAIRS = 2_000_000  # answers for (context, word) of blocks that are broadcast; more are joined with the blocks
 GATHERED = 5_000_000  # tokens of a corpus small enough for ``Model.token_scores``
 
 
@@ -419,6 +420,7 @@ class Crowd:
     sizes: np.ndarray
     stays: np.ndarray | None = None
     rests: np.ndarray | None = None
+    met: dict | None = None  # by block, where they are few
 
     def find(self, columns) -> np.ndarray:
         if not len(self.hashes):
@@ -465,7 +467,8 @@ def _climbed(m: Model, crowds: list[Crowd], buckets: list[int], table: np.ndarra
             prob, x = np.zeros(table.shape[1]), table[0, live]
             inside = (x >= 0) & (x < len(m.words))
             prob[live] = 10.0 ** m.root(np.where(inside, m.counts[np.where(inside, x, 0)], table[-1, live]))
-        found = sorted(column[f"met{level}"][r].as_py() or [], key=lambda f: f["bucket"])
+        found = crowd.met.get(column["block"][r].as_py()) if crowd.met is not None else column[f"met{level}"][r].as_py()
+        found = sorted(found or [], key=lambda f: f["bucket"])
         met, order = np.zeros(len(pairs)), _dealt(pairs, parts)[0]
         if found:
             met[order] = np.concatenate([_array(f["data"], f["n"]) for f in found])
@@ -665,7 +668,7 @@ def _tree_sums(rows: DataFrame, paths: list[str], total: int, model: Model, shar
     crowds, parts, levels = [], [], []
     often = np.flatnonzero(model.counts >= model.crowd)
     crowd = _crowd([(int(i),) for i in often], model.counts[often].tolist(), 1)
-    left = 1.0
+    left, joined = 1.0, False
     while len(crowd.hashes):
         part = min(left, crowd.sizes.sum() / model.total)  # of the windows
         levels.append(1 + int(total * (left - part)) // per_task)
@@ -677,15 +680,21 @@ def _tree_sums(rows: DataFrame, paths: list[str], total: int, model: Model, shar
         sums = met.where("kind = 1").groupBy("bucket").agg(*[F.sum(F.col("parts")[k]).alias(f"s{k}") for k in range(4)])
         for at, spent, inside, parent_inside, gain in sums.collect():
             crowd.stays[at], crowd.rests[at] = _stays(model, inside, parent_inside, gain), 1 - spent
-        answers = met.where("kind = 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "data")).alias(f"met{len(crowds)}"))
-        rows = rows.join(answers, "block", "left")
+        answers = met.where("kind = 0").select("block", "bucket", "n", "data")
+        if (answers.agg(F.sum("n")).first()[0] or 0) <= PAIRS:
+            crowd.met = {}
+            for r in answers.collect():
+                crowd.met.setdefault(r["block"], []).append(r.asDict())
+        else:
+            listed = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "data")).alias(f"met{len(crowds)}"))
+            rows, joined = rows.join(listed, "block", "left"), True
         longer = met.where("kind = 2").select("bucket", "block", F.col("parts")[0]).collect()
         if len(crowds) == model.depth:
             break
         crowd = _crowd([(x, *crowd.words[at].tolist()) for at, x, _ in longer], [n for *_, n in longer], len(crowds) + 1)
     if len(crowds) < model.depth:
         levels.append(1 + int(total * left) // per_task)
-    if crowds:  # written, as the shuffle files of the join would stay beside those of the windows
+    if joined:  # written, as the shuffle files of the join would stay beside those of the windows
         answered, path = materialize_at(rows, "suffix-answered")
         discard(rows.sparkSession, *paths)
         rows, paths = answered, [path]
